@@ -9,12 +9,13 @@ the planned slots by joining on their rank within their length.
 from __future__ import annotations
 
 import bisect
+import os
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import zlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,26 +33,47 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Words whose ids a Python worker keeps; then it starts anew.
+KNOWN_WORDS = 1_000_000
+_known: dict[bytes, bytes] = {}
+
+
+def token_bytes(texts: list[bytes], tok) -> list[bytes]:
+    """Each text's ids, little-endian unsigned 32-bit.
+
+    The tokenizer drops white space, so a text's ids are those of its words one after another,
+    and words recur: each is encoded once.  It also lower-cases, so ASCII case is dropped
+    before.  Texts that may hold a special token's string are encoded as they are.
+    """
+    words = [None if b"<|" in t else t.lower().split() for t in texts]
+    fresh = list({w for own in words if own for w in own if w not in _known})
+    if len(_known) + len(fresh) > KNOWN_WORDS:
+        _known.clear()
+        fresh = list({w for own in words if own for w in own})
+    for w, e in zip(fresh, tok.encode_batch_fast([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False), strict=True):
+        _known[w] = np.array(e.ids, "<u4").tobytes()
+    return [
+        b"".join(map(_known.__getitem__, own)) if own is not None
+        else np.array(tok.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        for t, own in zip(texts, words, strict=True)
+    ]
+
+
 def _pieces(path: str, capacity: int, end_id: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
+    end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         tok = _tokenizer(path)
         for batch in batches:
             out: list[tuple] = []
-            rows = batch.column(2).to_pylist()
-            texts = [(t or b"").decode("utf-8", "replace") for t in rows]
-            for (doc, row), enc in zip(
-                zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True),
-                tok.encode_batch_fast(texts, add_special_tokens=False),
-                strict=True,
-            ):
-                ids = np.array([*enc.ids, end_id], dtype="<u4")
-                for k, start in enumerate(range(0, len(ids), capacity)):
-                    part = ids[start : start + capacity]
-                    out.append((doc, row, k, start, len(part), zlib.crc32(part.tobytes())))
-            cols = list(zip(*out, strict=True))
+            ids = token_bytes([t or b"" for t in batch.column(2).to_pylist()], tok)
+            for doc, row, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ids, strict=True):
+                own += end
+                for k, at in enumerate(range(0, len(own), step)):
+                    part = own[at : at + step]
+                    out.append((doc, row, k, at // 4, len(part) // 4, zlib.crc32(part)))
+            cols = list(zip(*out, strict=True)) or [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
