@@ -121,7 +121,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", bits: int = 64) -> Data
         ),
         "recipes",
     )
-    shared = recipes.groupBy("n_bytes", "recipe").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = stage(recipes.groupBy("n_bytes", "recipe").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "shared")
     suspects = stage(recipes.join(shared, ["n_bytes", "recipe"], "left_semi").select(F.col("doc_id").alias("suspect")).distinct(), "suspects")
 
     # One row from each task for each distinct chunk of the suspects; an identifier with two contents is split.

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kelpline.llm.common import table
 from kelpline.llm.exact_dedup import exact_dedup
+from kelpline.llm.mixing import mix_report
 from kelpline.llm.packing import pack
+from kelpline.llm.simhash import near_dups
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,21 +21,88 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES: dict[str, Query] = {
+    "op1_pareto_mixing": op1_pareto_mixing,
     "op2_exact_dedup": op2_exact_dedup,
+    "op5_simhash_pigeonring": op5_simhash_pigeonring,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 SQL: dict[str, str] = {
+    "op1_pareto_mixing": r"""
+        WITH sized AS (
+            SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+                   (('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5)
+                   / 4503599627370496.0 AS u
+            FROM documents
+        ), classed AS (
+            SELECT *, CASE WHEN size > 0 THEN length(bin(size)) ELSE 0 END AS k FROM sized
+        ), per_source AS (
+            SELECT source, sum(size)::BIGINT AS s FROM classed GROUP BY source
+        ), weighed AS (
+            SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT] AS w, s * 2 AS cap
+            FROM per_source
+        ), levels AS (
+            SELECT *, (sum(s) OVER ()::DOUBLE * 1.5
+                       - coalesce(sum(cap) OVER (ORDER BY cap * 10 // w, source ASC NULLS LAST
+                                                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+                      / (sum(w) OVER (ORDER BY cap * 10 // w, source ASC NULLS LAST
+                                     ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level,
+                   row_number() OVER (ORDER BY cap * 10 // w, source ASC NULLS LAST) AS pos
+            FROM weighed
+        ), targets AS (
+            SELECT source, s AS source_size,
+                   CASE WHEN cap > level * w THEN (min_by(level, pos) FILTER (cap > level * w) OVER ()) * w ELSE cap::DOUBLE END AS target
+            FROM levels
+        ), classes AS (
+            SELECT source, k, sum(size)::BIGINT AS z FROM classed GROUP BY source, k
+        ), rates AS (
+            SELECT c.source, k, z, source_size, target,
+                   CASE WHEN z > 0 THEN
+                       (target - coalesce(sum(z) OVER (PARTITION BY c.source ORDER BY k DESC
+                                                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE * 2)
+                       / (sum(z * k) OVER (PARTITION BY c.source ORDER BY k DESC
+                                          ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE END AS rate
+            FROM classes c JOIN targets t ON c.source IS NOT DISTINCT FROM t.source
+        ), expected AS (
+            SELECT *, CASE WHEN z = 0 THEN 0.0::DOUBLE
+                           ELSE coalesce(least(2.0::DOUBLE, (max_by(rate, k) FILTER (rate * k < 2) OVER (PARTITION BY source)) * k), 2.0::DOUBLE) END AS e
+            FROM rates
+        ), plan AS (
+            SELECT *, floor(e)::BIGINT AS certain, e - floor(e) AS p,
+                   target - (sum(floor(e)::BIGINT * z) OVER (PARTITION BY source))::DOUBLE AS rest
+            FROM expected
+        ), odds AS (
+            SELECT c.doc_id, c.source, c.size, source_size, target, certain, rest,
+                   CASE WHEN p > 0 AND c.size > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q
+            FROM classed c JOIN plan ON c.source IS NOT DISTINCT FROM plan.source AND c.k = plan.k
+        ), cut AS (
+            SELECT *, sum(CASE WHEN q IS NOT NULL THEN size ELSE 0 END)
+                      OVER (PARTITION BY source ORDER BY q ASC NULLS LAST, doc_id ASC NULLS LAST, size
+                            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS through
+            FROM odds
+        ), copied AS (
+            SELECT *, (certain + CASE WHEN q IS NOT NULL AND through - size / 2 <= rest THEN 1 ELSE 0 END)::INT AS copies FROM cut
+        )
+        SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM copied
+    """,
     "op2_exact_dedup": r"""
         WITH norm AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
