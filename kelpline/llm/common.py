@@ -82,3 +82,11 @@ BROADCAST_ROWS = 1_000_000
 def small(df: DataFrame) -> DataFrame:
     """A broadcast hint, if the staged table df has few rows; otherwise df as it is."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def bounded_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """About `rows` rows of the staged df at most, picked by a hash of the keys: reruns agree."""
+    n = df.count()
+    if n <= rows:
+        return df
+    return df.where(F.pmod(F.xxhash64(*keys), F.lit(2**32)) < int(rows / n * 2**32))

@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from kelpline.llm import language, quality, toxicity
 from kelpline.llm.common import table
 from kelpline.llm.exact_dedup import exact_dedup
 from kelpline.llm.mixing import mix_report
 from kelpline.llm.packing import pack
 from kelpline.llm.simhash import near_dups
+from kelpline.llm.vectors import near_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +33,42 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_epsilon_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def _fold(parts: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts))
+
+
+def _training_labels(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").where(_fold(5) != 0).select("doc_id", F.col(column).alias("label"))
+
+
+def _verdicts(scored: DataFrame, threshold: float) -> DataFrame:
+    held = F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op4_quality_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train_model(docs, _training_labels(spark, sf_dir, "quality"))
+    return _verdicts(quality.score_quality(docs, model), quality.THRESHOLD)
+
+
+def op8_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train_model(docs, _training_labels(spark, sf_dir, "toxic"))
+    return _verdicts(toxicity.score_toxicity(docs, model), toxicity.THRESHOLD)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train_model(docs.where(_fold(3) != 1))
+    held = F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out")
+    return language.predict_language(docs, model).select("doc_id", held, "lang_pred", "score")
+
+
 def op5_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups(table(spark, sf_dir, "documents"))
 
@@ -41,7 +80,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_pareto_mixing": op1_pareto_mixing,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_epsilon_grid_join": op3_epsilon_grid_join,
+    "op4_quality_boosted_trees": op4_quality_boosted_trees,
     "op5_simhash_pigeonring": op5_simhash_pigeonring,
+    "op8_counterfactual_toxicity": op8_counterfactual_toxicity,
+    "op9_language_id": op9_language_id,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
