@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from kelpline.llm.common import bounded_sample, map_texts, stage
 
 TRAIN_ROWS = 20_000  # labelled rows that the model is fitted on, about, at most
-VOCABULARY = 4096
+VOCABULARY = 1000
 LEAST_DOCS = 3  # a feature is known from so many training documents at least
 BEGINNING = 5  # characters of a word's beginning that make a feature of their own
-L2, FAIRNESS, STEPS, RATE = 2e-4, 5.0, 300, 0.05
+L2, FAIRNESS, POSITIVE, STEPS, RATE = 2e-4, 5.0, 3.0, 300, 0.05
 THRESHOLD = 0.5
 
 #: Mentions of groups, which say nothing of a text's tone.
@@ -95,8 +95,8 @@ def vocabulary(train: DataFrame, size: int = VOCABULARY) -> list[bytes]:
     return list(dict.fromkeys([bytes(r.feature) for r in best.collect()] + [t.encode() for t in IDENTITY_TERMS]))
 
 
-def fit(rows: list[list[int]], labels: np.ndarray, names: list[bytes], fairness: float = FAIRNESS) -> ToxicityModel:
-    """Adam on the mean loss + L2 + fairness * mean squared change of the score's logit under swaps.
+def fit(rows: list[list[int]], labels: np.ndarray, names: list[bytes], fairness: float = FAIRNESS, positive: float = POSITIVE) -> ToxicityModel:
+    """Adam on the mean loss (toxic rows weighing `positive`) + L2 + fairness * mean squared change of the score's logit under swaps.
 
     Of a swap of one identity term a for b the logit changes by w[a] - w[b]; for a term left
     out by w[a].  The penalty weighs the terms by how many training rows mention them, one
@@ -113,10 +113,11 @@ def fit(rows: list[list[int]], labels: np.ndarray, names: list[bytes], fairness:
     mentions = np.bincount(at, minlength=size)[terms] + 1.0
     mentions /= mentions.sum()
     w, b = np.zeros(size), math.log(y.mean() / (1 - y.mean()))
+    weight = np.where(y == 1, positive, 1.0)
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, STEPS + 1):
         z = b + np.bincount(row, w[at], n)
-        gap = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / n
+        gap = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * weight / n
         g = np.bincount(at, gap[row], size) + 2 * L2 * w
         if len(terms):
             own = w[terms]
