@@ -12,6 +12,7 @@ from kelpline.llm.common import table
 from kelpline.llm.exact_dedup import exact_dedup
 from kelpline.llm.mixing import mix_report
 from kelpline.llm.packing import pack
+from kelpline.llm.pii import replace_private
 from kelpline.llm.simhash import near_dups
 from kelpline.llm.vectors import near_vectors
 
@@ -50,6 +51,10 @@ def _verdicts(scored: DataFrame, threshold: float) -> DataFrame:
     return scored.select("doc_id", held, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_private(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train_model(docs, _training_labels(spark, sf_dir, "quality"))
@@ -83,6 +88,7 @@ QUERIES: dict[str, Query] = {
     "op3_epsilon_grid_join": op3_epsilon_grid_join,
     "op4_quality_boosted_trees": op4_quality_boosted_trees,
     "op5_simhash_pigeonring": op5_simhash_pigeonring,
+    "op6_surrogates": op6_surrogates,
     "op8_counterfactual_toxicity": op8_counterfactual_toxicity,
     "op9_language_id": op9_language_id,
     "op10_best_fit_packing": op10_best_fit_packing,
