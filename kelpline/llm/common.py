@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +20,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 TEXT_ROWS = 512
 
 
+def visible(spark: SparkSession) -> None:
+    """Lets Python workers of this machine import the package from where the driver did."""
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    visible(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,6 +52,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     came before, and gives the planner true sizes to choose joins by.
     """
     spark = df.sparkSession
+    visible(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -62,6 +74,7 @@ def map_texts(
 ) -> DataFrame:
     """mapInArrow over (columns..., text as UTF-8 bytes), in batches of few rows."""
     spark = docs.sparkSession
+    visible(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
     picked = docs.select(*columns, F.col("text").cast("binary").alias("text"))
     return picked.mapInArrow(fn, schema)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.llm.common import map_texts, small, stage
+from kelpline.llm.common import SPACE, map_texts, small, stage
 
 MEAN_BITS = 10  # a cut on average every 1024 bytes after the least size
 LEAST, MOST = 256, 8192
@@ -165,3 +165,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", bits: int = 64) -> Data
         "n_bytes",
         F.size("recipe").alias("n_chunks"),
     )
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs without the rows that exact_dedup does not keep; the columns stay.
+
+    The ids of those rows are broadcast if they are few, and shuffled with the texts otherwise.
+    """
+    columns = docs.columns
+    lost = exact_dedup(docs, id_col).where(~F.col("kept"))
+    # A lost row whose id is the kept row's repeats it: of those rows one is to stay.
+    lost = stage(lost.select(F.col("doc_id").alias("l_id"), F.col("text_sha256").alias("l_sha"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("l_repeat")).distinct(), "lost")
+    sha = F.sha2(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), SPACE, " "), 256)
+    keyed = docs.withColumn("l_key", F.col(id_col).cast("long")).withColumn("l_text", sha)
+    both = keyed.join(small(lost), F.col("l_key").eqNullSafe(F.col("l_id")) & (F.col("l_text") == F.col("l_sha")), "left")
+    if lost.where("l_repeat").isEmpty():
+        return both.where("l_sha is null").select(*columns)
+    repeats = both.where("l_repeat").dropDuplicates(["l_key", "l_text"])
+    return both.where("l_sha is null").unionByName(repeats).select(*columns)

@@ -14,6 +14,7 @@ from kelpline.llm.mixing import mix_report
 from kelpline.llm.packing import pack
 from kelpline.llm.pii import replace_private
 from kelpline.llm.simhash import near_dups
+from kelpline.llm.suffixes import remove_repeats
 from kelpline.llm.vectors import near_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,7 +43,7 @@ def _fold(parts: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts))
 
 
-def _training_labels(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
+def training_labels(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
     return table(spark, sf_dir, "labels").where(_fold(5) != 0).select("doc_id", F.col(column).alias("label"))
 
 
@@ -57,13 +58,13 @@ def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = quality.train_model(docs, _training_labels(spark, sf_dir, "quality"))
+    model = quality.train_model(docs, training_labels(spark, sf_dir, "quality"))
     return _verdicts(quality.score_quality(docs, model), quality.THRESHOLD)
 
 
 def op8_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.train_model(docs, _training_labels(spark, sf_dir, "toxic"))
+    model = toxicity.train_model(docs, training_labels(spark, sf_dir, "toxic"))
     return _verdicts(toxicity.score_toxicity(docs, model), toxicity.THRESHOLD)
 
 
@@ -78,6 +79,10 @@ def op5_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups(table(spark, sf_dir, "documents"))
 
 
+def op7_bucket_pointer_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -89,6 +94,7 @@ QUERIES: dict[str, Query] = {
     "op4_quality_boosted_trees": op4_quality_boosted_trees,
     "op5_simhash_pigeonring": op5_simhash_pigeonring,
     "op6_surrogates": op6_surrogates,
+    "op7_bucket_pointer_repeats": op7_bucket_pointer_repeats,
     "op8_counterfactual_toxicity": op8_counterfactual_toxicity,
     "op9_language_id": op9_language_id,
     "op10_best_fit_packing": op10_best_fit_packing,

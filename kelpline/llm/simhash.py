@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.llm.common import map_texts, stage
+from kelpline.llm.common import map_texts, small, stage
 from kelpline.llm.graph import components
 
 SHINGLE, RADIUS, SEGMENTS, SEED = 3, 2, 5, 42
@@ -121,3 +121,15 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", shingle: int = SHINGLE, r
     return own.join(labels, F.col("fp") == F.col("l_fp")).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def without_near_dups(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+    """docs with one document of each component: that of the smallest id; the columns stay.
+
+    Rows of one id count as one document.  Where a component has null ids only, its rows stay.
+    """
+    found = near_dups(docs, id_col, **how)
+    lost = found.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    lost = stage(lost.select(F.col("doc_id").alias("l_id")).distinct(), "lost")
+    alike = F.col(id_col).cast("long").eqNullSafe(F.col("l_id"))
+    return docs.join(small(lost), alike, "left_anti")

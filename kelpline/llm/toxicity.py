@@ -17,11 +17,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.llm.common import bounded_sample, map_texts, stage
+from kelpline.llm.common import TEXT_ROWS, bounded_sample, map_texts, stage, visible
 
 TRAIN_ROWS = 20_000  # labelled rows that the model is fitted on, about, at most
 VOCABULARY = 1000
@@ -158,12 +159,12 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows whose score is under the threshold, with all their columns as they were."""
-    columns = docs.columns
-    rest = [c for c in columns if c != "text"]
-    kinds = ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in rest)
-    scored = map_texts(
-        docs.withColumn("text_null", F.col("text").isNull()), [*rest, "text_null"], _scores(model), f"{kinds}{', ' if kinds else ''}text_null boolean, text binary, score double"
-    )
-    text = F.when(~F.col("text_null"), F.col("text").cast("string")).alias("text")
-    return scored.where(F.col("score") < threshold).select(*[text if c == "text" else F.col(f"`{c}`") for c in columns])
+    """The rows whose score is under the threshold, as they were; a null text scores as the empty one."""
+    visible(docs.sparkSession)
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: model.score(t or b""))
+
+    return docs.where(score(F.coalesce(F.col("text"), F.lit("")).cast("binary")) < threshold)
