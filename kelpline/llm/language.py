@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from kelpline.llm.common import bounded_sample, map_texts, stage
 
-TRAIN_ROWS = 6_000  # rows that the model is fitted on, about, at most
+TRAIN_ROWS = 3_000  # rows that the model is fitted on, about, at most
 BINS = 1 << 14
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 1e-3, 1e-3, 3
 UNKNOWN = "und"
