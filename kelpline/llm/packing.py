@@ -38,6 +38,22 @@ KNOWN_WORDS = 1_000_000
 _known: dict[bytes, bytes] = {}
 
 
+SIGNS = b".,;:!?%&$#*"
+
+
+def encode_words(words: list[bytes], tok, at_once: int = 2000) -> list[bytes]:
+    """Each word's ids; many words are encoded as one text, and cut where the words end."""
+    out: list[bytes] = []
+    for k in range(0, len(words), at_once):
+        text = b" ".join(words[k : k + at_once]).decode("utf-8", "replace")
+        ends = np.cumsum([len(w) + 1 for w in text.split(" ")])
+        found = tok.encode(text, add_special_tokens=False)
+        ids = np.array(found.ids, "<u4").tobytes()
+        cuts = (4 * np.searchsorted([o[0] for o in found.offsets], ends)).tolist() if found.ids else [0] * len(ends)
+        out += [ids[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+    return out
+
+
 def token_bytes(texts: list[bytes], tok) -> list[bytes]:
     """Each text's ids, little-endian unsigned 32-bit.
 
@@ -46,12 +62,17 @@ def token_bytes(texts: list[bytes], tok) -> list[bytes]:
     before.  Texts that may hold a special token's string are encoded as they are.
     """
     words = [None if b"<|" in t else t.lower().split() for t in texts]
-    fresh = list({w for own in words if own for w in own if w not in _known})
+    used = set().union(*[own for own in words if own])
+    fresh = used.difference(_known)
     if len(_known) + len(fresh) > KNOWN_WORDS:
         _known.clear()
-        fresh = list({w for own in words if own for w in own})
-    for w, e in zip(fresh, tok.encode_batch_fast([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False), strict=True):
-        _known[w] = np.array(e.ids, "<u4").tobytes()
+        fresh = used
+    # A run of closing signs after an ASCII letter or digit is a token of its own.
+    stems = {w: w.rstrip(SIGNS) for w in fresh}
+    cut = {w: stem for w, stem in stems.items() if len(stem) < len(w) and stem[-1:].isalnum()}
+    whole = (fresh - cut.keys()).union(cut.values(), [w[len(stem) :] for w, stem in cut.items()]).difference(_known)
+    _known.update(zip(whole, encode_words(list(whole), tok), strict=True))
+    _known.update({w: _known[stem] + _known[w[len(stem) :]] for w, stem in cut.items()})
     return [
         b"".join(map(_known.__getitem__, own)) if own is not None
         else np.array(tok.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
