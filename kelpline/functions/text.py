@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space as browsers see it; Java's \s lacks the no-break space and the byte order mark.
 SPACE = r"[\s\x{00A0}\x{FEFF}]+"
@@ -44,7 +45,7 @@ def html_to_text(c: Column | str) -> Column:
     return collapse(decode_entities(out))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_unescape(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """All named and numeric references; for texts where decode_entities is not enough."""
     import html
@@ -53,7 +54,7 @@ def html_unescape(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda x: None if x is None else html.unescape(x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Unicode compatibility composition, which Spark has no function for."""
     import unicodedata
@@ -62,7 +63,7 @@ def nfkc(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def repair_mojibake(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """UTF-8 that was read as Latin-1: read anew if it has such a mark and the result is valid."""
 
@@ -78,7 +79,7 @@ def repair_mojibake(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_euc_kr(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Bodies in a charset that Spark's decode does not have; bad bytes become U+FFFD."""
     for s in it:

@@ -33,7 +33,7 @@ def blocking_pairs(df: DataFrame, row_id: str, block: Sequence[Column], conditio
     keyed = df.withColumn("_block", F.xxhash64(*block)).where(~_any_null(block))
     sizes = keyed.groupBy("_block").agg(F.count("*").alias("_n"))
     over = F.raise_error(F.concat(F.lit("a block has too many rows: "), F.col("_n").cast("string")))
-    ok = sizes.where(F.col("_n") > 1).withColumn("_n", F.when(F.col("_n") > most, over).otherwise(F.col("_n")))
+    ok = sizes.where(F.when(F.col("_n") > most, over.cast("boolean")).otherwise(F.col("_n") > 1))
     full = keyed.join(ok, "_block")
     a, b = full.alias("l"), full.alias("r")
     on = (F.col("l._block") == F.col("r._block")) & (F.col(f"l.{row_id}") < F.col(f"r.{row_id}")) & condition("l", "r")
