@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("listing", "matching", "texts", "history", "landed", "streams")
+MODULES = ("listing", "matching", "texts", "history", "landed", "streams", "evidence")
 
 
 def registry() -> tuple[dict, dict]:
