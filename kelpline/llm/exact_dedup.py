@@ -60,7 +60,7 @@ def chunk_ends(size: int, allowed: np.ndarray) -> list[int]:
 
 def chunks(text: bytes) -> list[bytes]:
     ends = chunk_ends(len(text), cuts(np.frombuffer(text, np.uint8)) if len(text) > LEAST else np.empty(0, int))
-    return [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def _recipes(bits: int):

@@ -69,12 +69,14 @@ class QualityModel:
         return np.stack([np.searchsorted(e, x[:, k], side="left") for k, e in enumerate(self.edges)], axis=1)
 
     def score(self, x: np.ndarray) -> np.ndarray:
+        if not len(self.leaf):
+            return np.full(len(x), 1 / (1 + np.exp(-self.base)))
         b, rows = self.binned(x), np.arange(len(x))[:, None]
         trees, inner = np.arange(len(self.leaf))[None, :], self.feature.shape[1]
         at = np.zeros((len(x), len(self.leaf)), np.int64)
-        while len(self.leaf) and len(x) and at[0, 0] < inner:
+        while len(x) and at[0, 0] < inner:
             at = 2 * at + 1 + (b[rows, self.feature[trees, at]] > self.split[trees, at])
-        z = self.base + (self.leaf[trees, at - inner].sum(axis=1) if len(self.leaf) else 0.0)
+        z = self.base + self.leaf[trees, at - inner].sum(axis=1)
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
