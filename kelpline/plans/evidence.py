@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpline.operators import evidence as ev
+from kelpline.operators import normalise as nm
 from kelpline.operators.joins import upsert
 from kelpline.sources.tables import table
 
@@ -102,9 +103,40 @@ def feed_order(spark: SparkSession, sf: str) -> DataFrame:
     return upsert(o, manual, "o_orderkey").orderBy(F.desc("o_totalprice"), F.desc("day"), "o_orderkey").limit(60)
 
 
+PROFILE = nm.Profile(
+    categories=[("licensed", ["license", "creative commons"]), ("secret", ["token"]), ("french", ["les", "une"])],
+    open_to=[("wide", ["of the", "for the"]), ("some", ["that"])],
+    closed_to=["idiot", "moron"],
+    requirements=[nm.Requirement("of_the", "(^| )of( |$)", "(^| )the( |$)", cap=60), nm.Requirement("worthless", "worthless", hard=True, cap=30)],
+    weights=[("category", 40), ("eligible", 35), ("official", 15), ("remote", 20)],
+    official=["src1", "src2"],
+)
+
+
+def listing_projection(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as postings through the whole projection: what comes out by category, eligibility and requirement."""
+    raw = table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), "source", F.lit("Posting").alias("title"), F.lit("Acme, Inc.").alias("company"), F.lit(None).cast("string").alias("location"),
+        (F.col("doc_id") % 2 == 0).alias("remote"), F.lit(None).cast("string").alias("salary"), F.concat(F.lit("https://e.example.com/j?id="), F.col("doc_id").cast("string")).alias("url"),
+        F.lit("2026-01-20").alias("posted"), F.col("text").alias("description"),
+    )
+    out = nm.normalise(raw, PROFILE, F.lit("2026-01-31"))
+    return out.groupBy("category", "eligibility", "requirement_status", "status").agg(F.count("*").alias("n"), F.sum("score").alias("score"), F.countDistinct("listing_id").alias("ids"))
+
+
+def address_slots(spark: SparkSession, sf: str) -> DataFrame:
+    raw = F.concat(F.lit("Main Street "), (F.col("c_custkey") % 90).cast("string"), F.when(F.col("c_custkey") % 2 == 0, ", 12345 ").otherwise(", "), F.when(F.col("c_custkey") % 5 == 0, "77").otherwise("Old Town"))
+    return table(spark, sf, "customer").select(nm.address_parts(raw).alias("a")).groupBy("a.street", "a.postcode", "a.city").agg(F.count("*").alias("n"), F.countDistinct("a.number").alias("numbers"))
+
+
+def label_translation(spark: SparkSession, sf: str) -> DataFrame:
+    t = nm.translate(F.concat("event_type", F.lit(" "), (F.col("user_id") % 3).cast("string")), {"click 0": "Klick keiner"}, [(r"view (\d)", "Ansicht $1"), (r"(\w+) 2", "zwei $1")])
+    return table(spark, sf, "events").groupBy(t.alias("label")).agg(F.count("*").alias("n"))
+
+
 QUERIES = {f.__name__: f for f in (
     slot_extraction, list_items, requirement_context, provenance_conflict, recent_badges, status_labels, schema_adapter, failure_penalty,
-    failed_run_fallback, review_events, filter_migration, conversation_digest, feed_order,
+    failed_run_fallback, review_events, filter_migration, conversation_digest, feed_order, listing_projection, address_slots, label_translation,
 )}
 
 SQL = {
@@ -150,4 +182,22 @@ SQL = {
     "feed_order": """
         SELECT o_orderkey, CASE WHEN o_orderkey % 1000 = 0 THEN 999999.0::DOUBLE ELSE o_totalprice END AS o_totalprice, epoch_ms(o_orderdate) // 1000 AS day
         FROM orders ORDER BY 2 DESC, 3 DESC, 1 LIMIT 60""",
+    "listing_projection": r"""
+        WITH c AS (SELECT *, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(text, '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[\s\x{00A0}\x{FEFF}]+', ' ', 'g')) AS d FROM documents),
+        w AS (SELECT *, lower('Posting ' || chr(10) || ' ' || d) AS t FROM c),
+        p AS (SELECT *, CASE WHEN regexp_matches(t, '(^|[^a-z0-9])(license|creative\s+commons)([^a-z0-9]|$)') THEN 'licensed' WHEN regexp_matches(t, '(^|[^a-z0-9])token([^a-z0-9]|$)') THEN 'secret'
+                    WHEN regexp_matches(t, '(^|[^a-z0-9])(les|une)([^a-z0-9]|$)') THEN 'french' ELSE 'other' END AS category,
+               CASE WHEN regexp_matches(t, '(^|[^a-z0-9])(idiot|moron)([^a-z0-9]|$)') THEN 'restricted' WHEN regexp_matches(t, '(^|[^a-z0-9])(of\s+the|for\s+the)([^a-z0-9]|$)') THEN 'wide'
+                    WHEN regexp_matches(t, '(^|[^a-z0-9])that([^a-z0-9]|$)') THEN 'some' ELSE 'unknown' END AS eligibility,
+               len(list_filter(regexp_split_to_array(t, '[.,;:!?\n]+'), lambda x: regexp_matches(trim(x), '(^| )of( |$)') AND NOT regexp_matches(trim(x), '(^| )the( |$)'))) > 0 AS n1, contains(t, 'worthless') AS n2 FROM w),
+        s AS (SELECT *, CASE WHEN n2 THEN 'hard_check' WHEN n1 THEN 'routine_check' ELSE 'clear' END AS requirement_status, CASE WHEN source IN ('src1', 'src2') THEN 'official_listed' ELSE 'current_feed' END AS status,
+               least(100, CASE WHEN category <> 'other' THEN 40 ELSE 0 END + CASE WHEN eligibility IN ('wide', 'some') THEN 35 ELSE 0 END + CASE WHEN source IN ('src1', 'src2') THEN 15 ELSE 0 END + CASE WHEN doc_id % 2 = 0 THEN 20 ELSE 0 END,
+                     CASE WHEN n1 THEN 60 ELSE 100 END, CASE WHEN n2 THEN 30 ELSE 100 END, CASE WHEN eligibility = 'restricted' THEN 19 ELSE 100 END) AS score FROM p)
+        SELECT category, eligibility, requirement_status, status, count(*) AS n, sum(score)::BIGINT AS score, count(*) AS ids FROM s GROUP BY 1, 2, 3, 4""",
+    "address_slots": """
+        SELECT CASE WHEN c_custkey % 5 <> 0 THEN 'Main Street' END AS street, CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 2 = 0 THEN '12345' END AS postcode,
+               CASE WHEN c_custkey % 5 <> 0 THEN 'Old Town' END AS city, count(*) AS n, count(DISTINCT CASE WHEN c_custkey % 5 <> 0 THEN c_custkey % 90 END) AS numbers FROM customer GROUP BY 1, 2, 3""",
+    "label_translation": r"""
+        WITH t AS (SELECT event_type || ' ' || (user_id % 3) AS t FROM events)
+        SELECT CASE WHEN t = 'click 0' THEN 'Klick keiner' WHEN t LIKE 'view _' THEN 'Ansicht ' || right(t, 1) WHEN t LIKE '% 2' THEN 'zwei ' || split_part(t, ' ', 1) ELSE t END AS label, count(*) AS n FROM t GROUP BY 1""",
 }
