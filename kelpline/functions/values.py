@@ -28,7 +28,7 @@ def parse_amount(c: Column | str) -> Column:
     # With a unit a single comma before one or two digits is a decimal comma.
     number = F.when((unit != "") & number.rlike("^[0-9]+,[0-9]{1,2}$"), F.replace(number, F.lit(","), F.lit("."))).otherwise(F.replace(number, F.lit(","), F.lit("")))
     scale = F.when(unit == "k", 1000.0).when(unit == "m", 1000000.0).otherwise(1.0)
-    return half_up(F.try_cast(number, "double") * scale, 2) if hasattr(F, "try_cast") else half_up(number.try_cast("double") * scale, 2)
+    return half_up(number.try_cast("double") * scale, 2)
 
 
 MONEY = r"(?i)(USD|EUR|GBP|US\$|\$|€|£)\s*([0-9][0-9.,]*[km]?)(?:\s*(?:-|–|to)\s*(?:USD|EUR|GBP|US\$|\$|€|£)?\s*([0-9][0-9.,]*[km]?))?(?:\s*(?:/|per|an?)\s*(hour|day|week|month|year|hr|yr))?"

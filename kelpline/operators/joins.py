@@ -51,20 +51,20 @@ def anti_any(df: DataFrame, row_id: str, keys: Sequence[Column], seen: DataFrame
     return df.join(hit, row_id, "left_anti")
 
 
-def longest_alias(texts: DataFrame, text: str, aliases: DataFrame, name: str, words: int = 3) -> DataFrame:
-    """texts with `name` of the longest alias that occurs as whole words; null if several names tie.
+def longest_alias(texts: DataFrame, row_id: str, text: str, aliases: DataFrame, name: str, words: int = 3) -> DataFrame:
+    """texts (row_id unique) with `name` of the longest alias that occurs as whole words; null if several names tie.
 
     aliases (alias, name).  Word sequences of up to `words` words are looked up by equality, so that
     neither side is multiplied by the other.
     """
     tokens = F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ")
-    t = texts.withColumn("_row", F.monotonically_increasing_id()).withColumn("_words", tokens)
-    each = t.select("_row", F.explode(F.array_distinct(F.concat(*[_grams(k) for k in range(1, words + 1)]))).alias("alias"))
+    t = texts.withColumn("_words", tokens)
+    each = t.select(row_id, F.explode(F.array_distinct(F.concat(*[_grams(k) for k in range(1, words + 1)]))).alias("alias"))
     low = aliases.select(F.lower("alias").alias("alias"), F.col(name).alias("_name")).distinct()
-    hit = each.join(low, "alias").groupBy("_row", F.length("alias").alias("_n")).agg(F.min("_name").alias("lo"), F.max("_name").alias("hi"))
-    best = hit.groupBy("_row").agg(F.max_by(F.struct("lo", "hi"), "_n").alias("b"))
-    best = best.select("_row", F.when(F.col("b.lo") == F.col("b.hi"), F.col("b.lo")).alias(name))
-    return t.join(best, "_row", "left").drop("_row", "_words")
+    hit = each.join(low, "alias").groupBy(row_id, F.length("alias").alias("_n")).agg(F.min("_name").alias("lo"), F.max("_name").alias("hi"))
+    best = hit.groupBy(row_id).agg(F.max_by(F.struct("lo", "hi"), "_n").alias("b"))
+    best = best.select(row_id, F.when(F.col("b.lo") == F.col("b.hi"), F.col("b.lo")).alias(name))
+    return texts.join(best, row_id, "left")
 
 
 def _grams(k: int) -> Column:
@@ -80,15 +80,14 @@ def upsert(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return base.join(changes.select(key), key, "left_anti").unionByName(changes, allowMissingColumns=True)
 
 
-def prefix_join(df: DataFrame, on: str, prefixes: DataFrame, prefix: str, separator: str) -> DataFrame:
+def prefix_join(df: DataFrame, row_id: str, on: str, prefixes: DataFrame, prefix: str, separator: str) -> DataFrame:
     """Left join where df's key equals the prefix or starts with it and the separator.
 
     The part before each separator is a candidate, so this is an equi-join; the longest prefix wins.
     """
     parts = F.split(F.col(on), F.lit(separator if separator.isalnum() else "\\Q" + separator + "\\E"))
     heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), separator))
-    t = df.withColumn("_row", F.monotonically_increasing_id())
-    each = t.select("_row", F.explode(heads).alias(prefix)).join(prefixes, prefix)
+    each = df.select(row_id, F.explode(heads).alias(prefix)).join(prefixes, prefix)
     rest = [c for c in prefixes.columns if c != prefix]
-    best = each.groupBy("_row").agg(F.max_by(F.struct(prefix, *rest), F.length(prefix)).alias("b")).select("_row", "b.*")
-    return t.join(best, "_row", "left").drop("_row")
+    best = each.groupBy(row_id).agg(F.max_by(F.struct(prefix, *rest), F.length(prefix)).alias("b")).select(row_id, "b.*")
+    return df.join(best, row_id, "left")

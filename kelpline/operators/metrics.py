@@ -40,15 +40,13 @@ def reliability(runs: DataFrame, source: str, ok: str, noise: str | None = None,
     noisy runs among the last four successful ones; strong otherwise, mixed with fewer than enough runs.
     """
     good = F.col(ok)
+    newest = F.slice(F.array_sort(F.collect_list(F.when(good, F.struct("back", noise)))), 1, 4) if noise else None
     stats = runs.groupBy(source).agg(
         F.count("*").alias("runs"),
         F.count_if(good).alias("successes"),
         F.coalesce(F.min(F.when(good, F.col("back"))) - 1, F.count("*")).cast("long").alias("streak"),
-        *(
-            [F.size(F.filter(F.slice(F.array_sort(F.collect_list(F.when(good, F.struct("back", noise)))), 1, 4), lambda r: r[noise] >= noisy)).alias("noisy")]
-            if noise else [F.lit(0).alias("noisy")]
-        ),
-    )
+        (F.size(F.filter(newest, lambda r: r[noise] >= noisy)) if noise else F.lit(0)).alias("noisy"),
+    )
     s = rate(F.col("successes"), F.col("runs"))
     tier = (
         F.when(F.col("streak") >= 2, "degraded")

@@ -40,7 +40,7 @@ def prefix_theta_join(spark: SparkSession, sf: str) -> DataFrame:
     """Part types against type families: a family holds for itself and for what starts with it and a space."""
     parts = table(spark, sf, "part")
     families = parts.select(F.split_part("p_type", F.lit(" "), F.lit(1)).alias("family")).distinct().withColumn("note", F.concat(F.lit("family "), "family"))
-    return jn.prefix_join(parts.select("p_partkey", "p_type"), "p_type", families, "family", " ").groupBy("family", "note").agg(F.count("*").alias("n"))
+    return jn.prefix_join(parts.select("p_partkey", "p_type"), "p_partkey", "p_type", families, "family", " ").groupBy("family", "note").agg(F.count("*").alias("n"))
 
 
 def gazetteer_longest_match(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,7 +50,7 @@ def gazetteer_longest_match(spark: SparkSession, sf: str) -> DataFrame:
         "alias string, name string",
     )
     docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
-    return jn.longest_alias(docs, "text", aliases, "name").groupBy("lang", "name").agg(F.count("*").alias("n"))
+    return jn.longest_alias(docs, "doc_id", "text", aliases, "name").groupBy("lang", "name").agg(F.count("*").alias("n"))
 
 
 def upsert_override(spark: SparkSession, sf: str) -> DataFrame:
