@@ -5,7 +5,6 @@ import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from kelpline.llm import pii
 from kelpline.llm.mixing import mix, mix_report
@@ -128,4 +127,3 @@ def test_surrogates_are_distinct_and_new(spark):
 def test_plans_without_python(spark, odd_docs):
     for df in (mix(odd_docs), mix_report(odd_docs), pii.replace_private(odd_docs)):
         assert "Python" not in df._jdf.queryExecution().toString() and "Arrow" not in df._jdf.queryExecution().toString()
-    assert F is not None
