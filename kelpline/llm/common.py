@@ -20,8 +20,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 TEXT_ROWS = 512
 
 
-def visible(spark: SparkSession) -> None:
-    """Lets Python workers of this machine import the package from where the driver did."""
+def prepare(spark: SparkSession) -> None:
+    """Settings for tables of whole texts: few rows at a time in Parquet and Arrow batches, whose
+    memory long texts would otherwise multiply.  Python workers of this machine can import the package from where the driver did."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(TEXT_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
@@ -29,7 +32,7 @@ def visible(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    visible(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -52,7 +55,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     came before, and gives the planner true sizes to choose joins by.
     """
     spark = df.sparkSession
-    visible(spark)
+    prepare(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -73,11 +76,18 @@ def map_texts(
     schema: str,
 ) -> DataFrame:
     """mapInArrow over (columns..., text as UTF-8 bytes), in batches of few rows."""
-    spark = docs.sparkSession
-    visible(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
-    picked = docs.select(*columns, F.col("text").cast("binary").alias("text"))
-    return picked.mapInArrow(fn, schema)
+    prepare(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(as_bytes(b) for b in batches)
+
+    return docs.select(*columns, "text").mapInArrow(run, schema)
+
+
+def as_bytes(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The last column's texts as UTF-8 bytes, without a copy."""
+    texts = batch.column(batch.num_columns - 1)
+    return pa.RecordBatch.from_arrays([*batch.columns[:-1], texts.cast(pa.binary())], names=batch.schema.names)
 
 
 def least_id(id_col: str, row: str | None = None) -> Column:

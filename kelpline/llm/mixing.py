@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelpline.llm.common import WORD, stage
+from kelpline.llm.common import WORD, prepare, stage
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -30,7 +30,8 @@ def words(text: str = "text") -> Column:
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", seed: str = SEED) -> DataFrame:
-    """Adds size (words), class (bits of the size; 0 for no words) and u, uniform in (0, 1) by the id."""
+    """Adds mix_size (words), mix_class (bits of the size; 0 for no words) and mix_u, uniform in (0, 1) by the id."""
+    prepare(docs.sparkSession)
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
     return (
         docs.withColumn("mix_size", words())

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.llm.common import TEXT_ROWS, bounded_sample, map_texts, stage, visible
+from kelpline.llm.common import bounded_sample, map_texts, prepare, stage
 
 TRAIN_ROWS = 20_000  # labelled rows that the model is fitted on, about, at most
 VOCABULARY = 1000
@@ -39,13 +39,14 @@ IDENTITY_TERMS = (
     "elderly", "young", "old", "femmes", "hommes", "frauen", "mujeres", "hombres",
 )
 
+_TERMS = frozenset(t.encode() for t in IDENTITY_TERMS)
 _WORD = re.compile(rb"[a-z\x80-\xff]+")
 
 
 def features(text: bytes) -> set[bytes]:
-    """Distinct lower-case words, and beginnings of longer words with a star."""
+    """Distinct lower-case words, and beginnings of longer words with a star, but of no identity terms."""
     words = set(_WORD.findall(text.lower()))
-    return words | {b"%b*" % w[:BEGINNING] for w in words if len(w) > BEGINNING}
+    return words | {b"%b*" % w[:BEGINNING] for w in words - _TERMS if len(w) > BEGINNING}
 
 
 @dataclass(frozen=True)
@@ -146,8 +147,8 @@ def train_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", rows
 def _scores(model: ToxicityModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = [model.score(t or b"") for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, "score"])
+            score = [model.score(t or b"") for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], ["doc_id", "score"])
 
     return run
 
@@ -155,16 +156,15 @@ def _scores(model: ToxicityModel):
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id") -> DataFrame:
     """docs -> (doc_id, score): 0 to 1, higher is likelier toxic; null scores as the empty text."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), "text")
-    return map_texts(own, ["doc_id"], _scores(model), "doc_id long, text binary, score double").drop("text")
+    return map_texts(own, ["doc_id"], _scores(model), "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
     """The rows whose score is under the threshold, as they were; a null text scores as the empty one."""
-    visible(docs.sparkSession)
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    prepare(docs.sparkSession)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: model.score(t or b""))
+        return texts.map(lambda t: model.score((t or "").encode("utf-8", "replace")))
 
-    return docs.where(score(F.coalesce(F.col("text"), F.lit("")).cast("binary")) < threshold)
+    return docs.where(score(F.coalesce(F.col("text"), F.lit(""))) < threshold)
