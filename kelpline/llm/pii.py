@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.llm.common import drop_staged, stage
+from kelpline.llm.common import drop_staged, prepare, stage
 
 KEY = "surrogates-1"
 DRAWS = 64
@@ -37,23 +37,50 @@ _F_CYRILLIC, _M_CYRILLIC = r"[Гг]оспожа", r"[Гг]осподин"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _SECRET = r"(?:token|secret|api[_-]?key|password|passwd)"
 _MARK = r"[\p{L}\p{N}._%+-]"
-#: kind -> pattern with one group; the first that matches at a place wins.
-KINDS: dict[str, str] = {
-    "email": rf"(?<!{_MARK})([\p{{L}}\p{{N}}]{_MARK}{{0,80}}+@[A-Za-z0-9][A-Za-z0-9-]{{0,62}}(?:\.[A-Za-z0-9-]{{1,62}}){{0,5}}\.[A-Za-z]{{2,24}})",
-    "secret": rf"(?<=(?i:{_SECRET} {{0,2}}[=:] {{0,2}}[\"']))([A-Za-z0-9_+/=.-]{{8,256}}+)",
-    "ip": rf"(?<![0-9.])((?:{_OCTET}\.){{3}}{_OCTET})(?![0-9]|\.[0-9])",
-    "card": r"(?<![0-9])((?:[0-9]{4}[ -]?){3}[0-9]{4})(?![0-9])",
-    "ssn": r"(?<![0-9-])([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])",
-    "phone": r"(?<![0-9+])((?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4})(?![0-9])",
-    "female_cyrillic": rf"(?<={_F_CYRILLIC} )({_NAME})",
-    "male_cyrillic": rf"(?<={_M_CYRILLIC} )({_NAME})",
-    "female": rf"(?<=\b(?:{_F})\.? )({_NAME})",
-    "male": rf"(?<=\b(?:{_M})\.? )({_NAME})",
+_CARD, _SSN = r"(?:[0-9]{4}[ -]?){3}[0-9]{4}", r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
+_PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}"
+#: kind -> (what comes before it, the entity itself, what may not follow); the first that matches at a place wins.
+KINDS: dict[str, tuple[str, str, str]] = {
+    "email": (rf"(?<!{_MARK})", rf"[\p{{L}}\p{{N}}]{_MARK}{{0,80}}+@[A-Za-z0-9][A-Za-z0-9-]{{0,62}}(?:\.[A-Za-z0-9-]{{1,62}}){{0,5}}\.[A-Za-z]{{2,24}}", ""),
+    "secret": (rf"(?<=(?i:{_SECRET} {{0,2}}[=:] {{0,2}}[\"']))", r"[A-Za-z0-9_+/=.-]{8,256}+", ""),
+    "ip": (r"(?<![0-9.])", rf"(?:{_OCTET}\.){{3}}{_OCTET}", r"(?![0-9]|\.[0-9])"),
+    "card": (r"(?<![0-9])", _CARD, r"(?![0-9])"),
+    "ssn": (r"(?<![0-9-])", _SSN, r"(?![0-9-])"),
+    "phone": (r"(?<![0-9+])", _PHONE, r"(?![0-9])"),
+    "female_cyrillic": (rf"(?<={_F_CYRILLIC} )", _NAME, ""),
+    "male_cyrillic": (rf"(?<={_M_CYRILLIC} )", _NAME, ""),
+    "female": (rf"(?<=\b(?:{_F})\.? )", _NAME, ""),
+    "male": (rf"(?<=\b(?:{_M})\.? )", _NAME, ""),
 }
 NUMBERS = ("card", "ssn", "phone")
-ANY = "|".join(KINDS.values())
-#: A quick look: a text without a match of this holds no entity.
-HINT = rf"@|[0-9]{{3}}[ -]?[0-9]|[0-9]{{2}}[0-9)][ .-]?[0-9]|[0-9]\.[0-9]{{1,3}}\.[0-9]|(?i:{_SECRET}) {{0,2}}[=:]|\b(?:{_F}|{_M}|{_F_CYRILLIC}|{_M_CYRILLIC})\.? \p{{Lu}}"
+ANY = "|".join(before + own + after for before, own, after in KINDS.values())
+#: Characters and words without one of which a text holds no entity.
+MARKS = ("@", "=", ":", *f"{_F}|{_M}".split("|"), _F_CYRILLIC[4:], _M_CYRILLIC[4:])
+
+
+def may_hold() -> Column:
+    """A cheap look at a text: plain searches and one for digits."""
+    out = F.col("text").rlike("[0-9]")
+    for mark in MARKS:
+        out = out | F.contains("text", F.lit(mark))
+    return F.coalesce(out, F.lit(False))
+
+
+def kind_of(entity: Column, before: Column) -> Column:
+    """The kind of a mention, from itself or from the end of what stands before it."""
+    after = lambda pattern: before.rlike(f"{pattern}$")
+    return (
+        F.when(F.contains(entity, F.lit("@")), "email")
+        .when(after(rf"(?i:{_SECRET} {{0,2}}[=:] {{0,2}}[\"'])"), "secret")
+        .when(entity.rlike(rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"), "ip")
+        .when(entity.rlike(f"^{_CARD}$"), "card")
+        .when(entity.rlike(f"^{_SSN}$"), "ssn")
+        .when(entity.rlike(f"^{_PHONE}$"), "phone")
+        .when(after(f"{_F_CYRILLIC} "), "female_cyrillic")
+        .when(after(f"{_M_CYRILLIC} "), "male_cyrillic")
+        .when(after(rf"\b(?:{_F})\.? "), "female")
+        .otherwise("male")
+    )
 
 
 def canonical(kind: Column, entity: Column) -> Column:
@@ -159,28 +186,26 @@ def replace_private(docs: DataFrame, id_col: str = "doc_id", key: str = KEY) ->
     Null texts stay null and empty ones empty; ids may be null or repeat, each row is treated by
     itself; an empty table gives an empty result.  Texts without entities are as they were.
     """
+    prepare(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("doc_id"), "text")
-    hinted = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
-    mentions = F.when(hinted, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    seen = stage(base.withColumn("mentions", mentions).where(F.size("mentions") > 0).withColumn("row", F.monotonically_increasing_id()), "private")
-    groups = F.array(*[F.regexp_extract_all("text", F.lit(ANY), F.lit(k)) for k in range(1, len(KINDS) + 1)])
-    names = F.array(*[F.lit(k) for k in KINDS])
-    kinds = F.transform(
-        F.col("mentions"), lambda m, i: F.element_at(names, F.array_position(F.transform(F.col("groups"), lambda g: F.coalesce(F.get(g, i), F.lit("")) != ""), True).cast("int"))
-    )
-    seen = stage(seen.withColumn("groups", groups).withColumn("kinds", kinds).select("doc_id", "row", "text", "mentions", "kinds"), "private-kinds")
+    held = base.where(may_hold()).withColumn("row", F.monotonically_increasing_id())
+    held = stage(held.withColumn("mentions", F.regexp_extract_all("text", F.lit(ANY), F.lit(0))), "private")
+    pieces = F.split("text", ANY, -1)
+    kinds = F.transform("mentions", lambda m, i: kind_of(m, F.right(F.get(F.col("pieces"), i), F.lit(32))))
+    seen = held.where(F.size("mentions") > 0).withColumn("pieces", pieces).withColumn("kinds", kinds)
+    seen = stage(seen.select("doc_id", "row", "pieces", "mentions", "kinds"), "private-kinds")
     each = seen.select("row", F.explode(F.arrays_zip("mentions", "kinds")).alias("m")).select("row", F.col("m.mentions").alias("entity"), F.col("m.kinds").alias("kind"))
     each = each.distinct().withColumn("canon", canonical(F.col("kind"), F.col("entity")))
     entities = stage(each.select("kind", "canon").distinct(), "entities")
     given = draw_surrogates(entities, key)
     new = each.join(given, ["kind", "canon"]).withColumn("new", rendered(F.col("kind"), F.col("entity"), F.col("surrogate")))
     maps = new.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "entity"), "new"))).alias("news"))
-    pieces = F.split("text", ANY, -1)
     fresh = F.zip_with("mentions", "kinds", lambda m, k: F.element_at(F.col("news"), F.concat_ws("\x1f", k, m)))
-    masked = F.array_join(F.zip_with(pieces, F.concat(fresh, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    masked = F.array_join(F.zip_with("pieces", F.concat(fresh, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     counts = [F.size(F.array_compact(F.transform("kinds", _only(kind)))).alias(f"n_{kind}") for kind in KINDS]
     changed = seen.join(maps, "row").select("doc_id", masked.alias("text"), F.size("mentions").alias("n_entities"), *counts)
     none = [F.lit(0).alias(f"n_{kind}") for kind in KINDS]
-    # The rows without entities come from the input again, not through a shuffle.
-    clean = base.where(F.size(mentions) == 0).select("doc_id", "text", F.lit(0).alias("n_entities"), *none)
-    return changed.unionByName(clean)
+    # The rows without entities are not shuffled: those that were looked into, and those that need not be.
+    looked = held.where(F.size("mentions") == 0).select("doc_id", "text", F.lit(0).alias("n_entities"), *none)
+    clean = base.where(~may_hold()).select("doc_id", "text", F.lit(0).alias("n_entities"), *none)
+    return changed.unionByName(looked).unionByName(clean)

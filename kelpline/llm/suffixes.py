@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.llm.common import stage
+from kelpline.llm.common import prepare, stage
 
 SPAN, Q = 50, 20
 BUCKET_BYTES = 8 << 20  # text in a bucket, about
@@ -104,7 +104,7 @@ class Runs:
         begin = np.cumsum(size) - size
         at = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())  # windows inside texts
         text = np.repeat(np.arange(len(texts)), count)
-        value = least[at]
+        value = _mix(least[at])  # the least of many are small numbers; their ranges should be even
         new = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (text[1:] != text[:-1])])
         last = np.r_[new[1:], len(value)] - 1
         lo, hi = at[new], at[last]
@@ -193,7 +193,7 @@ def _send(bucket: int, value: np.ndarray, parts: int, *columns: Callable[[slice]
     """A row for each range of sorted values, with the bytes of each column."""
     part = _part_of(value, parts)
     cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.empty(0, np.int64)
-    ends = np.r_[cut[1:], len(part)]
+    ends = np.r_[cut[1:], len(part)] if len(part) else cut
     out = [[c(slice(a, b)) for a, b in zip(cut, ends, strict=True)] for c in columns]
     return pa.table(
         [pa.array(part[cut], pa.int32()), pa.array(np.full(len(cut), bucket), pa.int32()), *[pa.array(c, pa.binary()) for c in out]],
@@ -286,6 +286,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", bucket_bytes: int =
     SPAN bytes stays.  A worker holds a bucket, or the longest text, about 100 times its batch.
     """
     spark = docs.sparkSession
+    prepare(spark)
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("ord"), F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")).alias("text"))
     digests = stage(base.select("ord", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("sha")), "digests")
     total = digests.agg(F.sum("n_bytes")).first()[0] or 0

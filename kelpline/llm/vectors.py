@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.llm.common import bounded_sample, stage
+from kelpline.llm.common import bounded_sample, prepare, stage
 from kelpline.llm.graph import components
 
 COSINE = 0.93
@@ -48,40 +48,44 @@ def principal_directions(vectors: DataFrame, rows: int = FIT_ROWS) -> dict[int,
     return out
 
 
+def _leading(vectors, directions: dict[int, np.ndarray]) -> list[np.ndarray]:
+    """Each vector's coordinates in the leading directions; a length that the sample lacks is not
+    rotated, which changes no distance either."""
+    sizes = np.array([len(v) for v in vectors])
+    out: list = [None] * len(sizes)
+    for size in set(sizes.tolist()):
+        at = np.flatnonzero(sizes == size)
+        u = _unit([vectors[i] for i in at])
+        d = directions.get(size)
+        for i, row in zip(at, u[:, :LEADING] if d is None else u @ d[:, :LEADING], strict=True):
+            out[i] = row
+    return out
+
+
 def _cells(directions: dict[int, np.ndarray], epsilon: float):
     def run(batches):
         for batch in batches:
-            vectors = batch.column("vec").to_pylist()
-            cells = []
-            for v in vectors:
-                if len(v) not in directions:  # not in the sample: any rotation will do
-                    directions[len(v)] = np.eye(len(v))
-                cells.append(np.floor((_unit([v])[0] @ directions[len(v)][:, :LEADING]) / epsilon).astype(np.int64).tolist())
+            lead = _leading(batch.column("vec").to_pylist(), directions)
+            cells = [np.floor(x / epsilon).astype(np.int64) for x in lead]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int64()))], [*batch.schema.names, "cells"])
 
     return run
 
 
 def _cut_blocks(directions: dict[int, np.ndarray], block: int):
-    """Numbers the blocks of a sorted partition and gives each its box; vectors stay in order."""
+    """Numbers the blocks of a sorted partition and gives each vector its leading coordinates; the order stays."""
 
     def run(frames):
         last, number, room = None, -1, 0
         for f in frames:
-            keys = list(zip(f["label"], f["dims"], strict=True))
             ids = np.empty(len(f), np.int64)
-            for i, key in enumerate(keys):
+            for i, key in enumerate(zip(f["label"], f["dims"], strict=True)):
                 if key != last or not room:
                     last, number, room = key, number + 1, block
                 room -= 1
                 ids[i] = number
             f["nth"] = ids
-            lead = []
-            for v in f["vec"]:
-                d = directions.get(len(v))
-                u = _unit([v])[0]
-                lead.append((u @ d if d is not None else u)[:LEADING])
-            f["lead"] = lead
+            f["lead"] = _leading(f["vec"].tolist(), directions)
             yield f[["rep", "n", "label", "dims", "vec", "nth", "lead"]]
 
     return run
@@ -173,8 +177,7 @@ def near_vectors(
     that links reach, the own one included.  A null id links with nothing and has a null component.
     Rows that repeat an id count as several vectors.
     """
-    spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
+    prepare(vectors.sparkSession)
     base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("vec"))
     good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("vec") > 0)
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
