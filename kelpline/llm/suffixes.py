@@ -34,6 +34,8 @@ from kelpline.llm.common import prepare, stage
 
 SPAN, Q = 50, 20
 BUCKET_BYTES = 8 << 20  # text in a bucket, about
+#: Files and tasks of the bucketed table at most, within Spark's bound on them; beyond it a task takes several buckets in turn.
+MOST_FILES = 50_000
 _BATCH_BYTES = 1 << 20
 _RNG = np.random.default_rng(5)
 _CODE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
@@ -296,10 +298,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", bucket_bytes: int =
     copies = stage(copies.select("ord", "n_bytes", "sha"), "copies")
 
     bucket = F.pmod(F.xxhash64("ord"), F.lit(parts)).cast("int").alias("bucket")
-    name = f"kelpline_texts_{uuid.uuid4().hex}"
+    name, files = f"kelpline_texts_{uuid.uuid4().hex}", min(parts, MOST_FILES)
     (
-        base.select(bucket, "ord", "text").repartition(parts, "bucket").write.option("compression", "zstd")
-        .bucketBy(parts, "bucket").sortBy("bucket").saveAsTable(name)
+        base.select(bucket, "ord", "text").repartition(files, "bucket").write.option("compression", "zstd")
+        .bucketBy(files, "bucket").sortBy("bucket").saveAsTable(name)
     )
     texts = spark.table(name)
     # A null id's ord, -1 and the like have their bytes as Python packs them in copy_key.
