@@ -166,4 +166,27 @@ SQL: dict[str, str] = {
                doc_id = min(doc_id) OVER same AS kept, sha256(t) AS text_sha256
         FROM norm WINDOW same AS (PARTITION BY t)
     """,
+    "op3_epsilon_grid_join": r"""
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+        ), good AS (
+            SELECT * FROM v
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0 AND list_count(e) = len(e)
+              AND isfinite(list_max(e)) AND isfinite(list_min(e)) AND (list_max(e) > 0 OR list_min(e) < 0)
+        ), pairs AS (
+            SELECT a.vec_id AS a, b.vec_id AS b
+            FROM good a JOIN good b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+            WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) END >= 0.93
+        ), reach AS (
+            SELECT vec_id AS a, vec_id AS b FROM v
+            UNION
+            SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a
+        ), component AS (
+            SELECT a, min(b) AS c FROM reach GROUP BY a
+        ), links AS (
+            SELECT a, count(*) AS n FROM pairs GROUP BY a
+        )
+        SELECT v.vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, c = v.vec_id AS kept
+        FROM v JOIN component ON component.a = v.vec_id LEFT JOIN links ON links.a = v.vec_id
+    """,
 }
