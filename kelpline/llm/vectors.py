@@ -143,11 +143,12 @@ def _least_reached(n: int, a: np.ndarray, b: np.ndarray, rank: np.ndarray) -> np
 def _join_pair(cosine: float):
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         same = key[0] == key[1]
-        if not len(left) or not len(right):
+        if not len(left) or not (same or len(right)):
             return pd.DataFrame({"rep": [], "links": [], "least": []}).astype("int64")
         x = _unit(left["vec"])
         y = x if same else _unit(right["vec"])
-        i, j = join_blocks(x, y, np.stack(left["lead"]), np.stack(right["lead"]), cosine, same)
+        lead = np.stack(left["lead"])
+        i, j = join_blocks(x, y, lead, lead if same else np.stack(right["lead"]), cosine, same)
         reps = left["rep"].to_numpy() if same else np.concatenate([left["rep"], right["rep"]])
         copies = left["n"].to_numpy() if same else np.concatenate([left["n"], right["n"]])
         if not same:
@@ -178,7 +179,8 @@ def near_vectors(
     Rows that repeat an id count as several vectors.
     """
     prepare(vectors.sparkSession)
-    base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("vec"))
+    kind = "float" if dict(vectors.dtypes)[vector_col] == "array<float>" else "double"  # as it travels; it is compared in double
+    base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast(f"array<{kind}>").alias("vec"))
     good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("vec") > 0)
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = F.coalesce(good & finite & F.exists("vec", lambda x: x != 0), F.lit(False))
@@ -191,11 +193,11 @@ def near_vectors(
 
     dims = F.size("vec").alias("dims")
     cells = nodes.select("rep", "n", "label", dims, "vec").mapInArrow(
-        _cells(directions, epsilon), f"rep long, n long, label {dict(nodes.dtypes)['label']}, dims int, vec array<double>, cells array<bigint>"
+        _cells(directions, epsilon), f"rep long, n long, label {dict(nodes.dtypes)['label']}, dims int, vec array<{kind}>, cells array<bigint>"
     )
     ordered = cells.repartitionByRange("label", "dims", "cells", "rep").sortWithinPartitions("label", "dims", "cells", "rep")
     blocks = ordered.mapInPandas(
-        _cut_blocks(directions, block), f"rep long, n long, label {dict(nodes.dtypes)['label']}, dims int, vec array<double>, nth long, lead array<double>"
+        _cut_blocks(directions, block), f"rep long, n long, label {dict(nodes.dtypes)['label']}, dims int, vec array<{kind}>, nth long, lead array<double>"
     ).withColumn("block", F.shiftleft(F.spark_partition_id().cast("long"), 32) + F.col("nth"))
     blocks = stage(blocks.drop("nth"), "vector-blocks")
 
@@ -222,7 +224,8 @@ def near_vectors(
     )
     pairs = stage(pairs, "vector-pairs")
     left = blocks.join(pairs, "block").select(F.col("block").alias("bi"), F.col("r_block").alias("bj"), "rep", "n", "vec", "lead")
-    right = blocks.withColumnRenamed("block", "r_block").join(pairs, "r_block").select(
+    # A block meets itself on the left alone.
+    right = blocks.withColumnRenamed("block", "r_block").join(pairs.where("block <> r_block"), "r_block").select(
         F.col("block").alias("bi"), F.col("r_block").alias("bj"), *[F.col(c).alias(c) for c in ("rep", "n", "vec", "lead")]
     )
     found = stage(
