@@ -107,3 +107,12 @@ def test_temperature_is_fitted():
     y = np.array([i % 3 if rng.random() < 0.8 else int(rng.integers(3)) for i in range(200)])
     model = language.fit(rows, y, ["a", "b", "c"])
     assert 0.05 <= model.temperature <= 20
+
+
+def test_best_cut_is_the_middle_of_the_gap():
+    z, y = np.array([-3.0, -2.0, -2.0, 1.0, 4.0]), np.array([0.0, 0.0, 0.0, 1.0, 1.0])
+    assert toxicity.best_cut(z, y) == -0.5
+    assert toxicity.best_cut(np.ones(4), np.array([0.0, 1.0, 0.0, 1.0])) == 0.0
+    # One toxic row among clean ones is given up before the clean ones are.
+    z, y = np.array([-5.0, -4.0, -4.0, -4.0, 2.0, 3.0]), np.array([1.0, 0.0, 0.0, 0.0, 1.0, 1.0])
+    assert toxicity.best_cut(z, y) == -1.0
