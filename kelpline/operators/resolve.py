@@ -103,29 +103,23 @@ def first_wins_any_key(df: DataFrame, row_id: str, keys: Sequence[str]) -> DataF
     """Rows that a sequential pass keeps: a row falls if an earlier kept row has one of its keys (each
     key with its own name space); ids give the order.
 
-    A row whose every key is its own first is kept at once.  The rest is folded within the components
-    of the graph that shared keys make; dropDuplicates by one key after another gives other results.
+    In rounds: undecided rows that are the least of all their keys are kept, then undecided rows that
+    have a key of a kept one fall, until none is left.  A hot key is an aggregate with map-side combine,
+    no one's group; dropDuplicates by one key after another gives other results.
     """
     tagged = [F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{k}="), F.col(k).cast("string"))) for k in keys]
-    each = df.select(row_id, F.explode(F.array_compact(F.array(*tagged))).alias("key"))
-    heads = each.groupBy("key").agg(F.min(row_id).alias("head"), F.count("*").alias("n"))
-    edges = each.join(heads.where("n > 1"), "key").where(F.col(row_id) != F.col("head")).select(F.col("head").alias("a"), F.col(row_id).alias("b"))
-    comp = components(edges)
-    tied = df.join(comp, df[row_id] == comp.node).select(row_id, "component", F.array_compact(F.array(*tagged)).alias("keys"))
-    kind = dict(df.dtypes)[row_id]
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        used: set[str] = set()
-        lost = []
-        for i, own in zip(*(rows.sort_values(row_id)[c] for c in (row_id, "keys")), strict=True):
-            if used.isdisjoint(own):
-                used.update(own)
-            else:
-                lost.append(i)
-        return pd.DataFrame({row_id: lost}).astype(rows[row_id].dtype)
-
-    lost = tied.groupBy("component").applyInPandas(run, f"{row_id} {kind}")
-    return df.join(lost, row_id, "left_anti")
+    now = staged(df.select(row_id, F.explode(F.array_compact(F.array(*tagged))).alias("key")), "undecided")
+    lost = None
+    while not now.isEmpty():
+        heads = now.groupBy("key").agg(F.min(row_id).alias("head"))
+        led = heads.groupBy(F.col("head").alias(row_id)).agg(F.count("*").alias("led"))
+        own = now.distinct().groupBy(row_id).agg(F.count("*").alias("n"))
+        kept = staged(own.join(led, row_id).where("n = led").select(row_id), "kept")
+        taken = staged(now.join(kept, row_id, "left_semi").select("key").distinct(), "taken")
+        fallen = staged(now.join(kept, row_id, "left_anti").join(taken, "key", "left_semi").select(row_id).distinct(), "fallen")
+        lost = fallen if lost is None else lost.union(fallen)
+        now = staged(now.join(kept, row_id, "left_anti").join(fallen, row_id, "left_anti"), "undecided")
+    return df if lost is None else df.join(lost, row_id, "left_anti")
 
 
 def until_stable(df: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int = 20) -> DataFrame:
