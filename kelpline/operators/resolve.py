@@ -40,6 +40,24 @@ def blocking_pairs(df: DataFrame, row_id: str, block: Sequence[Column], conditio
     return a.join(b, on).select(F.col(f"l.{row_id}").alias("a"), F.col(f"r.{row_id}").alias("b"))
 
 
+def near_pair_counts(df: DataFrame, block: Sequence[str], value: str) -> DataFrame:
+    """(block..., pairs): how many pairs of a block's rows differ by less than 1 in a double; blocks of none are left out.
+
+    Equal values are counted first and meet as counts, in unit ranges with the range itself and the
+    next: a value that a third of all rows share is one row.  Nulls pair with nothing.
+    """
+    counts = df.where(~_any_null([F.col(c) for c in [*block, value]]) & (F.col(value) - F.col(value) < 1)).groupBy(*block, value).agg(F.count("*").alias("n"))
+    counts = staged(counts.withColumn("unit", F.floor(value)), "counts")
+    same = counts.select(*block, F.expr("n * (n - 1) div 2").alias("pairs"))
+    l, r = counts.alias("l"), counts.withColumn("unit", F.explode(F.array("unit", F.col("unit") - 1))).alias("r")
+    on = F.col("l.unit") == F.col("r.unit")
+    for c in block:
+        on = on & (F.col(f"l.{c}") == F.col(f"r.{c}"))
+    near = (F.col(f"l.{value}") < F.col(f"r.{value}")) & (F.abs(F.col(f"l.{value}") - F.col(f"r.{value}")) < 1)
+    met = l.join(r, on & near).select(*[F.col(f"l.{c}") for c in block], (F.col("l.n") * F.col("r.n")).alias("pairs"))
+    return same.union(met).groupBy(*block).agg(F.sum("pairs").alias("pairs")).where("pairs > 0")
+
+
 def _any_null(columns: Sequence[Column]) -> Column:
     out = F.lit(False)
     for c in columns:

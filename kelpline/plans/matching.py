@@ -110,11 +110,7 @@ def same_id_merge_arrays(spark: SparkSession, sf: str) -> DataFrame:
 
 def blocking_pair_count(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of customers of a nation and segment whose balances differ by less than 1, by nation."""
-    c = table(spark, sf, "customer").withColumn("bucket", F.explode(F.array(F.floor("c_acctbal"), F.floor("c_acctbal") + 1)))
-    near = lambda a, b: F.abs(F.col(f"{a}.c_acctbal") - F.col(f"{b}.c_acctbal")) < 1
-    pairs = rs.blocking_pairs(c, "c_custkey", [F.col("c_nationkey"), F.col("c_mktsegment"), F.col("bucket")], near).distinct()
-    named = pairs.join(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), F.col("a") == F.col("c_custkey"))
-    return named.groupBy("c_nationkey").agg(F.count("*").alias("pairs"))
+    return rs.near_pair_counts(table(spark, sf, "customer"), ["c_nationkey", "c_mktsegment"], "c_acctbal").groupBy("c_nationkey").agg(F.sum("pairs").alias("pairs"))
 
 
 def greedy_cluster(spark: SparkSession, sf: str) -> DataFrame:

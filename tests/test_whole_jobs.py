@@ -24,3 +24,13 @@ def test_first_wins_any_key_takes_all_events(spark):
             want.append(i)
     assert len(rows) == pq.read_metadata(f"{FOLDER}/events.parquet").num_rows
     assert sorted(r.event_id for r in matching.first_wins_any_key(spark, FOLDER).collect()) == want
+
+
+def test_a_hot_block_is_counted(spark, tmp_path):
+    rows = [(k, f"c{k}", 1, 0.0, "A") for k in range(3000)] + [(5000 + k, "d", 1, 0.25 * k, "A") for k in range(8)] + [(6000, "e", 2, 0.0, "A"), (6001, "e", 1, None, "A")]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    from itertools import combinations
+
+    few = [0.25 * k for k in range(8)]
+    want = 3000 * 2999 // 2 + 3000 * sum(v < 1 for v in few) + sum(abs(a - b) < 1 for a, b in combinations(few, 2))
+    assert {tuple(r) for r in matching.blocking_pair_count(spark, str(tmp_path)).collect()} == {(1, want)}
