@@ -107,7 +107,13 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", shingle: int = SHINGLE, r
     take part, and have a null component only where no other row is reachable.  Null counts as
     the empty text, whose fingerprint is zero and links like any other.  Rows that repeat stay.
     """
-    own = stage(fingerprints(docs, id_col, shingle), "fingerprints")
+    return _labelled(stage(fingerprints(docs, id_col, shingle), "fingerprints"), radius, segments, paired).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
+def _labelled(own: DataFrame, radius: int, segments: int, paired: int) -> DataFrame:
+    """own (doc_id, fp, ...), staged, with the component_id of each row."""
     nodes = stage(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     found = stage(components(links(nodes.select("fp"), radius, segments, paired)), "components")
     least = stage(
@@ -118,18 +124,29 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", shingle: int = SHINGLE, r
         nodes.join(linked, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("l_fp"), F.coalesce("component_id", "least").alias("component_id")),
         "labels",
     )
-    return own.join(labels, F.col("fp") == F.col("l_fp")).select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    return own.join(labels, F.col("fp") == F.col("l_fp")).drop("l_fp")
 
 
-def without_near_dups(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+def without_near_dups(
+    docs: DataFrame, id_col: str = "doc_id", shingle: int = SHINGLE, radius: int = RADIUS, segments: int = SEGMENTS, paired: int = PAIRED
+) -> DataFrame:
     """docs with one document of each component: that of the smallest id; the columns stay.
 
-    Rows of one id count as one document.  Where a component has null ids only, its rows stay.
+    Rows go by id and text.  Rows of one id in a component count as one document; where a component
+    has null ids only, its rows stay.
     """
-    found = near_dups(docs, id_col, **how)
+    digest = F.struct(F.xxhash64("text").alias("x"), F.hash("text").alias("y"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest.alias("digest"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([fingerprint(t or b"", shingle) for t in batch.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["doc_id", "digest", "fp"])
+
+    own = stage(map_texts(base, ["doc_id", "digest"], run, "doc_id long, digest struct<x: long, y: int>, fp long"), "fingerprints")
+    found = _labelled(own, radius, segments, paired)
     lost = found.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    lost = stage(lost.select(F.col("doc_id").alias("l_id")).distinct(), "lost")
-    alike = F.col(id_col).cast("long").eqNullSafe(F.col("l_id"))
+    lost = stage(lost.select(F.col("doc_id").alias("l_id"), "digest.x", "digest.y").distinct(), "lost")
+    lost = lost.select("l_id", F.col("x").alias("l_x"), F.col("y").alias("l_y"))
+    alike = F.col(id_col).cast("long").eqNullSafe(F.col("l_id")) & (F.xxhash64("text") == F.col("l_x")) & (F.hash("text") == F.col("l_y"))
     return docs.join(small(lost), alike, "left_anti")

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from kelpline.llm.near_copies import without_near_copies
+from kelpline.llm.simhash import without_near_dups
 
 
 def shingles_of(text):
@@ -63,3 +64,9 @@ def test_null_and_repeated_ids_go_by_row(spark):
     rows = [(1, TEXT[0]), (None, TEXT[0] + " x"), (None, TEXT[1]), (None, TEXT[2]), (7, TEXT[3]), (7, TEXT[0] + " y"), (9, TEXT[3] + " z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {tuple(r) for r in without_near_copies(docs).collect()} == {rows[0], rows[2], rows[3], rows[4]}
+
+
+def test_simhash_of_null_and_repeated_ids_goes_by_row(spark):
+    rows = [(1, TEXT[0]), (None, TEXT[0].upper()), (None, TEXT[1]), (None, TEXT[2]), (7, TEXT[3]), (7, TEXT[0].title()), (9, TEXT[3].upper())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in without_near_dups(docs).collect()} == {rows[0], rows[2], rows[3], rows[4]}
