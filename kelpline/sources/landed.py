@@ -39,9 +39,13 @@ def xml_rows(landed: DataFrame, payload: str, row_tag: str, fields: Mapping[str,
     return each.select(*rest, "pos", *[tag(F.col("block"), t).alias(n) for n, t in fields.items()])
 
 
-def rss_items(landed: DataFrame, payload: str = "payload", most: int = 20) -> DataFrame:
-    """Items of feeds; "Company: Title" is split, the id is the head of the link's digest."""
-    t = xml_rows(landed, payload, "item", {"title": "title", "url": "link", "posted": "pubDate", "summary": "description"}).where(F.col("pos") < most)
+def rss_items(landed: DataFrame, payload: str = "payload", most: int | None = None) -> DataFrame:
+    """Items of feeds; "Company: Title" is split, the id is the head of the link's digest.
+
+    most: items of each feed that count, from the first; None for all (20 in A16's feed alone)."""
+    t = xml_rows(landed, payload, "item", {"title": "title", "url": "link", "posted": "pubDate", "summary": "description"})
+    if most is not None:
+        t = t.where(F.col("pos") < most)
     company = F.nullif(F.regexp_extract("title", r"^([^:]{1,80}):\s+\S", 1), F.lit(""))
     return t.withColumn("company", company).withColumn("title", F.regexp_replace("title", r"^[^:]{1,80}:\s+(?=\S)", "")).withColumn("id", F.substring(F.sha1(F.col("url").cast("binary")), 1, 16))
 

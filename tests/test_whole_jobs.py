@@ -6,6 +6,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from kelpline.plans import matching
+from kelpline.sources import landed
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -34,3 +35,9 @@ def test_a_hot_block_is_counted(spark, tmp_path):
     few = [0.25 * k for k in range(8)]
     want = 3000 * 2999 // 2 + 3000 * sum(v < 1 for v in few) + sum(abs(a - b) < 1 for a, b in combinations(few, 2))
     assert {tuple(r) for r in matching.blocking_pair_count(spark, str(tmp_path)).collect()} == {(1, want)}
+
+
+def test_all_items_of_a_feed(spark):
+    feed = "<rss>" + "".join(f"<item><title>T{k}</title><link>https://e.example.com/{k}</link></item>" for k in range(25)) + "</rss>"
+    rows = spark.createDataFrame([("s", feed)], "source string, payload string")
+    assert landed.rss_items(rows).count() == 25 and landed.rss_items(rows, most=20).count() == 20
