@@ -41,3 +41,10 @@ def test_all_items_of_a_feed(spark):
     feed = "<rss>" + "".join(f"<item><title>T{k}</title><link>https://e.example.com/{k}</link></item>" for k in range(25)) + "</rss>"
     rows = spark.createDataFrame([("s", feed)], "source string, payload string")
     assert landed.rss_items(rows).count() == 25 and landed.rss_items(rows, most=20).count() == 20
+
+
+def test_canonical_company_has_all_customers(spark, tmp_path):
+    rows = [(k, f"Customer#{k:09d}") for k in (1, 500, 501, 70_000)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    want = {(k, f"customer {k:09d}") for k, _ in rows}
+    assert {tuple(r) for r in matching.canonical_company(spark, str(tmp_path)).collect()} == want
