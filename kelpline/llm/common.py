@@ -43,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
     if root is None:
         root = getattr(spark.sparkContext, "_kelpline_dir", None)
     if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("a cluster must name its shared folder in spark.checkpoint.dir")
         root = tempfile.mkdtemp(prefix="kelpline-")
         spark.sparkContext._kelpline_dir = root
     return root.rstrip("/")
@@ -98,13 +100,23 @@ def least_id(id_col: str, row: str | None = None) -> Column:
     return F.min(F.struct(*parts))
 
 
-#: Rows of a few numbers that may be broadcast; beyond it joins shuffle.
-BROADCAST_ROWS = 1_000_000
+#: A table of fewer bytes, counted in full, may be broadcast; beyond it joins shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def small(df: DataFrame) -> DataFrame:
-    """A broadcast hint, if the staged table df has few rows; otherwise df as it is."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """A broadcast hint, if the staged table df takes few bytes; otherwise df as it is."""
+    n, width = F.count("*").alias("n"), F.lit(0)
+    for name, kind in df.dtypes:
+        size = F.octet_length(name) if kind in ("string", "binary") else 8 * F.greatest(F.size(name), F.lit(0)) if kind.startswith("array") else F.lit(0)
+        width = width + F.coalesce(size, F.lit(0)) + 16
+    got = df.agg(n, F.sum(width.cast("long")).alias("bytes")).first()
+    return F.broadcast(df) if (got.bytes or 0) <= BROADCAST_BYTES else df
+
+
+def packed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """Rows as one struct `own` beside keys, so that joins cannot clash with any column of docs; `own.*` unpacks them."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), *[k.alias(name) for name, k in keys.items()])
 
 
 def bounded_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:

@@ -3,9 +3,13 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from kelpline.llm.near_copies import without_near_copies
-from kelpline.llm.simhash import without_near_dups
+from kelpline.llm.simhash import links, without_near_dups
+
+
+def without_near_copies(docs, **how):
+    return without_near_dups(docs, similarity=(4, 5), **how)
 
 
 def shingles_of(text):
@@ -70,3 +74,23 @@ def test_simhash_of_null_and_repeated_ids_goes_by_row(spark):
     rows = [(1, TEXT[0]), (None, TEXT[0].upper()), (None, TEXT[1]), (None, TEXT[2]), (7, TEXT[3]), (7, TEXT[0].title()), (9, TEXT[3].upper())]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {tuple(r) for r in without_near_dups(docs).collect()} == {rows[0], rows[2], rows[3], rows[4]}
+
+
+@pytest.mark.parametrize(("radius", "segments"), [(2, 5), (1, 3), (3, 4)])
+def test_dense_buckets_are_split_by_more_segments(spark, radius, segments):
+    """Thousands of fingerprints around few centres, so that buckets are far over the bound at which they are split."""
+    rng = random.Random(8)
+    fps = set()
+    for centre in (rng.getrandbits(64) for _ in range(3)):
+        fps |= {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for _ in range(500)}
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    got = {tuple(sorted(r)) for r in links(spark.createDataFrame([(f,) for f in signed], "fp long"), radius, segments, paired=8).collect()}
+    assert got == {tuple(sorted((a, b))) for k, a in enumerate(signed) for b in signed[:k] if ((a ^ b) & (2**64 - 1)).bit_count() <= radius}
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["node", "own", "key", "l_id", "keep", "component", "fp", "text_node"]
+    docs = spark.createDataFrame([(1, TEXT[0]), (2, TEXT[0] + " x"), (3, TEXT[1])], "doc_id long, text string")
+    docs = docs.select("*", *[F.concat(F.lit(n), "doc_id").alias(n) for n in names])
+    for out in (without_near_copies(docs), without_near_dups(docs)):
+        assert out.columns == docs.columns and all(r[n] == f"{n}{r.doc_id}" for r in out.collect() for n in names)

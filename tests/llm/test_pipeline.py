@@ -16,7 +16,6 @@ import pytest
 import corpus_pipeline
 from kelpline.llm import queries, toxicity
 from kelpline.llm.common import stage, table
-from kelpline.llm.simhash import fingerprint
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(FOLDER).is_dir(), reason="needs the tables")
@@ -106,16 +105,17 @@ def test_stages_against_brute_force(spark):
 
     docs, before = after, after.collect()
     after = stage(steps["simhash_near_dedup"](spark, docs, FOLDER), "t3")
-    fp = {r.doc_id: fingerprint(r.text.encode()) for r in before}
-    low = {i: i for i in fp}
+    words = {r.doc_id: r.text.encode().lower().split() for r in before}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
+    low = {i: i for i in sets}
     changed = True
     while changed:
         changed = False
-        for a in fp:
-            for b in fp:
-                if (fp[a] ^ fp[b]).bit_count() <= 2 and low[b] < low[a]:
+        for a in sets:
+            for b in sets:
+                if low[b] < low[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
                     low[a], changed = low[b], True
-    assert sorted(r.doc_id for r in after.collect()) == sorted(i for i in fp if low[i] == i) and after.columns == columns
+    assert sorted(r.doc_id for r in after.collect()) == sorted(i for i in sets if low[i] == i) and after.columns == columns
 
     docs, before = after, after.collect()
     after = stage(steps["source_mixing"](spark, docs, FOLDER), "t4")
