@@ -106,8 +106,8 @@ def links(fps: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, paired
     segments: over the radius, so that a chain of 0 exists.  The bits outside a key become fewer with each
     split, and with them the fingerprints that a bucket can hold.
     """
-    if not 0 < radius < min(segments, 6):
-        raise ValueError("a ring needs more segments than differing bits, of which there may be 5")
+    if not 0 < radius < min(segments, 4):
+        raise ValueError("a ring needs more segments than differing bits, of which there may be 3")
     ring, chain = _ring(segments), max(k for k in range(1, segments + 1) if k * radius < segments)
     masks = [sum(ring[(i + k) % segments] for k in range(chain)) for i in range(segments)]
     own = lambda path, mask: F.struct(path.alias("path"), F.col("fp").bitwiseAND(mask).alias("key"))
@@ -129,7 +129,7 @@ def links(fps: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, paired
         if last or many.isEmpty():
             return found
         masks, below = [m for mask in masks for m in _split(mask, radius + 1)], below * (radius + 1)
-        table = F.array(*[_signed(m) for m in masks])
+        table = F.split(F.lit(",".join(str(m - (1 << 64) if m >> 63 else m) for m in masks)), ",").cast("array<bigint>")  # one literal
         finer = [own(path, F.get(table, path)) for path in (F.col("path") * (radius + 1) + k for k in range(radius + 1))]
         now = many.select("fp", F.explode(F.array(*finer)).alias("k")).select("fp", "k.*")
 
