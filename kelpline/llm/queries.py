@@ -189,4 +189,30 @@ SQL: dict[str, str] = {
         SELECT v.vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, c = v.vec_id AS kept
         FROM v JOIN component ON component.a = v.vec_id LEFT JOIN links ON links.a = v.vec_id
     """,
+    "op7_bucket_pointer_repeats": r"""
+        WITH docs AS (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+        ), strings AS (
+            SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s
+            FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS p FROM docs)
+        ), covered AS (
+            SELECT doc_id, p FROM (SELECT *, min(doc_id) OVER (PARTITION BY s) AS least FROM strings) WHERE doc_id > least
+        ), marked AS (
+            SELECT *, p > coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), -100) + 50 AS opens FROM covered
+        ), numbered AS (
+            SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM marked
+        ), spans AS (
+            SELECT doc_id, k, min(p) AS a, max(p) + 50 AS b FROM numbered GROUP BY doc_id, k
+        ), pieces AS (
+            SELECT s.doc_id, k, b - a AS gone, substr(h, 2 * lag(b, 1, 0) OVER own + 1, 2 * (a - lag(b, 1, 0) OVER own)) AS kept
+            FROM spans s JOIN docs d ON s.doc_id = d.doc_id WINDOW own AS (PARTITION BY s.doc_id ORDER BY k)
+        ), each AS (
+            SELECT s.doc_id, sum(gone)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(kept, '' ORDER BY k) AS kept FROM pieces s GROUP BY s.doc_id
+        ), ends AS (
+            SELECT doc_id, max(b) AS b FROM spans GROUP BY doc_id
+        )
+        SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+               sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(b, 0) + 1))) AS kept_sha256
+        FROM docs d LEFT JOIN each e ON d.doc_id = e.doc_id LEFT JOIN ends ON ends.doc_id = d.doc_id
+    """,
 }
