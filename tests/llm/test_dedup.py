@@ -167,3 +167,10 @@ def test_vectors_against_brute_force(spark):
     assert {i: r.n_links for i, r in out.items()} == {i: sum(i in p for p in pairs) for i in label}
     assert all(r.kept == (r.component_id == i) for i, r in out.items())
     assert near_vectors(df.where("vec_id < 0")).count() == 0
+
+
+def test_vectors_of_repeated_and_null_ids(spark):
+    rows = [(1, [1.0, 0.0, 0.1], 0), (1, [0.0, 1.0, 0.1], 0), (2, [1.0, 0.01, 0.1], 0), (None, [1.0, 0.0, 0.1], 0), (3, [5.0], 0), (4, [2.0], 0), (4, [2.0], 0)]
+    df = spark.createDataFrame([(*r, 7, 8) for r in rows], "vec_id long, embedding array<double>, label int, node long, block long")
+    out = sorted((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in near_vectors(df).collect())
+    assert out == [("1", 0, 1, True), ("1", 1, 1, True), ("2", 1, 1, False), ("3", 2, 3, True), ("4", 2, 3, False), ("4", 2, 3, False), ("None", 0, None, True)]
