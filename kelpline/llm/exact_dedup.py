@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.llm.common import SPACE, map_texts, small, stage
+from kelpline.llm.common import SPACE, map_texts, packed, small, stage
 
 MEAN_BITS = 10  # a cut on average every 1024 bytes after the least size
 LEAST, MOST = 256, 8192
@@ -111,7 +111,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", bits: int = 64) -> Data
 
     Texts are equal when they are after each run of white space became one space; null is
     the empty text.  Of equal texts the row of the smallest id stays, a null id coming last;
-    of rows that repeat an id with its text one stays.  An empty table gives an empty result.
+    of rows that repeat an id with its text one stays.  Texts are read whole, however long: a chunk has a
+    greatest size.  An empty table gives an empty result; other columns are not read and may have any name.
     bits: width of a chunk's identifier before it is verified (tests make it small).
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), "text")
@@ -168,18 +169,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", bits: int = 64) -> Data
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the rows that exact_dedup does not keep; the columns stay.
+    """docs without the rows that exact_dedup does not keep; the columns stay, whatever their names.
 
-    The ids of those rows are broadcast if they are few, and shuffled with the texts otherwise.
+    Null texts count as empty ones, null ids come last; of rows that repeat an id with its text one stays.
+    The ids of the rows that go are broadcast if they are few, and shuffled with the texts otherwise.
     """
-    columns = docs.columns
     lost = exact_dedup(docs, id_col).where(~F.col("kept"))
     # A lost row whose id is the kept row's repeats it: of those rows one is to stay.
     lost = stage(lost.select(F.col("doc_id").alias("l_id"), F.col("text_sha256").alias("l_sha"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("l_repeat")).distinct(), "lost")
     sha = F.sha2(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), SPACE, " "), 256)
-    keyed = docs.withColumn("l_key", F.col(id_col).cast("long")).withColumn("l_text", sha)
+    keyed = packed(docs, l_key=F.col(id_col).cast("long"), l_text=sha)
     both = keyed.join(small(lost), F.col("l_key").eqNullSafe(F.col("l_id")) & (F.col("l_text") == F.col("l_sha")), "left")
     if lost.where("l_repeat").isEmpty():
-        return both.where("l_sha is null").select(*columns)
+        return both.where("l_sha is null").select("own.*")
     repeats = both.where("l_repeat").dropDuplicates(["l_key", "l_text"])
-    return both.where("l_sha is null").unionByName(repeats).select(*columns)
+    return both.where("l_sha is null").unionByName(repeats).select("own.*")

@@ -17,22 +17,24 @@ from pyspark.sql import functions as F
 
 from kelpline.llm.common import bounded_sample, map_texts, stage
 
-TRAIN_ROWS = 3_000  # rows that the model is fitted on, about, at most
+TRAIN_ROWS = 6_000  # rows that the model is fitted on, about, at most
 BINS = 1 << 14
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 1e-3, 1e-3, 3
 UNKNOWN = "und"
+BLOCK = 1 << 18  # characters whose n-grams are counted at once
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-grams of 1 to 3 characters, and how often each occurs."""
-    c = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-    if not len(c):
-        return np.empty(0, np.int64), np.empty(0)
-    two = (c[:-1] << np.uint64(21)) | c[1:] | np.uint64(1 << 62)
-    three = (c[:-2] << np.uint64(42)) | (c[1:-1] << np.uint64(21)) | c[2:] if len(c) > 2 else np.empty(0, np.uint64)
-    keys = np.concatenate([c, two, three])
-    counts = np.bincount(((keys * _MULT) >> np.uint64(50)).astype(np.int64), minlength=BINS)
+    """Hashed n-grams of 1 to 3 characters, and how often each occurs; counted in blocks of characters."""
+    text, counts = text.lower(), np.zeros(BINS, np.int64)
+    for start in range(0, len(text), BLOCK):
+        c = np.frombuffer(text[start : start + BLOCK + 2].encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+        n = min(BLOCK, len(text) - start)  # n-grams that start in the block
+        two = (c[:-1] << np.uint64(21)) | c[1:] | np.uint64(1 << 62)
+        three = (c[:-2] << np.uint64(42)) | (c[1:-1] << np.uint64(21)) | c[2:] if len(c) > 2 else np.empty(0, np.uint64)
+        for keys in (c[:n], two[:n], three[:n]):
+            counts += np.bincount(((keys * _MULT) >> np.uint64(50)).astype(np.int64), minlength=BINS)
     at = np.flatnonzero(counts)
     return at, counts[at].astype(np.float64)
 
@@ -64,11 +66,12 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: list[str]) -> LanguageModel:
     """rows: (bins, counts) of each text.  Every fifth row calibrates the temperature only."""
     n, k = len(rows), max(1, len(classes))
+    rows = [(at.astype(np.int32), tf) for at, tf in rows]
     seen = np.zeros(BINS)
     for at, _ in rows:
         seen[at] += 1
     idf = np.log((1 + n) / (1 + seen)) + 1
-    xs = [vector(at, tf, idf) for at, tf in rows]
+    xs = [vector(at, tf, idf).astype(np.float32) for at, tf in rows]
     z, q = np.zeros((BINS + 1, k)), np.zeros((BINS + 1, k))
 
     def weights(at):
@@ -101,24 +104,28 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: list[
 
 
 def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bins as 16-bit and counts as 32-bit numbers, a text's in one string each."""
     for batch in batches:
         both = [grams((t or b"").decode("utf-8", "replace")) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([a for a, _ in both], pa.list_(pa.int32())), pa.array([c for _, c in both], pa.list_(pa.float32()))],
-            ["lang", "bins", "counts"],
-        )
+        bins = pa.array([a.astype(np.uint16).tobytes() for a, _ in both], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), bins, pa.array([c.astype(np.float32).tobytes() for _, c in both], pa.binary())], ["lang", "bins", "counts"])
 
 
 def train_model(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", rows: int = TRAIN_ROWS) -> LanguageModel:
-    """docs: only the rows to learn from.  Each text's n-gram bins go to the fit, at most BINS of them."""
-    ids = stage(docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("s_id")).distinct(), "language-ids")
+    """docs: only the rows to learn from.  Each text's n-gram bins go to the fit, at most BINS of them.
+
+    Rows of a null language or id teach nothing, rows that repeat an id teach each; null and empty texts have no
+    n-grams.  Other columns are not read and may have any name.
+    """
+    docs = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), "text").where("lang is not null")
+    ids = stage(docs.where("id is not null").select(F.col("id").alias("s_id")).distinct(), "language-ids")
     sample = bounded_sample(ids, rows, "s_id")  # of bounded size, so it may be broadcast
-    own = docs.where(F.col(lang_col).isNotNull()).join(F.broadcast(sample), F.col(id_col) == F.col("s_id"))
-    got = map_texts(own, [F.col(lang_col).alias("lang")], _gram_rows, "lang string, bins array<int>, counts array<float>").toPandas()
-    got = got.sort_values("lang", kind="stable").reset_index(drop=True)
+    own = docs.join(F.broadcast(sample), F.col("id") == F.col("s_id"))
+    got = map_texts(own, ["lang"], _gram_rows, "lang string, bins binary, counts binary").toPandas()
+    got = got.sort_values(["lang", "bins", "counts"], kind="stable").reset_index(drop=True)  # the order of arrival does not matter
     classes = sorted(set(got["lang"]))
     y = np.array([classes.index(x) for x in got["lang"]], np.int64)
-    return fit([(np.asarray(a, np.int64), np.asarray(c, np.float64)) for a, c in zip(got["bins"], got["counts"], strict=True)], y, classes)
+    return fit([(np.frombuffer(a, np.uint16), np.frombuffer(c, np.float32)) for a, c in zip(got["bins"], got["counts"], strict=True)], y, classes)
 
 
 def _predict(model: LanguageModel):
@@ -144,7 +151,8 @@ def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_i
     """docs (id_col, text) -> doc_id, lang_pred, score.
 
     Null, empty and letterless texts are `und` with score 0; whole texts are read, however long;
-    rows that repeat each get their prediction; no training rows make every text `und`.
+    rows that repeat each get their prediction; no training rows make every text `und`.  An empty table
+    gives an empty result; other columns are not read and may have any name.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), "text")
     return map_texts(own, ["doc_id"], _predict(model), "doc_id long, lang_pred string, score double")

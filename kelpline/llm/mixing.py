@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelpline.llm.common import WORD, prepare, stage
+from kelpline.llm.common import WORD, packed, prepare, stage
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -29,12 +29,15 @@ def words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", seed: str = SEED) -> DataFrame:
-    """Adds mix_size (words), mix_class (bits of the size; 0 for no words) and mix_u, uniform in (0, 1) by the id."""
+def measured(docs: DataFrame, seed: str = SEED) -> DataFrame:
+    """docs (mix_id, source, text, ...): adds mix_size (words), mix_class (bits of the size; 0 for no words),
+    mix_u, uniform in (0, 1) by the id and the text, and mix_row, a hash of the whole row."""
     prepare(docs.sparkSession)
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+    text = F.md5(F.coalesce(F.col("text"), F.lit("")))
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("mix_id").cast("string"), F.lit("null")), text))
     return (
-        docs.withColumn("mix_size", words())
+        docs.withColumn("mix_row", F.xxhash64(*docs.columns))
+        .withColumn("mix_size", words())
         .withColumn("mix_class", F.when(F.col("mix_size") > 0, F.length(F.bin("mix_size"))).otherwise(0))
         .withColumn("mix_u", (F.conv(F.substring(key, 1, 13), 16, 10).cast("double") + 0.5) / float(2**52))
     )
@@ -99,7 +102,8 @@ def _place() -> Column:
 
 
 def _key() -> Column:
-    return F.struct(F.col("odds"), F.coalesce(F.col("mix_id"), F.lit(2**63 - 1)).alias("id"), F.col("mix_size").alias("size"))
+    """The order; rows that are equal in it are alike in every column."""
+    return F.struct(F.col("odds"), F.col("mix_id").isNull().alias("none"), F.col("mix_id").alias("id"), F.col("mix_size").alias("size"), F.col("mix_row").alias("row"))
 
 
 def _first_over(sums: DataFrame, slot: str) -> DataFrame:
@@ -115,8 +119,9 @@ def _first_over(sums: DataFrame, slot: str) -> DataFrame:
 
 
 def mix_plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """sized (mix_id, source, mix_size, mix_class, mix_u), staged -> a row for each (source, length class)
-    with source_size, target, certain, chance and where the source's order is cut (slot, key)."""
+    """sized (mix_id, source, mix_size, mix_class, mix_u, mix_row), staged -> a row for each (source, length class)
+    with source_size, target, certain, chance and where the source's order is cut: its slot, its key, how many rows
+    have that key (tied) and how many of these are taken (some)."""
     classes = stage(sized.groupBy("source", "mix_class").agg(F.sum("mix_size").alias("words")), "mix-classes")
     sizes = classes.groupBy("source").agg(F.sum("words").alias("source_size"))
     targets = stage(source_targets(sizes, weights, share, most), "mix-targets")
@@ -129,10 +134,14 @@ def mix_plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     within = fine.withColumn("step", step).join(at_step, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("step") == F.col("c_slot")))
     at_place = stage(_first_over(within.drop("c_source", "c_slot"), "place"), "mix-cuts")
     last = ranked.join(at_place, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("place") == F.col("c_slot")))
-    run = Window.partitionBy("source").orderBy(_key()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = last.withColumn("through", F.col("base") + F.sum("mix_size").over(run))
-    keys = last.where(F.col("through") - F.col("mix_size") / 2 <= F.col("rest")).groupBy("source").agg(F.max(_key()).alias("cut_key"))
-    cuts = at_place.join(keys, F.col("c_source").eqNullSafe(F.col("source")), "left").select("c_source", "c_slot", "cut_key")
+    # Rows that are alike are one row here with their number.
+    last = last.groupBy("source", "base", "rest", _key().alias("key")).agg(F.count("*").alias("tied"))
+    size = F.col("key.size")
+    run = Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = last.withColumn("before", F.col("base") + F.sum(size * F.col("tied")).over(run) - size * F.col("tied"))
+    last = last.withColumn("some", F.least(F.col("tied"), F.floor((F.col("rest") - F.col("before")) / size + 0.5)).cast("long")).where("some > 0")
+    keys = last.groupBy("source").agg(F.max(F.struct("key", "tied", "some")).alias("c"))
+    cuts = at_place.join(keys, F.col("c_source").eqNullSafe(F.col("source")), "left").select("c_source", "c_slot", F.col("c.key").alias("cut_key"), "c.tied", "c.some")
     return stage(rates.join(cuts, F.col("source").eqNullSafe(F.col("c_source")), "left").drop("c_source"), "mix-plan")
 
 
@@ -142,21 +151,33 @@ def _with(sized: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def with_copies(sized: DataFrame, plan: DataFrame) -> DataFrame:
-    """Adds copies (int) and the plan's source_size and target to rows that `measured` made."""
+    """Adds copies (int) and the plan's source_size and target to rows that `measured` made.
+
+    Of rows that are alike at the cut some may be taken and some not: such a group becomes one row, which is
+    repeated, so that no group is ranked.
+    """
     t = _with(sized, plan).withColumn("odds", _odds()).withColumn("place", _place())
-    more = F.col("odds").isNotNull() & (
-        F.col("c_slot").isNull() | (F.col("place") < F.col("c_slot")) | ((F.col("place") == F.col("c_slot")) & (_key() <= F.col("cut_key")))
-    )
-    return t.withColumn("copies", (F.col("certain") + F.coalesce(more, F.lit(False)).cast("int")).cast("int"))
+    at_cut = F.col("place") == F.col("c_slot")
+    more = F.col("odds").isNotNull() & (F.col("c_slot").isNull() | (F.col("place") < F.col("c_slot")) | (at_cut & (_key() <= F.col("cut_key"))))
+    copies = lambda more: (F.col("certain") + F.coalesce(more, F.lit(False)).cast("int")).cast("int")
+    if plan.where("some < tied").isEmpty():
+        return t.withColumn("copies", copies(more))
+    parted = F.coalesce(at_cut & (_key() == F.col("cut_key")) & (F.col("some") < F.col("tied")), F.lit(False))
+    kept = [c for c in t.columns if c not in ("source", "mix_row")]
+    alike = t.where(parted).groupBy("source", "mix_row").agg(*[F.first(c).alias(c) for c in kept])
+    alike = alike.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("tied").cast("int")))).withColumn("copies", copies(F.col("nth") <= F.col("some")))
+    return t.where(~parted).withColumn("copies", copies(more)).unionByName(alike.drop("nth"))
 
 
 def mix_report(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """docs (id_col, source, text) -> doc_id, size, source_size, target, taken, copies.
 
-    Null and empty texts have size 0 and take nothing; a null source is a source, the last one;
-    rows that repeat an id are ranked alike, by size.  An empty table gives an empty result.
+    Null and empty texts have size 0 and take nothing; a null source is a source, the last one.  Ids may be
+    null or repeat: rows are ranked by id and text, and of rows that are alike in both as many are taken as
+    the target leaves room for.  Equal odds are ordered by id, null last, and size.  Texts are read whole, however
+    long.  An empty table gives an empty result; other columns are not read and may have any name.
     """
-    sized = measured(docs.select(F.col(id_col).alias("mix_id"), "source", "text"), "mix_id").drop("text")
+    sized = measured(docs.select(F.col(id_col).alias("mix_id"), "source", "text")).drop("text")
     sized = stage(sized, "mix-sizes")
     out = with_copies(sized, mix_plan(sized, **how))
     return out.select(
@@ -166,13 +187,12 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """docs -> the mix: each row as many times as its copies, with the same columns.
+    """docs -> the mix: each row as many times as its copies, with the same columns, whatever their names.
 
     The texts are scanned twice and not shuffled: the plan is small and says for each row how
-    many copies it gets.
+    many copies it gets.  Odd rows are as in `mix_report`.
     """
-    columns = docs.columns
-    sized = measured(docs.withColumn("mix_id", F.col(id_col)), "mix_id")
-    plan = mix_plan(stage(sized.select("mix_id", "source", "mix_size", "mix_class", "mix_u"), "mix-sizes"), **how)
+    sized = measured(packed(docs, mix_id=F.col(id_col), source=F.col("source"), text=F.col("text"))).drop("text")
+    plan = mix_plan(stage(sized.drop("own"), "mix-sizes"), **how)
     out = with_copies(sized, plan).where("copies > 0")
-    return out.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)
+    return out.select("own", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("own.*")

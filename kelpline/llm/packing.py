@@ -9,6 +9,7 @@ the planned slots by joining on their rank within their length.
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -23,6 +24,7 @@ from kelpline.llm.common import map_texts, stage
 
 CAPACITY = 4096
 END_ID = 1
+PART_ROWS = 1_000_000  # pieces that are ranked in one part, about
 PLAN_SCHEMA = "p_length int, first_rank long, last_rank long, first_sequence long, p_offset int"
 
 
@@ -35,7 +37,19 @@ def _tokenizer(path: str):
 
 #: Words whose ids a Python worker keeps; then it starts anew.
 KNOWN_WORDS = 1_000_000
-_known: dict[bytes, bytes] = {}
+_known: dict[str, dict[bytes, bytes]] = {}  # by tokenizer
+#: What a tokenizer splits a text into if it may be given one word at a time, lower-cased.
+BY_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def drops_space_and_case(tok) -> bool:
+    """Whether the tokenizer lower-cases, drops white space and splits by the pattern BY_WORDS."""
+    spec = json.loads(tok.to_str())
+    steps = (spec["normalizer"] or {}).get("normalizers", [spec["normalizer"] or {}])
+    first = (spec["pre_tokenizer"] or {}).get("pretokenizers", [spec["pre_tokenizer"] or {}])[0]
+    lower = [n.get("type") for n in steps] in (["NFC", "Replace", "Lowercase"], ["NFC", "Lowercase"], ["Lowercase"])
+    dropped = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert")
+    return bool(lower and dropped and first["pattern"].get("Regex") == BY_WORDS and spec["post_processor"] is None)
 
 
 SIGNS = b".,;:!?%&$#*"
@@ -54,30 +68,31 @@ def encode_words(words: list[bytes], tok, at_once: int = 2000) -> list[bytes]:
     return out
 
 
-def token_bytes(texts: list[bytes], tok) -> list[bytes]:
+def token_bytes(texts: list[bytes], tok, path: str = "", by_words: bool | None = None) -> list[bytes]:
     """Each text's ids, little-endian unsigned 32-bit.
 
-    The tokenizer drops white space, so a text's ids are those of its words one after another,
-    and words recur: each is encoded once.  It also lower-cases, so ASCII case is dropped
-    before.  Texts that may hold a special token's string are encoded as they are.
+    If the tokenizer drops white space, a text's ids are those of its words one after another,
+    and words recur: each is encoded once.  If it also lower-cases, ASCII case is dropped
+    before.  Texts that may hold a special token's string are encoded as they are, as are all texts of other tokenizers.
+    path: names the tokenizer whose words are kept.
     """
+    whole = lambda t: np.array(tok.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+    if not (drops_space_and_case(tok) if by_words is None else by_words):
+        return [whole(t) for t in texts]
+    known = _known.setdefault(path, {})
     words = [None if b"<|" in t else t.lower().split() for t in texts]
     used = set().union(*[own for own in words if own])
-    fresh = used.difference(_known)
-    if len(_known) + len(fresh) > KNOWN_WORDS:
-        _known.clear()
+    fresh = used.difference(known)
+    if len(known) + len(fresh) > KNOWN_WORDS:
+        known.clear()
         fresh = used
     # A run of closing signs after an ASCII letter or digit is a token of its own.
     stems = {w: w.rstrip(SIGNS) for w in fresh}
     cut = {w: stem for w, stem in stems.items() if len(stem) < len(w) and stem[-1:].isalnum()}
-    whole = (fresh - cut.keys()).union(cut.values(), [w[len(stem) :] for w, stem in cut.items()]).difference(_known)
-    _known.update(zip(whole, encode_words(list(whole), tok), strict=True))
-    _known.update({w: _known[stem] + _known[w[len(stem) :]] for w, stem in cut.items()})
-    return [
-        b"".join(map(_known.__getitem__, own)) if own is not None
-        else np.array(tok.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-        for t, own in zip(texts, words, strict=True)
-    ]
+    new = (fresh - cut.keys()).union(cut.values(), [w[len(stem) :] for w, stem in cut.items()]).difference(known)
+    known.update(zip(new, encode_words(list(new), tok), strict=True))
+    known.update({w: known[stem] + known[w[len(stem) :]] for w, stem in cut.items()})
+    return [b"".join(map(known.__getitem__, own)) if own is not None else whole(t) for t, own in zip(texts, words, strict=True)]
 
 
 def _pieces(path: str, capacity: int, end_id: int):
@@ -86,9 +101,10 @@ def _pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         tok = _tokenizer(path)
+        by_words = drops_space_and_case(tok)
         for batch in batches:
             out: list[tuple] = []
-            ids = token_bytes([t or b"" for t in batch.column(2).to_pylist()], tok)
+            ids = token_bytes([t or b"" for t in batch.column(2).to_pylist()], tok, path, by_words)
             for doc, row, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ids, strict=True):
                 own += end
                 for k, at in enumerate(range(0, len(own), step)):
@@ -164,7 +180,8 @@ def pack(
 
     A document is the ids of its whole text and then end_id; null counts as empty.  Documents
     over the capacity are cut into full pieces and a rest.  Equal lengths take their slots in
-    the order (doc_id, row, piece); ids may be null or repeat, each row is packed by itself.
+    the order (doc_id, row, piece); ids may be null or repeat, each row is packed by itself.  An
+    empty table gives an empty result; other columns are not read and may have any name.
     tokenizer: path of a tokenizers JSON file, found on every executor.
     """
     spark = docs.sparkSession
@@ -175,7 +192,7 @@ def pack(
         "pieces",
     )
     # Ranks within a length: lengths are split by a hash, so that a common length is no hot key.
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pieces.count() // PART_ROWS))
     cut = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "row", "piece"), F.lit(n)))
     tally = stage(cut.groupBy("length", "part").agg(F.count("*").alias("n")), "tally")
     before = tally.select(

@@ -124,10 +124,14 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", rows: int = TRAIN_ROWS) -> QualityModel:
-    """docs (id_col, text), labels (id_col, label 0/1: only rows to learn from) -> the model."""
+    """docs (id_col, text), labels (id_col, label 0/1: only rows to learn from) -> the model.
+
+    Labels other than 0 and 1 and rows of a null id teach nothing; an id of two labels or two rows teaches each; null
+    texts count as empty ones.  Other columns of docs are not read and may have any name.
+    """
     known = stage(labels.select(F.col(id_col).alias("l_id"), F.col("label").cast("int").alias("label")).where("label in (0, 1) and l_id is not null").distinct(), "labels")
     sample = bounded_sample(known, rows, "l_id")  # of bounded size, so it may be broadcast
-    own = docs.join(F.broadcast(sample), F.col(id_col) == F.col("l_id"))
+    own = docs.select(F.col(id_col).alias("id"), "text").join(F.broadcast(sample), F.col("id") == F.col("l_id"))
     got = map_texts(own, ["label"], _statistics, "label int, own array<double>").toPandas()
     x = np.array(got["own"].tolist(), np.float64).reshape(len(got), len(NAMES))
     order = np.lexsort([*x.T, got["label"].to_numpy()])  # the order of arrival does not matter
@@ -147,7 +151,8 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id")
     """docs (id_col, text) -> (doc_id, score): 0 to 1, higher is likelier good.
 
     Null scores as the empty text; whole texts are read; each row of a repeated id is scored;
-    with no labels, or labels of one kind, all scores are the smoothed share of good labels.
+    with no labels, or labels of one kind, all scores are the smoothed share of good labels.  An empty
+    table gives an empty result; other columns are not read and may have any name.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), "text")
     return map_texts(own, ["doc_id"], _scores(model), "doc_id long, score double")

@@ -104,7 +104,7 @@ SQL: dict[str, str] = {
     "op1_pareto_mixing": r"""
         WITH sized AS (
             SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-                   (('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5)
+                   (('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT::DOUBLE + 0.5)
                    / 4503599627370496.0 AS u
             FROM documents
         ), classed AS (
@@ -186,7 +186,7 @@ SQL: dict[str, str] = {
         ), links AS (
             SELECT a, count(*) AS n FROM pairs GROUP BY a
         )
-        SELECT v.vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, c = v.vec_id AS kept
+        SELECT v.vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, coalesce(c = v.vec_id, true) AS kept
         FROM v JOIN component ON component.a = v.vec_id LEFT JOIN links ON links.a = v.vec_id
     """,
     "op7_bucket_pointer_repeats": r"""

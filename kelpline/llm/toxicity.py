@@ -1,8 +1,8 @@
 """Toxicity: a counterfactual-regularised classifier.
 
 Logistic regression on which words, and which word beginnings, a text holds.  Besides the loss on
-the labels, training penalises the change of the score when identity terms in a labelled
-sentence are swapped for others or left out (Garg et al., "Counterfactual Fairness in Text
+the labels, training penalises the change of the score when the identity terms of a labelled
+text are swapped for others of their language or left out (Garg et al., "Counterfactual Fairness in Text
 Classification", 2019), so that a neutral mention of a group does not count as toxic.
 
 The vocabulary is chosen from document counts that Spark sums over the training rows; the
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,15 +32,37 @@ BEGINNING = 5  # characters of a word's beginning that make a feature of their o
 L2, FAIRNESS, POSITIVE, STEPS, RATE = 2e-4, 5.0, 3.0, 300, 0.05
 THRESHOLD = 0.5
 
-#: Mentions of groups, which say nothing of a text's tone.
-IDENTITY_TERMS = (
-    "women", "woman", "men", "man", "girls", "boys", "gay", "lesbian", "straight", "transgender", "muslim", "muslims",
-    "christian", "christians", "jewish", "jews", "hindu", "buddhist", "atheist", "black", "white", "asian", "latino",
-    "african", "european", "american", "immigrant", "immigrants", "refugee", "refugees", "disabled", "deaf", "blind",
-    "elderly", "young", "old", "femmes", "hommes", "frauen", "mujeres", "hombres",
-)
-
-_TERMS = frozenset(t.encode() for t in IDENTITY_TERMS)
+#: Mentions of groups, which say nothing of a text's tone, by language.
+IDENTITY_TERMS = {
+    "en": (
+        "women", "woman", "men", "man", "girls", "boys", "gay", "lesbian", "straight", "transgender", "muslim", "muslims",
+        "christian", "christians", "jewish", "jews", "hindu", "buddhist", "atheist", "black", "white", "asian", "latino",
+        "african", "european", "american", "immigrant", "immigrants", "refugee", "refugees", "disabled", "deaf", "blind",
+        "elderly", "young", "old",
+    ),
+    "fr": (
+        "femmes", "femme", "hommes", "homme", "filles", "garçons", "lesbienne", "musulman", "musulmans", "chrétien", "chrétiens", "juif",
+        "juifs", "hindou", "bouddhiste", "athée", "noirs", "blancs", "asiatique", "africain", "européen", "américain", "immigré", "immigrés",
+        "réfugié", "réfugiés", "handicapé", "sourd", "aveugle",
+    ),
+    "de": (
+        "frauen", "frau", "männer", "mann", "mädchen", "jungen", "schwul", "lesbisch", "muslime", "moslem", "christen", "juden", "jüdisch",
+        "buddhisten", "atheisten", "schwarze", "weiße", "asiaten", "afrikaner", "europäer", "amerikaner", "einwanderer", "flüchtling",
+        "flüchtlinge", "behinderte", "gehörlose", "blinde",
+    ),
+    "es": (
+        "mujeres", "mujer", "hombres", "hombre", "chicas", "chicos", "lesbiana", "musulmán", "musulmanes", "cristiano", "cristianos", "judío",
+        "judíos", "hindú", "budista", "ateo", "negros", "blancos", "asiático", "africano", "europeo", "americano", "inmigrante", "inmigrantes",
+        "refugiado", "refugiados", "discapacitado", "sordo", "ciego",
+    ),
+}
+#: Counterfactual texts of a labelled one: each mention replaced by another term of its language, and all left out.
+SWAPS = 3
+
+_GROUPS = [[t.encode() for t in own] for own in IDENTITY_TERMS.values()]
+TERMS = sorted({t for own in _GROUPS for t in own})
+_GROUP_OF = {t: own for own in reversed(_GROUPS) for t in own}
+_TERMS = frozenset(TERMS)
 _WORD = re.compile(rb"[a-z\x80-\xff]+")
 
 
@@ -49,6 +72,25 @@ def features(text: bytes) -> set[bytes]:
     return words | {b"%b*" % w[:BEGINNING] for w in words - _TERMS if len(w) > BEGINNING}
 
 
+def counterfactuals(text: bytes, swaps: int = SWAPS) -> list[bytes]:
+    """The text with its identity terms swapped for others of their language, and without them; none if it has none.
+
+    Which term comes for which is drawn from the text, so that reruns agree.
+    """
+    low = text.lower()
+    if _TERMS.isdisjoint(_WORD.findall(low)):
+        return []
+    seed, out = zlib.crc32(low), []
+    for k in range(swaps):
+
+        def other(found: re.Match, k: int = k) -> bytes:
+            own = _GROUP_OF.get(found[0])
+            return found[0] if own is None else own[(own.index(found[0]) + 1 + (seed + 7919 * k) % (len(own) - 1)) % len(own)]
+
+        out.append(_WORD.sub(other, low))
+    return [*out, _WORD.sub(lambda found: b"" if found[0] in _TERMS else found[0], low)]
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
     weights: dict[bytes, float]
@@ -60,15 +102,24 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def _rows_of(index: dict[bytes, int] | None):
+def _known_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [list(features(t or b"")) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.binary()))], ["label", "own"])
+
+
+def _rows_of(index: dict[bytes, int]):
+    """Of each text the features of the vocabulary, and those of its counterfactuals."""
+    known = index.keys()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(t or b"") for t in batch.column(1).to_pylist()]
-            if index is None:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(f) for f in found], pa.list_(pa.binary()))], ["label", "own"])
-            else:
-                own = [sorted(index[x] for x in index.keys() & f) for f in found]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int32()))], ["label", "own"])
+            texts = [t or b"" for t in batch.column(1).to_pylist()]
+            own = [sorted(index[x] for x in known & features(t)) for t in texts]
+            swapped = [[sorted(index[x] for x in known & features(c)) for c in counterfactuals(t)] for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(own, pa.list_(pa.int32())), pa.array(swapped, pa.list_(pa.list_(pa.int32())))], ["label", "own", "swapped"]
+            )
 
     return run
 
@@ -79,8 +130,8 @@ def vocabulary(train: DataFrame, size: int = VOCABULARY) -> list[bytes]:
     n1 = sum(r.n for r in counts if r.label == 1)
     n0 = sum(r.n for r in counts if r.label == 0)
     if not n0 or not n1:
-        return [t.encode() for t in IDENTITY_TERMS]
-    each = map_texts(train, [F.col("label").cast("int").alias("label")], _rows_of(None), "label int, own array<binary>")
+        return list(TERMS)
+    each = map_texts(train, [F.col("label").cast("int").alias("label")], _known_features, "label int, own array<binary>")
     docs = each.select("label", F.explode("own").alias("feature")).groupBy("feature").agg(
         F.sum("label").cast("double").alias("c1"), F.sum(1 - F.col("label")).cast("double").alias("c0")
     ).where(F.col("c1") + F.col("c0") >= LEAST_DOCS)
@@ -94,7 +145,7 @@ def vocabulary(train: DataFrame, size: int = VOCABULARY) -> list[bytes]:
         part(F.col("c1"), n1, nf) + part(F.col("c0"), n0, nf) + part(n1 - F.col("c1"), n1, n - nf) + part(n0 - F.col("c0"), n0, n - nf)
     )
     best = docs.select("feature", gain.alias("gain")).orderBy(F.desc("gain"), "feature").limit(size)
-    return list(dict.fromkeys([bytes(r.feature) for r in best.collect()] + [t.encode() for t in IDENTITY_TERMS]))
+    return list(dict.fromkeys([bytes(r.feature) for r in best.collect()] + TERMS))
 
 
 def best_cut(z: np.ndarray, y: np.ndarray) -> float:
@@ -110,53 +161,82 @@ def best_cut(z: np.ndarray, y: np.ndarray) -> float:
     return float(z[k] + z[k - 1]) / 2
 
 
-def fit(rows: list[list[int]], labels: np.ndarray, names: list[bytes], fairness: float = FAIRNESS, positive: float = POSITIVE) -> ToxicityModel:
-    """Adam on the mean loss (toxic rows weighing `positive`) + L2 + fairness * mean squared change of the score's logit under swaps.
+class Sparse:
+    """Rows of a few ones: their columns one after another."""
+
+    def __init__(self, rows: list[list[int]], width: int) -> None:
+        self.at = np.concatenate([np.empty(0, np.int64), *[np.asarray(r, np.int64) for r in rows]])
+        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        self.n, self.width = len(rows), width
 
-    Of a swap of one identity term a for b the logit changes by w[a] - w[b]; for a term left
-    out by w[a].  The penalty weighs the terms by how many training rows mention them, one
-    mention being assumed of each, so that unseen terms are held near 0 as well.  Last, the bias
-    is moved so that a score of 0.5 separates the training rows best; that changes no swap.
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.at], self.n)
+
+    def back(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.at, v[self.row], self.width)
+
+
+def loss(w: np.ndarray, b: float, x: Sparse, y: np.ndarray, swapped: Sparse, of: np.ndarray, fairness: float, positive: float) -> tuple[float, np.ndarray, float]:
+    """The loss and its gradient by w and b.
+
+    Mean log loss, toxic rows weighing `positive`, + L2 + fairness * mean squared difference of the logits of each
+    counterfactual text and of the labelled text that it is made `of`.
+    """
+    z = b + x.times(w)
+    p, weight = 1 / (1 + np.exp(-np.clip(z, -40, 40))), np.where(y == 1, positive, 1.0)
+    gap = (p - y) * weight / x.n
+    value = float((weight * np.where(y == 1, -np.log(p + 1e-300), -np.log1p(-p + 1e-300))).mean() + L2 * w @ w)
+    g = x.back(gap) + 2 * L2 * w
+    if swapped.n:
+        change = swapped.times(w) - (z - b)[of]
+        value += fairness * float((change * change).mean())
+        pull = 2 * fairness * change / swapped.n
+        g += swapped.back(pull) - x.back(np.bincount(of, pull, x.n))
+    return value, g, float(gap.sum())
+
+
+def fit(
+    rows: list[list[int]], labels: np.ndarray, names: list[bytes], swapped: list[list[list[int]]] | None = None, fairness: float = FAIRNESS, positive: float = POSITIVE
+) -> ToxicityModel:
+    """Adam on `loss`; swapped: for each row the features of its counterfactuals.
+
+    Last, the bias is moved so that a score of 0.5 separates the training rows best; that changes no swap.
     """
     if not len(labels) or labels.min() == labels.max():
         share = float(labels.mean()) if len(labels) else 0.0
         return ToxicityModel({}, math.log((share + 1e-3) / (1 - share + 1e-3)))
-    at = np.concatenate([np.asarray(r, np.int64) for r in rows])
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    size, n, y = len(names), len(rows), labels.astype(np.float64)
-    index = {f: k for k, f in enumerate(names)}
-    terms = np.array([index[t.encode()] for t in IDENTITY_TERMS if t.encode() in index], np.int64)
-    mentions = np.bincount(at, minlength=size)[terms] + 1.0
-    mentions /= mentions.sum()
+    size, y = len(names), labels.astype(np.float64)
+    swapped = swapped or [[] for _ in rows]
+    x, of = Sparse(rows, size), np.repeat(np.arange(len(rows)), [len(s) for s in swapped])
+    others = Sparse([c for own in swapped for c in own], size)
     w, b = np.zeros(size), math.log(y.mean() / (1 - y.mean()))
-    weight = np.where(y == 1, positive, 1.0)
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, STEPS + 1):
-        z = b + np.bincount(row, w[at], n)
-        gap = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * weight / n
-        g = np.bincount(at, gap[row], size) + 2 * L2 * w
-        if len(terms):
-            own = w[terms]
-            mean = own.mean()
-            # Half the swaps are for another term, half leave the term out.
-            g[terms] += fairness * mentions * ((own - mean) + own)
-        g = np.append(g, gap.sum())
+        _, g, gb = loss(w, b, x, y, others, of, fairness, positive)
+        g = np.append(g, gb)
         m = 0.9 * m + 0.1 * g
         v = 0.999 * v + 0.001 * g * g
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         w, b = w - move[:-1], b - float(move[-1])
-    b -= best_cut(b + np.bincount(row, w[at], n), y)
-    return ToxicityModel({f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-3}, float(b))
+    b -= best_cut(b + x.times(w), y)
+    return ToxicityModel({f: float(c) for f, c in zip(names, w, strict=True) if abs(c) > 1e-3}, float(b))
 
 
-def train_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", rows: int = TRAIN_ROWS) -> ToxicityModel:
-    """docs (id_col, text), labels (id_col, label 0/1: only rows to learn from) -> the model."""
+def train_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", rows: int = TRAIN_ROWS, fairness: float = FAIRNESS) -> ToxicityModel:
+    """docs (id_col, text), labels (id_col, label 0/1: only rows to learn from) -> the model.
+
+    Labels other than 0 and 1 and rows of a null id teach nothing; an id of two labels or two rows teaches each; null
+    texts count as empty ones.  Without labels of both kinds the score is their smoothed share.  Other columns of
+    docs are not read and may have any name.
+    """
     known = stage(labels.select(F.col(id_col).alias("l_id"), F.col("label").cast("int").alias("label")).where("label in (0, 1) and l_id is not null").distinct(), "labels")
     sample = bounded_sample(known, rows, "l_id")  # of bounded size, so it may be broadcast
-    train = stage(docs.join(F.broadcast(sample), F.col(id_col) == F.col("l_id")).select("label", "text"), "toxicity-train")
+    own = docs.select(F.col(id_col).alias("id"), "text")
+    train = stage(own.join(F.broadcast(sample), F.col("id") == F.col("l_id")).select("label", "text"), "toxicity-train")
     names = vocabulary(train)
-    own = map_texts(train, ["label"], _rows_of({f: k for k, f in enumerate(names)}), "label int, own array<int>").toPandas()
-    return fit([list(r) for r in own["own"]], own["label"].to_numpy(np.int64), names)
+    index = {f: k for k, f in enumerate(names)}
+    got = map_texts(train, ["label"], _rows_of(index), "label int, own array<int>, swapped array<array<int>>").toPandas()
+    return fit([list(r) for r in got["own"]], got["label"].to_numpy(np.int64), names, [[list(c) for c in r] for r in got["swapped"]], fairness)
 
 
 def _scores(model: ToxicityModel):
@@ -169,13 +249,18 @@ def _scores(model: ToxicityModel):
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id") -> DataFrame:
-    """docs -> (doc_id, score): 0 to 1, higher is likelier toxic; null scores as the empty text."""
+    """docs (id_col, text) -> (doc_id, score): 0 to 1, higher is likelier toxic.
+
+    Null scores as the empty text; whole texts are read, however long; each row of a repeated id is scored.
+    An empty table gives an empty result; other columns are not read and may have any name.
+    """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), "text")
     return map_texts(own, ["doc_id"], _scores(model), "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows whose score is under the threshold, as they were; a null text scores as the empty one."""
+    """The rows whose score is under the threshold, as they were, with all their columns; a null text scores as
+    the empty one, each row of a repeated id is judged by itself, whole texts are read, however long."""
     prepare(docs.sparkSession)
 
     @F.pandas_udf("double")

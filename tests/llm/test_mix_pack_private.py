@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kelpline.llm import pii
 from kelpline.llm.mixing import mix, mix_report
@@ -31,6 +32,18 @@ def test_mixing_reaches_targets(spark, odd_docs, no_docs):
     assert mix(odd_docs).columns == odd_docs.columns
 
 
+def test_rows_that_are_alike_reach_the_target(spark):
+    """A third of all rows have no id, and of another source all rows are one row repeated."""
+    rows = [(i, f"w{i} " * 20, "a", i) for i in range(600)] + [(None, f"w{i} " * 20, "b", i) for i in range(600)] + [(7, "same " * 10, "c", 1)] * 600
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, target long")
+    got, report = mix(df), mix_report(df)
+    assert got.columns == df.columns and report.count() == 1800
+    words = {r.source: r.n for r in got.groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()}
+    assert words == pytest.approx({"a": 24_000, "b": 14_000, "c": 7_000}, abs=20)
+    taken = {r.target: r.n for r in report.groupBy("target").agg(F.sum("taken").alias("n")).collect()}
+    assert sorted(taken.values()) == sorted(words.values()) and report.where("taken > 2 * size").isEmpty()
+
+
 def test_long_documents_are_preferred(spark):
     df = spark.createDataFrame([(i, " ".join(["w"] * (4 if i % 2 else 400)), f"s{i % 3}") for i in range(1200)], "doc_id long, text string, source string")
     out = mix_report(df).toPandas()
@@ -86,6 +99,18 @@ def test_token_ids_of_odd_texts():
     assert token_bytes([t.encode() for t in odd], tok) == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in odd]
 
 
+def test_other_tokenizers_are_given_whole_texts():
+    public = pytest.importorskip("public_tokenizers")
+    from kelpline.llm.packing import _tokenizer, drops_space_and_case, token_bytes
+
+    paths = [str(public.path(n)) for n in ("word_bpe_49k.json", "byte_bpe_50k.json")]
+    texts = ["Hello  World, it's 5%!", " lead", "HELLO world"]
+    for path in (*paths, *paths):  # one worker serves both
+        tok = _tokenizer(path)
+        assert token_bytes([t.encode() for t in texts], tok, path) == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert [drops_space_and_case(_tokenizer(p)) for p in paths] == [True, False]
+
+
 def test_surrogates_keep_form_and_coreference(spark, odd_docs, no_docs):
     rows = [
         (1, "Write to Und.34@mail7.example.com or UND.34@MAIL7.EXAMPLE.COM, call +1 (017) 555-7713 or (017) 555-7713."),

@@ -63,7 +63,7 @@ def copies_of(rows):
             p = e - math.floor(e)
             out[r.doc_id] = math.floor(e)
             if p > 0:
-                u = (int(hashlib.md5(f"mix-1:{r.doc_id}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+                u = (int(hashlib.md5(f"mix-1:{r.doc_id}:{hashlib.md5((r.text or '').encode()).hexdigest()}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
                 order.append(((u / (1 - u)) / (p / (1 - p)), r.doc_id))
         through = 0
         for _, i in sorted(order):
