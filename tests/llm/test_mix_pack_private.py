@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -127,11 +128,11 @@ def test_surrogates_keep_form_and_coreference(spark, odd_docs, no_docs):
     assert a[6] == "+1" and a[7:9] == [a[10], a[11].rstrip(".")] and a[7][0] == "("
     assert out[2].n_entities == 6 and out[2].n_female == 1 and out[2].n_male == 2 and "Smith" not in out[2].text
     man = out[2].text.split(" met Mr ")[1].split(".")[0]
-    assert out[2].text.count(man) == 2 and man.split()[0] in pii.MALE
+    assert out[2].text.count(man) == 2 and len(man.split()) == 2
     cards = out[2].text.split("paid ")[1].split(", or ")
     assert cards[0].replace(" ", "") == cards[1].split(";")[0] and cards[0] != "4532 0151 1283 0366"
     assert len(out[3].text) == len(rows[2][1]) + len("".join(out[3].text.split()[4:7])) - len("".join(rows[2][1].split()[4:7])) and out[3].n_ip == 2 and "version 1.2.3" in out[3].text
-    assert out[4].n_female_cyrillic == 1 and out[4].n_male_cyrillic == 1 and out[4].text.split()[1] in pii.FEMALE_CYRILLIC
+    assert out[4].n_female_cyrillic == 1 and out[4].n_male_cyrillic == 1 and "Ольга" not in out[4].text
     assert out[5].text == rows[4][1] and out[5].n_entities == 0
     odd = pii.replace_private(odd_docs).collect()
     assert sorted((str(r.text) for r in odd)) == sorted(str(r.text) for r in odd_docs.collect()) and pii.replace_private(no_docs).count() == 0
@@ -139,7 +140,7 @@ def test_surrogates_keep_form_and_coreference(spark, odd_docs, no_docs):
 
 def test_surrogates_are_distinct_and_new(spark):
     names = [f"Mr Name{a}{b} Surname" for a in "abcdefghijklmnop" for b in "abcdefghijklmnopqrstuvwxyz"]
-    names = [n.replace("Name", "N") for n in names] + ["Mr Adam Berg", "Mr Bruno Klein"]
+    names = [n.replace("Name", "N") for n in names] + ["Mr Adam Berg", "Mr Bruno Klein"]  # names of the lists are entities here
     df = spark.createDataFrame(list(enumerate(names)), "doc_id long, text string")
     out = [r.text for r in pii.replace_private(df).collect()]
     assert len(set(out)) == len(names) and not set(out) & set(names)
@@ -152,3 +153,70 @@ def test_surrogates_are_distinct_and_new(spark):
 def test_plans_without_python(spark, odd_docs):
     for df in (mix(odd_docs), mix_report(odd_docs), pii.replace_private(odd_docs)):
         assert "Python" not in df._jdf.queryExecution().toString() and "Arrow" not in df._jdf.queryExecution().toString()
+
+
+def test_people_are_the_same_by_parts_of_their_names(spark):
+    rows = [
+        (1, "Mr John Smith met Mrs Anna Smith. Mr Smith left; John Smith stayed, Johnny did not."),
+        (2, "Later Mr Smith wrote to Madame Jones. Smithson and John Smithe are others."),
+        (3, "John Smith has no title here."),
+    ]
+    out = {r.doc_id: r for r in pii.replace_private(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    words = out[1].text.replace(";", "").replace(",", "").replace(".", "").split()
+    john, smith, anna = words[1], words[2], words[5]
+    assert words == ["Mr", john, smith, "met", "Mrs", anna, smith, "Mr", smith, "left", john, smith, "stayed", "Johnny", "did", "not"]
+    assert len({john, smith, anna, "John", "Smith", "Anna"}) == 6 and out[1].n_male == 3 and out[1].n_female == 1
+    assert out[2].text.startswith(f"Later Mr {smith} wrote to Madame ") and out[2].text.endswith(". Smithson and John Smithe are others.")
+    assert out[3].text == rows[2][1]
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10
+
+
+def test_surrogates_against_brute_force(spark):
+    """Generated texts whose entities are known: a mapping that is one to one, of the same form, and nothing else changes."""
+    rng = random.Random(12)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    lower = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+
+    def card():
+        d = digits(15)
+        return d + str((10 - luhn(d + "0")) % 10)
+
+    makers = {
+        "email": lambda: f"{lower(5)}.{digits(2)}@{lower(6)}.com", "card": card, "ssn": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+        "ip": lambda: f"{rng.randint(1, 99)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}",
+        "ipv6": lambda: ":".join(f"{rng.randrange(4096, 65536):x}" for _ in range(8)), "key": lambda: f"sk-{lower(12)}{digits(12)}",
+        "iban": lambda: f"DE{digits(2)} {digits(4)} {digits(4)} {digits(4)} {digits(4)} {digits(2)}",
+    }
+    pool = [(k, make()) for k, make in makers.items() for _ in range(12)]
+    rows, used = [], []
+    for i in range(80):
+        own = [rng.choice(pool) for _ in range(rng.randint(0, 6))]
+        rows.append((i, "Begin, " + "".join(f"the item <{e}> and " for _, e in own) + "end."))
+        used.append(own)
+    out = {r.doc_id: r for r in pii.replace_private(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {}
+    for (i, _), own in zip(rows, used, strict=True):
+        new = re.findall("<(.*?)>", out[i].text)
+        assert re.sub("<.*?>", "<>", out[i].text) == "Begin, " + "the item <> and " * len(own) + "end." and len(new) == len(own) == out[i].n_entities
+        for (kind, e), x in zip(own, new, strict=True):
+            assert found.setdefault((kind, e), x) == x and x != e
+    assert len(set(found.values())) == len(found) > 50 and not set(found.values()) & {e for _, e in pool}
+    for (kind, e), x in found.items():
+        if kind in ("card", "ssn", "iban", "ipv6", "key"):
+            assert re.sub("[0-9a-f]" if kind == "ipv6" else "[0-9]", "0", re.sub("[g-z]", "0", re.sub("[a-z]", "0", x))) == re.sub("[0-9a-z]", "0", e)
+        if kind == "card":
+            assert luhn(x) == 0
+        if kind == "iban":
+            plain = x.replace(" ", "")
+            assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+        if kind == "key":
+            assert x.startswith("sk-")
+
+
+def test_many_mentions_in_one_text(spark):
+    text = " ".join(f"{k % 256}.{k // 256}.7.9," for k in range(16_000)) + " token = 'x'\x01\x01"
+    out = pii.replace_private(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert out.n_ip == 16_000 and len(set(out.text.split()[:16_000])) == 16_000 and out.text.endswith(" token = 'x'\x01\x01")
