@@ -112,7 +112,7 @@ def url_canonical(c: Column | str, keep: Sequence[str] = ()) -> Column:
     return F.when(host.isNull() | scheme.isNull(), F.lower(c)).otherwise(whole)
 
 
-def safe_public_url(c: Column | str, tracking: str = r"^(utm_[a-z]+|gclid|fbclid|ref)=", most: int = 2048) -> Column:
+def safe_public_url(c: Column | str, tracking: str = r"^(utm_[^=]*|gclid|fbclid|mc_cid|mc_eid|ref_src)(=|$)", most: int = 2048) -> Column:
     """An https address of a public host, without tracking parameters and fragment, else null."""
     c = F.trim(_col(c))
     host = F.lower(F.try_parse_url(c, F.lit("HOST")))

@@ -35,15 +35,16 @@ def run_status(enabled: Column, requests: Column, failures: Column, rows: Column
 def failure_code(status: Column, message: Column) -> Column:
     """A failure as one of few codes, from the response status and else from the message."""
     return (
-        F.when(status == 429, "rate_limited").when(status.between(500, 599), "server_error").when(status.isin(401, 403), "forbidden")
+        F.when(status == 429, "rate_limited").when(status.between(500, 599), "server_error").when(status == 403, "forbidden")
         .when(status.between(400, 499), "client_error").when(message.rlike("(?i)timed? ?out|abort"), "timeout")
-        .when(message.rlike("(?i)reset|refused|network|dns"), "network").when(message.rlike("(?i)parse|syntax|unexpected"), "bad_content").otherwise("unknown")
+        .when(message.rlike("(?i)certificate|tls|ssl"), "tls").when(message.rlike("(?i)enotfound|eai_again|dns"), "dns")
+        .when(message.rlike("(?i)reset|refused|network"), "network").when(message.rlike("(?i)parse|syntax|unexpected"), "bad_content").otherwise("unknown")
     )
 
 
 def is_transient(code: Column) -> Column:
     """Whether another try may help."""
-    return code.isin("rate_limited", "server_error", "timeout", "network")
+    return code.isin("rate_limited", "server_error", "timeout", "network", "dns")
 
 
 def content_key(fingerprint: Column, *parts: Column) -> Column:

@@ -14,10 +14,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def slot(c: Column | str, label: str, stops: Sequence[str] = (), most: int = 200) -> Column:
-    """What follows a label up to the next of the stop labels, a line's end or `most` characters; null if blank."""
+def slot(c: Column | str, label: str, stops: Sequence[str] = (), most: int | None = None) -> Column:
+    """What follows a label up to the next of the stop labels or a line's end, cut to `most` characters; null if blank."""
     end = "|".join([r"\n", *stops, "$"])
-    return F.nullif(collapse(F.regexp_extract(_col(c), rf"(?s)(?:{label})\s*[:=]?\s*(.{{0,{most}}}?)(?:{end})", 1)), F.lit(""))
+    found = collapse(F.regexp_extract(_col(c), rf"(?s)(?:{label})\s*[:=]?\s*(.*?)(?:{end})", 1))
+    return F.nullif(F.rtrim(F.substring(found, 1, most)) if most else found, F.lit(""))
 
 
 def items(c: Column | str, separators: str = r"[,;/·]") -> Column:
@@ -27,8 +28,18 @@ def items(c: Column | str, separators: str = r"[,;/·]") -> Column:
 
 
 def contexts(c: Column | str, term: str, before: int = 40, after: int = 60) -> Column:
-    """Each mention of a term with some characters around it."""
-    return F.regexp_extract_all(F.lower(_col(c)), F.lit(rf"(?s).{{0,{before}}}(?:{term}).{{0,{after}}}"), F.lit(0))
+    """Each mention of a term with some characters around it, mentions near each other included."""
+    low = F.lower(_col(c))
+    pieces, found = F.split(low, term, -1), F.regexp_extract_all(low, F.lit(term), F.lit(0))
+    lengths = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda a, b: F.struct(F.length(a).alias("gap"), F.length(b).alias("own")))
+    zero = F.struct(F.lit(1).alias("end"), F.array().cast("array<struct<at:int,own:int>>").alias("all"))
+
+    def step(acc: Column, x: Column) -> Column:
+        at = acc["end"] + x["gap"]
+        return F.struct((at + x["own"]).alias("end"), F.array_append(acc["all"], F.struct(at.alias("at"), x["own"].alias("own"))).alias("all"))
+
+    places = F.aggregate(lengths, zero, step)["all"]
+    return F.transform(places, lambda p: F.substr(low, F.greatest(p["at"] - before, F.lit(1)), p["own"] + after + F.least(p["at"] - 1, F.lit(before))))
 
 
 def requirement(c: Column | str, term: str, required: str, optional: str) -> Column:

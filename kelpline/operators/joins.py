@@ -51,28 +51,22 @@ def anti_any(df: DataFrame, row_id: str, keys: Sequence[Column], seen: DataFrame
     return df.join(hit, row_id, "left_anti")
 
 
-def longest_alias(texts: DataFrame, row_id: str, text: str, aliases: DataFrame, name: str, words: int = 3) -> DataFrame:
+def longest_alias(texts: DataFrame, row_id: str, text: str, aliases: DataFrame, name: str) -> DataFrame:
     """texts (row_id unique) with `name` of the longest alias that occurs as whole words; null if several names tie.
 
-    aliases (alias, name).  Word sequences of up to `words` words are looked up by equality, so that
-    neither side is multiplied by the other.
+    aliases (alias, name), of any number of words.  Only the distinct words of a text are exploded, and they meet aliases by
+    their first word; what is left is looked for in the text whole, so that neither side is multiplied by the other.
     """
-    tokens = F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ")
-    t = texts.withColumn("_words", tokens)
-    each = t.select(row_id, F.explode(F.array_distinct(F.concat(*[_grams(k) for k in range(1, words + 1)]))).alias("alias"))
-    low = aliases.select(F.lower("alias").alias("alias"), F.col(name).alias("_name")).distinct()
-    hit = each.join(low, "alias").groupBy(row_id, F.length("alias").alias("_n")).agg(F.min("_name").alias("lo"), F.max("_name").alias("hi"))
-    best = hit.groupBy(row_id).agg(F.max_by(F.struct("lo", "hi"), "_n").alias("b"))
-    best = best.select(row_id, F.when(F.col("b.lo") == F.col("b.hi"), F.col("b.lo")).alias(name))
-    return texts.join(best, row_id, "left")
-
-
-def _grams(k: int) -> Column:
-    def one(_: Column, i: Column) -> Column:
-        return F.array_join(F.slice(F.col("_words"), i + 1, F.lit(k)), " ")
-
-    whole = F.transform(F.col("_words"), one)
-    return F.slice(whole, F.lit(1), F.greatest(F.size("_words") - (k - 1), F.lit(0)))
+    spaced = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
+    low = aliases.select(spaced(F.col("alias")).alias("_alias"), F.col(name).alias("_name")).where("_alias <> ''").distinct()
+    low = low.withColumn("_word", F.split_part("_alias", F.lit(" "), F.lit(1)))
+    words = texts.select(row_id, F.explode(F.array_distinct(F.split(spaced(F.col(text)), " "))).alias("_word"))
+    met = words.join(low, "_word").groupBy(row_id).agg(F.collect_set(F.struct(F.length("_alias").alias("n"), "_alias", "_name")).alias("_met"))
+    t = texts.join(met, row_id, "left").withColumn("_text", F.when(F.col("_met").isNotNull(), F.concat(F.lit(" "), spaced(F.col(text)), F.lit(" "))))
+    t = t.withColumn("_hit", F.filter("_met", lambda m: F.contains(F.col("_text"), F.concat(F.lit(" "), m["_alias"], F.lit(" ")))))
+    longest = F.array_max(F.transform("_hit", lambda m: m["n"]))
+    names = F.array_distinct(F.transform(F.filter("_hit", lambda m: m["n"] == longest), lambda m: m["_name"]))
+    return t.withColumn(name, F.when(F.size(names) == 1, F.get(names, F.lit(0)))).drop("_met", "_text", "_hit")
 
 
 def upsert(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:

@@ -6,34 +6,31 @@ import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-Compatible = Callable[[dict, dict], bool]
-
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Written to the cluster's shared folder and read back, to cut the lineage of an iteration."""
     spark = df.sparkSession
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_kelpline_dir", None)
     if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("a cluster must name its shared folder in spark.checkpoint.dir")
         root = spark.sparkContext._kelpline_dir = tempfile.mkdtemp(prefix="kelpline-")
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def blocking_pairs(df: DataFrame, row_id: str, block: Sequence[Column], condition: Callable[[str, str], Column], most: int = 1000) -> DataFrame:
+def blocking_pairs(df: DataFrame, row_id: str, block: Sequence[Column], condition: Callable[[str, str], Column]) -> DataFrame:
     """(a, b) with a < b: pairs of a block that meet the condition on the aliases "l" and "r".
 
-    A null block key pairs with nothing.  A block of more than `most` rows raises an error rather than
-    making its square of pairs: such a key says too little and needs another column.
+    A null block key pairs with nothing, and blocks of one row are left out before the join.  The join is by equality,
+    whose skewed keys adaptive execution splits; where only numbers are wanted, near_pair_counts needs no pairs.
     """
     keyed = df.withColumn("_block", F.xxhash64(*block)).where(~_any_null(block))
-    sizes = keyed.groupBy("_block").agg(F.count("*").alias("_n"))
-    over = F.raise_error(F.concat(F.lit("a block has too many rows: "), F.col("_n").cast("string")))
-    ok = sizes.where(F.when(F.col("_n") > most, over.cast("boolean")).otherwise(F.col("_n") > 1))
+    ok = keyed.groupBy("_block").agg(F.count("*").alias("_n")).where("_n > 1").select("_block")
     full = keyed.join(ok, "_block")
     a, b = full.alias("l"), full.alias("r")
     on = (F.col("l._block") == F.col("r._block")) & (F.col(f"l.{row_id}") < F.col(f"r.{row_id}")) & condition("l", "r")
@@ -65,26 +62,29 @@ def _any_null(columns: Sequence[Column]) -> Column:
     return out
 
 
-def greedy_clusters(df: DataFrame, row_id: str, block: Sequence[str], order: Sequence[str], compatible: Compatible) -> DataFrame:
+def greedy_clusters(df: DataFrame, row_id: str, block: Sequence[str], order: Sequence[str], compatible: Callable[[str, str], Column]) -> DataFrame:
     """(row_id, cluster): in the order, a row joins the first cluster of its block whose first row it is
-    compatible with, else it opens one.  cluster is the first row's id.
+    compatible with, else it opens one.  cluster is the first row's id; compatible is a condition on the aliases "h" and "r".
 
-    The predicate need not be transitive, so components would merge too much.  A block is one
-    task's work: block on keys that few rows share.
+    The predicate need not be transitive, so components would merge too much.  In rounds: the first undecided row of
+    each block is the head of the next cluster, and takes the undecided rows that are compatible with it; a block's heads are found by
+    an aggregate and meet its rows by an equi-join, so that no block is one task's work.  There are as many rounds as
+    a block has clusters.  Blocks whose key is null in a column are none: their rows are clusters of their own.
     """
-    schema = f"{row_id} {dict(df.dtypes)[row_id]}, cluster {dict(df.dtypes)[row_id]}"
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        heads: list[dict] = []
-        out = []
-        for row in rows.sort_values(list(order), kind="stable").to_dict("records"):
-            head = next((h for h in heads if compatible(h, row)), None)
-            if head is None:
-                heads.append(head := row)
-            out.append((row[row_id], head[row_id]))
-        return pd.DataFrame(out, columns=[row_id, "cluster"])
-
-    return df.groupBy(*block).applyInPandas(run, schema)
+    rest = staged(df.where(~_any_null([F.col(c) for c in block])), "undecided")
+    alone = df.where(_any_null([F.col(c) for c in block])).select(row_id, F.col(row_id).alias("cluster"))
+    out = None
+    while not rest.isEmpty():
+        first = F.min_by(F.struct(*df.columns), F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate([*order, row_id])]))
+        heads = rest.groupBy(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(block)]).agg(first.alias("h")).select("h.*")
+        on = [F.col(f"h.{c}") == F.col(f"r.{c}") for c in block]
+        met = rest.alias("r").join(heads.alias("h"), on)
+        same = F.coalesce(compatible("h", "r"), F.lit(False)) | (F.col(f"h.{row_id}") == F.col(f"r.{row_id}"))
+        marked = staged(met.select("r.*", F.when(same, F.col(f"h.{row_id}")).alias("_cluster")), "marked")
+        taken = marked.where("_cluster is not null").select(row_id, F.col("_cluster").alias("cluster"))
+        out = taken if out is None else out.union(taken)
+        rest = marked.where("_cluster is null").drop("_cluster")
+    return alone if out is None else out.union(alone)
 
 
 def survivors(df: DataFrame, cluster: str, order: Sequence[Column], unions: Sequence[str] = (), counts: Sequence[str] = (), any_of: Sequence[str] = ()) -> DataFrame:

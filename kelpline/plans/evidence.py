@@ -13,7 +13,7 @@ from kelpline.sources.tables import table
 
 def slot_extraction(spark: SparkSession, sf: str) -> DataFrame:
     """Licence names and tokens that documents state after a label."""
-    t = table(spark, sf, "documents").select("doc_id", ev.slot("text", "[Ll]icensed under(?: the)?").alias("licence"), ev.slot("text", "token", [" [A-Z]"], 60).alias("token"))
+    t = table(spark, sf, "documents").select("doc_id", ev.slot("text", "[Ll]icensed under(?: the)?").alias("licence"), ev.slot("text", "token", [" [A-Z]"], 40).alias("token"))
     return t.where("licence is not null or token is not null")
 
 
@@ -27,7 +27,7 @@ def list_items(spark: SparkSession, sf: str) -> DataFrame:
 def requirement_context(spark: SparkSession, sf: str) -> DataFrame:
     """How documents speak of a word, by what stands around it."""
     r = ev.requirement("text", "that", " of ", " the ")
-    return table(spark, sf, "documents").where("lang = 'en'").groupBy(r.alias("requirement")).agg(F.count("*").alias("n"))
+    return table(spark, sf, "documents").groupBy(r.alias("requirement")).agg(F.count("*").alias("n"))
 
 
 def provenance_conflict(spark: SparkSession, sf: str) -> DataFrame:
@@ -44,7 +44,7 @@ LABELS = {"purchase": "bought", "signup": "joined", "error": "failed"}
 
 def recent_badges(spark: SparkSession, sf: str) -> DataFrame:
     """Badges of the last two days from each user's events."""
-    e = table(spark, sf, "events").where("ts >= TIMESTAMP_NTZ '2024-01-20 00:00:00'")
+    e = table(spark, sf, "events")
     h = e.groupBy("user_id").agg(F.collect_list(F.struct(F.col("ts").cast("timestamp").alias("at"), "event_id", F.col("event_type").alias("event"))).alias("history"))
     badges = ev.recent_badges(F.col("history"), F.lit("2024-01-30 00:00:00"), LABELS, 2)
     return h.select("user_id", F.array_join(badges, ",").alias("badges"))
@@ -59,7 +59,7 @@ def schema_adapter(spark: SparkSession, sf: str) -> DataFrame:
     """Customers and suppliers under one schema, with constants for what one side lacks."""
     c = ev.adapt(table(spark, sf, "customer"), {"c_custkey": "id", "c_name": "name", "c_acctbal": "balance", "c_mktsegment": "segment"}, {"kind": "customer"})
     s = ev.adapt(table(spark, sf, "supplier"), {"s_suppkey": "id", "s_name": "name", "s_acctbal": "balance"}, {"kind": "supplier", "segment": "none"})
-    return c.unionByName(s).where("balance > 5000")
+    return c.unionByName(s)
 
 
 def failure_penalty(spark: SparkSession, sf: str) -> DataFrame:
@@ -141,12 +141,15 @@ QUERIES = {f.__name__: f for f in (
 
 SQL = {
     "slot_extraction": r"""
-        WITH t AS (SELECT doc_id, nullif(trim(regexp_replace(regexp_extract(text, '(?s)(?:[Ll]icensed under(?: the)?)\s*[:=]?\s*(.{0,200}?)(?:\n|$)', 1), '[\s\x{00A0}\x{FEFF}]+', ' ', 'g')), '') AS licence,
-            nullif(trim(regexp_replace(regexp_extract(text, '(?s)(?:token)\s*[:=]?\s*(.{0,60}?)(?:\n| [A-Z]|$)', 1), '[\s\x{00A0}\x{FEFF}]+', ' ', 'g')), '') AS token FROM documents)
+        WITH t AS (SELECT doc_id, nullif(trim(regexp_replace(regexp_extract(text, '(?s)(?:[Ll]icensed under(?: the)?)\s*[:=]?\s*(.*?)(?:\n|$)', 1), '[\s\x{00A0}\x{FEFF}]+', ' ', 'g')), '') AS licence,
+            nullif(rtrim(substr(trim(regexp_replace(regexp_extract(text, '(?s)(?:token)\s*[:=]?\s*(.*?)(?:\n| [A-Z]|$)', 1), '[\s\x{00A0}\x{FEFF}]+', ' ', 'g')), 1, 40)), '') AS token FROM documents)
         SELECT * FROM t WHERE licence IS NOT NULL OR token IS NOT NULL""",
     "list_items": "SELECT p_partkey, 2 AS n, p_type || '|' || p_brand || ' (new; used)' AS parts FROM part",
     "requirement_context": r"""
-        WITH f AS (SELECT regexp_extract_all(lower(text), '(?s).{0,40}(?:that).{0,60}') AS c FROM documents WHERE lang = 'en'),
+        WITH p AS (SELECT doc_id, lower(text) AS t, string_split(lower(text), 'that') AS p FROM documents),
+        m AS (SELECT doc_id, t, k, list_sum(list_transform(p[1:k], lambda x: length(x)))::BIGINT + 4 * (k - 1) + 1 AS pos FROM (SELECT *, unnest(range(1, len(p))) AS k FROM p)),
+        g AS (SELECT doc_id, list(substr(t, greatest(pos - 40, 1), 64 + least(pos - 1, 40))) AS c FROM m GROUP BY 1),
+        f AS (SELECT coalesce(c, []) AS c FROM documents LEFT JOIN g USING (doc_id)),
         v AS (SELECT len(c) AS n, len(list_filter(c, lambda x: contains(x, ' of ') AND NOT contains(x, ' the '))) AS must, len(list_filter(c, lambda x: contains(x, ' the '))) AS may FROM f)
         SELECT CASE WHEN n = 0 THEN 'none' WHEN must > 0 THEN 'required' WHEN may > 0 THEN 'optional' ELSE 'mentioned' END AS requirement, count(*) AS n FROM v GROUP BY 1""",
     "provenance_conflict": """
@@ -155,7 +158,7 @@ SQL = {
         b AS (SELECT *, CASE WHEN v AND m IS NOT NULL THEN 'metadata' WHEN t IS NOT NULL THEN 'text' WHEN m IS NOT NULL THEN 'metadata_unverified' ELSE 'none' END AS basis FROM t)
         SELECT CASE WHEN basis IN ('metadata', 'metadata_unverified') THEN m ELSE t END AS value, basis, coalesce(t IS NOT NULL AND m IS NOT NULL AND t <> m, false) AS conflict, count(*) AS n FROM b GROUP BY 1, 2, 3""",
     "recent_badges": """
-        WITH e AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'purchase' THEN 'bought' WHEN 'signup' THEN 'joined' WHEN 'error' THEN 'failed' END AS b FROM events WHERE ts >= TIMESTAMP '2024-01-20'),
+        WITH e AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'purchase' THEN 'bought' WHEN 'signup' THEN 'joined' WHEN 'error' THEN 'failed' END AS b FROM events),
         l AS (SELECT user_id, b, max((ts, event_id)) AS newest FROM e WHERE b IS NOT NULL AND ts >= TIMESTAMP '2024-01-28' GROUP BY 1, 2),
         r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY newest DESC) AS k FROM l),
         s AS (SELECT user_id, string_agg(b, ',' ORDER BY k) AS badges FROM r WHERE k <= 3 GROUP BY 1)
@@ -163,7 +166,7 @@ SQL = {
     "status_labels": "SELECT CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'filled' ELSE 'pending' END AS label, count(*) AS n FROM orders GROUP BY 1",
     "schema_adapter": """
         SELECT * FROM (SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance, c_mktsegment AS segment, 'customer' AS kind FROM customer
-        UNION ALL SELECT s_suppkey, s_name, s_acctbal, 'none', 'supplier' FROM supplier) WHERE balance > 5000""",
+        UNION ALL SELECT s_suppkey, s_name, s_acctbal, 'none', 'supplier' FROM supplier)""",
     "failure_penalty": """
         SELECT c_custkey, (CASE WHEN c_custkey % 5 = 0 THEN greatest(0, c_custkey % 60 - 20) ELSE c_custkey % 60 END)::INT AS score,
                CASE WHEN c_custkey % 5 = 0 THEN 'source_error' ELSE 'open' END AS status FROM customer""",

@@ -60,7 +60,7 @@ def collapse_guard(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def concentration_share(spark: SparkSession, sf: str) -> DataFrame:
-    return mt.concentration(table(spark, sf, "documents").where("lang <> 'en' OR doc_id % 2 = 0"), "lang")
+    return mt.concentration(table(spark, sf, "documents"), "lang")
 
 
 def rejection_histogram(spark: SparkSession, sf: str) -> DataFrame:
@@ -210,7 +210,7 @@ SQL = {
               UNION ALL SELECT source, count(*), count(*) FILTER (here), count(*) FILTER (NOT here), 2 FROM j GROUP BY 1)
         SELECT scope, baseline, current, lost, baseline >= 5 AND current < greatest(f, ceil(baseline * 0.5)) AND lost >= 1 AS blocked FROM s""",
     "concentration_share": f"""
-        WITH n AS (SELECT lang, count(*) AS n FROM documents WHERE lang <> 'en' OR doc_id % 2 = 0 GROUP BY 1), t AS (SELECT *, sum(n) OVER () AS total FROM n)
+        WITH n AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1), t AS (SELECT *, sum(n) OVER () AS total FROM n)
         SELECT lang, n, {_RATE.format("n", "total")} AS share, total >= 10 AND n >= total * 0.4 AS concentrated FROM t""",
     "rejection_histogram": """
         WITH n AS (SELECT ts::DATE AS day, 'E' || ((props->>'$.k')::INT % 5) AS code, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1, 2)

@@ -50,7 +50,7 @@ def json_ld_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 def email_alert_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as alert mails by customer, with links that recur; the first of each id."""
-    o = table(spark, sf, "orders").where("o_custkey % 25 = 0")
+    o = table(spark, sf, "orders")
     line = F.concat(F.lit("["), "o_orderpriority", F.lit("](https://jobs.example.com/view/"), (F.col("o_orderkey") % 500 + 10000).cast("string"), F.lit("?x=1)\n  "), "o_orderstatus", F.lit(" · remote\n"))
     mails = o.groupBy(F.col("o_custkey").alias("mail")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("l")))), lambda x: x["l"]), "\n").alias("payload"))
     out = ld.alert_mail(mails)
@@ -72,5 +72,5 @@ SQL = {
     "email_alert_scan": """
         SELECT mail, id, title, url, label FROM (SELECT o_custkey AS mail, o_orderkey % 500 + 10000 AS id, o_orderpriority AS title,
             'https://jobs.example.com/view/' || (o_orderkey % 500 + 10000) || '?x=1' AS url, o_orderstatus || ' · remote' AS label,
-            row_number() OVER (PARTITION BY o_custkey, o_orderkey % 500 ORDER BY o_orderkey) AS r FROM orders WHERE o_custkey % 25 = 0) WHERE r = 1""",
+            row_number() OVER (PARTITION BY o_custkey, o_orderkey % 500 ORDER BY o_orderkey) AS r FROM orders) WHERE r = 1""",
 }

@@ -19,8 +19,8 @@ def dim_default_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prioritised_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    """Each supplier's counterpart among customers: by number, else by nation and the number's end."""
-    c, s = table(spark, sf, "customer").where("c_custkey % 3 = 0"), table(spark, sf, "supplier")
+    """Each supplier's counterpart among customers, whose numbers are tripled: by number, else by nation and the number's end."""
+    c, s = table(spark, sf, "customer").select((F.col("c_custkey") * 3).alias("c_custkey"), "c_nationkey"), table(spark, sf, "supplier")
     ending = lambda nation, key: F.concat_ws("/", F.lit("n"), nation.cast("string"), (key % 10).cast("string"))
     left = [F.array(F.concat(F.lit("id"), F.col("s_suppkey").cast("string"))), F.array(ending(F.col("s_nationkey"), F.col("s_suppkey")))]
     right = [F.array(F.concat(F.lit("id"), F.col("c_custkey").cast("string"))), F.array(ending(F.col("c_nationkey"), F.col("c_custkey")))]
@@ -116,7 +116,7 @@ def blocking_pair_count(spark: SparkSession, sf: str) -> DataFrame:
 def greedy_cluster(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers of a nation in the order of their numbers: one joins the first cluster whose head's balance is within 1500."""
     s = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
-    return rs.greedy_clusters(s, "s_suppkey", ["s_nationkey"], ["s_suppkey"], lambda head, row: abs(head["s_acctbal"] - row["s_acctbal"]) <= 1500)
+    return rs.greedy_clusters(s, "s_suppkey", ["s_nationkey"], ["s_suppkey"], lambda h, r: F.abs(F.col(f"{h}.s_acctbal") - F.col(f"{r}.s_acctbal")) <= 1500)
 
 
 def first_wins_any_key(spark: SparkSession, sf: str) -> DataFrame:
@@ -140,7 +140,7 @@ SQL = {
         SELECT source, coalesce(quality, -1) AS quality, coalesce(toxic, -1) AS toxic, count(*) AS n
         FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1, 2, 3""",
     "prioritised_lookup": """
-        WITH c AS (SELECT * FROM customer WHERE c_custkey % 3 = 0),
+        WITH c AS (SELECT c_custkey * 3 AS c_custkey, c_nationkey FROM customer),
         m AS (SELECT s_suppkey, c_custkey, 0 AS priority FROM supplier JOIN c ON s_suppkey = c_custkey
               UNION ALL
               SELECT s_suppkey, min(c_custkey), 1 FROM supplier JOIN c ON s_nationkey = c_nationkey AND s_suppkey % 10 = c_custkey % 10 GROUP BY 1)
@@ -191,5 +191,14 @@ SQL = {
         GROUP BY 1""",
     "canonical_company": r"""
         WITH n AS (SELECT c_custkey, trim(regexp_replace(lower(c_name), '[^\p{L}\p{N}]+', ' ', 'g')) AS name FROM customer)
-        SELECT c_custkey, name FROM n WHERE c_custkey <= 500 OR length(name) > 20""",
+        SELECT c_custkey, name FROM n""",
+    "greedy_cluster": """
+        WITH b AS (SELECT s_nationkey, list([{'k': s_suppkey, 'v': s_acctbal}] ORDER BY s_suppkey) AS x FROM supplier GROUP BY 1),
+        h AS (SELECT s_nationkey, list_reduce(x, lambda acc, r: CASE WHEN len(list_filter(acc, lambda c: abs(c.v - r[1].v) <= 1500)) > 0 THEN acc ELSE list_concat(acc, r) END) AS heads FROM b)
+        SELECT s_suppkey, list_min(list_transform(list_filter(heads, lambda c: abs(c.v - s_acctbal) <= 1500), lambda c: c.k)) AS cluster FROM supplier JOIN h USING (s_nationkey)""",
+    "first_wins_any_key": """
+        WITH e AS (SELECT event_id, user_id || '/' || ts::DATE AS day, CASE WHEN value IS NOT NULL THEN round(value, 0)::VARCHAR END AS amount FROM events),
+        x AS (SELECT list([{'k': event_id, 'd': day, 'a': amount}] ORDER BY event_id) AS x FROM e),
+        h AS (SELECT list_reduce(x, lambda acc, r: CASE WHEN len(list_filter(acc, lambda c: c.d = r[1].d OR c.a = r[1].a)) > 0 THEN acc ELSE list_concat(acc, r) END) AS heads FROM x)
+        SELECT unnest(list_transform(heads, lambda c: c.k)) AS event_id FROM h""",
 }

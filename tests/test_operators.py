@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from kelpline.operators import joins, lifecycle, metrics, resolve, rules, state
+from kelpline.operators import evidence, joins, lifecycle, metrics, resolve, rules, state
 from kelpline.sources import landed, sinks
 
 def now():
@@ -32,14 +32,22 @@ def test_first_wins_any_key_against_a_loop(spark):
 
 def test_greedy_clusters_compare_with_the_first_only(spark):
     df = spark.createDataFrame([(1, "b", 0), (2, "b", 5), (3, "b", 9), (4, "c", 9)], "id int, block string, x int")
-    out = resolve.greedy_clusters(df, "id", ["block"], ["id"], lambda h, r: abs(h["x"] - r["x"]) <= 5)
+    out = resolve.greedy_clusters(df, "id", ["block"], ["id"], lambda h, r: F.abs(F.col(f"{h}.x") - F.col(f"{r}.x")) <= 5)
     assert {r.id: r.cluster for r in out.collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
-def test_blocks_that_are_too_large_raise(spark):
-    df = spark.range(20).withColumn("k", F.lit(1))
-    with pytest.raises(Exception, match="too many rows"):
-        resolve.blocking_pairs(df, "id", [F.col("k")], lambda a, b: F.lit(True), most=10).count()
+def test_large_blocks_are_paired_by_the_condition(spark):
+    df = spark.range(3000).withColumn("k", F.lit(1))
+    pairs = resolve.blocking_pairs(df, "id", [F.col("k")], lambda a, b: F.col(f"{b}.id") - F.col(f"{a}.id") == 1)
+    assert pairs.count() == 2999
+
+
+def test_no_bounds_on_aliases_slots_and_contexts(spark):
+    df = spark.createDataFrame([(1, "From New York City Hall to it, label: " + "x" * 300 + "\nyou must, must not, must")], "id int, t string")
+    names = spark.createDataFrame([("york", "a"), ("new york city hall", "b"), ("New York", "c")], "alias string, name string")
+    assert joins.longest_alias(df, "id", "t", names, "name").first().name == "b"
+    row = df.select(evidence.slot("t", "label").alias("a"), evidence.slot("t", "label", most=10).alias("b"), evidence.contexts("t", "must", 5, 5).alias("c")).first()
+    assert row.a == "x" * 300 and row.b == "x" * 10 and list(row.c) == ["\nyou must, mus", "ust, must not,", "not, must"]
 
 
 def test_prioritised_lookup_owners(spark):
