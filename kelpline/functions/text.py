@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 #: White space as browsers see it; Java's \s lacks the no-break space and the byte order mark.
 SPACE = r"[\s\x{00A0}\x{FEFF}]+"
 
-#: Named references that feeds use; numeric ones are decoded by number.
+#: Named references that feeds use.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
 
 
@@ -37,12 +37,41 @@ def decode_entities(c: Column | str) -> Column:
     return out
 
 
+#: Letters with marks, by their reference.
+LETTERS = {
+    "agrave": "à", "aacute": "á", "acirc": "â", "auml": "ä", "aring": "å", "ccedil": "ç", "egrave": "è", "eacute": "é", "ecirc": "ê", "euml": "ë", "iacute": "í", "icirc": "î", "iuml": "ï",
+    "ntilde": "ñ", "ograve": "ò", "oacute": "ó", "ocirc": "ô", "ouml": "ö", "uacute": "ú", "ucirc": "û", "uuml": "ü", "szlig": "ß", "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’",
+    "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»", "middot": "·", "bull": "•", "euro": "€", "pound": "£", "copy": "©", "reg": "®", "trade": "™", "times": "×",
+}
+
+
+def decode_references(c: Column | str) -> Column:
+    """All references once: numbers in decimal and hexadecimal, letters with marks, and the named ones of decode_entities.
+
+    The text is cut at its references, each is decoded by itself, and what is none stays.
+    """
+    c, pattern = _col(c), r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]{2,8});"
+    found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    named = F.create_map(*[F.lit(x) for k, v in {**{f"&{k};": v for k, v in LETTERS.items()}, **dict(ENTITIES)}.items() for x in (k, v)])
+
+    def one(r: Column) -> Column:
+        digits = F.regexp_extract(r, "^&#([0-9]+);$", 1)
+        code = F.when(digits != "", digits.try_cast("long")).otherwise(F.conv(F.regexp_extract(r, "^&#[xX]([0-9a-fA-F]+);$", 1), 16, 10).try_cast("long"))
+        # A code point as UTF-32 in hexadecimal; surrogates and what lies beyond are no characters.
+        char = F.when(code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        return F.coalesce(named[r], F.when(r.startswith("&#"), char), r)
+
+    pieces = F.split(c, pattern, -1)
+    parts = F.zip_with(pieces, F.concat(F.transform(found, one), F.array(F.lit(""))), lambda a, b: F.concat(a, b))
+    return F.when(F.contains(c, F.lit("&")), F.array_join(parts, "")).otherwise(c)
+
+
 def html_to_text(c: Column | str) -> Column:
     """Visible text: scripts and styles go, tags become spaces, references are decoded."""
     out = F.regexp_replace(_col(c), r"(?is)<(script|style|svg|iframe|noscript)\b[^>]*>.*?</\1\s*>", " ")
     out = F.regexp_replace(out, r"(?s)<!--.*?-->", " ")
     out = F.regexp_replace(out, r"(?s)<[^>]*>", " ")
-    return collapse(decode_entities(out))
+    return collapse(decode_references(out))
 
 
 @F.pandas_udf(StringType())
