@@ -78,12 +78,14 @@ def reconcile(current: DataFrame, previous: DataFrame, key: str, now: Column, li
 
 
 def carry_missing(current: DataFrame, previous: DataFrame, key: str, now: Column, days: int = 14, closed: Sequence[str] = ("expired",)) -> DataFrame:
-    """Rows of previous that current lacks: archived_missing for `days` days since they went missing, then
+    """Rows of previous that current lacks: archived_missing, with a score of 0, for `days` days since they went missing, then
     gone; closed ones are never carried.  previous (key, status, missing_since)."""
     gone = previous.join(current.select(key).distinct(), key, "left_anti").where(~F.col("status").isin(*closed))
     since = F.coalesce(F.col("missing_since").cast("timestamp"), now.cast("timestamp"))
     event = F.when(F.col("missing_since").isNull(), "disappeared")
     gone = gone.withColumn("event", event).withColumn("missing_since", since).withColumn("status", F.lit("archived_missing"))
+    if "score" in gone.columns:
+        gone = gone.withColumn("score", F.lit(0).cast(gone.schema["score"].dataType))
     return gone.where(F.unix_millis(now.cast("timestamp")) - F.unix_millis("missing_since") <= days * DAY)
 
 
@@ -116,3 +118,24 @@ def feed_health(updated: Column, now: Column, stale_hours: int = 24, future_minu
     """invalid, future, stale or fresh."""
     age = F.unix_millis(now.cast("timestamp")) - F.unix_millis(updated.cast("timestamp"))
     return F.when(age.isNull(), "invalid").when(age < -future_minutes * 60_000, "future").when(age > stale_hours * 3_600_000, "stale").otherwise("fresh")
+
+
+def events_of(now: Column, checkpoint_days: int = 7) -> Column:
+    """All events of a row, in order, from prev_status, status, prev_scope, scope, prev_print, print, prev_freshness, freshness,
+    prev_evidence, evidence and last_event_at: what `event_of` says of status and content, and changes of scope and evidence.
+
+    A first sighting is one event alone; verified_unchanged comes only where nothing else does.
+    """
+    changed = lambda a, b: F.col(a).isNotNull() & ~F.col(a).eqNullSafe(F.col(b))
+    was, is_ = F.col("prev_status"), F.col("status")
+    back = (was == "archived_missing") & (is_ != "archived_missing")
+    healed, broke = (was == "source_error") & (is_ != "source_error"), (was != "source_error") & (is_ == "source_error")
+    exclusive = F.when(back, "reappeared").when(healed, "source_recovered").when(broke, "source_failed")
+    found = F.array_compact(F.array(
+        F.when(changed("prev_scope", "scope"), F.lit("scope_changed")), exclusive, F.when(changed("prev_print", "print"), F.lit("content_changed")),
+        F.when(changed("prev_freshness", "freshness"), F.lit("evidence_freshness_changed")), F.when(changed("prev_evidence", "evidence"), F.lit("evidence_state_changed")),
+        F.when(exclusive.isNull() & (was != is_), F.lit("status_changed")),
+    ))
+    quiet = F.col("last_event_at").isNull() | (days_between(now, F.col("last_event_at")) >= checkpoint_days)
+    none = F.array().cast("array<string>")
+    return F.when(was.isNull(), F.array(F.lit("first_seen"))).when(F.size(found) > 0, found).when(quiet, F.array(F.lit("verified_unchanged"))).otherwise(none)

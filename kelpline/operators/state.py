@@ -44,3 +44,27 @@ def quarantine(df: DataFrame, rules: Sequence[tuple[str, Column]]) -> tuple[Data
     bad = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules]))
     t = df.withColumn("reasons", bad)
     return t.where(F.size("reasons") == 0).drop("reasons"), t.where(F.size("reasons") > 0)
+
+
+def merge_storage(latest: DataFrame, before: DataFrame, after: DataFrame, ranks: Mapping[str, int], mode: str = "edit") -> DataFrame:
+    """Rows (area, item, value) of all of a user's areas, merged three ways.
+
+    In import mode an item of area states that both sides have keeps the value of the higher rank.  Last, what has lost
+    its ground goes: new marks of items that are reviewed, and reasons of items that are not hidden.
+    """
+    t = three_way_merge(latest, before, after, ["area", "item"])
+    if mode == "import":
+        mine = latest.where("area = 'states'").join(after.select("area", "item"), ["area", "item"], "left_semi")
+        both = rank_merge(t.where("area = 'states'").unionByName(mine), ["area", "item"], "value", ranks)
+        t = t.where("area <> 'states'").unionByName(both.select("area", "item", "value"))
+    of = lambda area: t.where(F.col("area") == area).select("item")
+    stale_new = of("new").join(of("reviewed"), "item", "left_semi").withColumn("area", F.lit("new"))
+    stale_reason = of("hidden_reasons").join(of("hidden"), "item", "left_anti").withColumn("area", F.lit("hidden_reasons"))
+    return t.join(stale_new.union(stale_reason), ["area", "item"], "left_anti")
+
+
+def accepted_backup(rows: DataFrame, rules: Sequence[tuple[str, Column]]) -> tuple[DataFrame, DataFrame]:
+    """(rows, report): a backup is taken whole or not at all; report (rule, n) of what is wrong with it."""
+    bad = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules]))
+    report = rows.select(F.explode(bad).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
+    return rows if report.isEmpty() else rows.limit(0), report

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from kelpline.functions import text as tx
 from kelpline.operators import changes as ch
 from kelpline.operators import details as dt
+from kelpline.operators import lifecycle as lc
+from kelpline.operators import state as st
 from kelpline.sources.tables import table
 
 NOW = "2001-01-01 00:00:00"
@@ -132,14 +134,54 @@ def refusal_codes(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy(code.alias("code"), dt.is_transient(code).alias("transient")).agg(F.count("*").alias("n"))
 
 
+def merged_storage(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers' areas of state, changed in two places at once, by an import: ranks decide and orphans go."""
+    k = F.col("c_custkey")
+    c = table(spark, sf, "customer")
+    rank = F.element_at(F.array(F.lit(""), F.lit("planned"), F.lit("applied")), (k % 3 + 1).cast("int"))
+    row = lambda when, area, value: c.where(when).select(F.lit(area).alias("area"), k.alias("item"), value.alias("value"))
+    one = F.lit("1")
+    before = row(k % 2 == 0, "states", F.lit("")).union(row(k % 5 == 0, "new", one)).union(row(k % 4 == 0, "hidden", one)).union(row(k % 8 == 0, "hidden_reasons", one))
+    latest = row(k % 2 == 0, "states", rank).union(row(k % 5 == 0, "new", one)).union(row(k % 7 == 0, "reviewed", one)).union(row(k % 4 == 0, "hidden", one)).union(row(k % 8 == 0, "hidden_reasons", one))
+    after = row(k % 6 != 1, "states", F.lit("planned")).union(row(k % 10 == 0, "new", one)).union(row(k % 12 == 0, "hidden", one)).union(row(k % 8 == 0, "hidden_reasons", one))
+    out = st.merge_storage(latest, before, after, {"": 0, "planned": 1, "applied": 2}, "import")
+    return out.groupBy("area", "value").agg(F.count("*").alias("n"), F.sum("item").alias("items"))
+
+
+def all_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders in two snapshots in which every input varies: all their events."""
+    k = F.col("o_orderkey")
+    pick = lambda xs, n: F.element_at(F.array(*[F.lit(x) for x in xs]), (n % len(xs) + 1).cast("int"))
+    t = table(spark, sf, "orders").select(
+        pick((None, "open", "source_error", "archived_missing", "open"), k).alias("prev_status"), pick(("open", "source_error", "closed"), F.expr("o_orderkey div 5")).alias("status"), pick((None, "a"), k).alias("prev_scope"),
+        pick(("a", "b"), F.expr("o_orderkey div 3")).alias("scope"), pick(("p", None, "q"), F.expr("o_orderkey div 2")).alias("prev_print"), F.lit("p").alias("print"), pick(("fresh", "aging"), F.expr("o_orderkey div 7")).alias("prev_freshness"),
+        F.lit("fresh").alias("freshness"), F.lit("x").alias("prev_evidence"), pick(("x", "x", "y"), F.expr("o_orderkey div 11")).alias("evidence"), F.when(k % 9 != 0, F.col("o_orderdate")).alias("last_event_at"),
+    )
+    return t.groupBy(F.array_join(lc.events_of(F.lit("2001-01-01 00:00:00")), ",").alias("events")).agg(F.count("*").alias("n"))
+
+
 QUERIES = {f.__name__: f for f in (
-    aging_evidence, rebased_histories, reviewed_again, geocode_worklist, cached_coordinates, batch_and_undo, converted_state, kept_history, rotating_details, source_tiers,
+    merged_storage, all_events, aging_evidence, rebased_histories, reviewed_again, geocode_worklist, cached_coordinates, batch_and_undo, converted_state, kept_history, rotating_details, source_tiers,
     guarded_recommendations, applied_feed, safe_addresses, refusal_codes,
 )}
 
 _CACHE = """cache AS (SELECT 'a' || s_suppkey * 3 AS address, CASE WHEN s_suppkey % 4 <> 0 THEN s_acctbal END AS lat, CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey::DOUBLE END AS lon, s_suppkey % 6 = 0 AS failed,
     CASE WHEN s_suppkey % 12 = 0 THEN TIMESTAMP '2000-11-01' WHEN s_suppkey % 18 = 6 THEN TIMESTAMP '2000-12-20' END AS checked_at FROM supplier)"""
 SQL = {
+    "merged_storage": """
+        WITH c AS (SELECT c_custkey AS k, (c_custkey % 3) AS r FROM customer),
+        s AS (SELECT k, CASE WHEN k % 2 = 0 AND k % 6 = 1 THEN NULL WHEN k % 2 = 0 THEN greatest(r, 1) WHEN k % 6 <> 1 THEN 1 END AS v FROM c),
+        m AS (SELECT 'states' AS area, ['', 'planned', 'applied'][v + 1] AS value, k FROM s WHERE v IS NOT NULL
+              UNION ALL SELECT 'new', '1', k FROM c WHERE k % 10 = 0 AND k % 7 <> 0 UNION ALL SELECT 'reviewed', '1', k FROM c WHERE k % 7 = 0
+              UNION ALL SELECT 'hidden', '1', k FROM c WHERE k % 12 = 0 UNION ALL SELECT 'hidden_reasons', '1', k FROM c WHERE k % 8 = 0 AND k % 12 = 0)
+        SELECT area, value, count(*) AS n, sum(k)::BIGINT AS items FROM m GROUP BY 1, 2""",
+    "all_events": """
+        WITH o AS (SELECT o_orderkey % 5 AS w, (o_orderkey // 5) % 3 AS s, o_orderkey % 2 = 1 AND (o_orderkey // 3) % 2 = 1 AS scope, (o_orderkey // 2) % 3 = 2 AS content, (o_orderkey // 7) % 2 = 1 AS fresh, (o_orderkey // 11) % 3 = 2 AS ev,
+            o_orderkey % 9 = 0 OR floor((epoch_ms(TIMESTAMP '2001-01-01') - epoch_ms(o_orderdate)) / 86400000) >= 7 AS quiet FROM orders),
+        x AS (SELECT *, CASE WHEN w = 3 THEN 'reappeared' WHEN w = 2 AND s <> 1 THEN 'source_recovered' WHEN w <> 2 AND s = 1 THEN 'source_failed' END AS e FROM o),
+        f AS (SELECT w, quiet, concat_ws(',', CASE WHEN scope THEN 'scope_changed' END, e, CASE WHEN content THEN 'content_changed' END, CASE WHEN fresh THEN 'evidence_freshness_changed' END, CASE WHEN ev THEN 'evidence_state_changed' END,
+            CASE WHEN e IS NULL AND w <> 2 AND s <> 0 THEN 'status_changed' END) AS l FROM x)
+        SELECT CASE WHEN w = 0 THEN 'first_seen' WHEN l <> '' THEN l WHEN quiet THEN 'verified_unchanged' ELSE '' END AS events, count(*) AS n FROM f GROUP BY 1""",
     "aging_evidence": f"""
         WITH o AS (SELECT ['fresh', 'aging', 'expired', 'unknown'][o_orderkey % 4 + 1] AS was, (o_orderkey % 3 + 1) * 400 AS m,
             CASE WHEN o_orderkey % 10 <> 0 THEN floor((epoch_ms(TIMESTAMP '{NOW}') - epoch_ms(o_orderdate)) / 86400000) END AS age FROM orders),

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+import os
+from collections.abc import Mapping
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,22 +17,36 @@ def _fs(spark: SparkSession, path: str):
 
 
 def write_version(df: DataFrame, root: str, run_id: str) -> None:
-    """Writes root/run_id=..., checks that it can be read, and points root/CURRENT.json at it by a rename.
+    """Writes root/run_id=..., checks that all rows can be read, and points root/CURRENT.json at it by one renaming that overwrites.
 
     A reader sees the old version or the new one; a failed write leaves the old one.
     """
     spark = df.sparkSession
     path = f"{root}/run_id={run_id}"
-    df.write.mode("overwrite").parquet(path)
-    spark.read.parquet(path).limit(1).count()
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+    back, wrote = spark.read.schema(df.schema).parquet(path).count(), seen.get["rows"]
+    if back != wrote:
+        raise OSError(f"{path} has {back} of {wrote} rows")
+    _point(spark, root, run_id)
+
+
+def _point(spark: SparkSession, root: str, run_id: str) -> None:
+    text = json.dumps({"run_id": run_id}).encode()
     fs, fresh = _fs(spark, f"{root}/CURRENT.{run_id}.tmp")
+    _, pointer = _fs(spark, f"{root}/CURRENT.json")
+    if fs.getUri().getScheme() == "file":  # whose Hadoop classes delete the old file before they rename
+        new, old = (Path(p.toUri().getPath()) for p in (fresh, pointer))
+        new.write_bytes(text)
+        os.replace(new, old)
+        return
     out = fs.create(fresh, True)
-    out.write(bytearray(json.dumps({"run_id": run_id}).encode()))
+    out.write(bytearray(text))
     out.close()
-    _, pointer = _fs(spark, f"{root}/CURRENT.json")
-    fs.delete(pointer, False)
-    if not fs.rename(fresh, pointer):
-        raise OSError(f"could not move {fresh} to {pointer}")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    how = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    how[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(fresh), fs.makeQualified(pointer), how)
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame | None:
@@ -47,9 +64,36 @@ def write_lines(df: DataFrame, path: str, order: list[str]) -> None:
     df.orderBy(*order).select(row).write.mode("overwrite").text(path)
 
 
-def commit_if_any(df: DataFrame, statuses: DataFrame, root: str, run_id: str) -> bool:
-    """Keep-last-good: nothing is written unless some source succeeded."""
+def commit_if_any(df: DataFrame, statuses: DataFrame, root: str, run_id: str, curated: DataFrame | None = None, key: str = "id") -> bool:
+    """Keep-last-good: nothing is written unless some source succeeded, or the curated rows (key, withdrawn) are others than the
+    current version's: a new one, or one withdrawn that it still holds."""
     if statuses.where("status in ('ok', 'partial')").isEmpty():
-        return False
+        if curated is None:
+            return False
+        current = read_current(df.sparkSession, root)
+        kept, gone = curated.where(~F.coalesce("withdrawn", F.lit(False))), curated.where("withdrawn")
+        if current is not None and kept.join(current, key, "left_anti").isEmpty() and gone.join(current, key, "left_semi").isEmpty():
+            return False
     write_version(df, root, run_id)
     return True
+
+
+def export_state(tables: Mapping[str, DataFrame], path: str, key: str = "id") -> None:
+    """User state as JSON lines in one total order, a folder for each table: what write_lines wrote can be read back."""
+    for name, df in tables.items():
+        write_lines(df, f"{path}/{name}", [key, *[c for c in df.columns if c != key]])
+
+
+def import_state(spark: SparkSession, path: str, schemas: Mapping[str, str]) -> dict[str, DataFrame]:
+    """The tables of an export; one whose folder lacks is empty."""
+    out = {}
+    for name, schema in schemas.items():
+        fs, folder = _fs(spark, f"{path}/{name}")
+        out[name] = spark.read.schema(schema).json(f"{path}/{name}") if fs.exists(folder) else spark.createDataFrame([], schema)
+    return out
+
+
+def save_cache(df: DataFrame, path: str, key: str) -> None:
+    """A keyed cache, sorted by its key: of rows of one key the last by every column stays."""
+    rest = [c for c in df.columns if c != key]
+    write_lines(df.groupBy(key).agg(F.max(F.struct(*rest)).alias("own")).select(key, "own.*"), path, [key])

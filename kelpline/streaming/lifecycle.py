@@ -14,6 +14,7 @@ from kelpline.operators.resolve import staged
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 OUT = "key long, at timestamp, event string, from_status string, to_status string"
 STATE = "status string, seen timestamp"
+FILE_ROWS = 1_000_000  # events in a file of a part, about
 
 
 def transitions(rows: DataFrame, silence_days: int = 14) -> DataFrame:
@@ -74,7 +75,7 @@ def sessions(rows: DataFrame, gap: str, delay: str = "1 day") -> DataFrame:
 
 
 def event_stream(spark: SparkSession, folder: str, batches: int = 1) -> DataFrame:
-    """The events table as a stream: of one file, or of `batches` files in the order of time."""
+    """The events table as a stream: as it is, or in `batches` parts in the order of time, each with more rows than files."""
     if batches == 1:
         return spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(folder)
     events = spark.read.parquet(f"{folder}/events.parquet")
@@ -84,9 +85,12 @@ def event_stream(spark: SparkSession, folder: str, batches: int = 1) -> DataFram
         part = part + (F.unix_micros(F.col("ts").cast("timestamp")) > edge).cast("int")
     parts = staged(events.withColumn("part", part), "event-parts")
     root = f"{parts.inputFiles()[0].rsplit('/', 1)[0]}-stream"
+    # Each part is as many files as the largest needs; the stream takes a part's files in one batch.
+    most = parts.groupBy("part").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    files = max(1, -(-most // FILE_ROWS))
     for k in range(1, batches + 1):
-        parts.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(root)
-    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(root)
+        parts.where(F.col("part") == k).drop("part").repartition(files).write.mode("append").parquet(root)
+    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files).parquet(root)
 
 
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:

@@ -131,3 +131,77 @@ def test_merge_is_idempotent(spark):
     df = spark.createDataFrame([(1, 1, 5), (1, 2, 7), (2, 3, 1)], "cluster int, id int, x int").withColumn("n", F.lit(1))
     step = lambda d: resolve.survivors(d, "cluster", [F.col("id")], counts=["n"]).select("cluster", "id", "x", "n")
     assert resolve.until_stable(df, step).count() == 2
+
+
+def test_curated_rows_are_reason_enough_to_write(spark, tmp_path):
+    root = str(tmp_path / "feed")
+    failed = spark.createDataFrame([("s", "error")], "source string, status string")
+    curated = lambda *rows: spark.createDataFrame(list(rows), "id long, withdrawn boolean")
+    sinks.write_version(spark.range(3), root, "r1")
+    assert not sinks.commit_if_any(spark.range(3), failed, root, "r2", curated((1, False), (9, True)))
+    assert sinks.commit_if_any(spark.range(4), failed, root, "r3", curated((3, False)))
+    assert sinks.commit_if_any(spark.range(3), failed, root, "r4", curated((3, True)))
+    assert sinks.read_current(spark, root).count() == 3
+
+
+def test_readers_see_a_version_at_any_time(spark, tmp_path):
+    import json
+    import threading
+
+    root, bad, done = tmp_path / "feed", [], threading.Event()
+    sinks.write_version(spark.range(1), str(root), "r0")
+
+    def read():
+        while not done.is_set():
+            try:
+                json.loads((root / "CURRENT.json").read_text())
+            except (OSError, ValueError) as e:
+                bad.append(e)
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    for k in range(1, 6):
+        sinks.write_version(spark.range(k), str(root), f"r{k}")
+    done.set()
+    reader.join()
+    assert not bad and sinks.read_current(spark, str(root)).count() == 5
+
+
+def test_state_and_caches_can_be_read_back(spark, tmp_path):
+    df = spark.createDataFrame([(2, "b"), (1, None), (3, "c")], "id long, value string")
+    sinks.export_state({"states": df}, str(tmp_path / "out"))
+    back = sinks.import_state(spark, str(tmp_path / "out"), {"states": "id long, value string", "none": "id long"})
+    assert sorted(tuple(r) for r in back["states"].collect()) == [(1, None), (2, "b"), (3, "c")] and back["none"].count() == 0
+    sinks.save_cache(spark.createDataFrame([("b", 1), ("a", 2), ("b", 3)], "address string, lat int"), str(tmp_path / "cache"), "address")
+    assert [r.value for r in spark.read.text(str(tmp_path / "cache")).collect()] == ['{"address":"a","lat":2}', '{"address":"b","lat":3}']
+
+
+def test_backups_are_taken_whole_or_not(spark):
+    df = spark.createDataFrame([(1, "x"), (2, None)], "id int, v string")
+    rows, report = state.accepted_backup(df, [("no value", F.col("v").isNull())])
+    assert rows.count() == 0 and [tuple(r) for r in report.collect()] == [("no value", 1)]
+    assert state.accepted_backup(df, [("id", F.col("id") < 0)])[0].count() == 2
+
+
+def test_functions_of_sql(spark):
+    from kelpline.functions.registered import register
+
+    register(spark)
+    html = '<script type="application/ld+json">[{"@type":"JobPosting","identifier":7,"title":"t","hiringOrganization":{"name":"c"}},{"@graph":[{"@type":"JobPosting","title":"u"}]}]</script><script type="application/ld+json">{</script>'
+    spark.createDataFrame([(html,), (None,)], "html string").createOrReplaceTempView("own_pages")
+    rows = spark.sql("SELECT j.* FROM own_pages, LATERAL json_ld_postings(html) j").collect()
+    assert [tuple(r) for r in rows] == [("7", "t", "c"), (None, "u", None)]
+    assert spark.sql("SELECT nfkc('ﬁ') AS a, html_unescape('&eacute;') AS b").first() == ("fi", "é")
+
+
+def test_other_helpers(spark):
+    from kelpline.operators import filters
+
+    df = spark.createDataFrame([(1, ["a"], "x"), (2, None, "a"), (3, ["b"], "a")], "id int, many array<string>, one string")
+    assert sorted(r.id for r in df.where(filters.member("many", "one")("a")).collect()) == [1, 2]
+    kept, lost = filters.split_by_reason(df, [("many", F.col("id") > 1), ("last", F.col("id") > 2)])
+    assert [r.id for r in kept.collect()] == [1] and {(r.id, r.reason) for r in lost.collect()} == {(2, "many"), (3, "many")}
+    out = landed.union_sources([("s", spark.createDataFrame([(0, "p")], "pos int, v string")), ("t", spark.createDataFrame([(0, "q")], "pos int, w string"))])
+    assert {(r.source, r.source_ord, r.row_ord, r.v, r.w) for r in out.collect()} == {("s", 0, 0, "p", None), ("t", 1, 0, None, "q")}
+    saved = spark.createDataFrame([("u", dt.datetime(2026, 1, 1, 10), 1), ("u", dt.datetime(2026, 1, 1, 11), 2), ("v", dt.datetime(2026, 1, 1, 1), 3)], "request string, saved_at timestamp, body int")
+    assert [tuple(r) for r in landed.cached_responses(saved, F.lit("2026-01-01 11:30:00"), 2).select("request", "body").collect()] == [("u", 2)]
