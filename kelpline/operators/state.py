@@ -68,3 +68,18 @@ def accepted_backup(rows: DataFrame, rules: Sequence[tuple[str, Column]]) -> tup
     bad = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules]))
     report = rows.select(F.explode(bad).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
     return rows if report.isEmpty() else rows.limit(0), report
+
+
+def duplicate_keys(df: DataFrame, key: str, rule: str = "unique") -> DataFrame:
+    """(key, rule) for keys that more than one row has, in the form of `violations`."""
+    return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key, F.lit(rule).alias("rule"))
+
+
+def summary_mismatches(df: DataFrame, summary: DataFrame, by: str, measures: Mapping[str, Column]) -> DataFrame:
+    """(by, measure, stated, found) where a stated summary (by, measure columns) is not what its rows add up to; a group that one
+    side lacks counts as 0 there."""
+    found = df.groupBy(by).agg(*[c.cast("double").alias(f"_{n}") for n, c in measures.items()])
+    t = summary.select(by, *[F.col(n).cast("double").alias(n) for n in measures]).join(found, by, "full")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    rows = F.array(*[F.when(zero(n) != zero(f"_{n}"), F.struct(F.lit(n).alias("measure"), zero(n).alias("stated"), zero(f"_{n}").alias("found"))) for n in measures])
+    return t.select(by, F.explode(F.array_compact(rows)).alias("m")).select(by, "m.*")

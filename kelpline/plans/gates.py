@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpline.operators import gates as gt
+from kelpline.operators import state as st
 from kelpline.sources.tables import table
 
 
@@ -155,14 +156,60 @@ def collated_order(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("name", F.row_number().over(Window.orderBy(F.collate("name", "UNICODE_CI"))).alias("place"))
 
 
+def feed_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """Postings against the rules of a feed: one key a row, known values, fields that imply others, bounds, forms, bounded arrays."""
+    k = F.col("o_orderkey")
+    t = _postings(spark, sf).withColumns({
+        "id": F.when(k % 50 == 0, k - 1).otherwise(k), "url": F.when(k % 31 == 0, "ftp://x").otherwise(F.concat(F.lit("https://x.example/"), k.cast("string"))), "rate": F.when(k % 37 == 0, 1.2).otherwise((k % 100) / 100),
+        "sources": F.when(k % 41 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("a"))), "tags": F.sequence(F.lit(1), (k % 14 + 1).cast("int")), "low": (k % 70).cast("double"), "high": F.when(k % 3 != 0, (k % 90).cast("double")),
+        "deadline_type": _pick(("fixed", "rolling", "unknown", "soon"), F.expr("o_orderkey div 4")), "deadline": F.when(k % 5 != 0, F.lit("2000-01-01").cast("date")),
+        "mode": _pick(("remote", "onsite"), k), "remote": k % 4 == 0, "print": F.when(k % 43 == 0, "zz").otherwise(F.sha2(k.cast("string"), 256)), "first": k % 60, "last": k % 61,
+    })
+    rules = [
+        ("eligibility", ~F.coalesce(F.col("eligibility").isin("korea", "worldwide", "unknown", "restricted"), F.lit(False))), ("status", F.col("status").isNotNull() & ~F.col("status").isin("open", "stale", "current_feed")),
+        ("score", ~F.col("score").between(0, 100)), ("url", ~F.col("url").rlike(r"^https://[^/\s]+\.[^/\s]+(/|$)")), ("rate", ~F.col("rate").between(0, 1)), ("sources", F.size("sources") == 0), ("tags", F.size("tags") > 12),
+        ("range", F.col("high") < F.col("low")), ("deadline_type", ~F.col("deadline_type").isin("fixed", "rolling", "unknown")), ("fixed_needs_date", (F.col("deadline_type") == "fixed") & F.col("deadline").isNull()),
+        ("date_needs_fixed", (F.col("deadline_type") != "fixed") & F.col("deadline").isNotNull()), ("remote_mode", F.col("remote") & (F.col("mode") != "remote")), ("print", ~F.col("print").rlike("^[0-9a-f]{64}$")),
+        ("restricted_score", (F.col("eligibility") == "restricted") & (F.col("score") > 19)), ("hard_eligible", (F.col("requirements") == "hard_check") & F.col("eligible")), ("seen_order", F.col("first") > F.col("last")),
+        ("evidence_words", F.col("role_evidence") & (F.size("keywords") == 0) & (F.col("category") == "other")), ("stale_recommended", (F.col("status") == "stale") & gt.recommended(3)),
+    ]
+    broken = st.violations(t, "id", rules).unionByName(st.duplicate_keys(t, "id"))
+    return broken.groupBy("rule").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
+def stated_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    """Summaries of orders by customer that are stated wrongly, are missing, or have no rows, against what the rows add up to."""
+    o = table(spark, sf, "orders")
+    n = o.groupBy("o_custkey").agg(F.count("*").alias("orders"), F.count_if(F.col("o_orderstatus") == "O").alias("open"))
+    k = F.col("o_custkey")
+    stated = n.where(k % 17 != 0).select(k, (F.col("orders") + F.when(k % 11 == 0, 1).otherwise(0)).alias("orders"), F.when(k % 13 != 0, F.col("open")).alias("open"))
+    stated = stated.union(spark.createDataFrame([(-1, 2, 0)], "k long, orders long, open long"))
+    return st.summary_mismatches(o, stated, "o_custkey", {"orders": F.count("*"), "open": F.count_if(F.col("o_orderstatus") == "O")})
+
+
 QUERIES = {f.__name__: f for f in (
-    recommendation_gate, source_gate, review_candidates, course_levels, unconfigured_source, host_sources, stable_descriptions, location_keys, pay_summaries,
+    feed_invariants, stated_summaries, recommendation_gate, source_gate, review_candidates, course_levels, unconfigured_source, host_sources, stable_descriptions, location_keys, pay_summaries,
     collection_report, market_gaps, search_collapse, relative_days, collated_order,
 )}
 
 _FIT = "CASE WHEN role_basis = 'public_institution' THEN coalesce(role_evidence, true) AND (word OR category NOT IN ('', 'other')) ELSE coalesce(role_evidence, {}) END"
 _OK = f"coalesce(eligible, true) AND {_FIT} AND score >= 20 AND coalesce(eligibility IN ('korea', 'worldwide'), false) AND coalesce(requirements, 'clear') <> 'hard_check' AND coalesce(status, '') <> 'stale'"
+_RULES = {
+    "eligibility": "eligibility IS NULL", "status": "false", "score": "score > 100", "url": "k % 31 = 0", "rate": "k % 37 = 0", "sources": "k % 41 = 0", "tags": "k % 14 + 1 > 12", "range": "k % 3 <> 0 AND k % 90 < k % 70",
+    "deadline_type": "d = 3", "fixed_needs_date": "d = 0 AND k % 5 = 0", "date_needs_fixed": "d <> 0 AND k % 5 <> 0", "remote_mode": "k % 4 = 0 AND k % 2 <> 0", "print": "k % 43 = 0",
+    "restricted_score": "eligibility = 'restricted' AND score > 19", "hard_eligible": "requirements = 'hard_check' AND eligible", "seen_order": "k % 60 > k % 61", "evidence_words": "role_evidence AND NOT word AND category = 'other'",
+    "stale_recommended": "false",
+}
 SQL = {
+    "feed_invariants": f"""
+        WITH {_POSTINGS}, q AS (SELECT *, o_orderkey AS k, (o_orderkey // 4) % 4 AS d, CASE WHEN o_orderkey % 50 = 0 THEN o_orderkey - 1 ELSE o_orderkey END AS id FROM p),
+        r AS ({" UNION ALL ".join(f"SELECT '{n}' AS rule, id FROM q WHERE {c}" for n, c in _RULES.items())} UNION ALL SELECT 'unique', id FROM q GROUP BY id HAVING count(*) > 1)
+        SELECT rule, count(*) AS n, sum(id)::BIGINT AS ids FROM r GROUP BY 1""",
+    "stated_summaries": """
+        WITH n AS (SELECT o_custkey, count(*) AS orders, count(*) FILTER (o_orderstatus = 'O') AS open FROM orders GROUP BY 1),
+        s AS (SELECT o_custkey, CASE WHEN o_custkey % 17 = 0 THEN 0 ELSE orders + (o_custkey % 11 = 0)::INT END AS so, orders, CASE WHEN o_custkey % 17 = 0 OR o_custkey % 13 = 0 THEN 0 ELSE open END AS sp, open FROM n
+              UNION ALL SELECT -1, 2, 0, 0, 0)
+        SELECT o_custkey, 'orders' AS measure, so::DOUBLE AS stated, orders::DOUBLE AS found FROM s WHERE so <> orders UNION ALL SELECT o_custkey, 'open', sp::DOUBLE, open::DOUBLE FROM s WHERE sp <> open""",
     "recommendation_gate": f"""
         WITH {_POSTINGS} SELECT {_OK.format("true")} AS policy_2, {_OK.format("false")} AS policy_3, {_OK.format("false")} AND coalesce(fit, 'check') <> 'fail' AS policy_5,
             count(*) AS n, sum(o_orderkey)::BIGINT AS ids FROM p GROUP BY 1, 2, 3""",
