@@ -124,6 +124,29 @@ def listing_projection(spark: SparkSession, sf: str) -> DataFrame:
     return out.groupBy("category", "eligibility", "requirement_status", "status").agg(F.count("*").alias("n"), F.sum("score").alias("score"), F.countDistinct("listing_id").alias("ids"))
 
 
+TITLES = (("Clerk (remote)", "clerk"), ("  Senior   Cook [2026]", "senior cook"), ("Ops &amp; Data", "ops data"))
+COMPANIES = (("Acme, Inc.", "acme"), ("Überblick GmbH", "überblick"), (None, None))
+LOCATIONS = (("Seoul", "onsite", "asia"), ("Berlin, hybrid", "hybrid", "europe"), ("Berlin or Seoul", "onsite", "mixed"), (None, "unknown", None))
+PAYS = (("$80-100k per year", "USD", 80000.0, 100000.0, "year", "parsed"), ("€20 / hour", "EUR", 20.0, 20.0, "hour", "parsed"), ("£9,000 to £8,000", "GBP", 9000.0, 8000.0, None, "suspicious"), ("good", None, None, None, None, "none"))
+POSTED = (("2026-01-20", "2026-01-20"), ("20.1.2026", "2026-01-20"), ("2025/11/5", "2025-11-05"), ("soon", None))
+
+
+def projection_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as raw postings in which every input varies: keys, place, pay, dates and status of the projection."""
+    k = F.col("p_partkey")
+    pick = lambda rows, n: F.element_at(F.array(*[F.lit(r[0]) for r in rows]), (n % len(rows) + 1).cast("int"))
+    raw = table(spark, sf, "part").select(
+        k.cast("string").alias("id"), F.concat(F.lit("src"), (k % 3).cast("string")).alias("source"), pick(TITLES, k).alias("title"), pick(COMPANIES, F.expr("p_partkey div 3")).alias("company"), pick(LOCATIONS, F.expr("p_partkey div 9")).alias("location"),
+        (k % 5 == 0).alias("remote"), pick(PAYS, F.expr("p_partkey div 36")).alias("salary"), F.concat(F.lit("HTTPS://E.example.com/J/?x=1&id="), k.cast("string"), F.lit("#top")).alias("url"), pick(POSTED, F.expr("p_partkey div 4")).alias("posted"), F.col("p_name").alias("description"),
+    )
+    profile = nm.Profile(categories=[("kitchen", ["cook"]), ("office", ["clerk"])], official=["src1"], regions={"asia": ["seoul"], "europe": ["berlin"]}, legal_forms=["inc", "gmbh"])
+    out = nm.normalise(raw, profile, F.lit("2026-01-31"))
+    return out.select(
+        "id", "company_key", "title_key", "url_key", "workplace", "region", "category", F.col("pay.currency").alias("currency"), F.col("pay.low").alias("low"), F.col("pay.high").alias("high"), F.col("pay.period").alias("period"),
+        F.col("pay.confidence").alias("confidence"), "posted_at", "age_days", "status",
+    )
+
+
 def address_slots(spark: SparkSession, sf: str) -> DataFrame:
     raw = F.concat(F.lit("Main Street "), (F.col("c_custkey") % 90).cast("string"), F.when(F.col("c_custkey") % 2 == 0, ", 12345 ").otherwise(", "), F.when(F.col("c_custkey") % 5 == 0, "77").otherwise("Old Town"))
     return table(spark, sf, "customer").select(nm.address_parts(raw).alias("a")).groupBy("a.street", "a.postcode", "a.city").agg(F.count("*").alias("n"), F.countDistinct("a.number").alias("numbers"))
@@ -136,10 +159,22 @@ def label_translation(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     slot_extraction, list_items, requirement_context, provenance_conflict, recent_badges, status_labels, schema_adapter, failure_penalty,
-    failed_run_fallback, review_events, filter_migration, conversation_digest, feed_order, listing_projection, address_slots, label_translation,
+    failed_run_fallback, review_events, filter_migration, conversation_digest, feed_order, listing_projection, projection_inputs, address_slots, label_translation,
 )}
 
+def _list(rows, at: int, n: str, cast: str = "") -> str:
+    values = ", ".join("NULL" if r[at] is None else repr(r[at]) if isinstance(r[at], float) else f"'{r[at]}'" for r in rows)
+    return f"([{values}]{cast})[({n}) % {len(rows)} + 1]"
+
+
 SQL = {
+    "projection_inputs": f"""
+        WITH p AS (SELECT p_partkey AS k, {_list(TITLES, 1, "p_partkey")} AS title_key, {_list(COMPANIES, 1, "p_partkey // 3")} AS company_key, {_list(LOCATIONS, 1, "p_partkey // 9")} AS w, {_list(LOCATIONS, 2, "p_partkey // 9")} AS region,
+            {_list(PAYS, 1, "p_partkey // 36")} AS currency, {_list(PAYS, 2, "p_partkey // 36", "::DOUBLE[]")} AS low, {_list(PAYS, 3, "p_partkey // 36", "::DOUBLE[]")} AS high, {_list(PAYS, 4, "p_partkey // 36")} AS period,
+            {_list(PAYS, 5, "p_partkey // 36")} AS confidence, {_list(POSTED, 1, "p_partkey // 4")}::DATE AS posted_at, p_name FROM part)
+        SELECT k::VARCHAR AS id, company_key, title_key, 'https://e.example.com/j?id=' || k AS url_key, CASE WHEN k % 5 = 0 THEN 'remote' ELSE w END AS workplace, region,
+            CASE k % 3 WHEN 1 THEN 'kitchen' WHEN 0 THEN 'office' ELSE 'other' END AS category, currency, low, high, period, confidence, posted_at, (DATE '2026-01-31' - posted_at)::INT AS age_days,
+            CASE WHEN DATE '2026-01-31' - posted_at > 45 THEN 'stale' WHEN k % 3 = 1 THEN 'official_listed' ELSE 'current_feed' END AS status FROM p""",
     "slot_extraction": r"""
         WITH t AS (SELECT doc_id, nullif(trim(regexp_replace(regexp_extract(text, '(?s)(?:[Ll]icensed under(?: the)?)\s*[:=]?\s*(.*?)(?:\n|$)', 1), '[\s\x{00A0}\x{FEFF}]+', ' ', 'g')), '') AS licence,
             nullif(rtrim(substr(trim(regexp_replace(regexp_extract(text, '(?s)(?:token)\s*[:=]?\s*(.*?)(?:\n| [A-Z]|$)', 1), '[\s\x{00A0}\x{FEFF}]+', ' ', 'g')), 1, 40)), '') AS token FROM documents)
