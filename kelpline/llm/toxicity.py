@@ -185,7 +185,7 @@ def loss(w: np.ndarray, b: float, x: Sparse, y: np.ndarray, swapped: Sparse, of:
     z = b + x.times(w)
     p, weight = 1 / (1 + np.exp(-np.clip(z, -40, 40))), np.where(y == 1, positive, 1.0)
     gap = (p - y) * weight / x.n
-    value = float((weight * np.where(y == 1, -np.log(p + 1e-300), -np.log1p(-p + 1e-300))).mean() + L2 * w @ w)
+    value = float((weight * np.where(y == 1, -np.log(np.maximum(p, 1e-300)), -np.log(np.maximum(1 - p, 1e-300)))).mean() + L2 * w @ w)
     g = x.back(gap) + 2 * L2 * w
     if swapped.n:
         change = swapped.times(w) - (z - b)[of]
