@@ -111,7 +111,7 @@ def dated_feed(spark: SparkSession, sf: str) -> DataFrame:
     built = F.when(n % 7 == 0, "Fri, 01 Dec 2000 00:00:00 +0000").otherwise("Tue, 19 Dec 2000 03:00:00 +0000")
     title = F.when(n % 11 == 3, "other").otherwise("[인크루트] 채용정보 - 전북")
     payload = F.concat(F.lit('<?xml version="1.0"?><rss version="2.0"><channel><title>'), title, F.lit("</title><lastBuildDate>"), built, F.lit("</lastBuildDate>"), "items", F.lit("</channel></rss>"))
-    return bd.regional_feed(items.select(n.alias("source"), payload.alias("payload")), F.lit(NOW), most=3).select("source", "id", "title", "place", "deadline_type", "deadline")
+    return bd.regional_feed(items.select(n.alias("source"), payload.alias("payload")), F.lit(NOW), most=3).select("source", "id", "title", "place", "deadline_type", F.date_format("deadline", "yyyy-MM-dd").alias("deadline"))
 
 
 def detail_chain(spark: SparkSession, sf: str) -> DataFrame:
@@ -161,7 +161,7 @@ def tour_calendar(spark: SparkSession, sf: str) -> DataFrame:
     t = bd.tour_list(landed, F.lit(NOW))
     n = F.split_part("href", F.lit("/"), F.lit(3)).cast("int")
     text = F.concat(_pick(("참가비 5,000원 ", "", "입장료 3천원 "), n), _pick(("어린이", "성인", "어린이와 성인", "가족", "누구나", ""), n))
-    return t.select("source", "href", "title", "end_date", bd.tour_price(_pick(("무료", "", None, "10"), n), n % 11 == 0, text).alias("price"), bd.tour_audience(text).alias("audience"))
+    return t.select("source", "href", "title", F.date_format("end_date", "yyyy-MM-dd").alias("end_date"), bd.tour_price(_pick(("무료", "", None, "10"), n), n % 11 == 0, text).alias("price"), bd.tour_audience(text).alias("audience"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -200,7 +200,7 @@ SQL = {
         WITH s AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS r, DATE '2000-12-22' + (s_suppkey % 30)::INT AS d, (s_suppkey // 2) % 4 AS g FROM supplier),
         t AS (SELECT *, CASE WHEN s_suppkey % 6 = 0 THEN 'rolling' WHEN s_suppkey % 6 = 1 OR s_suppkey % 4 = 0 THEN 'unknown' ELSE 'fixed' END AS kind FROM s
               WHERE r <= 3 AND g < 2 AND s_suppkey % 13 <> 0 AND s_nationkey % 7 <> 0 AND s_nationkey % 11 <> 3)
-        SELECT s_nationkey AS source, (s_suppkey % 50)::VARCHAR AS id, s_name AS title, CASE g WHEN 0 THEN '전주시 덕진구' ELSE '완주군' END AS place, kind AS deadline_type, CASE WHEN kind = 'fixed' THEN d END AS deadline
+        SELECT s_nationkey AS source, (s_suppkey % 50)::VARCHAR AS id, s_name AS title, CASE g WHEN 0 THEN '전주시 덕진구' ELSE '완주군' END AS place, kind AS deadline_type, CASE WHEN kind = 'fixed' THEN strftime(d, '%Y-%m-%d') END AS deadline
         FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey, s_suppkey % 50 ORDER BY s_suppkey) AS q FROM t) WHERE q = 1""",
     "detail_chain": """
         WITH p AS (SELECT *, CASE WHEN p_partkey % 3 = 0 THEN 'json_ld' WHEN p_partkey % 4 = 0 THEN 'legacy_html' WHEN p_partkey % 5 <> 1 THEN 'list_hint' END AS e FROM part),
@@ -221,6 +221,6 @@ SQL = {
     "tour_calendar": """
         WITH p AS (SELECT *, p_partkey % 700 AS n, row_number() OVER (PARTITION BY p_brand, p_partkey % 700 ORDER BY p_partkey) AS r, CASE WHEN p_partkey % 9 <> 0 THEN DATE '2000-12-01' + (p_partkey % 40)::INT END AS e FROM part),
         t AS (SELECT *, n % 3 <> 1 AS paid, n % 11 = 0 OR n % 4 = 0 AS free FROM p WHERE r = 1 AND e >= DATE '2000-12-20')
-        SELECT p_brand AS source, '/t/' || n AS href, p_name AS title, e AS end_date, CASE WHEN paid AND free THEN 'unknown' WHEN paid THEN 'paid' WHEN free THEN 'free' WHEN n % 4 = 3 THEN 'paid' ELSE 'unknown' END AS price,
+        SELECT p_brand AS source, '/t/' || n AS href, p_name AS title, strftime(e, '%Y-%m-%d') AS end_date, CASE WHEN paid AND free THEN 'unknown' WHEN paid THEN 'paid' WHEN free THEN 'free' WHEN n % 4 = 3 THEN 'paid' ELSE 'unknown' END AS price,
             ['child', 'adult', 'unknown', 'family', 'anyone', 'unknown'][n % 6 + 1] AS audience FROM t""",
 }

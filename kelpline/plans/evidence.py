@@ -143,7 +143,7 @@ def projection_inputs(spark: SparkSession, sf: str) -> DataFrame:
     out = nm.normalise(raw, profile, F.lit("2026-01-31"))
     return out.select(
         "id", "company_key", "title_key", "url_key", "workplace", "region", "category", F.col("pay.currency").alias("currency"), F.col("pay.low").alias("low"), F.col("pay.high").alias("high"), F.col("pay.period").alias("period"),
-        F.col("pay.confidence").alias("confidence"), "posted_at", "age_days", "status",
+        F.col("pay.confidence").alias("confidence"), F.date_format("posted_at", "yyyy-MM-dd").alias("posted_at"), "age_days", "status",
     )
 
 
@@ -173,7 +173,7 @@ SQL = {
             {_list(PAYS, 1, "p_partkey // 36")} AS currency, {_list(PAYS, 2, "p_partkey // 36", "::DOUBLE[]")} AS low, {_list(PAYS, 3, "p_partkey // 36", "::DOUBLE[]")} AS high, {_list(PAYS, 4, "p_partkey // 36")} AS period,
             {_list(PAYS, 5, "p_partkey // 36")} AS confidence, {_list(POSTED, 1, "p_partkey // 4")}::DATE AS posted_at, p_name FROM part)
         SELECT k::VARCHAR AS id, company_key, title_key, 'https://e.example.com/j?id=' || k AS url_key, CASE WHEN k % 5 = 0 THEN 'remote' ELSE w END AS workplace, region,
-            CASE k % 3 WHEN 1 THEN 'kitchen' WHEN 0 THEN 'office' ELSE 'other' END AS category, currency, low, high, period, confidence, posted_at, (DATE '2026-01-31' - posted_at)::INT AS age_days,
+            CASE k % 3 WHEN 1 THEN 'kitchen' WHEN 0 THEN 'office' ELSE 'other' END AS category, currency, low, high, period, confidence, strftime(posted_at, '%Y-%m-%d') AS posted_at, (DATE '2026-01-31' - posted_at)::INT AS age_days,
             CASE WHEN DATE '2026-01-31' - posted_at > 45 THEN 'stale' WHEN k % 3 = 1 THEN 'official_listed' ELSE 'current_feed' END AS status FROM p""",
     "slot_extraction": r"""
         WITH t AS (SELECT doc_id, nullif(trim(regexp_replace(regexp_extract(text, '(?s)(?:[Ll]icensed under(?: the)?)\s*[:=]?\s*(.*?)(?:\n|$)', 1), '[\s\x{00A0}\x{FEFF}]+', ' ', 'g')), '') AS licence,
