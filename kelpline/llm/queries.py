@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over the tables, with production parameters, and their SQL."""
+"""The queries op1 to op13 over the tables, with production parameters, and their SQL."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpline.llm import language, quality, toxicity
+from kelpline.llm.alignment import align
+from kelpline.llm.byte_bpe import round_trip
 from kelpline.llm.common import table
 from kelpline.llm.exact_dedup import exact_dedup
 from kelpline.llm.mixing import mix_report
@@ -16,14 +18,15 @@ from kelpline.llm.pii import replace_private
 from kelpline.llm.simhash import near_dups
 from kelpline.llm.suffixes import remove_repeats
 from kelpline.llm.vectors import near_vectors
+from kelpline.llm.whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path("word_bpe_49k.json"))
+    return str(public_tokenizers.path(name))
 
 
 def op1_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +90,20 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pareto_mixing": op1_pareto_mixing,
     "op2_exact_dedup": op2_exact_dedup,
@@ -98,6 +115,9 @@ QUERIES: dict[str, Query] = {
     "op8_counterfactual_toxicity": op8_counterfactual_toxicity,
     "op9_language_id": op9_language_id,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_byte_level_bpe": op12_byte_level_bpe,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 SQL: dict[str, str] = {
