@@ -9,7 +9,8 @@ strings of `SPAN` bytes.  A suffix whose bucket holds no second document leaves
    strings have equal anchors at equal places, so that a text needs a row for each anchor only, one for
    16 bytes.  Anchors whose q-gram is in one document alone leave: no string around them occurs elsewhere.
 2. Refinement.  An anchor that is left travels with the SPAN - Q bytes on either side, once for each
-   distinct such context in a bucket of texts.  Where an anchor's contexts differ, all suffixes of the contexts get
+   distinct such context in a bucket of texts.  (An anchor with more contexts than a worker takes, as in rulers and boilerplate,
+   sends its strings instead, each of which meets its copies by itself.)  Where an anchor's contexts differ, all suffixes of the contexts get
    the identifiers of their first 8 bytes; from pairs of these at offsets 0 and 8 come those of 16 bytes, from
    pairs at 0 and 16 those of 32, and from pairs at 0 and 18 those of 50.  Identifiers are ranks of whole bytes: no
    hash decides that strings are equal.  The least document of each string is found, and an answer goes back.
@@ -29,10 +30,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.llm.common import prepare, settings, shared_dir, stage
+from kelpline.llm.common import drop_staged, prepare, settings, shared_dir, small, stage
 
 SPAN, Q = 50, 20
 SIDE, WIDE = SPAN - Q, 2 * SPAN - Q  # bytes beside an anchor, and bytes of a context
@@ -41,8 +42,9 @@ BUCKET_BYTES = 8 << 20  # text in a bucket, about
 RANGE_BYTES = 64 << 20  # text whose anchors one task compares, about
 #: Files and tasks of the bucketed table at most, within Spark's bound on them; beyond it a task takes several buckets in turn.
 MOST_FILES = 50_000
-CHUNK = 1 << 20  # windows whose anchors are found at once
-CONTEXTS = 20_000  # contexts that are refined at once, unless one anchor has more
+CHUNK = 1 << 20  # bytes of the buffer in which anchors are found at once, but for one text's margins; under 2**24, as places have 24 bits
+MARGIN = SPAN - 1 + 2 * SIDE  # bytes of the buffer beside a text's windows
+CONTEXTS = 20_000  # contexts that are refined at once; an anchor that has more is judged by its strings
 _RNG = np.random.default_rng(5)
 _CODE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = int(_RNG.integers(0, 2**63)) * 2 + 1
@@ -100,17 +102,17 @@ class Anchors(NamedTuple):
 
 
 def anchors(texts: list[bytes]) -> Iterator[Anchors]:
-    """The anchors of all windows, for about CHUNK of them at a time; longer texts are cut."""
+    """The anchors of all windows, about CHUNK bytes at a time, margins included; longer texts are cut."""
     todo: list[tuple[int, int, int]] = []
     size = 0
     for number, text in enumerate(texts):
         for start in range(0, len(text) - SPAN + 1, CHUNK):
             end = min(start + CHUNK, len(text) - SPAN + 1)
-            if size + end - start > CHUNK:
+            if todo and size + end - start + MARGIN > CHUNK:
                 yield _anchors(texts, todo)
                 todo, size = [], 0
             todo.append((number, start, end))
-            size += end - start
+            size += end - start + MARGIN
     if todo:
         yield _anchors(texts, todo)
 
@@ -204,6 +206,28 @@ def judged(value: np.ndarray, contexts: np.ndarray, order: np.ndarray) -> np.nda
     return mask
 
 
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each string that a context has."""
+    for batch in batches:
+        contexts = np.frombuffer(b"".join(batch.column("context").to_pylist()), np.uint8).reshape(-1, WIDE + 2)
+        start, several = contexts[:, WIDE].astype(np.int64), contexts[:, WIDE + 1].astype(np.int64) - contexts[:, WIDE] + 1
+        row = np.repeat(np.arange(len(contexts)), several)
+        place = start[row] + np.arange(len(row)) - np.repeat(np.cumsum(several) - several, several)
+        found = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(contexts[:, :WIDE], SPAN, axis=1)[row, place])
+        string = pa.Array.from_buffers(pa.binary(SPAN), len(row), [None, pa.py_buffer(found)]).cast(pa.binary())
+        cols = [*[batch.column(c).take(pa.array(row)) for c in ("bucket", "number", "ord")], pa.array(place, pa.int32()), string]
+        yield pa.RecordBatch.from_arrays(cols, ["bucket", "number", "ord", "place", "string"])
+
+
+def judged_by_strings(contexts: DataFrame) -> DataFrame:
+    """The answers to contexts of anchors that have too many for one worker: each string meets its copies by itself."""
+    each = contexts.select("bucket", "number", "ord", "context").mapInArrow(_strings, "bucket int, number long, ord long, place int, string binary")
+    least = each.groupBy("string").agg(F.min("ord").alias("least")).withColumnRenamed("string", "l_string")
+    lesser = each.join(least, (F.col("string") == F.col("l_string")) & (F.col("ord") > F.col("least")))
+    mask = F.sum(F.expr("shiftleft(1L, place)")).alias("mask")
+    return lesser.groupBy("bucket", "number").agg(mask).select("bucket", F.lit(2).alias("step"), "number", "mask", F.lit(None).cast("binary").alias("copy"))
+
+
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by value; whole anchors at a time, about CONTEXTS rows."""
     held: list[pa.RecordBatch] = []
@@ -328,7 +352,7 @@ def _removed(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["ord", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", bucket_bytes: int = BUCKET_BYTES, most: int = CONTEXTS) -> DataFrame:
     """docs (id_col, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     A byte is removed if a string of `SPAN` bytes covers it that also starts in a document of a
@@ -363,15 +387,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", bucket_bytes: int =
         copied = copies.select(bucket, F.lit(0).alias("step"), F.lit(0).cast("long").alias("number"), none.alias("mask"), key.alias("copy")).distinct()
         beside = lambda answers, fn, schema: texts.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(fn, schema)
 
-        same = Window.partitionBy("value")
-        sent = beside(copied, _grams, "value long, bucket int, several boolean").repartition(ranges, "value")
-        met = sent.withColumn("n", F.count("*").over(same)).withColumn("both", F.bool_or("several").over(same)).where("n > 1 OR both")
+        # A row for each bucket that has the anchor: an aggregate with map-side combine finds those of two documents, which then meet their rows.
+        sent = stage(beside(copied, _grams, "value long, bucket int, several boolean"), "anchor-buckets")
+        twice = sent.groupBy("value").agg(F.count("*").alias("n"), F.bool_or("several").alias("both")).where("n > 1 OR both").select("value")
+        met = sent.join(twice, "value")
         shared = stage(met.select("bucket", F.lit(1).alias("step"), F.col("value").alias("number"), none.alias("mask"), F.lit(None).cast("binary").alias("copy")), "shared-anchors")
 
         answers = copied.union(shared)
         sent = beside(answers, _contexts, "value long, bucket int, number long, ord long, context binary")
+        sent = stage(sent, "contexts")
+        many = stage(sent.groupBy("value").agg(F.count("*").alias("n")).where(F.col("n") > most).select(F.col("value").alias("m_value")), "frequent-anchors")
+        frequent = F.col("value") == F.col("m_value")
+        few = sent.join(small(many), frequent, "left_anti")
         with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": CONTEXTS // 2}):
-            found = stage(sent.repartition(ranges, "value").sortWithinPartitions("value").mapInArrow(_judge, _ANSWER), "repeated")
+            found = few.repartition(ranges, "value").sortWithinPartitions("value").mapInArrow(_judge, _ANSWER)
+            if not many.isEmpty():
+                found = found.union(judged_by_strings(sent.join(small(many), frequent)))
+            found = stage(found, "repeated")
         done = beside(answers.union(found), _removed, "ord long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
         long_enough = F.col("n_bytes") >= SPAN
         sha_hex = F.when(long_enough, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.lower(F.hex("sha")))

@@ -126,7 +126,8 @@ def brute_repeats(rows):
     return sorted(out)
 
 
-def test_repeats_against_brute_force(spark):
+@pytest.mark.parametrize("most", [20_000, 2])
+def test_repeats_against_brute_force(spark, most):
     rng = random.Random(5)
     text = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
     base, rows = [text(rng.randint(0, 400)) for _ in range(20)], []
@@ -139,10 +140,24 @@ def test_repeats_against_brute_force(spark):
         rows.append((i, "".join(parts)))
     rows += [(500, "a" * 300), (501, "b" + "a" * 200), (502, "a" * 49), (503, ""), (7, rows[3][1]), (3, rows[3][1]), (-4, base[0])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(tuple(r) for r in remove_repeats(df, bucket_bytes=3000).collect())
+    got = sorted(tuple(r) for r in remove_repeats(df, bucket_bytes=3000, most=most).collect())
     assert got == brute_repeats([(i, t.encode()) for i, t in rows])
 
 
+def test_many_short_texts_in_one_bucket(spark):
+    """Texts little longer than a string, whose margins are most of what a worker holds: more than 2**24 bytes."""
+    rng = random.Random(9)
+    shared = "".join(rng.choice("abcdefgh") for _ in range(50))
+    rows = [(k, shared + str(k % 10) * (k % 5) if k % 400 == 0 else "".join(rng.choices("ijklmnop", k=50 + k % 5))) for k in range(160_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = sorted(tuple(r) for r in remove_repeats(df, bucket_bytes=64 << 20).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == brute_repeats([(i, t.encode()) for i, t in rows]) and sum(g[2] > 0 for g in got) == 399
+
+
 def test_repeats_of_odd_rows(odd_docs, no_docs):
     out = remove_repeats(odd_docs).collect()
     assert len(out) == 10 and all(r.n_removed == 0 for r in out if r.doc_id != 5)
