@@ -94,3 +94,27 @@ def test_columns_of_any_name_stay(spark):
     docs = docs.select("*", *[F.concat(F.lit(n), "doc_id").alias(n) for n in names])
     for out in (without_near_copies(docs), without_near_dups(docs)):
         assert out.columns == docs.columns and all(r[n] == f"{n}{r.doc_id}" for r in out.collect() for n in names)
+
+
+def test_a_repeated_line_moves_no_set(spark):
+    """A line that one text has once and its copy forty times: the sets are alike, whatever the fingerprints of lists say."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(30):
+        body, line = [f"w{k}x{j}" for j in range(60)], [f"l{k}y{j}" for j in range(5)]
+        rows += [(2 * k, " ".join([*body, *line])), (2 * k + 1, " ".join([*body, *(line * 40)]))]
+    rng.shuffle(rows)
+    out = without_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in out.collect()) == sorted(kept_by_force(rows)) == list(range(0, 60, 2))
+
+
+def test_pairs_beyond_the_ring_are_found(spark):
+    """With a ring that nothing but equal fingerprints passes, the similarity still decides."""
+    rng = random.Random(6)
+    words = [f"v{k}" for k in range(300)]
+    rows = []
+    for g in range(20):
+        base = [rng.choice(words) for _ in range(40)]
+        rows += [(10 * g + k, " ".join(base[k:])) for k in range(4)]
+    out = without_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), radius=1, segments=8, paired=2)
+    assert sorted(r.doc_id for r in out.collect()) == sorted(kept_by_force(rows))
