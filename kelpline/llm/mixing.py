@@ -13,6 +13,8 @@ source is sorted whole, so that one with a third of all rows is no hot key.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,12 +33,13 @@ def words(text: str = "text") -> Column:
 
 def measured(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """docs (mix_id, source, text, ...): adds mix_size (words), mix_class (bits of the size; 0 for no words),
-    mix_u, uniform in (0, 1) by the id and the text, and mix_row, a hash of the whole row."""
+    mix_u, uniform in (0, 1) by the id and the text, and mix_row, a hash of the whole row (of maps, which have no hash, by their JSON)."""
     prepare(docs.sparkSession)
     text = F.md5(F.coalesce(F.col("text"), F.lit("")))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("mix_id").cast("string"), F.lit("null")), text))
+    row = [F.to_json(name) if re.search("map<|variant", kind) else F.col(name) for name, kind in docs.dtypes]
     return (
-        docs.withColumn("mix_row", F.xxhash64(*docs.columns))
+        docs.withColumn("mix_row", F.xxhash64(*row))
         .withColumn("mix_size", words())
         .withColumn("mix_class", F.when(F.col("mix_size") > 0, F.length(F.bin("mix_size"))).otherwise(0))
         .withColumn("mix_u", (F.conv(F.substring(key, 1, 13), 16, 10).cast("double") + 0.5) / float(2**52))

@@ -220,3 +220,11 @@ def test_many_mentions_in_one_text(spark):
     text = " ".join(f"{k % 256}.{k // 256}.7.9," for k in range(16_000)) + " token = 'x'\x01\x01"
     out = pii.replace_private(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert out.n_ip == 16_000 and len(set(out.text.split()[:16_000])) == 16_000 and out.text.endswith(" token = 'x'\x01\x01")
+
+
+def test_columns_of_maps_and_structs_are_mixed(spark):
+    rows = [(k % 30, f"some words {k % 30}", "a", {"k": k}, [k], (k,)) for k in range(120)] + [(None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, m map<string,int>, a array<int>, s struct<x:int>")
+    out = mix(df)
+    assert out.columns == df.columns and {(r.m["k"], r.a[0], r.s.x) for r in out.collect()} <= {(k, k, k) for k in range(120)}
+    assert out.count() == sum(r.copies for r in mix_report(df.drop("m", "a", "s")).collect())
