@@ -139,3 +139,9 @@ def bounded_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     if n <= rows:
         return df
     return df.where(F.pmod(F.xxhash64(*keys), F.lit(2**32)) < int(rows / n * 2**32))
+
+
+def bounded_rows(df: DataFrame, rows: int) -> DataFrame:
+    """df, each of its rows once, and about twice `rows` of them at most: for rows that a bounded sample of ids brings, as
+    an id may have any number of rows."""
+    return bounded_sample(stage(df.distinct(), "sample-rows"), 2 * rows, *df.columns)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.llm.common import bounded_sample, map_texts, stage
+from kelpline.llm.common import bounded_rows, bounded_sample, map_texts, stage
 
 TRAIN_ROWS = 6_000  # rows that the model is fitted on, about, at most
 BINS = 1 << 14
@@ -114,13 +114,14 @@ def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train_model(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", rows: int = TRAIN_ROWS) -> LanguageModel:
     """docs: only the rows to learn from.  Each text's n-gram bins go to the fit, at most BINS of them.
 
-    Rows of a null language or id teach nothing, rows that repeat an id teach each; null and empty texts have no
-    n-grams.  Other columns are not read and may have any name.
+    Rows of a null language or id teach nothing, rows that repeat an id teach each, equal rows once; null and empty texts have no
+    n-grams; very long texts are read whole; an empty table gives a model that knows no language.  About `rows` ids and twice as
+    many rows teach at most.  Other columns are not read and may have any name.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), "text").where("lang is not null")
     ids = stage(docs.where("id is not null").select(F.col("id").alias("s_id")).distinct(), "language-ids")
     sample = bounded_sample(ids, rows, "s_id")  # of bounded size, so it may be broadcast
-    own = docs.join(F.broadcast(sample), F.col("id") == F.col("s_id"))
+    own = bounded_rows(docs.join(F.broadcast(sample), F.col("id") == F.col("s_id")), rows)
     got = map_texts(own, ["lang"], _gram_rows, "lang string, bins binary, counts binary").toPandas()
     got = got.sort_values(["lang", "bins", "counts"], kind="stable").reset_index(drop=True)  # the order of arrival does not matter
     classes = sorted(set(got["lang"]))

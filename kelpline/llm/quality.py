@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.llm.common import bounded_sample, map_texts, stage
+from kelpline.llm.common import bounded_rows, bounded_sample, map_texts, stage
 
 TRAIN_ROWS = 20_000  # labelled rows that the model is fitted on, about, at most
 TREES, DEPTH, BINS, RATE, SHRINK, LEAST = 150, 4, 64, 0.1, 1.0, 5.0
@@ -127,11 +127,12 @@ def train_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", rows
     """docs (id_col, text), labels (id_col, label 0/1: only rows to learn from) -> the model.
 
     Labels other than 0 and 1 and rows of a null id teach nothing; an id of two labels or two rows teaches each; null
-    texts count as empty ones.  Other columns of docs are not read and may have any name.
+    texts count as empty ones, very long ones are read whole, equal rows teach once, and without rows the model is a constant.
+    About `rows` labels and twice as many rows teach at most.  Other columns of docs are not read and may have any name.
     """
     known = stage(labels.select(F.col(id_col).alias("l_id"), F.col("label").cast("int").alias("label")).where("label in (0, 1) and l_id is not null").distinct(), "labels")
     sample = bounded_sample(known, rows, "l_id")  # of bounded size, so it may be broadcast
-    own = docs.select(F.col(id_col).alias("id"), "text").join(F.broadcast(sample), F.col("id") == F.col("l_id"))
+    own = bounded_rows(docs.select(F.col(id_col).alias("id"), "text").join(F.broadcast(sample), F.col("id") == F.col("l_id")), rows)
     got = map_texts(own, ["label"], _statistics, "label int, own array<double>").toPandas()
     x = np.array(got["own"].tolist(), np.float64).reshape(len(got), len(NAMES))
     order = np.lexsort([*x.T, got["label"].to_numpy()])  # the order of arrival does not matter

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.llm.common import bounded_sample, map_texts, prepare, stage
+from kelpline.llm.common import bounded_rows, bounded_sample, map_texts, prepare, stage
 
 TRAIN_ROWS = 20_000  # labelled rows that the model is fitted on, about, at most
 VOCABULARY = 1000
@@ -226,13 +226,14 @@ def train_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", rows
     """docs (id_col, text), labels (id_col, label 0/1: only rows to learn from) -> the model.
 
     Labels other than 0 and 1 and rows of a null id teach nothing; an id of two labels or two rows teaches each; null
-    texts count as empty ones.  Without labels of both kinds the score is their smoothed share.  Other columns of
-    docs are not read and may have any name.
+    texts count as empty ones, very long ones are read whole, equal rows teach once.  Without labels of both kinds the score is
+    their smoothed share.  About `rows` labels and twice as many rows teach at most.  Other columns of docs are not read and may have
+    any name.
     """
     known = stage(labels.select(F.col(id_col).alias("l_id"), F.col("label").cast("int").alias("label")).where("label in (0, 1) and l_id is not null").distinct(), "labels")
     sample = bounded_sample(known, rows, "l_id")  # of bounded size, so it may be broadcast
     own = docs.select(F.col(id_col).alias("id"), "text")
-    train = stage(own.join(F.broadcast(sample), F.col("id") == F.col("l_id")).select("label", "text"), "toxicity-train")
+    train = stage(bounded_rows(own.join(F.broadcast(sample), F.col("id") == F.col("l_id")), rows).select("label", "text"), "toxicity-train")
     names = vocabulary(train)
     index = {f: k for k, f in enumerate(names)}
     got = map_texts(train, ["label"], _rows_of(index), "label int, own array<int>, swapped array<array<int>>").toPandas()

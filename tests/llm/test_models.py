@@ -3,8 +3,10 @@ from __future__ import annotations
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from kelpline.llm import language, quality, toxicity
+from kelpline.llm.common import bounded_rows
 
 WORDS = "river stone garden window paper market winter bridge letter music forest silver".split()
 
@@ -174,3 +176,16 @@ def test_best_cut_is_the_middle_of_the_gap():
     # One toxic row among clean ones is given up before the clean ones are.
     z, y = np.array([-5.0, -4.0, -4.0, -4.0, 2.0, 3.0]), np.array([1.0, 0.0, 0.0, 0.0, 1.0, 1.0])
     assert toxicity.best_cut(z, y) == -1.0
+
+
+def test_an_id_of_many_rows_does_not_fill_the_sample(spark):
+    """A third of all rows share an id: what reaches the fit stays bounded, and the models still tell the rows apart."""
+    rows = [(7 if k % 3 == 0 else 10_000 + k, t, b) for k, t, b in sentences(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    labels = docs.select("doc_id", "label").where("doc_id <> 7").union(spark.createDataFrame([(7, 0)], "doc_id long, label int"))
+    joined = docs.select("doc_id", "text").join(labels.where("doc_id = 7").withColumnRenamed("doc_id", "l"), F.col("doc_id") == F.col("l"))
+    assert joined.count() == 300 and 20 <= bounded_rows(joined, 20).count() <= 60
+    assert bounded_rows(joined.limit(5).union(joined.limit(5)), 20).count() == joined.limit(5).distinct().count()
+    model = toxicity.train_model(docs.drop("label"), labels, rows=400)
+    assert model.score(b"you idiot of the river") > model.score(b"river stone garden")
+    assert isinstance(quality.train_model(docs.drop("label"), labels, rows=50).score(np.zeros((1, len(quality.NAMES)))), np.ndarray)
