@@ -13,38 +13,65 @@ def _pick(values: tuple, n) -> F.Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (n % len(values) + 1).cast("int"))
 
 
-#: text, and what it says of who may apply: code, or null for nothing
-SAID = (
-    ("A nice job.", None), ("You must reside in South Korea.", "korea"), ("Candidates must live in Germany.", "restricted"), ("You must be based in anywhere except Korea.", "restricted"),
-    ("Must be located in the U.S. or Korea.", "korea"), ("Must reside in Canada and South Korea.", "unknown"), ("Location: US only", "restricted"), ("Location: worldwide.", "worldwide"), ("Must live in US only, not counting Seoul.", "unknown"),
-)
-#: location, and its decision with and without remote, where the text says nothing
-WHERE = (
-    ("Seoul", "korea", "korea"), ("Berlin", "restricted", "restricted"), ("Remote", "unknown", "restricted"), ("Work from anywhere", "worldwide", "worldwide"), ("Germany", "restricted", "restricted"), (None, "unknown", "restricted"),
+#: Names that the cases below use: a job gives its own table.
+PLACES = {
+    "canada": "CA", "france": "FR", "germany": "DE", "japan": "JP", "korea": "KR", "seoul": "KR", "south korea": "KR", "uk": "GB", "united kingdom": "GB", "us": "US", "usa": "US",
+    "anywhere in the world": dc.ANY_PLACE, "globally": dc.ANY_PLACE, "work from anywhere": dc.ANY_PLACE, "worldwide": dc.ANY_PLACE,
+}
+#: location, text, country, and the decision: code and basis.
+CASES = (
+    ("Remote", "", "", "unknown", "remote_unspecified"), ("Anywhere in France", "", "", "restricted", "restriction_text"), ("Worldwide", "", "", "worldwide", "restriction_text"), ("Seoul", "", "KR", "korea", "restriction_text"),
+    ("Seoul", "Candidates must reside in Germany.", "KR", "restricted", "restriction_text"), ("Remote", "Candidates must be based in Germany and not in Korea.", "KR", "restricted", "restriction_text"),
+    ("Remote", "Applicants must reside in the USA, Korea excluded.", "KR", "restricted", "restriction_text"), ("Remote", "Location: Worldwide except South Korea.", "", "restricted", "restriction_text"),
+    ("Remote", "Location: Worldwide (US only).", "", "restricted", "restriction_text"), ("Remote", "Location: Worldwide / US only.", "", "restricted", "restriction_text"), ("Remote", "Location: Worldwide except US.", "", "worldwide", "restriction_text"),
+    ("Remote", "Location: Worldwide excluding Canada.", "", "worldwide", "restriction_text"), ("Remote", "Location: Worldwide except US and Korea.", "", "restricted", "restriction_text"), ("Remote", "Location: US only.", "", "restricted", "restriction_text"),
+    ("Remote", "Location: Korea. Location: US only.", "", "unknown", "restriction_text"), ("Remote (US only)", "", "KR", "restricted", "restriction_text"), ("Worldwide (US only)", "", "KR", "restricted", "restriction_text"),
+    ("Seoul", "Location: South Korea. Candidates must reside in Germany.", "KR", "restricted", "restriction_text"), ("Remote", "Location: South Korea (Work from Home).", "", "korea", "restriction_text"),
+    ("Remote", "Candidates must reside in the US or Korea.", "", "korea", "restriction_text"), ("Remote", "Candidates must reside in the US and Korea.", "", "unknown", "restriction_text"), ("Remote", "Candidates must reside in the U.S. and Korea.", "", "unknown", "restriction_text"),
+    ("Remote", "Candidates must reside in Germany and Korea.", "", "unknown", "restriction_text"), ("Remote", "Location: Remote", "", "unknown", "remote_unspecified"), ("Remote", "Candidates must reside in Germany.", "", "restricted", "restriction_text"),
+    ("Hong Kong", "", "", "restricted", "location"), ("Sweden", "", "", "restricted", "location"), ("Greater Orlando", "", "", "restricted", "location"),
+    ("Remote", "Applicants should be resident within Japan.", "", "restricted", "restriction_text"), ("Within Lapland", "A nice job.", "", "restricted", "location"), ("Remote", "Employees live in Korea.", "KR", "korea", "country_code"),
+    ("Remote. Salary: 20 USD, US team", "", "", "restricted", "location"), ("Remote", "Location: Remote. You should live in the U.K.; we are in Seoul.", "", "restricted", "restriction_text"), (None, None, None, "unknown", "remote_unspecified"),
 )
 
 
 def eligibility_decisions(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("o_orderkey")
-    e = dc.eligibility(_pick(tuple(w[0] for w in WHERE), F.expr("o_orderkey div 9")), _pick(tuple(s[0] for s in SAID), k), _pick(("KR", "DE", None), F.expr("o_orderkey div 54")), F.expr("o_orderkey div 162") % 2 == 0)
-    return table(spark, sf, "orders").groupBy(e["code"].alias("code"), e["basis"].alias("basis")).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("ids"))
+    e = dc.eligibility(*[_pick(tuple(c[n] for c in CASES), k) for n in range(3)], F.lit(True), PLACES, "KR")
+    return table(spark, sf, "orders").select("o_orderkey", e["code"].alias("code"), e["basis"].alias("basis"))
+
 
+def nation_eligibility(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers' nations as places, where NATION_7 is home: the names are those of the nation table."""
+    names = [r.n_name for r in table(spark, sf, "nation").select("n_name").distinct().orderBy("n_name").collect()]
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    k, name = F.col("c_custkey"), F.col("n_name")
+    said = F.concat(_pick(("Candidates must reside in ", "Location: ", "Location: worldwide except ", "We are in "), k), name, _pick((".", " only.", " or Nation_7.", " and Nation_7."), F.expr("c_custkey div 4")))
+    e = dc.eligibility(_pick(("Remote", "Lima"), F.expr("c_custkey div 16")), said, F.lit(None).cast("string"), F.col("c_custkey") % 5 != 0, {**{n.lower(): n for n in names}, "worldwide": dc.ANY_PLACE}, "NATION_7", "home")
+    return c.select("c_custkey", e["code"].alias("code"), e["basis"].alias("basis"))
 
-KIND, LISTED = ("official_ats", "board", "manual", "official_government", "board"), ("manual_original_review", "public_rss", "public_detail", None)
-TEXTS = ("Fine.", "Applications are closed.", "Apply by: 2000-05-01", "Apply by 2001-05-01", "This is not an immediate opening.")
+
+KIND, LISTED = ("official_ats", "board", "manual", "official_government", "board"), ("manual_original_review", "public_rss", "public_detail", None, "deadline_recheck")
+TEXTS = (
+    "Fine.", "Applications are closed.", "Apply by: 2000-05-01", "Apply by 2001-05-01", "This is not an immediate opening.", "Applications close: May 3, 2000.", "Application deadline June 20", "Apply by june 3 or so", "Apply by Jan 9 1999",
+    "Apply by tomorrow",
+)
 
 
 def listing_states(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("o_orderkey")
     deadline = F.when(k % 7 == 0, F.lit("2000-06-14")).when(k % 7 == 1, F.lit("2000-06-15")).cast("date")
-    s = dc.listing_state(_pick(KIND, F.expr("o_orderkey div 5")), _pick(LISTED, F.expr("o_orderkey div 25")), _pick(("Clerk", "Talent pool", "Cook"), F.expr("o_orderkey div 100")), _pick(TEXTS, k), deadline, F.to_date("o_orderdate"), F.lit("2000-06-15"))
+    s = dc.listing_state(
+        _pick(KIND, F.expr("o_orderkey div 5")), _pick(LISTED, F.expr("o_orderkey div 25")), _pick(("Clerk", "Talent pool", "Cook"), F.expr("o_orderkey div 100")), _pick(TEXTS, k), deadline, F.to_date("o_orderdate"), F.lit("2000-06-15"),
+        needs_deadline=k % 11 == 0, more_pools=[("project_pool", k % 13 == 0)],
+    )
     return table(spark, sf, "orders").groupBy(s["code"].alias("code"), s["basis"].alias("basis"), s["verification"].alias("verification"), s["stale"].alias("stale")).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("ids"))
 
 
 def market_scopes(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("s_suppkey")
     t = table(spark, sf, "supplier").select(
-        F.array_join(dc.market_scopes(_pick(("KR", "US", None), k), _pick(("Seoul", "Oslo"), F.expr("s_suppkey div 3")), _pick(("remote", "onsite"), F.expr("s_suppkey div 6")), _pick(("korea", "restricted", "unknown"), F.expr("s_suppkey div 2"))), ",").alias("scopes"),
+        F.array_join(dc.market_scopes(_pick(("KR", "US", None), k), _pick(("Seoul", "Oslo"), F.expr("s_suppkey div 3")), _pick(("remote", "onsite"), F.expr("s_suppkey div 6")), _pick(("korea", "restricted", "unknown"), F.expr("s_suppkey div 2")), "KR", ("korea", "seoul")), ",").alias("scopes"),
         dc.workplace_group(_pick(("remote", "onsite", "hybrid"), k), _pick(("Jeonju", "Seoul", "remote team", None), F.expr("s_suppkey div 3")), {"jeonbuk": "jeonju|wanju", "seoul": "seoul"}).alias("place"),
     )
     return t.groupBy("scopes", "place").agg(F.count("*").alias("n"))
@@ -78,32 +105,35 @@ def language_fits(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").groupBy(F.array_join(f["mentioned"], ",").alias("mentioned"), F.array_join(f["required"], ",").alias("required"), f["fit"].alias("fit")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (eligibility_decisions, listing_states, market_scopes, profile_fits, administrative_places, language_fits)}
+QUERIES = {f.__name__: f for f in (eligibility_decisions, nation_eligibility, listing_states, market_scopes, profile_fits, administrative_places, language_fits)}
 
 
 def _list(values) -> str:
     return "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + "]"
 
 
-_AT = "[(o_orderkey // 9) % 6 + 1]"
 SQL = {
     "eligibility_decisions": f"""
-        WITH o AS (SELECT o_orderkey, {_list(s[1] for s in SAID)}[o_orderkey % 9 + 1] AS said, (o_orderkey // 54) % 3 = 0 AS kr, (o_orderkey // 162) % 2 = 0 AS remote, (o_orderkey // 9) % 6 AS w,
-            {_list(x[1] for x in WHERE)}{_AT} AS far, {_list(x[2] for x in WHERE)}{_AT} AS near FROM orders),
-        e AS (SELECT o_orderkey, CASE WHEN said IS NOT NULL THEN said WHEN w = 0 THEN 'korea' WHEN w = 4 THEN 'restricted' WHEN kr THEN 'korea' WHEN remote THEN far ELSE near END AS code,
-            CASE WHEN said IS NOT NULL OR w IN (0, 4) THEN 'restriction_text' WHEN kr THEN 'country_code' WHEN w = 3 THEN 'location' WHEN remote AND w IN (2, 5) THEN 'remote_unspecified'
-                WHEN remote THEN 'location' ELSE 'onsite_location' END AS basis FROM o)
-        SELECT code, basis, count(*) AS n, sum(o_orderkey)::BIGINT AS ids FROM e GROUP BY 1, 2""",
+        SELECT o_orderkey, {_list(c[3] for c in CASES)}[o_orderkey % {len(CASES)} + 1] AS code, {_list(c[4] for c in CASES)}[o_orderkey % {len(CASES)} + 1] AS basis FROM orders""",
+    "nation_eligibility": """
+        WITH c AS (SELECT c_custkey, c_custkey % 4 AS a, (c_custkey // 4) % 4 AS b, (c_custkey // 16) % 2 = 0 AS remote_named, c_custkey % 5 <> 0 AS remote, n_name = 'NATION_7' AS home FROM customer JOIN nation ON c_nationkey = n_nationkey),
+        d AS (SELECT *, home OR b > 1 AS has_home, NOT home AS has_abroad FROM c)
+        SELECT c_custkey,
+            CASE WHEN a = 3 THEN CASE WHEN remote AND remote_named THEN 'unknown' ELSE 'restricted' END
+                WHEN a = 2 THEN CASE WHEN has_home THEN 'restricted' WHEN b = 1 AND has_abroad THEN 'restricted' ELSE 'worldwide' END
+                WHEN b = 1 AND has_abroad THEN 'restricted' WHEN has_home AND has_abroad AND b = 3 THEN 'unknown' WHEN has_home THEN 'home' ELSE 'restricted' END AS code,
+            CASE WHEN a < 3 THEN 'restriction_text' WHEN remote AND remote_named THEN 'remote_unspecified' WHEN remote THEN 'location' WHEN remote_named THEN 'onsite_location' ELSE 'onsite_location' END AS basis FROM d""",
     "listing_states": f"""
-        WITH o AS (SELECT o_orderkey, {_list(KIND)}[(o_orderkey // 5) % 5 + 1] AS k, {_list(LISTED)}[(o_orderkey // 25) % 4 + 1] AS l, (o_orderkey // 100) % 3 = 1 AS pool, o_orderkey % 5 AS t, DATE '2000-06-15' - o_orderdate::DATE AS age FROM orders),
-        b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'structured_deadline' WHEN t = 1 THEN 'closed_text' WHEN t = 2 THEN 'deadline' WHEN t = 4 THEN 'pool_lead' WHEN pool THEN 'pool_title'
+        WITH o AS (SELECT o_orderkey, {_list(KIND)}[(o_orderkey // 5) % 5 + 1] AS k, {_list(LISTED)}[(o_orderkey // 25) % 5 + 1] AS l, (o_orderkey // 100) % 3 = 1 AS pool, o_orderkey % 10 AS t, DATE '2000-06-15' - o_orderdate::DATE AS age FROM orders),
+        b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 AND (o_orderkey % 7 > 1 OR (o_orderkey % 7 = 1 AND l = 'deadline_recheck')) THEN 'deadline_unknown' WHEN o_orderkey % 7 = 0 THEN 'structured_deadline' WHEN t = 1 THEN 'closed_text'
+            WHEN t IN (2, 5, 7, 8) THEN 'deadline' WHEN o_orderkey % 13 = 0 THEN 'project_pool' WHEN t = 4 THEN 'pool_lead' WHEN pool THEN 'pool_title'
             WHEN k = 'manual' AND l = 'manual_original_review' THEN l WHEN k IN ('official_ats', 'official_government') THEN k || '_feed' WHEN k = 'manual' THEN k
-            WHEN l = 'public_rss' THEN 'public_rss_list' WHEN l = 'public_detail' THEN 'public_search_and_detail' WHEN age > 45 THEN 'age' ELSE 'feed' END AS basis FROM o)
-        SELECT CASE WHEN basis IN ('structured_deadline', 'closed_text', 'deadline') THEN 'expired' WHEN starts_with(basis, 'pool') THEN 'talent_pool' WHEN starts_with(basis, 'manual') THEN 'manual' WHEN basis = 'official_ats_feed' THEN 'verified_open'
-            WHEN basis = 'official_government_feed' THEN 'official_listed' WHEN basis = 'age' THEN 'stale' ELSE 'current_feed' END AS code, basis,
-            CASE WHEN basis IN ('structured_deadline', 'closed_text', 'deadline') THEN 'closed' WHEN starts_with(basis, 'pool') THEN 'talent_pool' WHEN starts_with(basis, 'manual') THEN 'manual' WHEN basis = 'official_ats_feed' THEN 'direct_open'
-            WHEN basis = 'official_government_feed' THEN 'official_listed' WHEN basis = 'age' THEN 'recheck' ELSE 'intermediary' END AS verification,
-            basis IN ('structured_deadline', 'closed_text', 'deadline', 'age') AS stale, count(*) AS n, sum(o_orderkey)::BIGINT AS ids FROM b GROUP BY 1, 2, 3, 4""",
+            WHEN l = 'public_rss' THEN 'public_rss_list' WHEN l = 'public_detail' THEN 'public_search_and_detail' WHEN age > 45 THEN 'age' ELSE 'board_feed' END AS basis FROM o)
+        SELECT CASE WHEN basis IN ('structured_deadline', 'closed_text', 'deadline') THEN 'expired' WHEN contains(basis, 'pool') THEN 'talent_pool' WHEN starts_with(basis, 'manual') THEN 'manual' WHEN basis = 'official_ats_feed' THEN 'verified_open'
+            WHEN basis = 'official_government_feed' THEN 'official_listed' WHEN basis IN ('age', 'deadline_unknown') THEN 'stale' ELSE 'current_feed' END AS code, basis,
+            CASE WHEN basis IN ('structured_deadline', 'closed_text', 'deadline') THEN 'closed' WHEN contains(basis, 'pool') THEN 'talent_pool' WHEN starts_with(basis, 'manual') THEN 'manual' WHEN basis = 'official_ats_feed' THEN 'direct_open'
+            WHEN basis = 'official_government_feed' THEN 'official_listed' WHEN basis = 'deadline_unknown' THEN 'recheck' ELSE 'intermediary' END AS verification,
+            basis IN ('structured_deadline', 'closed_text', 'deadline', 'age', 'deadline_unknown') AS stale, count(*) AS n, sum(o_orderkey)::BIGINT AS ids FROM b GROUP BY 1, 2, 3, 4""",
     "market_scopes": """
         WITH s AS (SELECT s_suppkey % 3 = 0 AS kr, (s_suppkey // 3) % 2 = 0 AS seoul, (s_suppkey // 6) % 2 = 0 AS remote, (s_suppkey // 2) % 3 <> 1 AS open_, ['remote', 'onsite', 'hybrid'][s_suppkey % 3 + 1] AS m, (s_suppkey // 3) % 4 AS p FROM supplier)
         SELECT concat_ws(',', CASE WHEN kr OR seoul THEN 'domestic' END, CASE WHEN remote AND NOT kr AND open_ THEN 'overseas_remote' END) AS scopes,
