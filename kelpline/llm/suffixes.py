@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.llm.common import drop_staged, prepare, settings, shared_dir, small, stage
+from kelpline.llm.common import prepare, settings, shared_dir, stage
 
 SPAN, Q = 50, 20
 SIDE, WIDE = SPAN - Q, 2 * SPAN - Q  # bytes beside an anchor, and bytes of a context
@@ -44,12 +44,14 @@ RANGE_BYTES = 64 << 20  # text whose anchors one task compares, about
 MOST_FILES = 50_000
 CHUNK = 1 << 20  # bytes of the buffer in which anchors are found at once, but for one text's margins; under 2**24, as places have 24 bits
 MARGIN = SPAN - 1 + 2 * SIDE  # bytes of the buffer beside a text's windows
-CONTEXTS = 20_000  # contexts that are refined at once; an anchor that has more is judged by its strings
+CONTEXTS = 20_000  # contexts that are refined at once; the strings of an anchor that may have more travel by themselves
 _RNG = np.random.default_rng(5)
 _CODE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = int(_RNG.integers(0, 2**63)) * 2 + 1
 _C = _RNG.integers(0, 2**64, 16, dtype=np.uint64) | np.uint64(1)
 _PLACE = np.uint64((1 << 24) - 1)
+_OWN_BITS = 40  # of a context's number; the bits above have the place of a string that travels by itself
+_OWN = (1 << _OWN_BITS) - 1
 _LAST = 2**63 - 1  # stands for a null id, which comes after all others
 _ANSWER = "bucket int, step int, number long, mask long, copy binary"
 
@@ -206,26 +208,18 @@ def judged(value: np.ndarray, contexts: np.ndarray, order: np.ndarray) -> np.nda
     return mask
 
 
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each string that a context has."""
-    for batch in batches:
-        contexts = np.frombuffer(b"".join(batch.column("context").to_pylist()), np.uint8).reshape(-1, WIDE + 2)
-        start, several = contexts[:, WIDE].astype(np.int64), contexts[:, WIDE + 1].astype(np.int64) - contexts[:, WIDE] + 1
-        row = np.repeat(np.arange(len(contexts)), several)
-        place = start[row] + np.arange(len(row)) - np.repeat(np.cumsum(several) - several, several)
-        found = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(contexts[:, :WIDE], SPAN, axis=1)[row, place])
-        string = pa.Array.from_buffers(pa.binary(SPAN), len(row), [None, pa.py_buffer(found)]).cast(pa.binary())
-        cols = [*[batch.column(c).take(pa.array(row)) for c in ("bucket", "number", "ord")], pa.array(place, pa.int32()), string]
-        yield pa.RecordBatch.from_arrays(cols, ["bucket", "number", "ord", "place", "string"])
-
-
-def judged_by_strings(contexts: DataFrame) -> DataFrame:
-    """The answers to contexts of anchors that have too many for one worker: each string meets its copies by itself."""
-    each = contexts.select("bucket", "number", "ord", "context").mapInArrow(_strings, "bucket int, number long, ord long, place int, string binary")
-    least = each.groupBy("string").agg(F.min("ord").alias("least")).withColumnRenamed("string", "l_string")
-    lesser = each.join(least, (F.col("string") == F.col("l_string")) & (F.col("ord") > F.col("least")))
-    mask = F.sum(F.expr("shiftleft(1L, place)")).alias("mask")
-    return lesser.groupBy("bucket", "number").agg(mask).select("bucket", F.lit(2).alias("step"), "number", "mask", F.lit(None).cast("binary").alias("copy"))
+def strings_of(contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each string of the contexts: its context's row, its place there, a hash, and a context that has this string alone."""
+    start = contexts[:, WIDE].astype(np.int64)
+    several = contexts[:, WIDE + 1].astype(np.int64) - start + 1
+    row = np.repeat(np.arange(len(contexts)), several)
+    place = start[row] + np.arange(len(row)) - np.repeat(np.cumsum(several) - several, several)
+    own = np.zeros((len(row), WIDE + 2), np.uint8)
+    own[:, :SPAN] = np.lib.stride_tricks.sliding_window_view(contexts[:, :WIDE], SPAN, axis=1)[row, place]
+    h, parts = np.zeros(len(row), np.uint64), np.ascontiguousarray(own[:, :56]).view(np.uint64)
+    for k in range(parts.shape[1]):
+        h = _mix(h * _C[k] + parts[:, k])
+    return row, place, h, own
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,10 +253,14 @@ class _Bucket:
 
     def __init__(self, texts: pa.Table, answers: pa.Table) -> None:
         step = answers.column("step").to_numpy()
-        number, mask = answers.column("number").to_numpy(), answers.column("mask").to_numpy()
+        number, mask = answers.column("number").to_numpy(), answers.column("mask").fill_null(0).to_numpy()
         copies = {c for c in answers.column("copy").to_pylist() if c is not None}
         self.shared = np.sort(number[step == 1].view(np.uint64))
-        self.masks = dict(zip(number[step == 2].tolist(), mask[step == 2].tolist(), strict=True))
+        self.frequent = number[(step == 1) & (mask == 1)].view(np.uint64)
+        self.masks: dict[int, int] = {}
+        for k, m in zip(number[step == 2].tolist(), mask[step == 2].tolist(), strict=True):
+            own, place = k & _OWN, k >> _OWN_BITS
+            self.masks[own] = self.masks.get(own, 0) | m << place
         rows = sorted(zip(texts.column("ord").to_pylist(), texts.column("text").to_pylist(), strict=True))
         self.rows = [(o, t) for o, t in rows if not copies or copy_key(o, hashlib.sha256(t).digest()) not in copies]
         self.order = np.array([o for o, _ in self.rows], np.int64)
@@ -296,7 +294,7 @@ def copy_key(order: int, sha: bytes) -> bytes:
 
 
 def _grams(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
-    """The distinct q-grams of a bucket's anchors, and whether two of its documents have it."""
+    """The distinct q-grams of a bucket's anchors, whether two of its documents have it, and how often it occurs."""
     b = _Bucket(texts, answers)
     some = [(a.value, b.order[a.text]) for a in anchors(b.texts)]
     value, order = (np.concatenate([np.empty(0, k), *c]) for k, c in zip((np.uint64, np.int64), zip(*some, strict=True) if some else ((), ()), strict=True))
@@ -305,17 +303,23 @@ def _grams(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
     first = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if len(value) else np.empty(0, np.int64)
     last = np.r_[first[1:], len(value)] - 1 if len(value) else first
     return pa.table(
-        [pa.array(value[first].view(np.int64)), pa.array(np.full(len(first), key[0].as_py()), pa.int32()), pa.array(order[first] < order[last])],
-        names=["value", "bucket", "several"],
+        [pa.array(value[first].view(np.int64)), pa.array(np.full(len(first), key[0].as_py()), pa.int32()), pa.array(order[first] < order[last]), pa.array(last - first + 1)],
+        names=["value", "bucket", "several", "n"],
     )
 
 
 def _contexts(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
-    _, (value, context, least) = _Bucket(texts, answers).candidates()
+    bucket = _Bucket(texts, answers)
+    _, (value, context, least) = bucket.candidates()
+    number, alone = np.arange(len(value)), np.isin(value, bucket.frequent)
+    if alone.any():  # an anchor of too many contexts: its strings travel, each by itself
+        row, place, h, own = strings_of(context[alone])
+        at = np.flatnonzero(alone)[row]
+        value, context, least, number = (np.concatenate([x[~alone], y]) for x, y in ((value, h), (context, own), (least, least[at]), (number, at | place << _OWN_BITS)))
     data = pa.Array.from_buffers(pa.binary(WIDE + 2), len(value), [None, pa.py_buffer(np.ascontiguousarray(context))]).cast(pa.binary())
     n = len(value)
     return pa.table(
-        [pa.array(value.view(np.int64)), pa.array(np.full(n, key[0].as_py()), pa.int32()), pa.array(np.arange(n)), pa.array(least), data],
+        [pa.array(value.view(np.int64)), pa.array(np.full(n, key[0].as_py()), pa.int32()), pa.array(number), pa.array(least), data],
         names=["value", "bucket", "number", "ord", "context"],
     )
 
@@ -387,23 +391,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", bucket_bytes: int =
         copied = copies.select(bucket, F.lit(0).alias("step"), F.lit(0).cast("long").alias("number"), none.alias("mask"), key.alias("copy")).distinct()
         beside = lambda answers, fn, schema: texts.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(fn, schema)
 
-        # A row for each bucket that has the anchor: an aggregate with map-side combine finds those of two documents, which then meet their rows.
-        sent = stage(beside(copied, _grams, "value long, bucket int, several boolean"), "anchor-buckets")
-        twice = sent.groupBy("value").agg(F.count("*").alias("n"), F.bool_or("several").alias("both")).where("n > 1 OR both").select("value")
-        met = sent.join(twice, "value")
-        shared = stage(met.select("bucket", F.lit(1).alias("step"), F.col("value").alias("number"), none.alias("mask"), F.lit(None).cast("binary").alias("copy")), "shared-anchors")
+        # A row for each bucket that has the anchor; one shuffle serves both the sums and the rows that meet them.
+        sent = beside(copied, _grams, "value long, bucket int, several boolean, n long").repartition(ranges, "value")
+        known = sent.groupBy("value").agg(F.count("*").alias("buckets"), F.bool_or("several").alias("both"), F.sum("n").alias("most")).where("buckets > 1 OR both")
+        met = sent.select("value", "bucket").join(known, "value")
+        frequent = F.when(F.col("most") > most, 1).otherwise(0).cast("long").alias("mask")
+        shared = stage(met.select("bucket", F.lit(1).alias("step"), F.col("value").alias("number"), frequent, F.lit(None).cast("binary").alias("copy")), "shared-anchors")
 
         answers = copied.union(shared)
         sent = beside(answers, _contexts, "value long, bucket int, number long, ord long, context binary")
-        sent = stage(sent, "contexts")
-        many = stage(sent.groupBy("value").agg(F.count("*").alias("n")).where(F.col("n") > most).select(F.col("value").alias("m_value")), "frequent-anchors")
-        frequent = F.col("value") == F.col("m_value")
-        few = sent.join(small(many), frequent, "left_anti")
         with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": CONTEXTS // 2}):
-            found = few.repartition(ranges, "value").sortWithinPartitions("value").mapInArrow(_judge, _ANSWER)
-            if not many.isEmpty():
-                found = found.union(judged_by_strings(sent.join(small(many), frequent)))
-            found = stage(found, "repeated")
+            found = stage(sent.repartition(ranges, "value").sortWithinPartitions("value").mapInArrow(_judge, _ANSWER), "repeated")
         done = beside(answers.union(found), _removed, "ord long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
         long_enough = F.col("n_bytes") >= SPAN
         sha_hex = F.when(long_enough, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.lower(F.hex("sha")))
