@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("listing", "matching", "texts", "history", "landed", "streams", "evidence", "details", "gates", "changes", "boards", "duplicates", "decisions", "pay")
+MODULES = ("listing", "matching", "texts", "history", "landed", "streams", "evidence", "details", "gates", "changes", "boards", "duplicates", "decisions", "pay", "markup")
 
 
 def registry() -> tuple[dict, dict]:
