@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpline.streaming import lifecycle as lc
+from kelpline.operators.resolve import staged
 from kelpline.sources.tables import table
+from kelpline.streaming import history as hi
+from kelpline.streaming import lifecycle as lc
 
 
 def _rows(spark: SparkSession, sf: str, batches: int = 1) -> DataFrame:
@@ -43,7 +45,21 @@ def lifecycle_stream(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("key", F.unix_micros("at").alias("at"), "event", "from_status", "to_status")
 
 
-QUERIES = {f.__name__: f for f in (events_tumbling, events_sliding, events_sessions, lifecycle_stream)}
+def history_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Users' last ten events: a batch snapshot of the first half of the time seeds the state, the rest comes in three micro-batches,
+    and the histories are read back from the state."""
+    at, status = F.col("ts").cast("timestamp").alias("at"), F.when(F.col("event_type") == "error", "source_error").when(F.col("event_type") == "purchase", "sold").otherwise("open")
+    events = table(spark, sf, "events").select(F.col("user_id").alias("key"), at, status.alias("status"))
+    ends = events.agg(F.min(F.unix_micros("at")).alias("a"), F.max(F.unix_micros("at")).alias("b")).first()
+    late = F.unix_micros("at") > (ends.a + ends.b) // 2
+    before = staged(hi.snapshot_of(events.where(~late), 2, 10), "history-snapshot")
+    stream = _rows(spark, sf, 3).select("key", "at", "status").where(late)
+    kept = hi.histories_in(spark, hi.run_to_state(hi.histories(stream, before, 2, 10, ttl_days=365), "history"))
+    each = kept.select("key", F.posexplode("history").alias("pos", "e"))
+    return each.select("key", "pos", F.unix_micros("e.at").alias("at"), "e.event", "e.from_status", "e.to_status")
+
+
+QUERIES = {f.__name__: f for f in (events_tumbling, events_sliding, events_sessions, lifecycle_stream, history_stream)}
 
 _LAST = "(SELECT max(ts) - INTERVAL 1 DAY FROM events)"
 SQL = {
@@ -64,4 +80,11 @@ SQL = {
         SELECT key, epoch_us(ts) AS at, CASE WHEN was IS NULL THEN 'first_seen' WHEN ts - seen > INTERVAL 2 DAY THEN 'reappeared' WHEN status = 'source_error' THEN 'source_failed'
                WHEN was = 'source_error' THEN 'source_recovered' ELSE 'status_changed' END AS event, was AS from_status, status AS to_status
         FROM l WHERE was IS NULL OR ts - seen > INTERVAL 2 DAY OR was <> status""",
+    "history_stream": """
+        WITH e AS (SELECT user_id AS key, ts, CASE event_type WHEN 'error' THEN 'source_error' WHEN 'purchase' THEN 'sold' ELSE 'open' END AS status FROM events),
+        l AS (SELECT *, lag(status) OVER w AS was, lag(ts) OVER w AS seen FROM e WINDOW w AS (PARTITION BY key ORDER BY ts, status)),
+        h AS (SELECT key, ts, CASE WHEN was IS NULL THEN 'first_seen' WHEN ts - seen > INTERVAL 2 DAY THEN 'reappeared' WHEN status = 'source_error' THEN 'source_failed'
+               WHEN was = 'source_error' THEN 'source_recovered' ELSE 'status_changed' END AS event, was, status FROM l WHERE was IS NULL OR ts - seen > INTERVAL 2 DAY OR was <> status),
+        n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC) AS back, count(*) OVER (PARTITION BY key) AS n FROM h)
+        SELECT key, (least(n, 10) - back)::INT AS pos, epoch_us(ts) AS at, event, was AS from_status, status AS to_status FROM n WHERE back <= 10""",
 }
