@@ -107,3 +107,66 @@ def migrate(values: Column, rewrites: Sequence[tuple[Mapping[str, str], Mapping[
         same = F.array_sort(F.map_entries(values)) == F.array_sort(F.map_entries(as_map(old)))
         out = F.when(same, as_map(new)).otherwise(out)
     return out
+
+
+def trie_pattern(names: Sequence[str]) -> str:
+    """One pattern for all names, by their common beginnings, so that a scan looks at each character of a text a few times,
+    however many names there are.  Of names that begin alike the longest is taken; letters and digits of ASCII bound a name."""
+    root: dict = {}
+    for name in names:
+        node = root
+        for ch in name.lower():
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        ends = "" in node
+        ways = [("\\s+" if ch == " " else ch if ch.isalnum() else "\\" + ch) + pattern(node[ch]) for ch in sorted(node) if ch]
+        if not ways:
+            return ""
+        one = ways[0] if len(ways) == 1 and not ends else "(?:" + "|".join(ways) + ")"
+        return f"(?:{one})?" if ends else one
+
+    return f"(?<![a-z0-9]){pattern(root)}(?![a-z0-9])"
+
+
+def named_mentions(text: Column | str, names: Mapping[str, str], before: int = 90, after: int = 90) -> Column:
+    """Structs (code, name, before, after) of all names that a text mentions, in their order, with the characters around them.
+
+    names: name -> code.  The text is scanned once for all names; contexts may overlap, and are copied mention by mention.  Null is as empty."""
+    low = F.translate(F.lower(F.coalesce(_col(text), F.lit(""))), "\x01\x02", "  ")
+    one = trie_pattern(list(names))
+    # A place where a name begins; what stands before it, up to the text's start; the name; what follows, which the scan does not use up.
+    scan = rf"(?s)(?={one})(?<=(.{{{before}}})|^(.{{0,{before - 1}}}))({one})(?=(.{{0,{after}}}))"
+    cut = F.split(F.regexp_replace(low, scan, "\x01$1$2\x02$3\x02$4\x01"), "\x01")
+    codes = F.create_map(*[F.lit(x) for name, code in names.items() for x in (name.lower(), code)])
+
+    def read(piece: Column) -> Column:
+        part = F.split(piece, "\x02")
+        name = F.regexp_replace(F.get(part, F.lit(1)), r"\s+", " ")
+        return F.struct(codes[name].alias("code"), name.alias("name"), F.get(part, F.lit(0)).alias("before"), F.get(part, F.lit(2)).alias("after"))
+
+    return F.transform(F.filter(cut, lambda piece: F.contains(piece, F.lit("\x02"))), read)
+
+
+def languages_asked(heading: Column, body: Column, explicit: Column, names: Mapping[str, str], cue: str, heading_cue: str, role: Column, around: int = 65) -> Column:
+    """Codes of the languages that a posting asks for, in alphabetical order: those of its own field for languages; those of its heading, if the
+    role is one of languages or the heading has the cue; and those of the text that stand near the cue."""
+    codes = lambda mentions: F.transform(mentions, lambda m: m["code"])
+    near = F.filter(named_mentions(body, names, around, around), lambda m: F.concat_ws(" ", m["before"], m["name"], m["after"]).rlike(cue))
+    titled = F.when(F.coalesce(role, F.lit(False)) | F.lower(F.coalesce(heading, F.lit(""))).rlike(heading_cue), codes(named_mentions(heading, names, 1, 1))).otherwise(F.array().cast("array<string>"))
+    return F.array_sort(F.array_distinct(F.concat(codes(near), titled, codes(named_mentions(explicit, names, 1, 1)))))
+
+
+def language_verdict(asked: Column, levels: Mapping[str, str], role: Column) -> Column:
+    """A struct (status, because) from the codes asked for and one's own levels (code -> native, fluent, advanced, intermediate, beginner or
+    unverified): mismatch for languages one lacks, or is a beginner in where the role is one of languages; unknown where a level is not
+    known or a beginner's, or nothing is asked for; else match.  because: the codes that decide."""
+    level = F.create_map(*[F.lit(x) for pair in levels.items() for x in pair]) if levels else F.create_map().cast("map<string,string>")
+    known = ("native", "fluent", "advanced", "intermediate", "beginner", "unverified")
+    lacking = F.filter(asked, lambda c: ~F.coalesce(level[c].isin(*known), F.lit(False)))
+    weak = F.filter(asked, lambda c: F.coalesce((level[c] == "beginner") & role, F.lit(False)))
+    unsure = F.filter(asked, lambda c: F.coalesce(level[c].isin("unverified", "beginner"), F.lit(False)))
+    bad = F.concat(lacking, weak)
+    status = F.when(F.size(asked) == 0, "unknown").when(F.size(bad) > 0, "mismatch").when(F.size(unsure) > 0, "unknown").otherwise("match")
+    return F.struct(status.alias("status"), F.when(F.size(bad) > 0, bad).when(F.size(unsure) > 0, unsure).otherwise(asked).alias("because"))

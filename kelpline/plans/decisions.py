@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpline.operators import decisions as dc
+from kelpline.operators import evidence as ev
 from kelpline.sources.tables import table
 
 
@@ -105,14 +106,53 @@ def language_fits(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").groupBy(F.array_join(f["mentioned"], ",").alias("mentioned"), F.array_join(f["required"], ",").alias("required"), f["fit"].alias("fit")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (eligibility_decisions, nation_eligibility, listing_states, market_scopes, profile_fits, administrative_places, language_fits)}
+#: Languages that the postings below may name.
+TONGUES = ("arabic", "bengali", "chinese", "czech", "danish", "dutch", "english", "finnish", "french", "german", "greek", "hebrew", "hindi", "hungarian", "italian", "japanese", "korean", "malay", "polish", "portuguese", "spanish", "thai")
+LEVELS = {"english": "unverified", "german": "fluent", "korean": "beginner", "spanish": "native"}
+CUE = "required|fluent|native"
+
+
+def language_assessments(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as postings: a language in the heading, one in the field, two in the text, one of them near the cue; what is asked for, and how it fits."""
+    k = F.col("c_custkey")
+    tongue = lambda n: _pick(TONGUES, n)
+    role = k % 3 == 0
+    heading = F.concat(tongue(k), _pick((" clerk", " speaking clerk"), F.expr("c_custkey div 22")))
+    gap = F.repeat(F.lit("and so on "), F.lit(20))
+    body = F.concat(F.lit("We meet in "), tongue(k + 5), F.lit(". "), gap, F.lit("Fluent "), tongue(k + 9), F.lit(" is asked for; "), gap, F.lit("germanic studies"))
+    explicit = F.when(k % 7 == 0, F.initcap(tongue(k + 1)))
+    asked = ev.languages_asked(heading, body, explicit, {t: t for t in TONGUES}, CUE, "speaking", role)
+    v = ev.language_verdict(asked, LEVELS, role)
+    return table(spark, sf, "customer").select("c_custkey", F.array_join(asked, ",").alias("asked"), v["status"].alias("status"), F.array_join(v["because"], ",").alias("because"))
+
+
+def names_in_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """How often the documents mention each of the 42 most frequent words of six letters or more, by one scan of each text for all of them."""
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))
+    docs = table(spark, sf, "documents")
+    top = docs.select(words.alias("w")).where(F.col("w").rlike("^[a-z]{6,}$")).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(42).collect()
+    found = docs.select("doc_id", F.explode(ev.named_mentions("text", {r.w: r.w for r in top} or {"-": "-"}, 20, 20)).alias("m"))
+    return found.groupBy("m.code").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("documents"))
+
+
+QUERIES = {f.__name__: f for f in (language_assessments, names_in_documents, eligibility_decisions, nation_eligibility, listing_states, market_scopes, profile_fits, administrative_places, language_fits)}
 
 
 def _list(values) -> str:
     return "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + "]"
 
 
+_TONGUE = lambda n: f"{_list(TONGUES)}[({n}) % {len(TONGUES)} + 1]"
 SQL = {
+    "language_assessments": f"""
+        WITH c AS (SELECT c_custkey, c_custkey % 3 = 0 AS role, list_sort(list_distinct(list_filter([CASE WHEN c_custkey % 3 = 0 OR (c_custkey // 22) % 2 = 1 THEN {_TONGUE('c_custkey')} END,
+            CASE WHEN c_custkey % 7 = 0 THEN {_TONGUE('c_custkey + 1')} END, {_TONGUE('c_custkey + 9')}], lambda x: x IS NOT NULL))) AS asked FROM customer),
+        d AS (SELECT *, list_concat(list_filter(asked, lambda x: x NOT IN {tuple(LEVELS)}), list_filter(asked, lambda x: role AND x = 'korean')) AS bad, list_filter(asked, lambda x: x IN ('english', 'korean')) AS unsure FROM c)
+        SELECT c_custkey, array_to_string(asked, ',') AS asked, CASE WHEN len(bad) > 0 THEN 'mismatch' WHEN len(unsure) > 0 THEN 'unknown' ELSE 'match' END AS status,
+            array_to_string(CASE WHEN len(bad) > 0 THEN bad WHEN len(unsure) > 0 THEN unsure ELSE asked END, ',') AS because FROM d""",
+    "names_in_documents": """
+        WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents)
+        SELECT w AS code, count(*) AS n, count(DISTINCT doc_id) AS documents FROM t WHERE regexp_full_match(w, '[a-z]{6,}') GROUP BY w ORDER BY n DESC, w LIMIT 42""",
     "eligibility_decisions": f"""
         SELECT o_orderkey, {_list(c[3] for c in CASES)}[o_orderkey % {len(CASES)} + 1] AS code, {_list(c[4] for c in CASES)}[o_orderkey % {len(CASES)} + 1] AS basis FROM orders""",
     "nation_eligibility": """
