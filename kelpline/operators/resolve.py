@@ -6,9 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kelpline.operators.ranking import top_per
+
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Written to the cluster's shared folder and read back, to cut the lineage of an iteration."""
@@ -62,28 +65,69 @@ def _any_null(columns: Sequence[Column]) -> Column:
     return out
 
 
-def greedy_clusters(df: DataFrame, row_id: str, block: Sequence[str], order: Sequence[str], compatible: Callable[[str, str], Column]) -> DataFrame:
+def unstaged(df: DataFrame) -> None:
+    """Deletes a staged table that nothing reads any more."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+#: Rows of a block among which heads are found at once, at first and at most.
+FIRST_ROWS, MOST_ROWS = 64, 2048
+
+
+def _heads(keys: int):
+    """Of a block's first rows, numbered from 1, those that no head before is compatible with."""
+
+    def run(key: tuple, rows: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        before: dict[int, list[int]] = {}
+        for a, b in zip(edges["a"], edges["b"], strict=True):
+            before.setdefault(b, []).append(a)
+        heads: set[int] = set()
+        for n in sorted(rows["nth"]):
+            if heads.isdisjoint(before.get(n, ())):
+                heads.add(n)
+        return pd.DataFrame([(*key, n) for n in sorted(heads)], columns=[*rows.columns[:keys], "nth"])
+
+    return run
+
+
+def greedy_clusters(df: DataFrame, row_id: str, block: Sequence[str], order: Sequence[str], compatible: Callable[[str, str], Column], most: int = MOST_ROWS) -> DataFrame:
     """(row_id, cluster): in the order, a row joins the first cluster of its block whose first row it is
     compatible with, else it opens one.  cluster is the first row's id; compatible is a condition on the aliases "h" and "r".
 
-    The predicate need not be transitive, so components would merge too much.  In rounds: the first undecided row of
-    each block is the head of the next cluster, and takes the undecided rows that are compatible with it; a block's heads are found by
-    an aggregate and meet its rows by an equi-join, so that no block is one task's work.  There are as many rounds as
-    a block has clusters.  Blocks whose key is null in a column are none: their rows are clusters of their own.
+    The predicate need not be transitive, so components would merge too much.  In rounds: of each block's first undecided rows, at most
+    `most`, all pairs are compared by an equi-join, and only compatible ones reach the block's task, which tells which of these rows are heads.  The heads
+    then take all undecided rows that are compatible with them, by another equi-join.  First a block's first row alone is a head, so that a
+    block of one large cluster is settled by a comparison a row; the number grows where most rows are heads.  So a block of 10,000
+    clusters takes nine rounds.  Blocks whose key is null in a column are none: their rows are clusters of their own.
     """
     rest = staged(df.where(~_any_null([F.col(c) for c in block])), "undecided")
     alone = df.where(_any_null([F.col(c) for c in block])).select(row_id, F.col(row_id).alias("cluster"))
-    out = None
+    out, size = None, 1
+    kinds = dict(rest.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in block), "nth int"])
+    same_block = lambda a, b: [F.col(f"{a}.{c}") == F.col(f"{b}.{c}") for c in block]
     while not rest.isEmpty():
-        first = F.min_by(F.struct(*df.columns), F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate([*order, row_id])]))
-        heads = rest.groupBy(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(block)]).agg(first.alias("h")).select("h.*")
-        on = [F.col(f"h.{c}") == F.col(f"r.{c}") for c in block]
-        met = rest.alias("r").join(heads.alias("h"), on)
+        first = top_per(rest, block, [F.col(c) for c in [*order, row_id]], size)
+        first = staged(first, "first-rows")
+        heads = first
+        if size > 1:
+            earlier = F.coalesce(compatible("h", "r"), F.lit(False)) & (F.col("h.nth") < F.col("r.nth"))
+            edges = first.alias("h").join(first.alias("r"), [*same_block("h", "r"), earlier]).select(*[F.col(f"h.{c}").alias(c) for c in block], F.col("h.nth").alias("a"), F.col("r.nth").alias("b"))
+            told = first.select(*block, "nth").groupBy(*block).cogroup(edges.groupBy(*block)).applyInPandas(_heads(len(block)), schema)
+            heads = staged(first.join(told, [*block, "nth"], "left_semi"), "heads")
+        met = rest.alias("r").join(heads.alias("h"), same_block("h", "r"))
         same = F.coalesce(compatible("h", "r"), F.lit(False)) | (F.col(f"h.{row_id}") == F.col(f"r.{row_id}"))
-        marked = staged(met.select("r.*", F.when(same, F.col(f"h.{row_id}")).alias("_cluster")), "marked")
-        taken = marked.where("_cluster is not null").select(row_id, F.col("_cluster").alias("cluster"))
+        taken = staged(met.where(same).groupBy(F.col(f"r.{row_id}").alias(row_id)).agg(F.min_by(f"h.{row_id}", "h.nth").alias("cluster")), "taken")
         out = taken if out is None else out.union(taken)
-        rest = marked.where("_cluster is null").drop("_cluster")
+        if size < most:
+            # More rows at once only where most of those at hand were heads, so that few compatible pairs are met.
+            n = first.count()
+            size = min(most, FIRST_ROWS if size == 1 else 4 * size) if size == 1 or 2 * heads.count() > n else size
+        before, rest = rest, staged(rest.join(taken.select(row_id), row_id, "left_anti"), "undecided")
+        unstaged(before)
     return alone if out is None else out.union(alone)
 
 

@@ -36,6 +36,36 @@ def test_greedy_clusters_compare_with_the_first_only(spark):
     assert {r.id: r.cluster for r in out.collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
+def greedy_by_loop(rows, ok):
+    heads, out = {}, {}
+    for i, b, x in sorted(rows):
+        own = heads.setdefault(b, [])
+        out[i] = next((h for h, y in own if ok(y, x)), i)
+        if out[i] == i:
+            own.append((i, x))
+    return out
+
+
+@pytest.mark.parametrize("most", [16, 2048])
+def test_greedy_clusters_against_a_loop(spark, most):
+    """Chains, dense clusters and lone rows; the condition is neither symmetric nor transitive."""
+    rng = random.Random(most)
+    rows = [(i, rng.choice("abc"), rng.choice([rng.randint(0, 60), i, 1000 + i // 3, 7])) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, block string, x int")
+    near = lambda h, r: (F.col(f"{r}.x") - F.col(f"{h}.x")).between(-2, 4)
+    out = resolve.greedy_clusters(df, "id", ["block"], ["id"], near, most=most)
+    assert {r.id: r.cluster for r in out.collect()} == greedy_by_loop(rows, lambda y, x: -2 <= x - y <= 4)
+
+
+def test_a_block_of_many_clusters_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    own = resolve.staged
+    monkeypatch.setattr(resolve, "staged", lambda df, name: (rounds.append(name), own(df, name))[1])
+    df = spark.range(10_000).select(F.col("id"), F.lit(1).alias("block"))
+    out = resolve.greedy_clusters(df, "id", ["block"], ["id"], lambda h, r: F.col(f"{h}.id") == F.col(f"{r}.id") - 5000)
+    assert out.where("cluster = id % 5000").count() == 10_000 and rounds.count("taken") < 20
+
+
 def test_large_blocks_are_paired_by_the_condition(spark):
     df = spark.range(3000).withColumn("k", F.lit(1))
     pairs = resolve.blocking_pairs(df, "id", [F.col("k")], lambda a, b: F.col(f"{b}.id") - F.col(f"{a}.id") == 1)
