@@ -48,7 +48,7 @@ LETTERS = {
 def decode_references(c: Column | str) -> Column:
     """All references once: numbers in decimal and hexadecimal, letters with marks, and the named ones of decode_entities.
 
-    The text is cut at its references, each is decoded by itself, and what is none stays.
+    Where a text has only the last, they are replaced; else it is cut at its references, each is decoded by itself, and what is none stays.
     """
     c, pattern = _col(c), r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]{2,8});"
     found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
@@ -63,15 +63,17 @@ def decode_references(c: Column | str) -> Column:
 
     pieces = F.split(c, pattern, -1)
     parts = F.zip_with(pieces, F.concat(F.transform(found, one), F.array(F.lit(""))), lambda a, b: F.concat(a, b))
-    return F.when(F.contains(c, F.lit("&")), F.array_join(parts, "")).otherwise(c)
+    common = "|".join(name[1:] for name, _ in ENTITIES)
+    other = c.rlike(rf"&(?!{common})(?:#|[A-Za-z]{{2,8}};)")
+    return F.when(other, F.array_join(parts, "")).when(F.contains(c, F.lit("&")), decode_entities(c)).otherwise(c)
 
 
 def html_to_text(c: Column | str) -> Column:
-    """Visible text: scripts and styles go, tags become spaces, references are decoded."""
+    """Visible text: scripts and styles go, tags become spaces, references are decoded, and tags that were written as references go too."""
     out = F.regexp_replace(_col(c), r"(?is)<(script|style|svg|iframe|noscript)\b[^>]*>.*?</\1\s*>", " ")
     out = F.regexp_replace(out, r"(?s)<!--.*?-->", " ")
     out = F.regexp_replace(out, r"(?s)<[^>]*>", " ")
-    return collapse(decode_references(out))
+    return collapse(F.regexp_replace(decode_references(out), r"</?[A-Za-z][^<>]*>", " "))
 
 
 @F.pandas_udf(StringType())

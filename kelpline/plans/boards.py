@@ -164,8 +164,25 @@ def tour_calendar(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("source", "href", "title", F.date_format("end_date", "yyyy-MM-dd").alias("end_date"), bd.tour_price(_pick(("무료", "", None, "10"), n), n % 11 == 0, text).alias("price"), bd.tour_audience(text).alias("audience"))
 
 
+#: price, free mark, stated status, title, text; then price status, audience, whether adults can join.
+TOURS = (
+    ("무료 (재료비 5,000원)", None, None, "숲 산책", "참여 대상: 누구나", "unknown", "anyone", True), ("유료", None, None, "도자기", "대상 성인 20명", "paid", "adults", True), ("무료", None, None, "어린이 놀이터", "", "free", "children", False),
+    ("1만 원", None, "paid", "가족 캠프", None, "paid", "families", True), ("1만 원", None, "free", "초등 교실", "교육 대상: 초등 3학년 이상", "unknown", "school_age_and_over", False), ("", True, None, "강연", "대상: 청소년 문의 성인", "free", "students", False),
+    ("", True, "paid", "강연", "안내 없음", "unknown", "not_stated", True), ("가격 변동", None, "paid", "음악회", "참가 대상 : 기관 신청", "unknown", "groups", False), ("₩3,000", None, None, "유아 동반 체험", "", "paid", "with_children", False),
+    (None, None, None, "축제", "모집 대상: 관광객", "unknown", "anyone", True), ("없음", None, "paid", "걷기", "일시: 5월", "paid", "not_stated", True), ("무료입장", None, None, "전시", "대상 제한 없음", "unknown", "anyone", True),
+)
+
+
+def tour_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as entries of a calendar: what they cost, whom they are for, whether adults can join."""
+    k = F.col("c_custkey")
+    price, mark, stated, title, text = (_pick(tuple(t[n] for t in TOURS), k) for n in range(5))
+    kind = bd.audience_class(title, text)
+    return table(spark, sf, "customer").select("c_custkey", bd.price_status(price.cast("string"), mark.cast("boolean"), stated.cast("string")).alias("price"), kind.alias("audience"), bd.adults_can_join(kind, title).alias("adults"))
+
+
 QUERIES = {f.__name__: f for f in (
-    lever_boards, ashby_boards, greenhouse_boards, taxonomy_boards, embedded_boards, query_slices, paged_lists, dated_feed, detail_chain, search_merge, listed_with_details, curated_board, tour_calendar,
+    lever_boards, ashby_boards, greenhouse_boards, taxonomy_boards, embedded_boards, query_slices, paged_lists, dated_feed, detail_chain, search_merge, listed_with_details, curated_board, tour_calendar, tour_decisions,
 )}
 
 SQL = {
@@ -223,4 +240,7 @@ SQL = {
         t AS (SELECT *, n % 3 <> 1 AS paid, n % 11 = 0 OR n % 4 = 0 AS free FROM p WHERE r = 1 AND e >= DATE '2000-12-20')
         SELECT p_brand AS source, '/t/' || n AS href, p_name AS title, strftime(e, '%Y-%m-%d') AS end_date, CASE WHEN paid AND free THEN 'unknown' WHEN paid THEN 'paid' WHEN free THEN 'free' WHEN n % 4 = 3 THEN 'paid' ELSE 'unknown' END AS price,
             ['child', 'adult', 'unknown', 'family', 'anyone', 'unknown'][n % 6 + 1] AS audience FROM t""",
+    "tour_decisions": "SELECT c_custkey, " + ", ".join(
+        f"([{', '.join(repr(t[n]) if isinstance(t[n], str) else str(t[n]).lower() for t in TOURS)}])[c_custkey % {len(TOURS)} + 1] AS {name}" for n, name in ((5, "price"), (6, "audience"), (7, "adults"))
+    ) + " FROM customer",
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kelpline.functions.text import collapse, decode_references, html_to_text
 from kelpline.operators.filters import first_reason
+from kelpline.operators.rules import first_match
 from kelpline.sources.landed import html_rows, tag, xml_rows
 
 LEVER = "array<struct<id:string,text:string,hostedUrl:string,categories:struct<team:string,location:string,commitment:string,allLocations:array<string>>,lists:array<struct<text:string,content:string>>,descriptionPlain:string,country:string>>"
@@ -237,6 +238,7 @@ def tour_list(landed: DataFrame, today: Column, payload: str = "payload") -> Dat
 def tour_price(price: Column, free_mark: Column, text: Column) -> Column:
     """paid by an amount after a fee's name, free by a mark or word; both at once are unknown, as is neither."""
     paid = text.rlike(r"(?:입장료|참가비|수강료|체험비|이용료|관람료|참가\s*비용)[^0-9]{0,16}(?:\d{1,3}(?:,\d{3})+|\d{4,}|\d+\s*[만천])\s*원")
+    paid = paid | F.coalesce(price.rlike(r"유료|\d[\d,]*\s*[만천]?\s*원|₩"), F.lit(False))
     free = F.coalesce(free_mark, F.lit(False)) | F.coalesce(price.rlike("무료"), F.lit(False))
     return F.when(paid & free, "unknown").when(paid, "paid").when(free, "free").when(price.rlike("[0-9]"), "paid").otherwise("unknown")
 
@@ -245,3 +247,42 @@ def tour_audience(text: Column) -> Column:
     """family, adult, child or anyone by what the text says; contradictions are unknown."""
     child, adult = text.rlike("어린이|초등|유아"), text.rlike("성인|어른")
     return F.when(text.rlike("가족"), "family").when(child & adult, "unknown").when(child, "child").when(adult, "adult").when(text.rlike(r"누구나|제한\s*없"), "anyone").otherwise("unknown")
+
+
+# Words of an audience, by class, in the order in which classes are asked for; all patterns of a class must occur.
+AUDIENCES = (
+    ("with_children", (r"(어린이|유아|초등)\s*동반",)), ("anyone", (r"관광객|누구나|일반인|제한\s*없",)), ("adults", ("성인",)), ("families", ("가족",)), ("school_age_and_over", ("초등", "이상")), ("students", ("고등학생|중학생|청소년|학생",)),
+    ("children", ("미취학|어린이|유아|초등",)), ("groups", ("기관|단체",)),
+)
+_AUDIENCE_LABEL = r"(?:참여\s*대상|모집\s*대상|참가\s*대상|교육\s*대상|대상)\s*[:：]?\s*([^。▶|]{1,60})"
+NOT_FOR_ADULTS = ("children", "groups", "students", "with_children")
+
+
+def audience_class(title: Column, text: Column) -> Column:
+    """The first class whose words the title or the text behind an audience's label has, up to the next label; else not_stated."""
+    stated = F.get(F.split(F.regexp_extract(collapse(F.coalesce(text, F.lit(""))), _AUDIENCE_LABEL, 1), "안내|문의|신청|일시|장소|비용|인원"), F.lit(0))
+    signal = F.concat_ws(" ", title, stated)
+    return first_match([(_all(signal, patterns), name) for name, patterns in AUDIENCES], "not_stated")
+
+
+def _all(c: Column, patterns: Sequence[str]) -> Column:
+    out = F.lit(True)
+    for p in patterns:
+        out = out & c.rlike(p)
+    return out
+
+
+def adults_can_join(audience: Column, title: Column) -> Column:
+    """Neither the class nor, where no class says otherwise, a title that is for children keeps adults out."""
+    childish = title.rlike(r"기관\s*단체|놀이터|어린이|유아|청소년|초등|학생") & ~title.rlike("가족|누구나|성인")
+    return ~audience.isin(*NOT_FOR_ADULTS) & ~F.coalesce(childish, F.lit(False))
+
+
+def price_status(price: Column, free_mark: Column, stated: Column) -> Column:
+    """free, paid or unknown: a word or mark for free and one for a fee contradict each other, as does a stated status that the other one
+    stands against; prices that vary or must be asked for are unknown; else what is stated, then what the price says."""
+    value = F.trim(F.coalesce(price, F.lit("")))
+    free = F.coalesce(free_mark, F.lit(False)) | value.rlike(r"^무료(?:\s|$)")
+    paid = value.rlike(r"유료|(?:\d[\d,]*|\d+\s*[만천])\s*원|₩")
+    rules = [((free & paid) | value.rlike(r"가격\s*변동|별도\s*문의|비용\s*문의"), "unknown"), ((stated == "free") & paid, "unknown"), ((stated == "paid") & free, "unknown"), (stated.isin("free", "paid", "unknown"), stated)]
+    return first_match([*rules, (free, "free"), (paid, "paid")], "unknown")

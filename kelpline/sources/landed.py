@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.functions.text import collapse, decode_entities, html_to_text
+from kelpline.functions.text import collapse, decode_references, html_to_text
 
 POSTING = "struct<id:string,title:string,company:string,location:string,url:string,posted:string,pay:string,tags:array<string>>"
 
@@ -28,7 +28,7 @@ def json_board(landed: DataFrame, payload: str = "payload", row: str = POSTING,
 def tag(block: Column, name: str) -> Column:
     """Text of the first such element, CDATA and references resolved; null if absent or blank."""
     raw = F.regexp_extract(block, rf"(?s)<{name}(?:\s[^>]*)?>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</{name}>", 1)
-    return F.nullif(collapse(decode_entities(raw)), F.lit(""))
+    return F.nullif(collapse(decode_references(raw)), F.lit(""))
 
 
 def xml_rows(landed: DataFrame, payload: str, row_tag: str, fields: Mapping[str, str]) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from kelpline.functions import text as tx
 from kelpline.functions import values as vl
+from kelpline.sources import landed
 
 
 def one(spark, value, column):
@@ -35,6 +36,8 @@ def test_html_to_text(spark):
     page = "<p>A&nbsp;&amp;lt; <b>b</b></p><script>x<1</script><!-- c --><style>p{}</style> d"
     assert one(spark, page, tx.html_to_text("x")) == "A &lt; b d"
     assert one(spark, "&eacute;&#233;&#xE9;", tx.html_unescape("x")) == "ééé"
+    assert one(spark, "a &lt;b&gt;bold&lt;/b&gt; if x &lt; y &gt; z &amp;#65; &eacute;", tx.html_to_text("x")) == "a bold if x < y > z &#65; é"
+    assert one(spark, "<title>Caf&#233;: Cr&eacute;ateur &amp;amp; co</title>", landed.tag(F.col("x"), "title")) == "Café: Créateur &amp; co"
 
 
 def test_repairs(spark):
