@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.llm.byte_bpe import WHITE, Segments, byte_characters, packed_ids
+from kelpline.llm.byte_bpe import WHITE, Segments, byte_characters, byte_lengths
 from kelpline.llm.common import drop_staged, map_texts, small, stage
 
 #: Both tokenizers end a token between a character that is not white space and a blank.
@@ -46,9 +46,8 @@ class Side:
     """A tokenizer, by segments: the ids of texts, and the bytes of each id."""
 
     def __init__(self, encode, tokens: list[bytes]) -> None:
-        self.segments = Segments(lambda s: packed_ids(encode(s)))
-        self.tokens = np.array([*tokens, b""], object)[:-1]
-        self.lengths = np.array([len(t) for t in tokens], np.int64)
+        self.tokens, self.lengths = np.array([*tokens, b""], object)[:-1], byte_lengths(tokens)
+        self.segments = Segments(encode, self.lengths)
         names = [str(k) for k in range(len(tokens))]
         self.shown = [np.array([n + end for n in names], object) for end in ",|;"]
 
@@ -91,7 +90,7 @@ class _Block:
 
     def add(self, doc_id, data: bytes | None) -> None:
         text = " " + (data or b"").decode("utf-8", "replace")
-        own = [packed_ids([])] * 2
+        own = [b""] * 2
         if data:
             cut, want = SEGMENT.findall(text), text.encode()
             own = [side.segments.ids(cut) for side in self.sides]
@@ -108,7 +107,8 @@ class _Block:
         n, (left, right) = len(self.rows), self.sides
         end_a, end_b = np.cumsum(left.lengths[a]), np.cumsum(right.lengths[b])
         # Between two neighbouring ends there is one token of each side: a link.
-        ends = np.union1d(end_a, end_b)
+        ends = np.sort(np.concatenate([end_a, end_b]), kind="stable")  # two sorted runs are merged
+        ends = ends[np.r_[True, ends[1:] != ends[:-1]]] if len(ends) else ends
         at_a, at_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
         doc = np.repeat(np.arange(n), counts[0])[at_a]
         shared_a, shared_b = np.isin(end_a, end_b, assume_unique=True), np.isin(end_b, end_a, assume_unique=True)
@@ -143,7 +143,9 @@ class _Block:
     def _postings(self, block, a, b, doc, width) -> pa.RecordBatch:
         """One row for each id of the second side; entries by first id and document, with the number of links."""
         n = len(self.rows)
-        key, times = np.unique((b * width + a) * n + doc, return_counts=True)
+        key = np.sort((b * width + a) * n + doc)
+        begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        key, times = key[begin], np.diff(np.r_[begin, len(key)])
         pair, own = key // n, (key % n).astype(np.int16)
         first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
         docs, links = np.diff(np.r_[first, len(pair)]), np.add.reduceat(times, first)

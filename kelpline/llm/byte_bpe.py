@@ -74,38 +74,53 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
 
 
 class Segments:
-    """The ids of segments, as little-endian unsigned 32-bit, by whatever encodes one; those met before are kept."""
+    """The ids of segments, as little-endian unsigned 32-bit, by whatever encodes a text; those met before are kept.
 
-    def __init__(self, encode: Callable[[str], object]) -> None:
-        self.encode, self.known = encode, {}
+    New segments that begin with a blank and end with a letter or sign are encoded as one text, and cut where their bytes
+    end; if a token should lie across an end, or the bytes not be those of the text, each is encoded by itself."""
+
+    def __init__(self, encode: Callable[[str], list[int]], lengths: np.ndarray) -> None:
+        self.encode, self.lengths, self.known = encode, lengths, {}
 
     def ids(self, segments: list[str]) -> bytes:
         known = self.known
-        try:
-            return b"".join([known[s] for s in segments])
-        except KeyError:
-            pass
-        if len(known) > KNOWN_SEGMENTS:
+        new = set(segments).difference(known)
+        if new and len(known) + len(new) > KNOWN_SEGMENTS:
             known.clear()
-        out = []
-        for s in segments:
-            got = known.get(s)
-            if got is None:
-                got = self.encode(s)
-                if len(s) <= KNOWN_CHARS:
-                    known[s] = got
-            out.append(got)
-        return b"".join(out)
+            new = set(segments)
+        if new:
+            self._learn([s for s in new if s[0] == " " and not s[-1].isspace()], [s for s in new if s[0] != " " or s[-1].isspace()])
+        out = b"".join(map(known.__getitem__, segments))
+        for s in new:
+            if len(s) > KNOWN_CHARS:
+                del known[s]
+        return out
+
+    def _learn(self, joined: list[str], alone: list[str]) -> None:
+        if joined:
+            ids = np.array(self.encode("".join(joined)), "<u4")
+            ends, wanted = np.cumsum(self.lengths[ids]), np.cumsum([len(s.encode()) for s in joined])
+            at = np.searchsorted(ends, wanted)
+            if ends[-1] == wanted[-1] and (ends[at] == wanted).all():
+                data, cuts = ids.tobytes(), (4 * (at + 1)).tolist()
+                self.known.update(zip(joined, [data[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
+            else:
+                alone = alone + joined
+        self.known.update((s, packed_ids(self.encode(s))) for s in alone)
 
 
 def packed_ids(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
+def byte_lengths(tokens) -> np.ndarray:
+    return np.array([len(t or b"") for t in tokens], np.int64)
+
+
 @lru_cache(maxsize=2)
 def _segments(path: str, pattern: str) -> Segments:
-    encode = vocabulary(path, pattern).encode
-    return Segments(lambda s: packed_ids(encode(s)))
+    words = vocabulary(path, pattern)
+    return Segments(words.encode, byte_lengths(words.tokens))
 
 
 def places(data: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,7 +142,7 @@ def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
 def _encode(path: str, pattern: str, by_segments: bool, offsets: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, found = vocabulary(path, pattern), _segments(path, pattern)
-        lengths = np.array([len(t or b"") for t in words.tokens], np.int64)
+        lengths = byte_lengths(words.tokens)
         for batch in batches:
             ids, spots = [], []
             for data in batch.column(1).to_pylist():
