@@ -77,9 +77,9 @@ def embedded_boards(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def query_slices(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders of three priorities as slices of one query: the first of each address, with counters of each slice."""
+    """Orders of all priorities as slices of one query: the first of each address, with counters of each slice."""
     o = table(spark, sf, "orders").select(F.concat(F.lit("u"), (F.col("o_orderkey") % 900).cast("string")).alias("url"), F.col("o_orderkey").alias("pos"), F.col("o_orderdate").alias("expires"), F.when(F.col("o_orderkey") % 4 != 0, "here").alias("place"), "o_orderpriority")
-    slices = [(p, o.where(F.col("o_orderpriority") == p).drop("o_orderpriority")) for p in ("2-HIGH", "1-URGENT", "5-LOW")]
+    slices = [(p, o.where(F.col("o_orderpriority") == p).drop("o_orderpriority")) for p in ("2-HIGH", "1-URGENT", "5-LOW", "4-NOT SPECIFIED", "3-MEDIUM")]
     kept, counters = bd.union_slices(slices, "url", F.lit("1998-01-01 00:00:00"))
     own = kept.groupBy("slice").agg(F.sum("pos").alias("rows"))
     return counters.join(own, "slice", "left")
@@ -205,7 +205,7 @@ SQL = {
     "embedded_boards": "SELECT c_nationkey AS source, c_custkey AS id, c_name AS title FROM customer WHERE c_nationkey % 3 <> 2",
     "query_slices": """
         WITH o AS (SELECT 'u' || o_orderkey % 900 AS url, o_orderkey AS pos, o_orderdate < TIMESTAMP '1998-01-01' AS expired, o_orderkey % 4 <> 0 AS placed, o_orderpriority AS slice,
-            list_position(['2-HIGH', '1-URGENT', '5-LOW'], o_orderpriority) AS s FROM orders WHERE o_orderpriority IN ('2-HIGH', '1-URGENT', '5-LOW')),
+            list_position(['2-HIGH', '1-URGENT', '5-LOW', '4-NOT SPECIFIED', '3-MEDIUM'], o_orderpriority) AS s FROM orders),
         k AS (SELECT slice, pos FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY s, pos) AS r FROM o WHERE NOT expired AND placed) WHERE r = 1)
         SELECT slice, count(*) AS read, count(*) FILTER (expired) AS expired, (SELECT count(*) FROM k WHERE k.slice = o.slice) AS kept, (SELECT sum(pos)::BIGINT FROM k WHERE k.slice = o.slice) AS rows FROM o GROUP BY slice""",
     "paged_lists": """

@@ -134,9 +134,9 @@ def market_gaps(spark: SparkSession, sf: str) -> DataFrame:
 
 def search_collapse(spark: SparkSession, sf: str) -> DataFrame:
     """Customers that ordered in a state, by nation, against those found in another: counts, overlap and collapse."""
-    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("source"), F.col("o_custkey").alias("id"), "o_orderstatus", "o_orderpriority", "o_orderkey")
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("source"), F.col("o_custkey").alias("id"), "o_orderstatus", "o_orderpriority", "o_totalprice")
     previous = o.select("source", "id", F.when(F.col("o_orderstatus") == "P", "expired").when(F.col("o_orderstatus") == "O", "open").alias("status"))
-    found = o.where((F.col("o_orderkey") % 40 == 0) | (F.col("source") < 5)).select("source", "id")
+    found = o.where((F.col("o_totalprice") > 485000) | (F.col("source") < 5)).select("source", "id")
     t = gt.collapse_states(previous, found)
     tried = F.col("discovered")
     return t.select("source", "reference", "discovered", "overlap", "ratio", "overlap_ratio", "suspected", gt.detail_collapse(tried, F.col("overlap") - 30).alias("details"), gt.continuity_failed(tried, F.lit(20)).alias("continuity"))
@@ -259,8 +259,8 @@ SQL = {
             coalesce(string_agg(source, ',' ORDER BY source) FILTER (status = 'ok' AND was <> 'ok'), '') AS recovered, sum(preserved)::BIGINT AS preserved FROM r GROUP BY 1""",
     "market_gaps": "SELECT n_name AS source, 'not_configured' AS status FROM nation WHERE n_regionkey >= 3 AND n_name NOT IN ('NATION_1', 'NATION_3')",
     "search_collapse": """
-        WITH o AS (SELECT c_nationkey AS source, o_custkey AS id, o_orderstatus AS s, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey),
-        b AS (SELECT source, count(*) AS reference FROM o WHERE s <> 'P' GROUP BY 1), f AS (SELECT DISTINCT source, id FROM o WHERE o_orderkey % 40 = 0 OR source < 5),
+        WITH o AS (SELECT c_nationkey AS source, o_custkey AS id, o_orderstatus AS s, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey),
+        b AS (SELECT source, count(*) AS reference FROM o WHERE s <> 'P' GROUP BY 1), f AS (SELECT DISTINCT source, id FROM o WHERE o_totalprice > 485000 OR source < 5),
         d AS (SELECT source, count(*) AS discovered FROM f GROUP BY 1), v AS (SELECT f.source, count(*) AS overlap FROM f JOIN (SELECT DISTINCT source, id FROM o WHERE s <> 'P') USING (source, id) GROUP BY 1),
         t AS (SELECT source, coalesce(reference, 0) AS reference, coalesce(discovered, 0) AS discovered, coalesce(overlap, 0) AS overlap FROM b FULL JOIN d USING (source) LEFT JOIN v USING (source))
         SELECT *, discovered / nullif(reference, 0) AS ratio, overlap / nullif(reference, 0) AS overlap_ratio, reference >= 10 AND discovered > 0 AND discovered < ceil(reference * 0.5) AS suspected,

@@ -52,9 +52,9 @@ def failure_streak_islands(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def collapse_guard(spark: SparkSession, sf: str) -> DataFrame:
-    """Users before and after the split by their main type of event: which types lost too many."""
-    e = table(spark, sf, "events")
-    before, after = e.where(F.col("ts") < F.lit("2024-01-02").cast("timestamp_ntz")), e.where((F.col("ts") >= F.lit("2024-01-30").cast("timestamp_ntz")))
+    """Users of the first half of the month and buyers of high value in the second, by their main type of event: which types lost too many."""
+    e, half = table(spark, sf, "events"), F.lit("2024-01-16").cast("timestamp_ntz")
+    before, after = e.where(F.col("ts") < half), e.where((F.col("ts") >= half) & (F.col("event_type") == "purchase") & (F.col("value") > 90))
     base = before.groupBy("user_id").agg(F.min("event_type").alias("source"), F.bool_or(F.col("event_type") == "error").alias("explained"))
     return mt.collapse_guard(base, after.select("user_id"), "user_id", "source")
 
@@ -204,8 +204,8 @@ SQL = {
         WITH g AS (SELECT user_id, event_type, count(*) FILTER (event_type <> 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS good FROM events)
         SELECT user_id, max(n) AS longest, count(*) AS streaks FROM (SELECT user_id, good, count(*) AS n FROM g WHERE event_type = 'error' GROUP BY 1, 2) GROUP BY 1""",
     "collapse_guard": """
-        WITH b AS (SELECT user_id, min(event_type) AS source, bool_or(event_type = 'error') AS explained FROM events WHERE ts < TIMESTAMP '2024-01-02' GROUP BY 1),
-        j AS (SELECT b.*, a.user_id IS NOT NULL AS here FROM b LEFT JOIN (SELECT DISTINCT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-30') a USING (user_id)),
+        WITH b AS (SELECT user_id, min(event_type) AS source, bool_or(event_type = 'error') AS explained FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1),
+        j AS (SELECT b.*, a.user_id IS NOT NULL AS here FROM b LEFT JOIN (SELECT DISTINCT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-16' AND event_type = 'purchase' AND value > 90) a USING (user_id)),
         s AS (SELECT '*' AS scope, count(*) AS baseline, count(*) FILTER (here) AS current, count(*) FILTER (NOT here AND NOT explained) AS lost, 3 AS f FROM j
               UNION ALL SELECT source, count(*), count(*) FILTER (here), count(*) FILTER (NOT here), 2 FROM j GROUP BY 1)
         SELECT scope, baseline, current, lost, baseline >= 5 AND current < greatest(f, ceil(baseline * 0.5)) AND lost >= 1 AS blocked FROM s""",
