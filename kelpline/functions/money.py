@@ -45,7 +45,9 @@ AMOUNT = (
     rf"|{_NUMBER}(?:{_TO}{_NUMBER})?(?=\s*(?:/|per\s+|an?\s+){_UNIT})"
     r"|\d+(?:[.,]\d+)?\s*[km]\s*[-–—]\s*\d+(?:[.,]\d+)?\s*[km](?![a-z])"
 )
-LOCAL = "(" + "|".join(LOCAL_UNITS) + r")\s*:?\s*(\d[\d,]*(?:\.\d+)?)\s*(만)?\s*원(?:\s*(?:[-~–—]|부터)\s*(\d[\d,]*(?:\.\d+)?)\s*(만)?\s*원)?\s*(" + "|".join(LOCAL_BOUNDS) + ")?"
+_WON = r"([0-9][0-9.,]*)\s*(만?)\s*원"
+#: A word for a unit of time, an amount, perhaps a second one behind a sign or word for a range, perhaps a bound.
+LOCAL = f"({'|'.join(LOCAL_UNITS)})[\\s:]*{_WON}(?:\\s*(?:부터|[-–—~])\\s*{_WON})?\\s*({'|'.join(LOCAL_BOUNDS)})?"
 
 _KIND = "struct<raw:string,currency:string,low:double,high:double,period:string,qualifier:string,payment_basis:string>"
 
@@ -139,7 +141,9 @@ def candidates(text: Column, explicit: Column) -> Column:
 
 def regional_scope(text: Column) -> Column:
     """The places for whose candidates alone a pay is stated, if the text says that it differs elsewhere; else null."""
-    where = _some(F.regexp_extract(text, r"(?i)candidates located in (.{1,140}?)(?:,?\s+the)?(?:\s+starting)?(?:\s+base)?\s+pay\b", 1))
+    behind = F.regexp_extract(text, r"(?i)candidates located in\s+(.*)$", 1)
+    named = F.get(F.split(behind, r"(?i)\s+pay\b"), F.lit(0))
+    where = F.when(F.length(named) <= 160, _some(F.regexp_replace(named, r"(?i)(,?\s+(base|starting|the))+$", "")))
     differs = F.contains(F.lower(text), F.lit("candidates located in")) & F.exists(_sentences(text), lambda s: s.rlike(r"(?i)\b(elsewhere|other locations?|outside)\b") & s.rlike(r"(?i)\b(differ|fall outside|vary)\b"))
     return F.when(differs, F.regexp_replace(where, ",$", ""))
 

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from kelpline.functions import text as tx
 from kelpline.functions import values as vl
-from kelpline.sources import landed
+from kelpline.operators import evidence
+from kelpline.sources import landed, markup
 
 
 def one(spark, value, column):
@@ -73,3 +74,19 @@ def test_times(spark):
     km = one(spark, "", vl.haversine_km(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)))
     assert abs(km - 111.195) < 0.001
     assert [one(spark, str(a), vl.freshness(F.col("x").cast("int"), 40)) for a in (30, 31, 40, 41)] == ["fresh", "aging", "aging", "expired"]
+
+
+def test_names_with_contexts(spark):
+    names = {"German": "de", "High German": "de", "Greek": "el", "Sign language": "sl"}
+    got = one(spark, "Greek; we need HIGH german, not germanic, or sign\n language", evidence.named_mentions("x", names, 6, 4))
+    assert [tuple(m) for m in got] == [("el", "greek", "", "; we"), ("de", "high german", " need ", ", no"), ("sl", "sign language", "c, or ", "")]
+    assert one(spark, None, evidence.named_mentions("x", names)) == [] and one(spark, "german " * 3, F.size(evidence.named_mentions("x", names))) == 3
+    pattern = evidence.trie_pattern([f"name {k}" for k in range(60)])
+    assert one(spark, "name 5, name 59, name 600", F.regexp_extract_all("x", F.lit(pattern), F.lit(0))) == ["name 5", "name 59"]
+
+
+def test_pages_without_tables_and_broken_ones(spark):
+    pages = [(1, None), (2, ""), (3, "<p>no table</p></table><td>outside"), (4, "<table><td>a<td>b<tr><td>c"), (5, "<table><tr><td>x<table><tr><td>y</td>z</table>w</td>v</tr></table>u")]
+    cells = markup.table_cells(spark.createDataFrame(pages, "id int, html string"), "id", "html")
+    got = sorted((r.id, r.table, r.parent or 0, r.row, r.col, r.text) for r in cells.collect())
+    assert got == [(4, 1, 0, 0, 1, "a"), (4, 1, 0, 0, 2, "b"), (4, 1, 0, 1, 1, "c"), (5, 1, 0, 1, 1, "x w"), (5, 2, 1, 1, 1, "y")]
