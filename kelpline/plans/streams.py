@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpline.operators.resolve import staged
+from kelpline.sources import sinks
 from kelpline.sources.tables import table
 from kelpline.streaming import history as hi
 from kelpline.streaming import lifecycle as lc
@@ -59,7 +60,17 @@ def history_stream(spark: SparkSession, sf: str) -> DataFrame:
     return each.select("key", "pos", F.unix_micros("e.at").alias("at"), "e.event", "e.from_status", "e.to_status")
 
 
-QUERIES = {f.__name__: f for f in (events_tumbling, events_sliding, events_sessions, lifecycle_stream, history_stream)}
+def stream_upserts(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user's last event, kept by a versioned sink over three micro-batches that are all delivered twice."""
+    rows = _rows(spark, sf, 3).select("key", "at", "kind", "value")
+    root = staged(spark.createDataFrame([("upserts",)], "name string"), "stream-upserts").inputFiles()[0].rsplit("/", 1)[0]
+    for attempt in range(2):  # a checkpoint that is lost delivers all batches again
+        sinks.upsert_stream(rows, f"{root}-out", "key", ["at", "kind"], f"{root}-checkpoint-{attempt}").awaitTermination()
+    out = sinks.read_current(spark, f"{root}-out")
+    return out.select("key", F.unix_micros("at").alias("at"), "kind", "value")
+
+
+QUERIES = {f.__name__: f for f in (stream_upserts, events_tumbling, events_sliding, events_sessions, lifecycle_stream, history_stream)}
 
 _LAST = "(SELECT max(ts) - INTERVAL 1 DAY FROM events)"
 SQL = {
@@ -87,4 +98,7 @@ SQL = {
                WHEN was = 'source_error' THEN 'source_recovered' ELSE 'status_changed' END AS event, was, status FROM l WHERE was IS NULL OR ts - seen > INTERVAL 2 DAY OR was <> status),
         n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC) AS back, count(*) OVER (PARTITION BY key) AS n FROM h)
         SELECT key, (least(n, 10) - back)::INT AS pos, epoch_us(ts) AS at, event, was AS from_status, status AS to_status FROM n WHERE back <= 10""",
+    "stream_upserts": """
+        SELECT key, epoch_us(ts) AS at, kind, value FROM (
+            SELECT user_id AS key, ts, event_type AS kind, floor(value)::BIGINT AS value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC, floor(value) DESC) AS r FROM events) WHERE r = 1""",
 }

@@ -51,11 +51,37 @@ def _point(spark: SparkSession, root: str, run_id: str) -> None:
 
 def read_current(spark: SparkSession, root: str) -> DataFrame | None:
     """The version that the pointer names, or None."""
+    run_id = current_run(spark, root)
+    return None if run_id is None else spark.read.parquet(f"{root}/run_id={run_id}")
+
+
+def current_run(spark: SparkSession, root: str) -> str | None:
     fs, pointer = _fs(spark, f"{root}/CURRENT.json")
-    if not fs.exists(pointer):
-        return None
-    run_id = spark.read.json(f"{root}/CURRENT.json").first().run_id
-    return spark.read.parquet(f"{root}/run_id={run_id}")
+    return spark.read.json(f"{root}/CURRENT.json").first().run_id if fs.exists(pointer) else None
+
+
+def commit_batch(batch: DataFrame, batch_id: int, root: str, key: str, order: list[str]) -> bool:
+    """A micro-batch becomes the next version: the current rows, and those of the batch in the place of rows of their key.
+
+    Of a key's rows in a batch, and of a row that is held and one that comes, the last by the order stays, so that late rows change nothing.  A batch that is delivered
+    again after its version was pointed at is passed over; one that was killed half-way wrote a folder that nothing points at, and is
+    written anew.  So each batch makes one version.  True if it did."""
+    spark, run = batch.sparkSession, f"batch-{batch_id:012d}"
+    now = current_run(spark, root)
+    if now is not None and now >= run:
+        return False
+    held = read_current(spark, root)
+    rows = batch if held is None else held.unionByName(batch.select(*held.columns))
+    rest = [c for c in rows.columns if c != key]
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order, *rest)).alias("own")).select(key, "own.*")
+    write_version(last.select(*rows.columns), root, run)
+    return True
+
+
+def upsert_stream(stream: DataFrame, root: str, key: str, order: list[str], checkpoint: str):
+    """Starts a query that commits each micro-batch of the stream as a version of root, over all that there is now."""
+    commit = lambda batch, batch_id: commit_batch(batch, batch_id, root, key, order)
+    return stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def write_lines(df: DataFrame, path: str, order: list[str]) -> None:

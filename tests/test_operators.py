@@ -235,3 +235,20 @@ def test_other_helpers(spark):
     assert {(r.source, r.source_ord, r.row_ord, r.v, r.w) for r in out.collect()} == {("s", 0, 0, "p", None), ("t", 1, 0, None, "q")}
     saved = spark.createDataFrame([("u", dt.datetime(2026, 1, 1, 10), 1), ("u", dt.datetime(2026, 1, 1, 11), 2), ("v", dt.datetime(2026, 1, 1, 1), 3)], "request string, saved_at timestamp, body int")
     assert [tuple(r) for r in landed.cached_responses(saved, F.lit("2026-01-01 11:30:00"), 2).select("request", "body").collect()] == [("u", 2)]
+
+
+def test_batches_of_a_stream_make_one_version_each(spark, tmp_path, monkeypatch):
+    root = f"{tmp_path}/versions"
+    batch = lambda *rows: spark.createDataFrame(rows, "id int, at int, v string")
+    rows = lambda: sorted(map(tuple, sinks.read_current(spark, root).collect()))
+    commit = lambda df, k: sinks.commit_batch(df, k, root, "id", ["at"])
+    assert commit(batch((1, 1, "a"), (1, 2, "b"), (2, 1, "c")), 0) and rows() == [(1, 2, "b"), (2, 1, "c")]
+    assert not commit(batch((1, 9, "twice")), 0) and rows() == [(1, 2, "b"), (2, 1, "c")]
+    point = sinks._point
+    monkeypatch.setattr(sinks, "_point", lambda *a: (_ for _ in ()).throw(OSError("killed")))
+    with pytest.raises(OSError):
+        commit(batch((3, 1, "half")), 1)
+    assert rows() == [(1, 2, "b"), (2, 1, "c")]
+    monkeypatch.setattr(sinks, "_point", point)
+    assert commit(batch((3, 1, "d"), (2, 0, "late")), 1) and rows() == [(1, 2, "b"), (2, 1, "c"), (3, 1, "d")]
+    assert sorted(p.name for p in (tmp_path / "versions").glob("run_id=*")) == ["run_id=batch-000000000000", "run_id=batch-000000000001"]
