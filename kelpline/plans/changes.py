@@ -107,8 +107,9 @@ def applied_feed(spark: SparkSession, sf: str) -> DataFrame:
     """Customers as a feed with suppliers as manual rows: rows, moved states and new ids, counted."""
     c, s, o = table(spark, sf, "customer"), table(spark, sf, "supplier"), table(spark, sf, "orders")
     feed, manual = c.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("print")), s.select((F.col("s_suppkey") * 31).alias("id"), F.lit("manual").alias("print"))
-    states = o.select((F.col("o_custkey") + 100_000 * (F.col("o_orderkey") % 2)).alias("id"), F.col("o_orderstatus").alias("value"))
-    aliases = c.select((F.col("c_custkey") + 100_000).alias("alias"), F.col("c_custkey").alias("new_key"))
+    old = lambda key: -1 - F.col(key)  # noqa: E731  a former key, which no customer has, however many there are
+    states = o.select(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")).otherwise(old("o_custkey")).alias("id"), F.col("o_orderstatus").alias("value"))
+    aliases = c.select("c_custkey").union(o.select("o_custkey")).distinct().select(old("c_custkey").alias("alias"), F.col("c_custkey").alias("new_key"))
     reviewed = c.where("c_nationkey < 4").select(F.col("c_custkey").alias("id"), F.lit("BUILDING").alias("print"))
     rows, moved, new = ch.apply_feed(feed, manual, states, aliases, reviewed, c.where("c_nationkey > 10").select(F.col("c_custkey").alias("id")), {"O": 0, "P": 1, "F": 2})
     count = lambda df, name, extra: df.agg(F.lit(name).alias("part"), F.count("*").alias("n"), F.sum(extra).alias("total"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow.parquet as pq
 import pytest
 
-from kelpline.plans import matching
+from kelpline.plans import changes, matching
 from kelpline.sources import landed
 
 FOLDER = "/root/testdata/sf0.001"
@@ -48,3 +48,12 @@ def test_canonical_company_has_all_customers(spark, tmp_path):
     spark.createDataFrame(rows, "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
     want = {(k, f"customer {k:09d}") for k, _ in rows}
     assert {tuple(r) for r in matching.canonical_company(spark, str(tmp_path)).collect()} == want
+
+
+def test_applied_feed_with_more_customers_than_any_offset(spark, tmp_path):
+    customers = [(k, "BUILDING", k % 25) for k in (1, 2, 100_001, 100_002, 200_001)]
+    spark.createDataFrame(customers, "c_custkey long, c_mktsegment string, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(9,)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    orders = [(1, 1, "F"), (2, 1, "O"), (4, 100_001, "O"), (3, 100_001, "P"), (5, 200_001, "O"), (7, 3, "F"), (8, 3, "O")]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    assert ("states", 4, 2) in {tuple(r) for r in changes.applied_feed(spark, str(tmp_path)).collect()}
