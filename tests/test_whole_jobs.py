@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
+from kelpline.operators import decisions
 from kelpline.plans import changes, matching
 from kelpline.sources import landed
 
@@ -57,3 +59,9 @@ def test_applied_feed_with_more_customers_than_any_offset(spark, tmp_path):
     orders = [(1, 1, "F"), (2, 1, "O"), (4, 100_001, "O"), (3, 100_001, "P"), (5, 200_001, "O"), (7, 3, "F"), (8, 3, "O")]
     spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
     assert ("states", 4, 2) in {tuple(r) for r in changes.applied_feed(spark, str(tmp_path)).collect()}
+
+
+def test_a_place_keeps_its_digits(spark):
+    said = [("Location: Sector 0.",), ("Location: Sector 10.",), ("Location:  Sector 7 . Location: Sector 1.",)]
+    got = spark.createDataFrame(said, "t string").select(decisions.residence_stated(F.col("t"))["field"].alias("f")).collect()
+    assert [r.f for r in got] == ["sector 0", "sector 10", "sector 7 | sector 1"]
