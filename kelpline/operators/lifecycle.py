@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kelpline.functions.values import epoch_ms
+
 DAY = 86_400_000
 EVENT = "struct<at:timestamp,event:string,from_status:string,to_status:string>"
 
@@ -36,7 +38,7 @@ def changed_fields(now: Column, before: Column, columns: Sequence[str]) -> Colum
 
 def days_between(later: Column, earlier: Column) -> Column:
     """Whole days of 24 hours."""
-    return F.floor((F.unix_millis(later.cast("timestamp")) - F.unix_millis(earlier.cast("timestamp"))) / DAY)
+    return F.floor((epoch_ms(later) - epoch_ms(earlier)) / DAY)
 
 
 def event_of(now: Column, checkpoint_days: int = 7) -> Column:
@@ -86,7 +88,7 @@ def carry_missing(current: DataFrame, previous: DataFrame, key: str, now: Column
     gone = gone.withColumn("event", event).withColumn("missing_since", since).withColumn("status", F.lit("archived_missing"))
     if "score" in gone.columns:
         gone = gone.withColumn("score", F.lit(0).cast(gone.schema["score"].dataType))
-    return gone.where(F.unix_millis(now.cast("timestamp")) - F.unix_millis("missing_since") <= days * DAY)
+    return gone.where(epoch_ms(now) - epoch_ms(F.col("missing_since")) <= days * DAY)
 
 
 def three_states(previous: DataFrame, current: DataFrame, key: str, source: str, healthy: DataFrame) -> DataFrame:
@@ -116,7 +118,7 @@ def carry_aliases(current: DataFrame, previous: DataFrame, key: str, aliases: st
 
 def feed_health(updated: Column, now: Column, stale_hours: int = 24, future_minutes: int = 5) -> Column:
     """invalid, future, stale or fresh."""
-    age = F.unix_millis(now.cast("timestamp")) - F.unix_millis(updated.cast("timestamp"))
+    age = epoch_ms(now) - epoch_ms(updated)
     return F.when(age.isNull(), "invalid").when(age < -future_minutes * 60_000, "future").when(age > stale_hours * 3_600_000, "stale").otherwise("fresh")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelpline.functions.values import half_up
+from kelpline.functions.values import epoch_ms, half_up
 
 RUNS_KEPT = 24
 
@@ -82,7 +82,7 @@ def require_unblocked(guard: DataFrame) -> None:
 
 def two_windows(at: Column, now: Column, days: int = 7) -> tuple[Column, Column]:
     """Conditions: within the last days before now; within as many days before those."""
-    age = F.unix_millis(now.cast("timestamp")) - F.unix_millis(at.cast("timestamp"))
+    age = epoch_ms(now) - epoch_ms(at)
     span = days * 86_400_000
     return (age >= 0) & (age < span), (age >= span) & (age < 2 * span)
 

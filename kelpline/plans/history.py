@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kelpline.functions.values import epoch_ms
 from kelpline.operators import lifecycle as lc
 from kelpline.operators import metrics as mt
 from kelpline.operators import state as st
@@ -92,7 +93,7 @@ def _snapshots(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 def reconcile_events(spark: SparkSession, sf: str) -> DataFrame:
     previous, current = _snapshots(spark, sf)
     out = lc.reconcile(current, previous, "user_id", _time(NOW))
-    return out.select("user_id", "event", F.size("history").cast("long").alias("entries"), F.unix_seconds("first_seen_at").alias("first_seen"))
+    return out.select("user_id", "event", F.size("history").cast("long").alias("entries"), F.floor(epoch_ms(F.col("first_seen_at")) / 1000).alias("first_seen"))
 
 
 def carry_missing_ttl(spark: SparkSession, sf: str) -> DataFrame:

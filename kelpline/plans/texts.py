@@ -124,7 +124,7 @@ def family_or_mixed(spark: SparkSession, sf: str) -> DataFrame:
 def signal_freshness_reduce(spark: SparkSession, sf: str) -> DataFrame:
     """Each user's best freshness among their purchases, of which one counts for 12 days, and what is to be looked at next."""
     e = table(spark, sf, "events").where("event_type = 'purchase'")
-    age = F.floor((F.unix_millis(F.lit("2024-01-31 00:00:00").cast("timestamp")) - F.unix_millis(F.col("ts").cast("timestamp"))) / 86_400_000)
+    age = F.floor((vl.epoch_ms(F.lit("2024-01-31 00:00:00")) - vl.epoch_ms(F.col("ts"))) / 86_400_000)
     t = e.withColumn("state", vl.freshness(age, 12)).groupBy("user_id").agg(F.collect_set("state").alias("states"), F.max(12 - age).alias("left"))
     best = ru.strongest(F.col("states"), ["fresh", "aging", "expired"], "unknown")
     return t.select("user_id", best.alias("state"), "left")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kelpline.operators import decisions
-from kelpline.plans import changes, matching
+from kelpline.plans import changes, history, matching
 from kelpline.sources import landed
 
 FOLDER = "/root/testdata/sf0.001"
@@ -65,3 +65,15 @@ def test_a_place_keeps_its_digits(spark):
     said = [("Location: Sector 0.",), ("Location: Sector 10.",), ("Location:  Sector 7 . Location: Sector 1.",)]
     got = spark.createDataFrame(said, "t string").select(decisions.residence_stated(F.col("t"))["field"].alias("f")).collect()
     assert [r.f for r in got] == ["sector 0", "sector 10", "sector 7 | sector 1"]
+
+
+def test_first_seen_is_the_second_of_the_nearest_millisecond(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, 1, "2024-01-19 23:30:37.999849", "view"), (2, 1, "2024-01-25 10:00:00.2", "view"), (3, 2, "2024-01-18 23:59:59.999499", "error"), (4, 2, "2024-01-26 00:00:00", "view")]
+    t = spark.createDataFrame(rows, "event_id long, user_id long, ts string, event_type string").withColumn("ts", F.to_timestamp_ntz("ts"))
+    t.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    got = {tuple(r) for r in history.reconcile_events(spark, str(tmp_path)).select("user_id", "event", "entries", "first_seen").collect()}
+    assert got == set(con.execute(f"select user_id, event, entries, first_seen from ({history.SQL['reconcile_events']})").fetchall()) and len(got) == 2
