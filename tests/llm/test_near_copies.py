@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kelpline.llm import near_copies
 from kelpline.llm.simhash import links, without_near_dups
 
 
@@ -118,3 +120,36 @@ def test_pairs_beyond_the_ring_are_found(spark):
         rows += [(10 * g + k, " ".join(base[k:])) for k in range(4)]
     out = without_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), radius=1, segments=8, paired=2)
     assert sorted(r.doc_id for r in out.collect()) == sorted(kept_by_force(rows))
+
+
+def test_parities_drop_no_similar_pair_and_most_others(spark):
+    rng = np.random.default_rng(5)
+    rows, want = [], []
+    for n in (1, 2, 31, 33, 64, 400, 1030):
+        for m in range(max(1, n - n // 5), n + 1):
+            whole = rng.integers(-(2**63), 2**63 - 1, 4 * n + m, dtype=np.int64)
+            for shared in sorted({0, m // 2, m - m // 9, m} if n < 400 else {m // 2, m}):
+                a, b = np.unique(whole[:n]), np.unique(np.concatenate([whole[:shared], whole[n : n + m - shared]]))
+                rows.append((near_copies.parities(a).tolist(), near_copies.parities(b).tolist(), len(a) + len(b)))
+                want.append(5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)))
+    table = spark.createDataFrame(list(zip(range(len(rows)), *zip(*rows, strict=True), strict=True)), "k int, a array<long>, b array<long>, t int")
+    kept = {r.k for r in table.where(near_copies.may_be_similar(F.col("a"), F.col("b"), F.col("t"), 4, 5)).collect()}
+    assert all(k in kept for k, similar in enumerate(want) if similar) and sum(want) > 100
+    others = [k for k, similar in enumerate(want) if not similar]
+    assert len(others) > 100 and len(kept.intersection(others)) < len(others) / 3
+
+
+def test_no_set_travels_for_a_pair_that_parities_drop(spark, monkeypatch):
+    sets, plain = [], near_copies.stage
+
+    def staged(df, name):
+        out = plain(df, name)
+        if name == "of-nodes" and "own" in out.columns:
+            sets.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "stage", staged)
+    same = [f"w{k}" for k in range(40)]
+    docs = [(i, " ".join([*same[:28], *[f"x{i}y{k}" for k in range(12)]])) for i in range(6)] + [(10, " ".join(same)), (11, " ".join([*same, "more"]))]
+    assert near_copies.similar_links(spark.createDataFrame(docs, "doc_id long, text string")).count() == 1
+    assert sum(sets) == 2
