@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kelpline.operators import decisions as dc
 from kelpline.operators import evidence as ev
-from kelpline.sources.tables import table
+from kelpline.sources.tables import spread, table
 
 
 def _pick(values: tuple, n) -> F.Column:
@@ -66,7 +66,7 @@ def listing_states(spark: SparkSession, sf: str) -> DataFrame:
         _pick(KIND, F.expr("o_orderkey div 5")), _pick(LISTED, F.expr("o_orderkey div 25")), _pick(("Clerk", "Talent pool", "Cook"), F.expr("o_orderkey div 100")), _pick(TEXTS, k), deadline, F.to_date("o_orderdate"), F.lit("2000-06-15"),
         needs_deadline=k % 11 == 0, more_pools=[("project_pool", k % 13 == 0)],
     )
-    return table(spark, sf, "orders").groupBy(s["code"].alias("code"), s["basis"].alias("basis"), s["verification"].alias("verification"), s["stale"].alias("stale")).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("ids"))
+    return spread(table(spark, sf, "orders"), "o_orderkey").groupBy(s["code"].alias("code"), s["basis"].alias("basis"), s["verification"].alias("verification"), s["stale"].alias("stale")).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("ids"))
 
 
 def market_scopes(spark: SparkSession, sf: str) -> DataFrame:
@@ -103,7 +103,7 @@ def language_fits(spark: SparkSession, sf: str) -> DataFrame:
     gap = F.repeat(F.lit("and so on "), F.lit(20))
     text = F.concat(_pick(("German is required. ", "German is a plus. ", "We are in Berlin. "), k), gap, _pick(("Fluent French required", "Fluent Korean required", "French and Korean lessons", ""), F.expr("p_partkey div 3")))
     f = dc.language_fit(text, {"de": "german", "fr": "french", "ko": "korean"}, ["de", "ko"], "required|fluent", "a plus")
-    return table(spark, sf, "part").groupBy(F.array_join(f["mentioned"], ",").alias("mentioned"), F.array_join(f["required"], ",").alias("required"), f["fit"].alias("fit")).agg(F.count("*").alias("n"))
+    return spread(table(spark, sf, "part"), "p_partkey").groupBy(F.array_join(f["mentioned"], ",").alias("mentioned"), F.array_join(f["required"], ",").alias("required"), f["fit"].alias("fit")).agg(F.count("*").alias("n"))
 
 
 #: Languages that the postings below may name.
@@ -123,7 +123,7 @@ def language_assessments(spark: SparkSession, sf: str) -> DataFrame:
     explicit = F.when(k % 7 == 0, F.initcap(tongue(k + 1)))
     asked = ev.languages_asked(heading, body, explicit, {t: t for t in TONGUES}, CUE, "speaking", role)
     v = ev.language_verdict(asked, LEVELS, role)
-    return table(spark, sf, "customer").select("c_custkey", F.array_join(asked, ",").alias("asked"), v["status"].alias("status"), F.array_join(v["because"], ",").alias("because"))
+    return spread(table(spark, sf, "customer"), "c_custkey").select("c_custkey", F.array_join(asked, ",").alias("asked"), v["status"].alias("status"), F.array_join(v["because"], ",").alias("because"))
 
 
 def names_in_documents(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kelpline.operators import evidence as ev
 from kelpline.operators import normalise as nm
 from kelpline.operators.joins import upsert
-from kelpline.sources.tables import table
+from kelpline.sources.tables import spread, table
 
 
 def slot_extraction(spark: SparkSession, sf: str) -> DataFrame:
@@ -135,7 +135,7 @@ def projection_inputs(spark: SparkSession, sf: str) -> DataFrame:
     """Parts as raw postings in which every input varies: keys, place, pay, dates and status of the projection."""
     k = F.col("p_partkey")
     pick = lambda rows, n: F.element_at(F.array(*[F.lit(r[0]) for r in rows]), (n % len(rows) + 1).cast("int"))
-    raw = table(spark, sf, "part").select(
+    raw = spread(table(spark, sf, "part"), "p_partkey").select(
         k.cast("string").alias("id"), F.concat(F.lit("src"), (k % 3).cast("string")).alias("source"), pick(TITLES, k).alias("title"), pick(COMPANIES, F.expr("p_partkey div 3")).alias("company"), pick(LOCATIONS, F.expr("p_partkey div 9")).alias("location"),
         (k % 5 == 0).alias("remote"), pick(PAYS, F.expr("p_partkey div 36")).alias("salary"), F.concat(F.lit("HTTPS://E.example.com/J/?x=1&id="), k.cast("string"), F.lit("#top")).alias("url"), pick(POSTED, F.expr("p_partkey div 4")).alias("posted"), F.col("p_name").alias("description"),
     )

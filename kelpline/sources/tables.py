@@ -15,3 +15,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+#: Narrow rows that a task takes, at most about so many.
+TASK_ROWS = 100_000
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows of a table dealt by keys over all cores: a million narrow rows are a file of few MB, which one task would read, however
+    much work each row is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(4 * cores, -(-df.count() // TASK_ROWS)), *keys)
