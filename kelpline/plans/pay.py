@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kelpline.functions.money import pay
 from kelpline.plans.decisions import _list, _pick
-from kelpline.sources.tables import table
+from kelpline.sources.tables import spread, table
 
 _AREA = "For candidates located in {}, the starting base pay for this position ranges from $15 to $25 per hour. For candidates outside of {}, compensation may fall outside the listed range."
 _STATES = "California, New York, Washington, and Colorado"
@@ -53,7 +53,7 @@ def pay_cases(spark: SparkSession, sf: str) -> DataFrame:
 
 def pay_of_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Prices of the order lines, written in eight forms, as they are read back."""
-    t = table(spark, sf, "lineitem").withColumn("a", F.round("l_extendedprice", 2)).withColumn("b", F.col("a") + F.col("l_quantity").cast("double"))
+    t = spread(table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber").withColumn("a", F.round("l_extendedprice", 2)).withColumn("b", F.col("a") + F.col("l_quantity").cast("double"))
     shown = lambda c: F.format_number(c, 2)
     whole = lambda c: F.format_number(F.floor(c), 0)
     forms = [

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kelpline.operators import decisions
 from kelpline.plans import changes, history, matching
-from kelpline.sources import landed
+from kelpline.sources import landed, tables
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -77,3 +77,12 @@ def test_first_seen_is_the_second_of_the_nearest_millisecond(spark, tmp_path):
     con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
     got = {tuple(r) for r in history.reconcile_events(spark, str(tmp_path)).select("user_id", "event", "entries", "first_seen").collect()}
     assert got == set(con.execute(f"select user_id, event, entries, first_seen from ({history.SQL['reconcile_events']})").fetchall()) and len(got) == 2
+
+
+def test_narrow_tables_are_dealt_over_all_cores(spark, monkeypatch):
+    parts = tables.table(spark, FOLDER, "part")
+    rows = parts.count()
+    dealt = tables.spread(parts, "p_partkey")
+    assert parts.rdd.getNumPartitions() == 1 and dealt.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism and dealt.count() == rows
+    monkeypatch.setattr(tables, "TASK_ROWS", 3)
+    assert tables.spread(parts, "p_partkey").rdd.getNumPartitions() == -(-rows // 3)
