@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpline.sources import markup
-from kelpline.sources.tables import table
+from kelpline.sources.tables import spread, table
 
 
 def _end(tag: str, closed):
@@ -22,7 +22,7 @@ def order_pages(spark: SparkSession, sf: str) -> DataFrame:
         F.lit('<tr class="line">'), td(F.concat(F.lit("<a href='/part/"), F.col("l_partkey").cast("string"), F.lit("'>"), F.col("l_linenumber").cast("string"), F.lit("</a>"))), td(F.to_date("l_shipdate").cast("string"), ' colspan="2"'),
         td(F.concat(F.lit("see "), inner, F.lit(" &amp; more"))), td(F.col("l_quantity").cast("int").cast("string")), F.when(closed, F.lit("</tr>\n")).otherwise(F.lit("\n")),
     )
-    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", line.alias("h")))), lambda x: x["h"]), "").alias("body"))
+    lines = spread(table(spark, sf, "lineitem"), "l_orderkey").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", line.alias("h")))), lambda x: x["h"]), "").alias("body"))
     head = "<html><script>if (a<b) document.write('<table><tr><td>no')</script><p>Lines</p></table><table border=1><tr><th>No.<th colspan=2>Ship date</th><th>Flags<th>Quantity"
     return lines.select("l_orderkey", F.concat(F.lit(head), "body", F.lit("</table><!-- <table><tr><td>gone --> the end")).alias("html"))
 

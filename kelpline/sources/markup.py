@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelpline.functions.text import html_to_text
+from kelpline.functions.text import collapse, html_to_text
 
 _TAG = r"(?is)<(/?(?:table|tr|td|th))\b([^>]*)>((?:[^<]|<(?!/?(?:table|tr|td|th)\b))*+)"
 _HIDDEN = r"(?is)<!--.*?-->|<(script|style|noscript)\b[^>]*>.*?</\1\s*>"
@@ -59,7 +59,7 @@ def table_cells(pages: DataFrame, page_id: str, html: str) -> DataFrame:
     number = lambda c: c.cast("int")
     return cells.select(
         F.col("p").alias(page_id), number(F.col("table")).alias("table"), number(F.col("parent")).alias("parent"), number(F.col("row")).alias("row"), number(F.sum("span").over(in_row) - F.col("span") + 1).alias("col"),
-        (F.col("kind") == "th").alias("head"), html_to_text("inner").alias("text"), F.nullif(F.regexp_extract("inner", r"(?i)\bhref\s*=\s*[\"']([^\"']+)", 1), F.lit("")).alias("link"),
+        (F.col("kind") == "th").alias("head"), F.when(F.col("inner").rlike("[<&]"), html_to_text("inner")).otherwise(collapse("inner")).alias("text"), F.nullif(F.regexp_extract("inner", r"(?i)\bhref\s*=\s*[\"']([^\"']+)", 1), F.lit("")).alias("link"),
     )
 
 
