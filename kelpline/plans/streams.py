@@ -42,7 +42,7 @@ def events_sessions(spark: SparkSession, sf: str) -> DataFrame:
 def lifecycle_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Lifecycle events of users over three micro-batches in the order of time; a silence of two days counts."""
     rows = _rows(spark, sf, 3).withWatermark("at", "30 days")
-    out = lc.drained(lc.transitions(rows.select("key", "at", "status"), 2), "lifecycle")
+    out = lc.drained(lc.transitions(rows.select("key", "at", "status"), 2, lc.groups_for(table(spark, sf, "events"), "user_id")), "lifecycle")
     return out.select("key", F.unix_micros("at").alias("at"), "event", "from_status", "to_status")
 
 

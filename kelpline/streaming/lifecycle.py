@@ -4,61 +4,96 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kelpline.operators.resolve import staged
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-OUT = "key long, at timestamp, event string, from_status string, to_status string"
-STATE = "status string, seen timestamp"
+OUT = "key long, at long, event string, from_status string, to_status string"
+STATE = "keys array<long>, statuses array<string>, seen array<long>"
 FILE_ROWS = 1_000_000  # events in a file of a part, about
+GROUP_KEYS = 500  # keys in a group of state, about
+DAY = 86_400_000_000
 
 
-def transitions(rows: DataFrame, silence_days: int = 14) -> DataFrame:
+def group_of(key: Column | str, groups: int) -> Column:
+    """The group of state that a key is in; no key is in a group of its own, -1."""
+    key = F.col(key) if isinstance(key, str) else key
+    return F.when(key.isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(groups)).cast("int"))
+
+
+def groups_for(table: DataFrame, key: str) -> int:
+    """How many groups of about GROUP_KEYS keys a table's keys make, some for each core at least."""
+    keys = table.agg(F.approx_count_distinct(key)).first()[0]
+    return max(4 * table.sparkSession.sparkContext.defaultParallelism, -(-keys // GROUP_KEYS))
+
+
+def batch_of(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """A group's rows of a batch, key, at and status; no key, which is alone in its group, is 0."""
+    t = pd.concat(list(frames), ignore_index=True)[["key", "micros", "status"]].rename(columns={"micros": "at"})
+    return t.assign(key=t["key"].fillna(0).astype("int64"))
+
+
+def follow(new: pd.DataFrame, known: pd.DataFrame, silence: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Rows (key, at, status) of many keys, after each key's last row so far -> events, and each key's last row now.
+
+    Times and the silence are in microseconds.  A key's rows are taken in the order of time and status; rows older than its last one are passed over."""
+    t = pd.concat([known.assign(new=False), new.assign(new=True)], ignore_index=True)
+    t = t.sort_values(["key", "new", "at", "status"], kind="stable", ignore_index=True)
+    follows = lambda x: np.append(False, x[1:] == x[:-1])[: len(x)]
+    key, at, fresh = t["key"].to_numpy(), t["at"].to_numpy(), t["new"].to_numpy()
+    head = np.maximum.accumulate(np.where(follows(key), 0, np.arange(len(t))))
+    t = t[~(~fresh[head] & (at < at[head]))]
+    key, at, status, fresh = (t[c].to_numpy() for c in ("key", "at", "status", "new"))
+    same = follows(key)
+    was = np.where(same, np.append(None, status[:-1])[: len(t)], None)
+    gap = same & (np.append(0, np.diff(at))[: len(t)] > silence)
+    event = np.full(len(t), "status_changed", dtype=object)
+    rules = [(pd.isna(was), "first_seen"), (gap, "reappeared"), (status == was, None), (status == "source_error", "source_failed"), (was == "source_error", "source_recovered")]
+    for holds, name in reversed(rules):
+        event[holds] = name
+    found = pd.DataFrame({"key": key, "at": at, "event": event, "from_status": was, "to_status": status})[fresh & ~pd.isna(event)]
+    return found, t.loc[np.append(~same[1:], True)[: len(t)], ["key", "at", "status"]]
+
+
+def transitions(rows: DataFrame, silence_days: int = 14, groups: int = 1024) -> DataFrame:
     """rows (key long, at timestamp, status string) with a watermark on `at` -> lifecycle events.
 
     State is a key's last status and time.  first_seen; source_failed, source_recovered or
     status_changed; reappeared after more than `silence_days` days, which excludes the others; and
     disappeared, by an event-time timer, when the watermark passes that time.  Rows of a key that come in one batch are taken
     in the order of time; rows older than the state are passed over.
+
+    Keys are dealt into `groups`, whose state and rows Python gets at once: a call for each key costs more than its few rows.
     """
-    span = pd.Timedelta(days=silence_days)
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out: list[tuple] = []
-        status, seen = state.get if state.exists else (None, None)
-        seen = None if seen is None else pd.Timestamp(seen)
-        if state.hasTimedOut:
-            out.append((key[0], seen + span, "disappeared", status, "archived_missing"))
-            state.remove()
+    span = silence_days * DAY
+
+    def run(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        keys, statuses, seen = state.get if state.exists else ([], [], [])
+        last = pd.DataFrame({"key": np.array(keys, "int64"), "at": np.array(seen, "int64"), "status": np.array(statuses, object)})
+        out = []
+        if not state.hasTimedOut:
+            found, last = follow(batch_of(frames), last, span)
+            out.append(found)
+        gone = (last["at"] + span) // 1000 < state.getCurrentWatermarkMs()
+        if gone.any():
+            old, last = last[gone], last[~gone]
+            out.append(pd.DataFrame({"key": old["key"], "at": old["at"] + span, "event": "disappeared", "from_status": old["status"], "to_status": "archived_missing"}))
+        if len(last):
+            state.update((last["key"].tolist(), last["status"].tolist(), last["at"].tolist()))
+            state.setTimeoutTimestamp(max((int(last["at"].min()) + span) // 1000, state.getCurrentWatermarkMs() + 1))
         else:
-            rows_ = pd.concat(list(frames)).sort_values(["at", "status"], kind="stable")
-            for at, new in zip(rows_["at"], rows_["status"], strict=True):
-                if seen is not None and at < seen:
-                    continue
-                if status is None:
-                    event = "first_seen"
-                elif at - seen > span:
-                    event = "reappeared"
-                elif new == status:
-                    event = None
-                elif new == "source_error":
-                    event = "source_failed"
-                else:
-                    event = "source_recovered" if status == "source_error" else "status_changed"
-                if event:
-                    out.append((key[0], at, event, status, new))
-                status, seen = new, at
-            state.update((status, seen.to_pydatetime()))
-            timer = int((seen + span).timestamp() * 1000)
-            if timer > state.getCurrentWatermarkMs():
-                state.setTimeoutTimestamp(timer)
-        yield pd.DataFrame(out, columns=["key", "at", "event", "from_status", "to_status"])
-
-    return rows.groupBy("key").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+            state.remove()
+        for t in out:
+            yield t.assign(key=None) if group[0] == -1 else t
+
+    dealt = rows.where("at is not null").select("at", "key", F.unix_micros("at").alias("micros"), "status", group_of("key", groups).alias("group"))
+    found = dealt.groupBy("group").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return found.withColumn("at", F.timestamp_micros("at"))
 
 
 def windowed(rows: DataFrame, length: str, slide: str | None = None, delay: str = "1 day") -> DataFrame:
