@@ -55,7 +55,7 @@ def history_stream(spark: SparkSession, sf: str) -> DataFrame:
     late = F.unix_micros("at") > (ends.a + ends.b) // 2
     before = staged(hi.snapshot_of(events.where(~late), 2, 10), "history-snapshot")
     stream = _rows(spark, sf, 3).select("key", "at", "status").where(late)
-    kept = hi.histories_in(spark, hi.run_to_state(hi.histories(stream, before, 2, 10, ttl_days=365), "history"))
+    kept = hi.histories_in(spark, hi.run_to_state(hi.histories(stream, before, 2, 10, ttl_days=365, groups=lc.groups_for(events, "key")), "history"))
     each = kept.select("key", F.posexplode("history").alias("pos", "e"))
     return each.select("key", "pos", F.unix_micros("e.at").alias("at"), "e.event", "e.from_status", "e.to_status")
 

@@ -1,14 +1,16 @@
-"""Bounded histories of keys as keyed state: each key's last events live in a list state, which a snapshot can seed and a batch job can read.
+"""Bounded histories of keys as keyed state: each key's last events live in a map state, which a snapshot can seed and a batch job can read.
 
 Unlike `lifecycle.transitions`, whose state is a status, the state here is the history itself: what batch reconciliation keeps in
 its rows.  A snapshot of that is the initial state of a stream, so that a job moves from batch to stream without a gap; the state
 data source reads the histories back.  A key that has had no row for the time to live is forgotten, by the clock of the machine.
+Keys are dealt into groups, whose rows of a batch Python gets at once; each key has its own entry in its group's map.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,81 +18,69 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.types import StructType
 
 from kelpline.operators.resolve import staged
+from kelpline.streaming import lifecycle as lc
 
-EVENT = "at timestamp, event string, from_status string, to_status string"
-OUT = f"key long, {EVENT}"
+EVENT = "at: long, event: string, from_status: string, to_status: string"
+KEPT = f"status string, seen long, history array<struct<{EVENT}>>"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def what_happened(was: str | None, seen: pd.Timestamp | None, status: str, at: pd.Timestamp, silence: pd.Timedelta) -> str | None:
-    """The event of a row that follows another of its key; None for nothing new."""
-    if was is None or seen is None:
-        return "first_seen"
-    if at - seen > silence:
-        return "reappeared"
-    if status == was:
-        return None
-    if "source_error" in (status, was):
-        return "source_failed" if status == "source_error" else "source_recovered"
-    return "status_changed"
-
-
 class History(StatefulProcessor):
-    """State of a key: its last status and time, and its last `limit` events, of which no two neighbours are equal."""
+    """State of a key of a group: its last status and time, and its last `limit` events, of which no two neighbours are equal."""
 
-    def __init__(self, silence_days: float, limit: int, ttl_ms: int | None) -> None:
-        self.silence, self.limit, self.ttl_ms = pd.Timedelta(days=silence_days), limit, ttl_ms
+    def __init__(self, silence: int, limit: int, ttl_ms: int | None) -> None:
+        self.silence, self.limit, self.ttl_ms = silence, limit, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "status string, seen timestamp", self.ttl_ms)
-        self.events = handle.getListState("events", EVENT, self.ttl_ms)
+        self.kept = handle.getMapState("kept", "key long", KEPT, self.ttl_ms)
 
     def _grown(self, past: list[tuple], new: list[tuple]) -> list[tuple]:
         for event in new:
-            if not past or tuple(past[-1]) != event:
+            if not past or past[-1] != event:
                 past.append(event)
         return past[-self.limit :]
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
-        row = initialState.iloc[0]
-        self.last.update((row["status"], pd.Timestamp(row["seen"]).to_pydatetime()))
-        past = [(pd.Timestamp(e["at"]).to_pydatetime(), e["event"], e["from_status"], e["to_status"]) for e in row["history"]]
-        if past:
-            self.events.put(past[-self.limit :])
+        t = initialState
+        for own, status, seen, history in zip(t["key"].fillna(0).astype("int64").tolist(), t["status"], t["seen"].tolist(), t["history"], strict=True):
+            past = [(int(e["at"]), e["event"], e["from_status"], e["to_status"]) for e in history]
+            self.kept.updateValue((own,), (status, seen, past[-self.limit :]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        frame = pd.concat(list(rows)).sort_values(["at", "status"], kind="stable")
-        status, seen = self.last.get() if self.last.exists() else (None, None)
-        seen = None if seen is None else pd.Timestamp(seen)
-        found = []
-        for at, now in zip(frame["at"], frame["status"], strict=True):
-            if seen is not None and at < seen:
-                continue  # older than the state
-            event = what_happened(status, seen, now, at, self.silence)
-            if event:
-                found.append((at.to_pydatetime(), event, status, now))
-            status, seen = now, at
-        self.last.update((status, seen.to_pydatetime()))
-        if found:
-            past = [tuple(e) for e in self.events.get()] if self.events.exists() else []
-            self.events.put(self._grown(past, found))
-        yield pd.DataFrame([(key[0], *e) for e in found], columns=["key", "at", "event", "from_status", "to_status"])
+        new = lc.batch_of(rows)
+        kept = {own: row for own in new["key"].unique().tolist() if (row := self.kept.getValue((own,)))}
+        known = pd.DataFrame({"key": np.array(list(kept), "int64"), "at": np.array([r[1] for r in kept.values()], "int64"), "status": np.array([r[0] for r in kept.values()], object)})
+        found, last = lc.follow(new, known, self.silence)
+        happened: dict[int, list[tuple]] = {}
+        for own, *event in found.itertuples(index=False, name=None):
+            happened.setdefault(own, []).append(tuple(event))
+        for own, seen, status in last.itertuples(index=False, name=None):
+            past = [tuple(e) for e in kept[own][2]] if own in kept else []
+            self.kept.updateValue((own,), (status, seen, self._grown(past, happened.get(own, []))))
+        yield found.assign(key=None) if key[0] == -1 else found
 
     def close(self) -> None:
         pass
 
 
-def histories(rows: DataFrame, snapshot: DataFrame | None = None, silence_days: float = 14, limit: int = 24, ttl_days: float | None = None) -> DataFrame:
+def histories(rows: DataFrame, snapshot: DataFrame | None = None, silence_days: float = 14, limit: int = 24, ttl_days: float | None = None, groups: int = 1024) -> DataFrame:
     """rows (key long, at timestamp, status string), a stream -> its events; the state holds the histories.
 
     Rows of a key that come in one batch are taken in the order of time and status, older ones than the state are passed over.  snapshot
     (key, status, seen, history: the events so far): the state before the first batch.  ttl_days: how long a key without rows is kept.
+    groups: into how many the keys are dealt.
     """
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     ttl = None if ttl_days is None else int(ttl_days * 86_400_000)
-    first = None if snapshot is None else snapshot.select("key", "status", "seen", "history").groupBy("key")
+    group = lc.group_of("key", groups).alias("group")
+    first = None
+    if snapshot is not None:
+        past = F.transform("history", lambda e: F.struct(F.unix_micros(e["at"]).alias("at"), *[e[c].alias(c) for c in ("event", "from_status", "to_status")]))
+        first = snapshot.select(group, "key", "status", F.unix_micros("seen").alias("seen"), past.alias("history")).groupBy("group")
     mode = "none" if ttl is None else "processingTime"
-    return rows.groupBy("key").transformWithStateInPandas(History(silence_days, limit, ttl), StructType.fromDDL(OUT), "append", mode, first)
+    dealt = rows.where("at is not null").select(group, "key", F.unix_micros("at").alias("micros"), "status")
+    found = dealt.groupBy("group").transformWithStateInPandas(History(int(silence_days * lc.DAY), limit, ttl), StructType.fromDDL(lc.OUT), "append", mode, first)
+    return found.withColumn("at", F.timestamp_micros("at"))
 
 
 def snapshot_of(rows: DataFrame, silence_days: float = 14, limit: int = 24) -> DataFrame:
@@ -132,8 +122,9 @@ def run_to_state(stream: DataFrame, name: str) -> str:
 
 def histories_in(spark: SparkSession, checkpoint: str) -> DataFrame:
     """key, history: the events that the state in a checkpoint holds, in their order."""
-    state = spark.read.format("statestore").option("stateVarName", "events").option("flattenCollectionTypes", "false").load(checkpoint)
-    lasting = "ttlExpirationMs" in state.schema["list_value"].dataType.elementType.names  # a time to live stands beside each value
-    value = lambda x: x["value"] if lasting else x
-    parts = ("at", "event", "from_status", "to_status")
-    return state.select(F.col("key.key").alias("key"), F.transform("list_value", lambda x: F.struct(*[value(x)[c].alias(c) for c in parts])).alias("history"))
+    state = spark.read.format("statestore").option("stateVarName", "kept").load(checkpoint)
+    lasting = "ttlExpirationMs" in state.schema["user_map_value"].dataType.names  # a time to live stands beside each value
+    past = F.col("user_map_value.value.history" if lasting else "user_map_value.history")
+    parts = ("event", "from_status", "to_status")
+    history = F.transform(past, lambda e: F.struct(F.timestamp_micros(e["at"]).alias("at"), *[e[c].alias(c) for c in parts]))
+    return state.select(F.when(F.col("key.group") >= 0, F.col("user_map_key.key")).alias("key"), history.alias("history"))

@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from kelpline.streaming import lifecycle
+from kelpline.streaming import history, lifecycle
 
 SCHEMA = "key long, at timestamp, status string"
 
@@ -53,3 +53,21 @@ def test_keys_of_a_group_follow_their_own_rows(spark, tmp_path, groups):
     ]
     assert told(started) == sorted(want)
     assert all(p.stateOperators[0].numRowsTotal <= groups + 1 for p in query.recentProgress)
+
+
+@pytest.mark.parametrize("groups", [1, 7])
+def test_histories_of_a_group_grow_by_themselves(spark, tmp_path, groups):
+    early = [(1, str(day(1)), "open"), (1, str(day(1, 1)), "sold"), (2, str(day(1)), "open"), (None, str(day(1)), "open"), (4, str(day(1)), "sold")]
+    table = spark.createDataFrame(early, "key long, at string, status string").withColumn("at", F.to_timestamp("at"))
+    batches = [[(1, day(1, 0.5), "source_error"), (2, day(2), "sold"), (None, day(2), "source_error"), (2**60 + 1, day(2), "open")], [(2, day(8), "sold"), (2**60 + 1, day(3), "sold"), (1, day(2), "open"), (1, day(2, 1), "sold")]]
+    stream = in_batches(spark, tmp_path / "rows", batches)
+    checkpoint = history.run_to_state(history.histories(stream, history.snapshot_of(table, 2, 3), 2, 3, ttl_days=365, groups=groups), "test-history")
+    got = {r.key: [(e.at, e.event, e.from_status, e.to_status) for e in r.history] for r in history.histories_in(spark, checkpoint).collect()}
+    first = lambda status: (day(1), "first_seen", None, status)
+    assert got == {
+        1: [(day(1, 1), "status_changed", "open", "sold"), (day(2), "status_changed", "sold", "open"), (day(2, 1), "status_changed", "open", "sold")],
+        2: [first("open"), (day(2), "status_changed", "open", "sold"), (day(8), "reappeared", "sold", "sold")], None: [first("open"), (day(2), "source_failed", "open", "source_error")], 4: [first("sold")],
+        2**60 + 1: [(day(2), "first_seen", None, "open"), (day(3), "status_changed", "open", "sold")],
+    }
+    state = spark.read.format("statestore").option("stateVarName", "kept").load(checkpoint)
+    assert state.select("key").distinct().count() <= groups + 1
