@@ -9,8 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: White space as browsers see it; Java's \s lacks the no-break space and the byte order mark.
-SPACE = r"[\s\x{00A0}\x{FEFF}]+"
+#: White space as browsers see it, which is no single space already; Java's \s lacks the no-break space and the byte order mark.
+UNEVEN = r"[\t\n\x0B\f\r\x{00A0}\x{FEFF}][\s\x{00A0}\x{FEFF}]*| [\s\x{00A0}\x{FEFF}]+"
 
 #: Named references that feeds use.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
@@ -26,7 +26,7 @@ def text_or(c: Column | str, default: str) -> Column:
 
 
 def collapse(c: Column | str) -> Column:
-    return F.trim(F.regexp_replace(_col(c), SPACE, " "))
+    return F.trim(F.regexp_replace(_col(c), UNEVEN, " "))
 
 
 def decode_entities(c: Column | str) -> Column:
@@ -65,14 +65,16 @@ def decode_references(c: Column | str) -> Column:
     parts = F.zip_with(pieces, F.concat(F.transform(found, one), F.array(F.lit(""))), lambda a, b: F.concat(a, b))
     common = "|".join(name[1:] for name, _ in ENTITIES)
     other = c.rlike(rf"&(?!{common})(?:#|[A-Za-z]{{2,8}};)")
-    return F.when(other, F.array_join(parts, "")).when(F.contains(c, F.lit("&")), decode_entities(c)).otherwise(c)
+    return F.when(~F.contains(c, F.lit("&")), c).when(other, F.array_join(parts, "")).otherwise(decode_entities(c))
 
 
 def html_to_text(c: Column | str) -> Column:
     """Visible text: scripts and styles go, tags become spaces, references are decoded, and tags that were written as references go too."""
-    out = F.regexp_replace(_col(c), r"(?is)<(script|style|svg|iframe|noscript)\b[^>]*>.*?</\1\s*>", " ")
+    c = _col(c)
+    out = F.regexp_replace(c, r"(?is)<(script|style|svg|iframe|noscript)\b[^>]*>.*?</\1\s*>", " ")
     out = F.regexp_replace(out, r"(?s)<!--.*?-->", " ")
     out = F.regexp_replace(out, r"(?s)<[^>]*>", " ")
+    out = F.when(F.contains(c, F.lit("<")), out).otherwise(c)  # the three passes are for texts with markup
     return collapse(F.regexp_replace(decode_references(out), r"</?[A-Za-z][^<>]*>", " "))
 
 
@@ -157,11 +159,20 @@ def safe_public_url(c: Column | str, tracking: str = r"^(utm_[^=]*|gclid|fbclid|
 
 def has_phrase(haystack: Column | str, phrase: str) -> Column:
     """ASCII phrases match between non-alphanumerics with any white space inside; others anywhere."""
-    low = F.lower(_col(haystack))
+    return phrase_in(F.lower(_col(haystack)), phrase)
+
+
+def phrase_in(low: Column | str, phrase: str) -> Column:
+    """has_phrase on a text in lower case, for many phrases of one text.
+
+    The pattern begins with the first word and looks back when it is found: an alternative in front would be tried at each character."""
+    low = _col(low)
     if not phrase.isascii():
         return F.contains(low, F.lit(phrase.lower()))
-    words = r"\s+".join(re_escape(w) for w in phrase.lower().split())
-    return low.rlike(f"(^|[^a-z0-9]){words}([^a-z0-9]|$)")
+    words = phrase.lower().split() or [""]
+    first, *rest = [re_escape(w) for w in words]
+    pattern = r"\s+".join([f"{first}(?<![a-z0-9]{first})", *rest]) + "(?![a-z0-9])"
+    return F.contains(low, F.lit(max(words, key=len))) & low.rlike(pattern)
 
 
 def re_escape(word: str) -> str:
@@ -182,7 +193,12 @@ def clauses(c: Column | str) -> Column:
 
 def clause_requires(c: Column | str, pattern: str, veto: str) -> Column:
     """Some clause has the pattern and not the veto beside it."""
-    return F.exists(clauses(c), lambda x: x.rlike(pattern) & ~x.rlike(veto))
+    return clause_in(clauses(c), pattern, veto)
+
+
+def clause_in(parts: Column | str, pattern: str, veto: str) -> Column:
+    """clause_requires on the clauses, for many patterns of one text."""
+    return F.exists(_col(parts), lambda x: x.rlike(pattern) & ~x.rlike(veto))
 
 
 def marker_votes(c: Column | str, families: Sequence[str]) -> Column:

@@ -40,10 +40,10 @@ class Profile:
     regions: Mapping[str, Sequence[str]] = field(default_factory=dict)
 
 
-def _any(haystack: Column, phrases: Sequence[str]) -> Column:
+def _any(low: Column, phrases: Sequence[str]) -> Column:
     out = F.lit(False)
     for p in phrases:
-        out = out | tx.has_phrase(haystack, p)
+        out = out | tx.phrase_in(low, p)
     return out
 
 
@@ -56,20 +56,22 @@ def normalise(raw: DataFrame, profile: Profile, now: Column) -> DataFrame:
     """
     clean = lambda c: F.nullif(tx.html_to_text(c), F.lit(""))
     t = raw.withColumns({c: clean(c) for c in ("title", "company", "location", "salary", "description")})
-    words = F.concat_ws(" \n ", "title", "description")
+    # In lower case and in clauses once, as columns, not in each rule.
+    t = t.withColumn("_words", F.lower(F.concat_ws(" \n ", "title", "description"))).withColumn("_clauses", tx.clauses("_words"))
+    words = F.col("_words")
     t = t.withColumns({
         "company_key": F.nullif(tx.canonical_name("company", profile.legal_forms), F.lit("")),
         "title_key": F.nullif(tx.canonical_name(F.regexp_replace("title", r"[\(\[].*?[\)\]]", " ")), F.lit("")),
         "url_key": tx.url_canonical("url", profile.url_params),
         "workplace": ru.first_match([(F.coalesce(F.col("remote"), F.lit(False)), "remote"), (tx.has_phrase(F.concat_ws(" ", "title", "location"), "hybrid"), "hybrid"), (F.col("location").isNotNull(), "onsite")], "unknown"),
-        "region": ru.exactly_one([(name, _any(F.coalesce("location", F.lit("")), aliases)) for name, aliases in profile.regions.items()]) if profile.regions else F.lit(None).cast("string"),
+        "region": ru.exactly_one([(name, _any(F.lower(F.coalesce("location", F.lit(""))), aliases)) for name, aliases in profile.regions.items()]) if profile.regions else F.lit(None).cast("string"),
         "category": ru.first_match([(_any(words, phrases), name) for name, phrases in profile.categories], "other"),
     })
     closed = _any(words, profile.closed_to)
     t = t.withColumn("eligibility", ru.first_match([(closed, "restricted"), *[(_any(words, phrases), code) for code, phrases in profile.open_to]], "unknown"))
     t = t.withColumn("pay", vl.money_range(F.coalesce("salary", "description"))).withColumn("posted_at", vl.date_from("posted"))
     t = t.withColumn("age_days", F.datediff(now.cast("date"), "posted_at"))
-    hit = {r.name: tx.clause_requires(F.coalesce(words, F.lit("")), r.pattern, r.veto) for r in profile.requirements}
+    hit = {r.name: tx.clause_in("_clauses", r.pattern, r.veto) for r in profile.requirements}
     t = t.withColumn("needs", ru.reasons([(r.name, hit[r.name]) for r in profile.requirements]))
     hard = [F.array_contains("needs", r.name) for r in profile.requirements if r.hard]
     t = t.withColumn("requirement_status", F.when(_or(hard), "hard_check").when(F.size("needs") > 0, "routine_check").otherwise("clear"))
@@ -84,7 +86,7 @@ def normalise(raw: DataFrame, profile: Profile, now: Column) -> DataFrame:
     content = ("title", "company", "location", "salary", "description")
     return t.withColumn("print", lc.content_print(content)).withColumn("field_prints", lc.field_prints(content)).withColumn(
         "listing_id", tx.stable_id("listing:", F.coalesce("url_key", F.concat_ws("/", "company_key", "title_key", "location")))
-    )
+    ).drop("_words", "_clauses")
 
 
 def _or(conditions: Sequence[Column]) -> Column:

@@ -6,8 +6,9 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from kelpline.functions import text
 from kelpline.operators import decisions
-from kelpline.plans import changes, history, matching
+from kelpline.plans import changes, evidence, history, matching
 from kelpline.sources import landed, tables
 
 FOLDER = "/root/testdata/sf0.001"
@@ -86,3 +87,21 @@ def test_narrow_tables_are_dealt_over_all_cores(spark, monkeypatch):
     assert parts.rdd.getNumPartitions() == 1 and dealt.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism and dealt.count() == rows
     monkeypatch.setattr(tables, "TASK_ROWS", 3)
     assert tables.spread(parts, "p_partkey").rdd.getNumPartitions() == -(-rows // 3)
+
+
+def test_words_of_a_posting_are_lowered_and_cut_once(spark):
+    plan = evidence.listing_projection(spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(concat_ws(") == 1 and plan.count("[.,;:!?") == 1
+
+
+def test_phrases_and_gaps_are_those_of_the_plain_patterns(spark):
+    phrases = ["les", "of the", "c++", "(a) b", "creative  commons", "a", "", " ", "Les", "é", "a.c"]
+    texts = ["", "les", "tables les", "tables", "les2", "2les", "_les_", "x of\n the y", "of thee", "roof the", "roof the of \t the", "c++", "cc++ c++x", "c++-", "(a) b", "z(a) b!", "creative\u00a0commons", "Creative commons", "abc a.c", "abc", " ", "a b", "\n", "caf\u00e9", "les\n", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for p in phrases:
+        plain = r"\s+".join(text.re_escape(w) for w in p.lower().split())
+        old = F.lower("t").rlike(f"(^|[^a-z0-9]){plain}([^a-z0-9]|$)") if p.isascii() else F.contains(F.lower("t"), F.lit(p))
+        assert rows.where(~text.has_phrase("t", p).eqNullSafe(old)).count() == 0, p
+    gaps = ["a  b", " a b ", "a \n b", "a\u00a0b", "a \u00a0 b", "\ufeffa", "a\tb\n", "a b", "  ", "\n \n", "a\x0b\x0c\r b"]
+    got = spark.createDataFrame([(g,) for g in gaps], "t string").select(text.collapse("t"), F.trim(F.regexp_replace("t", r"[\s\x{00A0}\x{FEFF}]+", " "))).collect()
+    assert all(new == old for new, old in got)
