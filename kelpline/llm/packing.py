@@ -11,6 +11,7 @@ from __future__ import annotations
 import bisect
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kelpline.llm.byte_bpe import byte_characters, packed_ids
 from kelpline.llm.common import map_texts, stage
 
 CAPACITY = 4096
@@ -35,28 +37,41 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-#: Words whose ids a Python worker keeps; then it starts anew.
-KNOWN_WORDS = 1_000_000
-_known: dict[str, dict[bytes, bytes]] = {}  # by tokenizer
+#: Words whose ids a task keeps, about 75 MB; then it starts anew.  Nothing is kept from task to task, as workers outlive them.
+KNOWN_WORDS = 400_000
 #: What a tokenizer splits a text into if it may be given one word at a time, lower-cased.
 BY_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def drops_space_and_case(tok) -> bool:
-    """Whether the tokenizer lower-cases, drops white space and splits by the pattern BY_WORDS."""
+    """Whether the tokenizer lower-cases, drops white space and splits by the pattern BY_WORDS, and its model gets each match as byte characters."""
     spec = json.loads(tok.to_str())
     steps = (spec["normalizer"] or {}).get("normalizers", [spec["normalizer"] or {}])
-    first = (spec["pre_tokenizer"] or {}).get("pretokenizers", [spec["pre_tokenizer"] or {}])[0]
+    first, *then = (spec["pre_tokenizer"] or {}).get("pretokenizers", [spec["pre_tokenizer"] or {}])
     lower = [n.get("type") for n in steps] in (["NFC", "Replace", "Lowercase"], ["NFC", "Lowercase"], ["Lowercase"])
     dropped = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert")
-    return bool(lower and dropped and first["pattern"].get("Regex") == BY_WORDS and spec["post_processor"] is None)
+    shown = [(t.get("type"), t.get("add_prefix_space"), t.get("use_regex")) for t in then] == [("ByteLevel", False, False)]
+    plain = spec["model"].get("type") == "BPE" and not spec["model"].get("dropout") and all("<|" in t["content"] for t in spec["added_tokens"])
+    return bool(lower and dropped and shown and plain and first["pattern"].get("Regex") == BY_WORDS and spec["post_processor"] is None)
 
 
 SIGNS = b".,;:!?%&$#*"
+#: Words that normalising leaves alone and that are one match of BY_WORDS: lower-case letters of ASCII and Latin-1, composed.
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+_SHOWN = dict(enumerate(byte_characters()))
 
 
 def encode_words(words: list[bytes], tok, at_once: int = 2000) -> list[bytes]:
-    """Each word's ids; many words are encoded as one text, and cut where the words end."""
+    """Each word's ids: plain words go to the tokenizer's model by themselves, of the others many are encoded as one text, and cut where the words end."""
+    split, found = tok.model.tokenize, dict.fromkeys(filter(PLAIN, words))
+    for w in found:
+        found[w] = packed_ids([t.id for t in split(w.decode("latin-1").translate(_SHOWN))])
+    others = [w for w in words if w not in found]
+    found.update(zip(others, _encode_joined(others, tok, at_once), strict=True))
+    return [found[w] for w in words]
+
+
+def _encode_joined(words: list[bytes], tok, at_once: int) -> list[bytes]:
     out: list[bytes] = []
     for k in range(0, len(words), at_once):
         text = b" ".join(words[k : k + at_once]).decode("utf-8", "replace")
@@ -68,27 +83,27 @@ def encode_words(words: list[bytes], tok, at_once: int = 2000) -> list[bytes]:
     return out
 
 
-def token_bytes(texts: list[bytes], tok, path: str = "", by_words: bool | None = None) -> list[bytes]:
+def token_bytes(texts: list[bytes], tok, path: str = "", by_words: bool | None = None, known: dict[str, dict[bytes, bytes]] | None = None) -> list[bytes]:
     """Each text's ids, little-endian unsigned 32-bit.
 
     If the tokenizer drops white space, a text's ids are those of its words one after another,
     and words recur: each is encoded once.  If it also lower-cases, ASCII case is dropped
     before.  Texts that may hold a special token's string are encoded as they are, as are all texts of other tokenizers.
-    path: names the tokenizer whose words are kept.
+    known: words with their ids by path, which names the tokenizer; new ones are added.
     """
     whole = lambda t: np.array(tok.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
     if not (drops_space_and_case(tok) if by_words is None else by_words):
         return [whole(t) for t in texts]
-    known = _known.setdefault(path, {})
+    known = {} if known is None else known.setdefault(path, {})
     words = [None if b"<|" in t else t.lower().split() for t in texts]
     used = set().union(*[own for own in words if own])
     fresh = used.difference(known)
     if len(known) + len(fresh) > KNOWN_WORDS:
         known.clear()
         fresh = used
-    # A run of closing signs after an ASCII letter or digit is a token of its own.
+    # A run of closing signs after a letter or digit is a token of its own.
     stems = {w: w.rstrip(SIGNS) for w in fresh}
-    cut = {w: stem for w, stem in stems.items() if len(stem) < len(w) and stem[-1:].isalnum()}
+    cut = {w: stem for w, stem in stems.items() if len(stem) < len(w) and (stem[-1:].isalnum() or PLAIN(stem))}
     new = (fresh - cut.keys()).union(cut.values(), [w[len(stem) :] for w, stem in cut.items()]).difference(known)
     known.update(zip(new, encode_words(list(new), tok), strict=True))
     known.update({w: known[stem] + known[w[len(stem) :]] for w, stem in cut.items()})
@@ -101,10 +116,10 @@ def _pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         tok = _tokenizer(path)
-        by_words = drops_space_and_case(tok)
+        by_words, known = drops_space_and_case(tok), {}  # words are kept for this task
         for batch in batches:
             out: list[tuple] = []
-            ids = token_bytes([t or b"" for t in batch.column(2).to_pylist()], tok, path, by_words)
+            ids = token_bytes([t or b"" for t in batch.column(2).to_pylist()], tok, path, by_words, known)
             for doc, row, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ids, strict=True):
                 own += end
                 for k, at in enumerate(range(0, len(own), step)):

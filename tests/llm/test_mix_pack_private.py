@@ -100,6 +100,30 @@ def test_token_ids_of_odd_texts():
     assert token_bytes([t.encode() for t in odd], tok) == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in odd]
 
 
+def test_words_are_encoded_alike_and_kept_for_a_task_only():
+    """Plain words go to the model by themselves; a worker that has packed keeps no words."""
+    import gc
+
+    import pyarrow as pa
+
+    public = pytest.importorskip("public_tokenizers")
+    from kelpline.llm.packing import PLAIN, _pieces, _tokenizer, encode_words
+
+    path, rng = str(public.path("word_bpe_49k.json")), random.Random(5)
+    tok = _tokenizer(path)
+    letters = [*"etaoinshrdlu", *(chr(c) for c in range(0xDF, 0x100)), "\u0101", "\u0301", "\xb5", "\xaa", "\xd7", "1", "'s", ".", "!!", "&"]
+    words = sorted({"".join(rng.choices(letters, k=rng.randint(1, 12))) for _ in range(20_000)} | {chr(c) for c in range(0x80, 0x250)} - {"\x85", "\xa0"})
+    got = encode_words([w.encode() for w in words], tok)
+    assert got == [np.array(tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+    assert 1000 < sum(bool(PLAIN(w.encode())) for w in words) < len(words)
+
+    rare = [f"zq{k:x}xv".encode() for k in range(5000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), pa.array([b" ".join(rare)])], ["doc_id", "row", "text"])
+    assert sum(b.num_rows for b in _pieces(path, 4096, 1)(iter([batch]))) > 1
+    gc.collect()
+    assert not [d for d in gc.get_objects() if type(d) is dict and rare[-1] in d]
+
+
 def test_other_tokenizers_are_given_whole_texts():
     public = pytest.importorskip("public_tokenizers")
     from kelpline.llm.packing import _tokenizer, drops_space_and_case, token_bytes
