@@ -32,8 +32,8 @@ def html_table_cells(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def html_listed_rows(spark: SparkSession, sf: str) -> DataFrame:
-    cells = markup.table_cells(order_pages(spark, sf), "l_orderkey", "html")
-    return markup.listed_rows(cells, "l_orderkey", {"line": ["no"], "shipped": ["Ship date"], "quantity": ["quantity", "amount"]}).select("l_orderkey", "row", "line", "shipped", "quantity", "link")
+    fields = {"line": ["no"], "shipped": ["Ship date"], "quantity": ["quantity", "amount"]}
+    return markup.listed_rows(order_pages(spark, sf), "l_orderkey", "html", fields).select("l_orderkey", "row", "line", "shipped", "quantity", "link")
 
 
 def html_labelled_values(spark: SparkSession, sf: str) -> DataFrame:

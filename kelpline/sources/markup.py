@@ -1,9 +1,9 @@
 """Tables of HTML pages as cells: which table, row and column a text stands in, whatever is nested or left open.
 
-A page is cut at the tags of tables, once, and each piece is a tag with the text up to the next one.  Running counts along a page take the
-place of a parser's stack: how many tables are open, which of them is the innermost, its row and its cell so far.  A row or a cell
-ends where the next one of its table begins, so that closing tags may be missing; what stands in a nested table belongs to that
-one.  The counts are windows over a page, which Spark sorts and spills; pages without tables make no rows.
+A page is taken apart where it is, without a shuffle or a sort.  It is cut at the tags that open and close tables, of which it has few; a stack of the
+open ones gives each part to the innermost, and what stands in a nested table belongs to that one.  A table's own parts are put
+together and cut at its rows, and these at their cells: a row or a cell ends where the next one of its table begins, so that closing
+tags may be missing.  Pages without tables make no rows.
 """
 
 from __future__ import annotations
@@ -15,13 +15,86 @@ from pyspark.sql import functions as F
 
 from kelpline.functions.text import collapse, html_to_text
 
-_TAG = r"(?is)<(/?(?:table|tr|td|th))\b([^>]*)>((?:[^<]|<(?!/?(?:table|tr|td|th)\b))*+)"
+#: Put before each tag of a table; in a page that has it, it is written in another way until the cells are cut.
+_MARK, _OTHER = "\ufdd0", "\ufdd1"
 _HIDDEN = r"(?is)<!--.*?-->|<(script|style|noscript)\b[^>]*>.*?</\1\s*>"
+_TAG = r"(?i)<(/?(?:table|tr|td|th)\b[^>]*>)"
+#: A tag without an end, which is the last of its page, opens nothing.
+_UNENDED = r"(?is)</?(?:table|tr|td|th)\b.*"
+#: As many elements as there are.
+_ALL = 1 << 30
+_OPEN = "array<struct<table:int,parent:int,parts:array<string>>>"
 
 
-def _pieces(html: Column) -> Column:
-    bare = F.regexp_replace(html, _HIDDEN, " ")
-    return F.arrays_zip(*[F.regexp_extract_all(bare, F.lit(_TAG), F.lit(k)).alias(n) for k, n in ((1, "tag"), (2, "attributes"), (3, "inner"))])
+def _behind(part: Column) -> Column:
+    """What follows the tag that a part begins with."""
+    return F.substr(part, F.instr(part, F.lit(">")) + 1)
+
+
+def _written(c: Column) -> Column:
+    """A page without marks of its own; _read undoes it."""
+    other = F.replace(F.replace(c, F.lit(_OTHER), F.lit(f"{_OTHER}b")), F.lit(_MARK), F.lit(f"{_OTHER}a"))
+    return F.when(F.contains(c, F.lit(_MARK)) | F.contains(c, F.lit(_OTHER)), other).otherwise(c)
+
+
+def _read(c: Column) -> Column:
+    return F.when(F.contains(c, F.lit(_OTHER)), F.replace(F.replace(c, F.lit(f"{_OTHER}a"), F.lit(_MARK)), F.lit(f"{_OTHER}b"), F.lit(_OTHER))).otherwise(c)
+
+
+def _tables(html: Column) -> Column:
+    """Structs (table, parent, own): each table of a page with what is its own, from its tag on; a space stands for a nested one."""
+    marked = F.regexp_replace(F.regexp_replace(_written(html), _HIDDEN, " "), _TAG, f"{_MARK}$1")
+    parts = F.split(marked, f"{_MARK}(?=/?[tT][aA])", -1)
+    top = lambda s: F.get(s["open"], F.lit(0))
+
+    def opened(s: Column, part: Column) -> Column:
+        own = F.struct((s["n"] + 1).alias("table"), top(s)["table"].alias("parent"), F.array(part).alias("parts"))
+        return F.struct(F.concat(F.array(own), s["open"]).alias("open"), s["done"].alias("done"), (s["n"] + 1).alias("n"))
+
+    def closed(s: Column, part: Column) -> Column:
+        more = lambda t: F.struct(t["table"].alias("table"), t["parent"].alias("parent"), F.array_append(t["parts"], _behind(part)).alias("parts"))
+        around = F.concat(F.transform(F.slice(s["open"], 2, 1), more), F.slice(s["open"], 3, _ALL))
+        return F.struct(around.alias("open"), F.array_append(s["done"], top(s)).alias("done"), s["n"].alias("n"))
+
+    # A closing tag too many closes nothing.
+    step = lambda s, part: F.when(~part.startswith("/"), opened(s, part)).when(F.size(s["open"]) > 0, closed(s, part)).otherwise(s)
+    none = F.array().cast(_OPEN)
+    start = F.struct(none.alias("open"), none.alias("done"), F.lit(0).alias("n"))
+    found = F.aggregate(F.slice(parts, 2, _ALL), start, step, lambda s: F.concat(s["done"], s["open"]))
+    return F.transform(found, lambda t: F.struct(t["table"].alias("table"), t["parent"].alias("parent"), F.array_join(t["parts"], " ").alias("own")))
+
+
+def _rows(own: Column) -> Column:
+    """A table cut at its rows; the first piece holds the cells before any row."""
+    return F.split(own, f"{_MARK}(?=[tT][rR])", -1)
+
+
+def _cells(row: Column) -> Column:
+    """The cells of a row, from the names of their tags on; what follows a closing tag is in none."""
+    return F.filter(F.split(row, _MARK, -1), lambda x: F.lower(F.left(x, F.lit(2))).isin("td", "th"))
+
+
+def _columns(cells: Column) -> Column:
+    """The first column of each cell, from 1, spans counted."""
+    spans = lambda x: F.contains(F.lower(x), F.lit("colspan"))
+    stated = lambda x: F.regexp_extract(F.substring_index(x, ">", 1), r"(?i)\bcolspan\s*=\s*[\"']?(\d{1,4})", 1)
+    span = lambda x: F.when(spans(x), F.greatest(F.lit(1), F.concat(F.lit("0"), stated(x)).cast("int"))).otherwise(1)
+    after = F.aggregate(cells, F.array(F.lit(1)), lambda cols, x: F.array_append(cols, F.element_at(cols, -1) + span(x)))
+    return F.when(F.exists(cells, spans), F.slice(after, F.lit(1), F.size(cells))).otherwise(F.transform(cells, lambda x, k: k + 1))
+
+
+def _inner(cell: Column) -> Column:
+    inner = _behind(cell)
+    return _read(F.when(F.contains(inner, F.lit("<")), F.regexp_replace(inner, _UNENDED, "")).otherwise(inner))
+
+
+def _text(inner: Column) -> Column:
+    return F.when(F.contains(inner, F.lit("<")) | F.contains(inner, F.lit("&")), html_to_text(inner)).otherwise(collapse(inner))
+
+
+def _link(inner: Column) -> Column:
+    """The first address in a cell, or null."""
+    return F.when(F.contains(inner, F.lit("=")), F.nullif(F.regexp_extract(inner, r"(?i)\bhref\s*=\s*[\"']([^\"']+)", 1), F.lit("")))
 
 
 def table_cells(pages: DataFrame, page_id: str, html: str) -> DataFrame:
@@ -31,36 +104,14 @@ def table_cells(pages: DataFrame, page_id: str, html: str) -> DataFrame:
     the table's rows from 1, 0 for cells before the first; cells behind the end of a row still are that row's.  col is the cell's first column,
     spans counted.  head: the cell is a <th>.  text: what is visible in the cell, without nested tables; link: the first address in
     it.  Tags outside of a table are passed over, as are comments and scripts; a closing tag too many closes nothing.  Null and empty
-    pages, and pages without cells, have no rows; pages that share an id are one page in no order and must be told apart before.
+    pages, and pages without cells, have no rows; each row of pages is a page of its own.
     """
-    cut = pages.select(F.col(page_id).alias("p"), F.posexplode(_pieces(F.col(html))).alias("pos", "x"))
-    cut = cut.select("p", "pos", F.lower("x.tag").alias("tag"), "x.attributes", "x.inner")
-    along = Window.partitionBy("p").orderBy("pos")
-    opens, starts = F.col("tag") == "table", F.col("tag").isin("td", "th")
-    level = F.sum(F.when(opens, 1).when(F.col("tag") == "/table", -1).otherwise(0)).over(along)
-    # A closing tag too many lowers the ground from which open tables are counted.
-    t = cut.withColumn("level", level).withColumn("opened", F.sum(opens.cast("int")).over(along))
-    t = t.withColumn("depth", F.col("level") - F.least(F.lit(0), F.min("level").over(along)))
-    # The innermost open table is the last one that opened at this depth.
-    t = t.withColumn("table", F.when(F.col("depth") > 0, F.max(F.when(opens, F.col("opened"))).over(Window.partitionBy("p", "depth").orderBy("pos"))))
-    t = t.withColumn("around", F.when(opens, F.lag("table").over(along))).where("table IS NOT NULL")
-    own = Window.partitionBy("p", "table").orderBy("pos")
-    t = t.withColumn("row", F.sum((F.col("tag") == "tr").cast("int")).over(own)).withColumn("cell", F.sum(starts.cast("int")).over(own))
-    t = t.withColumn("parent", F.max("around").over(Window.partitionBy("p", "table")))
-    # Behind the end of a cell or a row there is no cell; behind a nested table there still is.
-    state = F.last(F.when(~F.col("tag").isin("table", "/table"), F.col("tag")), ignorenulls=True).over(own)
-    span = F.coalesce(F.nullif(F.regexp_extract("attributes", r"(?i)\bcolspan\s*=\s*[\"']?(\d{1,4})", 1), F.lit("")).cast("int"), F.lit(1))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "inner"))), lambda x: x["inner"]), " ")
-    at_start = lambda c: F.max(F.when(starts, c))
-    cells = t.withColumn("state", state).where(F.col("state").isin("td", "th")).groupBy("p", "table", "cell").agg(
-        F.max("parent").alias("parent"), at_start(F.col("row")).alias("row"), at_start(F.col("tag")).alias("kind"), at_start(F.greatest(F.lit(1), span)).alias("span"), text.alias("inner"),
-    )
-    in_row = Window.partitionBy("p", "table", "row").orderBy("cell")
-    number = lambda c: c.cast("int")
-    return cells.select(
-        F.col("p").alias(page_id), number(F.col("table")).alias("table"), number(F.col("parent")).alias("parent"), number(F.col("row")).alias("row"), number(F.sum("span").over(in_row) - F.col("span") + 1).alias("col"),
-        (F.col("kind") == "th").alias("head"), F.when(F.col("inner").rlike("[<&]"), html_to_text("inner")).otherwise(collapse("inner")).alias("text"), F.nullif(F.regexp_extract("inner", r"(?i)\bhref\s*=\s*[\"']([^\"']+)", 1), F.lit("")).alias("link"),
-    )
+    t = pages.select(F.col(page_id).alias("p"), F.explode(_tables(F.col(html))).alias("t"))
+    t = t.select("p", "t.table", "t.parent", F.posexplode(_rows(F.col("t.own"))).alias("row", "own"))
+    t = t.select("p", "table", "parent", "row", _cells(F.col("own")).alias("cells"))
+    t = t.select("p", "table", "parent", "row", F.explode(F.arrays_zip(_columns(F.col("cells")).alias("col"), F.col("cells").alias("cell"))).alias("c"))
+    t = t.select("p", "table", "parent", "row", "c.col", (F.lower(F.left("c.cell", F.lit(2))) == "th").alias("head"), _inner(F.col("c.cell")).alias("inner"))
+    return t.select(F.col("p").alias(page_id), "table", "parent", "row", "col", "head", _text(F.col("inner")).alias("text"), _link(F.col("inner")).alias("link"))
 
 
 def _key(c: Column) -> Column:
@@ -91,14 +142,24 @@ def labelled_values(cells: DataFrame, page_id: str, fields: Mapping[str, Sequenc
     return t.groupBy(page_id).agg(*first)
 
 
-def listed_rows(cells: DataFrame, page_id: str, fields: Mapping[str, Sequence[str]], link: str = "link") -> DataFrame:
-    """cells -> page_id, table, row, a column for each field, link: the rows of tables whose first row names columns by the labels of fields.
-
-    A cell belongs to the name above its first column, so that spans and cells that are left out move nothing; the first address in a row is its link."""
-    top = F.min("row").over(Window.partitionBy(page_id, "table"))
-    t = cells.withColumn("_top", top)
-    names = t.where(F.col("row") == F.col("_top")).select(F.col(page_id).alias("_p"), F.col("table").alias("_t"), F.col("col").alias("_c"), _names(fields, F.col("text")).alias("_name")).where("_name IS NOT NULL")
-    body = t.where(F.col("row") > F.col("_top")).join(names, (F.col(page_id) == F.col("_p")) & (F.col("table") == F.col("_t")) & (F.col("col") == F.col("_c")), "left")
-    values = [F.min_by(F.when(F.col("_name") == n, F.nullif(F.col("text"), F.lit(""))), F.when(F.col("_name") == n, F.col("col"))).alias(n) for n in fields]
-    out = body.groupBy(page_id, "table", "row").agg(F.count("_name").alias("_n"), *values, F.min_by(F.col("link"), F.when(F.col("link").isNotNull(), F.col("col"))).alias(link))
-    return out.where("_n > 0").drop("_n")
+def listed_rows(pages: DataFrame, page_id: str, html: str, fields: Mapping[str, Sequence[str]], link: str = "link") -> DataFrame:
+    """pages -> page_id, table, row, a column for each field, link: the rows of tables whose first row names columns by the labels of fields.
+
+    Rows and cells are those of table_cells.  A cell belongs to the name above its first column, so that spans and cells that are left out
+    move nothing; the first address in a row is its link."""
+    t = pages.select(F.col(page_id).alias("p"), F.explode(_tables(F.col(html))).alias("t")).select("p", "t.table", F.transform(_rows(F.col("t.own")), _cells).alias("rows"))
+    t = t.select("p", "table", "rows", F.array_position(F.transform("rows", lambda x: F.size(x) > 0), True).cast("int").alias("top"))
+    t = t.select("p", "table", "rows", "top", F.get("rows", F.col("top") - 1).alias("first"))
+    named = F.transform(F.transform(F.transform("first", _inner), _text), lambda x: _names(fields, x))
+    t = t.select("p", "table", "rows", "top", F.arrays_zip(_columns(F.col("first")).alias("col"), named.alias("name")).alias("names"))
+    # Rows without what is asked for are left out of an array before it is exploded: a condition on columns would compute them twice.
+    columns = F.struct(*[F.transform(F.filter("names", lambda x: x["name"] == n), lambda x: x["col"]).alias(n) for n in fields])
+    t = t.select("p", "table", "rows", "top", F.explode(F.filter(F.array(columns), lambda x: F.greatest(F.lit(0), *[F.size(x[n]) for n in fields]) > 0)).alias("columns"))
+    t = t.select("p", "table", "top", "columns", F.posexplode(F.slice("rows", F.col("top") + 1, F.lit(_ALL))).alias("k", "cells"))
+    t = t.select("p", "table", (F.col("top") + F.col("k")).alias("row"), "columns", F.arrays_zip(_columns(F.col("cells")).alias("col"), F.col("cells").alias("cell")).alias("cells"))
+    below = lambda n: F.get(F.filter("cells", lambda c: F.array_contains(F.col("columns")[n], c["col"])), F.lit(0))["cell"]
+    links = F.filter(F.transform("cells", lambda c: _link(_inner(c["cell"]))), lambda x: x.isNotNull())
+    found = F.struct(*[below(n).alias(n) for n in fields], F.get(links, F.lit(0)).alias("_link"))
+    t = t.select("p", "table", "row", F.explode(F.filter(F.array(found), lambda x: F.coalesce(*[x[n] for n in fields]).isNotNull())).alias("f"))
+    t = t.select("p", "table", "row", *[_inner(F.col("f")[n]).alias(f"_{n}") for n in fields], F.col("f._link").alias("link"))
+    return t.select(F.col("p").alias(page_id), "table", "row", *[F.nullif(_text(F.col(f"_{n}")), F.lit("")).alias(n) for n in fields], F.col("link").alias(link))

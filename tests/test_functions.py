@@ -90,3 +90,25 @@ def test_pages_without_tables_and_broken_ones(spark):
     cells = markup.table_cells(spark.createDataFrame(pages, "id int, html string"), "id", "html")
     got = sorted((r.id, r.table, r.parent or 0, r.row, r.col, r.text) for r in cells.collect())
     assert got == [(4, 1, 0, 0, 1, "a"), (4, 1, 0, 0, 2, "b"), (4, 1, 0, 1, 1, "c"), (5, 1, 0, 1, 1, "x w"), (5, 2, 1, 1, 1, "y")]
+
+
+def test_pages_are_taken_apart_in_place(spark):
+    pages = spark.createDataFrame([(1, "<table><tr><th>No<th colspan=2>Name<tr><td>7<td><a href='/n'>A</a>")], "id int, html string")
+    listed = markup.listed_rows(pages, "id", "html", {"no": ["no"], "name": ["name"], "other": ["x"]})
+    assert [tuple(r) for r in listed.collect()] == [(1, 1, 2, "7", "A", None, "/n")]
+    for frame in (markup.table_cells(pages, "id", "html"), listed):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert not any(step in plan for step in ("Exchange", "Sort", "Window", "Join", "Aggregate"))
+
+
+def test_marks_nesting_and_spans_of_pages(spark):
+    deep = "<table><tr><td>" * 300 + "x" + "</table>y" * 300
+    pages = [(1, deep), (2, "<table><tr><td title='<tr>'>\ufdd0a<td>\ufdd1a\ufdd1<td <b"), (3, "<table>no<td colspan=0>a<td colspan='3'>b</td>c<td>d</table></table><table><th>e"), (4, "<table><tr></tr><tr><td>a<table></table><tr><td>b")]
+    cells = markup.table_cells(spark.createDataFrame(pages, "id int, html string"), "id", "html")
+    got = {}
+    for r in cells.orderBy("id", "table", "row", "col").collect():
+        got.setdefault(r.id, []).append((r.table, r.parent, r.row, r.col, r["head"], r.text))
+    assert got[1] == [(k, k - 1 or None, 1, 1, False, "x" if k == 300 else "y") for k in range(1, 301)]
+    assert got[2] == [(1, None, 1, 1, False, "'>\ufdd0a"), (1, None, 1, 2, False, "\ufdd1a\ufdd1")]
+    assert got[3] == [(1, None, 0, 1, False, "a"), (1, None, 0, 2, False, "b"), (1, None, 0, 5, False, "d"), (2, None, 0, 1, True, "e")]
+    assert got[4] == [(1, None, 2, 1, False, "a"), (1, None, 3, 1, False, "b")]
