@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kelpline.functions.text import collapse, re_escape
-from kelpline.functions.values import parse_amount
+from kelpline.functions.values import once, parse_amount
 
 # Currencies, units of time, labels, and phrases of pay without an amount.
 CURRENCY_CODES = ("AED", "AUD", "BRL", "CAD", "CHF", "EUR", "GBP", "HKD", "INR", "JPY", "KRW", "PLN", "SGD", "USD", "USDT")
@@ -49,6 +49,8 @@ _WON = r"([0-9][0-9.,]*)\s*(만?)\s*원"
 #: A word for a unit of time, an amount, perhaps a second one behind a sign or word for a range, perhaps a bound.
 LOCAL = f"({'|'.join(LOCAL_UNITS)})[\\s:]*{_WON}(?:\\s*(?:부터|[-–—~])\\s*{_WON})?\\s*({'|'.join(LOCAL_BOUNDS)})?"
 
+#: Between the pieces of what is cut; no amount has it.
+_MARK = "\ufdd0"
 _KIND = "struct<raw:string,currency:string,low:double,high:double,period:string,qualifier:string,payment_basis:string>"
 
 
@@ -68,19 +70,17 @@ def _money(raw: Column, currency: Column, first: Column, second: Column, period:
     """A unit that only one of two amounts has, as in 75-90k, holds for both."""
     strip = lambda x: F.regexp_replace(F.lower(x), r"[\s.,]+$", "")
     unit = lambda x: F.regexp_extract(x, "([km])$", 1)
-    a, b = strip(first), strip(F.coalesce(second, F.lit("")))
-    shared = lambda x, other: F.when((unit(x) == "") & (parse_amount(x) < 1000), F.concat(x, unit(other))).otherwise(x)
-    low, high = parse_amount(F.when(b != "", shared(a, b)).otherwise(a)), parse_amount(F.when(b != "", shared(b, a)))
-    return F.struct(
-        raw.alias("raw"), currency.alias("currency"), F.least(low, high).alias("low"), F.greatest(low, high).alias("high"), period.alias("period"), qualifier.alias("qualifier"), basis.alias("payment_basis")
-    )
+    amounts = F.struct(strip(first).alias("a"), strip(F.coalesce(second, F.lit(""))).alias("b"))
+    told = lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), *[f(x[k]).alias(n + k) for k in "ab" for n, f in (("unit_", unit), ("of_", parse_amount))])
 
+    def shared(x: Column, k: str, other: str) -> Column:
+        bare = (x["b"] != "") & (x[f"unit_{k}"] == "") & (x[f"of_{k}"] < 1000)
+        return F.when(bare & ~F.coalesce(x[f"unit_{other}"] == "", F.lit(False)), parse_amount(F.concat(x[k], x[f"unit_{other}"]))).otherwise(x[f"of_{k}"])
 
-def _once(value: Column, *steps) -> Column:
-    """The steps one after another, each on the result of the one before, which is computed once: a lambda's argument is."""
-    for step in steps:
-        value = F.get(F.transform(F.array(value), step), F.lit(0))
-    return value
+    range_of = lambda x: F.struct(shared(x, "a", "b").alias("low"), F.when(x["b"] != "", shared(x, "b", "a")).alias("high"))
+    return once(amounts, told, range_of, lambda x: F.struct(
+        raw.alias("raw"), currency.alias("currency"), F.least(x["low"], x["high"]).alias("low"), F.greatest(x["low"], x["high"]).alias("high"), period.alias("period"), qualifier.alias("qualifier"), basis.alias("payment_basis")
+    ))
 
 
 def local_pay(c: Column) -> Column:
@@ -89,26 +89,32 @@ def local_pay(c: Column) -> Column:
     def read(found: Column) -> Column:
         part = lambda k: F.regexp_extract(found, LOCAL, k)
         amount = lambda k: parse_amount(_some(part(k))) * F.when(part(k + 1) == "만", 10_000.0).otherwise(1.0)
-        a, b = amount(2), amount(4)
-        money = F.struct(
-            found.alias("raw"), F.lit("KRW").alias("currency"), F.least(a, b).alias("low"), F.greatest(a, b).alias("high"), _of(LOCAL_UNITS, part(1)).alias("period"), _of(LOCAL_BOUNDS, part(6)).alias("qualifier"),
-            F.lit(None).cast("string").alias("payment_basis"),
-        )
-        return F.when(found != "", money.cast(_KIND))
 
-    return _once(F.when(F.contains(c, F.lit("원")), F.regexp_extract(c, LOCAL, 0)).otherwise(""), read)
+        def money(x: Column) -> Column:
+            return F.struct(
+                found.alias("raw"), F.lit("KRW").alias("currency"), F.least(x["a"], x["b"]).alias("low"), F.greatest(x["a"], x["b"]).alias("high"), _of(LOCAL_UNITS, part(1)).alias("period"), _of(LOCAL_BOUNDS, part(6)).alias("qualifier"),
+                F.lit(None).cast("string").alias("payment_basis"),
+            ).cast(_KIND)
+
+        return F.when(found != "", once(F.struct(amount(2).alias("a"), amount(4).alias("b")), money))
+
+    return once(F.when(F.contains(c, F.lit("원")), F.regexp_extract(c, LOCAL, 0)).otherwise(""), read)
 
 
 def candidates(text: Column, explicit: Column) -> Column:
-    """The amounts of a text as structs (score, place, money), in their order; score 0 for what is no pay.
+    """The amounts of a text as structs (score, place, money), in their order; score 0 and no money for what is no pay.
 
     explicit: the text is a field for pay, in which each amount counts, whatever stands around it."""
 
     def around(item: Column) -> Column:
         head = F.regexp_extract(F.right(item["before"], F.lit(100)), r"([^;\n]*)$", 1)
         tail = F.regexp_extract(F.left(item["after"], F.lit(100)), r"^((?:[^;\n.]|\.(?!\s|$))*)", 1)
-        parts = [_some(F.regexp_extract(item["amount"], AMOUNT, k)).alias(f"p{k}") for k in range(1, 7)]
-        return F.struct(item["amount"].alias("amount"), item["place"].alias("place"), head.alias("head"), tail.alias("tail"), *parts)
+        parts = F.split(F.regexp_replace(item["amount"], rf"(?s)^.*?(?:{AMOUNT}).*$", _MARK.join(["", *[f"${k}" for k in range(1, 7)]])), _MARK, -1)
+        return F.struct(item["amount"].alias("amount"), item["place"].alias("place"), head.alias("head"), tail.alias("tail"), parts.alias("parts"))
+
+    def cut_up(x: Column) -> Column:
+        parts = [_some(F.get(x["parts"], F.lit(k))).alias(f"p{k}") for k in range(1, 7)]
+        return F.struct(*[x[n].alias(n) for n in ("amount", "place", "head", "tail")], *parts)
 
     def named(x: Column) -> Column:
         labelled = F.regexp_extract(x["head"], rf"(?i)({_LABEL}(?:(?!{_LABEL}).)*)$", 1)
@@ -124,19 +130,22 @@ def candidates(text: Column, explicit: Column) -> Column:
         head, tail, about, code, has_label = x["head"], x["tail"], y["about"], y["code"], y["labelled"] != ""
         expense = tail.rlike(r"(?i)^.{0,40}\byourself\b") | F.concat(head, tail).rlike(r"(?i)\bout[- ]of[- ]pocket\b") | head.rlike(r"(?i)\b(you|employee|candidate)s?\s+(pay|contribute)\b[^.]*$")
         rate = tail.rlike(rf"(?i)^\s*(/|per\s+|an?\s+){_UNIT}")
-        is_pay = explicit | (~expense & (has_label | (code.isNotNull() & rate)))
+        is_pay = explicit | ((has_label | (code.isNotNull() & rate)) & ~expense)
         score = F.when(is_pay, 1 + 4 * has_label.cast("int") + 2 * code.isNotNull().cast("int") + period.isNotNull().cast("int")).otherwise(0)
         qualifier = F.when(about.rlike(r"(?i)\bup to\b"), "maximum").when(head.rlike(r"(?i)\b(about|approximately|approx\.?|around)[^0-9a-z]{0,16}$"), "approximate")
         basis = F.when(about.rlike(r"(?i)\bpaid per (item|job|task)\b"), "per_task_equivalent")
         money = _money(F.concat(about, x["amount"], tail), code, F.coalesce(x["p2"], x["p4"]), F.coalesce(x["p3"], x["p5"]), period, qualifier, basis)
-        return F.struct(score.alias("score"), (-x["place"]).alias("place"), money.alias("money"))
+        return once(score, lambda n: F.struct(n.alias("score"), (-x["place"]).alias("place"), F.when(n > 0, money).alias("money")))
 
     def read(cut: Column) -> Column:
         item = lambda amount, k: F.struct(amount.alias("amount"), k.alias("place"), F.get(cut["gaps"], k).alias("before"), F.get(cut["gaps"], k + 1).alias("after"))
-        return F.transform(F.transform(cut["found"], item), lambda x: _once(x, around, named, timed, scored))
+        return F.transform(F.transform(cut["found"], item), lambda x: once(x, around, cut_up, named, timed, scored))
 
-    numbers = F.when(text.rlike("[0-9]"), text).otherwise("")
-    return _once(F.struct(F.regexp_extract_all(numbers, F.lit(AMOUNT), F.lit(0)).alias("found"), F.split(numbers, AMOUNT, -1).alias("gaps")), read)
+    # Amounts are found in one pass, with a mark on both sides, and a text that has the mark itself in two.
+    marked = lambda c: F.split(F.regexp_replace(c, AMOUNT, f"{_MARK}$0{_MARK}"), _MARK, -1)
+    each = lambda c: once(marked(c), lambda x: F.struct(F.filter(x, lambda _, k: k % 2 == 1).alias("found"), F.filter(x, lambda _, k: k % 2 == 0).alias("gaps")))
+    plain = lambda c: F.struct(F.regexp_extract_all(c, F.lit(AMOUNT), F.lit(0)).alias("found"), F.split(c, AMOUNT, -1).alias("gaps"))
+    return once(F.when(text.rlike("[0-9]"), text).otherwise(""), lambda c: F.when(F.contains(c, F.lit(_MARK)), plain(c)).otherwise(each(c)), read)
 
 
 def regional_scope(text: Column) -> Column:
@@ -151,7 +160,7 @@ def regional_scope(text: Column) -> Column:
 def varies_by_place(text: Column) -> Column:
     """Some sentence says that a rate differs or is set by country or location."""
     words = [r"(?i)\b(compensation|rates?)\b", r"(?i)\b(determined|differs?|different|var(y|ies))\b", r"(?i)\b(country|location)\b"]
-    return F.exists(_sentences(text), lambda s: s.rlike(words[0]) & s.rlike(words[1]) & s.rlike(words[2]))
+    return text.rlike(words[2]) & F.exists(_sentences(text), lambda s: s.rlike(words[0]) & s.rlike(words[1]) & s.rlike(words[2]))
 
 
 def pay(stated: Column, description: Column, regions: Mapping[str, str] | None = None, shown: Mapping[str, str] = SHOWN) -> Column:
@@ -164,7 +173,7 @@ def pay(stated: Column, description: Column, regions: Mapping[str, str] | None =
     def take(c: Column) -> Column:
         field, text = c["field"], c["text"]
         plain = F.regexp_replace(F.lower(text), "[- ]+", " ")
-        unstated = F.coalesce(*[F.when(F.contains(plain, F.lit(p)), F.struct(F.lit(b).alias("basis"), F.lit(u).alias("unit"))) for p, b, u in UNSTATED])
+        unstated = once(plain, lambda w: F.coalesce(*[F.when(F.contains(w, F.lit(p)), F.struct(F.lit(b).alias("basis"), F.lit(u).alias("unit"))) for p, b, u in UNSTATED]))
         best = F.array_max(F.filter(candidates(F.when(field != "", field).otherwise(text), field != ""), lambda x: x["score"] > 0))
         return F.struct(
             best["money"].alias("money"), local_pay(F.concat_ws(" ", field, text)).alias("local"), F.when(field == "", regional_scope(text)).alias("region"), unstated.alias("unstated"), field.alias("field"),
@@ -205,4 +214,4 @@ def pay(stated: Column, description: Column, regions: Mapping[str, str] | None =
         return p.withField("display", display)
 
     read = F.struct(collapse(F.coalesce(stated, F.lit(""))).alias("field"), collapse(F.coalesce(description, F.lit(""))).alias("text"))
-    return _once(read, take, decide, finish)
+    return once(read, take, decide, finish)

@@ -6,7 +6,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from kelpline.functions import text
+from kelpline.functions import money, text, values
 from kelpline.operators import decisions
 from kelpline.plans import changes, evidence, history, matching
 from kelpline.sources import landed, tables
@@ -105,3 +105,13 @@ def test_phrases_and_gaps_are_those_of_the_plain_patterns(spark):
     gaps = ["a  b", " a b ", "a \n b", "a\u00a0b", "a \u00a0 b", "\ufeffa", "a\tb\n", "a b", "  ", "\n \n", "a\x0b\x0c\r b"]
     got = spark.createDataFrame([(g,) for g in gaps], "t string").select(text.collapse("t"), F.trim(F.regexp_replace("t", r"[\s\x{00A0}\x{FEFF}]+", " "))).collect()
     assert all(new == old for new, old in got)
+
+
+def test_each_step_of_reading_pay_is_written_once(spark):
+    rows = spark.createDataFrame([("Pay: 75-90k EUR a year \ufdd0",), ("Pay 35,3k to 1.5m\u00a0USD",)], "t string")
+    read = rows.select(money.pay(F.lit(""), F.col("t")).alias("p"))
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") < 40 and plan.count("regexp_replace(") < 40
+    plan = rows.select(values.parse_amount("t").alias("n"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 1 and plan.count("regexp_replace(") == 2
+    assert [(r.p.low, r.p.high, r.p.period) for r in read.collect()] == [(75000.0, 90000.0, "year"), (35300.0, 1500000.0, None)]
