@@ -33,7 +33,8 @@ SHOWN = {
     "no_amount": " · 형식 확인 필요", "suspicious": " · 단위 확인 필요", "region": " 기준 ", "elsewhere": " · 기타 지역 단가 확인", "some_region": "특정 지역",
 }
 
-_CURRENCY = "(?:(?<![a-z])(?:" + "|".join(sorted(CURRENCY_CODES, key=lambda c: (-len(c), c))) + ")(?![a-z])|[" + "".join(CURRENCY_SIGNS) + "])"
+#: The first letters are tried before the codes.
+_CURRENCY = "(?:(?<![a-z])(?=[" + "".join(sorted({c[0] for c in CURRENCY_CODES})) + "])(?:" + "|".join(sorted(CURRENCY_CODES, key=lambda c: (-len(c), c))) + ")(?![a-z])|[" + "".join(CURRENCY_SIGNS) + "])"
 _NUMBER = r"\d[\d,.]*(?:\s*[km](?![a-z]))?"
 _TO = r"\s*(?:[-–—]|to)\s*"
 _UNIT = "(?:" + "|".join(sorted(UNITS, key=lambda u: (-len(u), u))) + ")(?![a-z])"
@@ -163,12 +164,13 @@ def varies_by_place(text: Column) -> Column:
     return text.rlike(words[2]) & F.exists(_sentences(text), lambda s: s.rlike(words[0]) & s.rlike(words[1]) & s.rlike(words[2]))
 
 
-def pay(stated: Column, description: Column, regions: Mapping[str, str] | None = None, shown: Mapping[str, str] = SHOWN) -> Column:
+def pay(stated: Column, description: Column, regions: Mapping[str, str] | None = None, shown: Mapping[str, str] | None = SHOWN) -> Column:
     """A struct (raw, currency, low, high, period, qualifier, payment_basis, confidence, scope, display) of a posting's pay.
 
     stated: its field for pay, which comes first; description: its text.  confidence: parsed; partial (no unit of time); suspicious (an
     hour's pay over 1,000, a year's under 1,000); raw (a currency or an amount is missing); regional_only; basis_only (it says how it
-    pays, not how much); none.  regions: pattern of places -> their name, for a pay that holds there alone.  Null texts count as empty.
+    pays, not how much); none.  regions: pattern of places -> their name, for a pay that holds there alone.  shown: words for display; without
+    them there is no display.  Null texts count as empty.
     """
     def take(c: Column) -> Column:
         field, text = c["field"], c["text"]
@@ -214,4 +216,4 @@ def pay(stated: Column, description: Column, regions: Mapping[str, str] | None =
         return p.withField("display", display)
 
     read = F.struct(collapse(F.coalesce(stated, F.lit(""))).alias("field"), collapse(F.coalesce(description, F.lit(""))).alias("text"))
-    return once(read, take, decide, finish)
+    return once(read, take, decide, finish if shown else lambda x: x["pay"])

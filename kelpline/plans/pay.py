@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,10 +64,9 @@ def pay_of_lines(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("It is "), shown(F.col("a")), F.lit(" USD per day")), F.concat(F.lit("It is "), shown(F.col("a")), F.lit(" USD in all")), F.concat(F.lit("Compensation up to "), whole(F.col("a")), F.lit("k-"), whole(F.col("b")), F.lit("k INR a month")),
         F.concat(F.lit("Pay "), shown(F.col("a")), F.lit(" per hour")),
     ]
-    form, text = (F.col("l_orderkey") + F.col("l_linenumber")) % 8, F.lit(None).cast("string")
-    for k, x in enumerate(forms):
-        text = F.when(form == k, x).otherwise(text)
-    p = t.select("l_orderkey", "l_linenumber", pay(F.lit(None).cast("string"), text).alias("p"))
+    form = (F.col("l_orderkey") + F.col("l_linenumber")) % 8
+    text = reduce(lambda c, k: c.when(form == k, forms[k]), range(1, 8), F.when(form == 0, forms[0]))
+    p = t.select("l_orderkey", "l_linenumber", pay(F.lit(None).cast("string"), text, shown=None).alias("p"))
     return p.groupBy("p.currency", "p.period", "p.confidence", "p.qualifier").agg(F.count("*").alias("n"), F.round(F.sum("p.low"), 0).alias("low"), F.round(F.sum("p.high"), 0).alias("high"))
 
 
