@@ -17,8 +17,8 @@ from kelpline.functions.text import collapse, html_to_text
 
 #: Put before each tag of a table; in a page that has it, it is written in another way until the cells are cut.
 _MARK, _OTHER = "\ufdd0", "\ufdd1"
-_HIDDEN = r"(?is)<!--.*?-->|<(script|style|noscript)\b[^>]*>.*?</\1\s*>"
-_TAG = r"(?i)<(/?(?:table|tr|td|th)\b[^>]*>)"
+_HIDDEN = r"(?is)<(?:!--.*?-->|(script|style|noscript)\b[^>]*>.*?</\1\s*>)"
+_TAG = r"<(/?[tT](?:[rRdDhH]|[aA][bB][lL][eE])\b[^>]*>)"
 #: A tag without an end, which is the last of its page, opens nothing.
 _UNENDED = r"(?is)</?(?:table|tr|td|th)\b.*"
 #: As many elements as there are.
